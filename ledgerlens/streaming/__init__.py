@@ -1,0 +1 @@
+"""Continuous loading of metric files into the partitioned table."""
