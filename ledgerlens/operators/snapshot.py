@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,3 +21,13 @@ def latest_snapshot(df: DataFrame) -> DataFrame:
     An empty frame, or one with no dated rows, gives no rows.
     """
     return df.join(F.broadcast(latest_date(df)), on="business_date", how="left_semi")
+
+
+def latest_date_value(df: DataFrame) -> date | None:
+    """The latest date as a plan-time value (one small aggregate job).
+
+    Binding the snapshot date as a literal lets a date-partitioned table prune
+    to a single partition and lets a derived source bound its raw scan; the
+    semi-join form above cannot do either (no dynamic pruning applies to it).
+    """
+    return latest_date(df).first()["business_date"]

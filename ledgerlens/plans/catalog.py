@@ -6,6 +6,7 @@ the report filters a user would pass, fixed here so the check is repeatable.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from ledgerlens.operators.filters import ReportFilter
 from ledgerlens.plans import oracle as O
 from ledgerlens.plans import reports as R
 from ledgerlens.plans.dashboard import dashboard_long
-from ledgerlens.sources.star import star_metrics
+from ledgerlens.sources.star import StarSource, materialized_star
 
 # Last full month of the driver's data (the final month holds a few days only).
 FULL_MONTH_END = "2001-10-31"
@@ -40,16 +41,28 @@ class Query:
     sql: str | None
 
 
-def _on_metrics(report: Callable[[DataFrame, ReportFilter | None], DataFrame],
+def source(spark: SparkSession, sf_dir: str) -> R.Source:
+    """Metrics source of the driver's tables.
+
+    By default the adapter's table is materialized once per session and input
+    signature (load once, serve every report); ``LEDGERLENS_SOURCE=star`` runs
+    every report straight from the star schema with raw-column pushdown.
+    """
+    if os.environ.get("LEDGERLENS_SOURCE", "materialized") == "star":
+        return StarSource(spark, sf_dir)
+    return materialized_star(spark, sf_dir)
+
+
+def _on_metrics(report: Callable[[R.Source, ReportFilter | None], DataFrame],
                 flt: ReportFilter | None) -> Callable[[SparkSession, str], DataFrame]:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return report(star_metrics(spark, sf_dir, pushdown=flt), flt)
+        return report(source(spark, sf_dir), flt)
     return build
 
 
-def _whole(report: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def _whole(report: Callable[[R.Source], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return report(star_metrics(spark, sf_dir))
+        return report(source(spark, sf_dir))
     return build
 
 
@@ -62,18 +75,18 @@ def _flat_series(nested: DataFrame, y_fmt: Callable) -> DataFrame:
         F.size("x").cast("long").alias("points"))
 
 
-def _trend_series_flat(df: DataFrame, flt: ReportFilter | None) -> DataFrame:
-    return _flat_series(R.trend_series(df, flt),
+def _trend_series_flat(src: R.Source, flt: ReportFilter | None) -> DataFrame:
+    return _flat_series(R.trend_series(src, flt),
                         lambda v: F.call_function("format_number", v, F.lit("0.000")))
 
 
-def _region_series_flat(df: DataFrame, flt: ReportFilter | None) -> DataFrame:
-    nested = R.region_series(df, flt)
+def _region_series_flat(src: R.Source, flt: ReportFilter | None) -> DataFrame:
+    nested = R.region_series(src, flt)
     return _flat_series(nested, lambda v: v.cast("string"))
 
 
-def _kpi_display(df: DataFrame, flt: ReportFilter | None) -> DataFrame:
-    return R.kpi_display(R.kpi_summary(df, flt))
+def _kpi_display(src: R.Source, flt: ReportFilter | None) -> DataFrame:
+    return R.kpi_display(R.kpi_summary(src, flt))
 
 
 QUERIES: dict[str, Query] = {

@@ -12,7 +12,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.filters import ReportFilter, apply_filters
+from ledgerlens.operators.aggregates import kpi_row
+from ledgerlens.operators.filters import ReportFilter
+from ledgerlens.operators.snapshot import latest_date_value
 from ledgerlens.plans import reports as R
 from ledgerlens.plans.sinks import write_dataset
 from ledgerlens.schema import REGION_TITLE, TREND_TITLE
@@ -43,15 +45,14 @@ def kpi_long(kpi: DataFrame) -> DataFrame:
                   F.col("y"), None, None, None)
 
 
-def dashboard_parts(df: DataFrame, flt: ReportFilter | None) -> dict[str, DataFrame]:
-    """The five results in the common long schema, over one filtered frame."""
-    f = apply_filters(df, flt)
-    trend = R.delinquency_trend(f)
-    region = R.loan_by_region(f)
-    balance = R.portfolio_balance(f)
-    status = R.status_distribution(f)
+def dashboard_parts(rows: DataFrame, snap: DataFrame) -> dict[str, DataFrame]:
+    """The five results in the common long schema from the filtered rows and their snapshot."""
+    trend = R.trend_of(rows)
+    region = R.region_of(rows)
+    balance = R.balance_of(snap)
+    status = R.status_of(snap)
     return {
-        "kpi": kpi_long(R.kpi_summary(f)),
+        "kpi": kpi_long(kpi_row(snap)),
         "trend": _shape(trend, "trend", F.col("series_name"), F.col("series_ordinal"),
                         F.col("x"), F.col("y"), None, F.col("color"), F.lit(TREND_TITLE)),
         "region": _shape(region, "region", F.col("series_name"), F.col("series_ordinal"),
@@ -68,25 +69,29 @@ def dashboard_parts(df: DataFrame, flt: ReportFilter | None) -> dict[str, DataFr
     }
 
 
-def dashboard_long(df: DataFrame, flt: ReportFilter | None = None) -> DataFrame:
-    parts = list(dashboard_parts(df, flt).values())
+def dashboard_long(src: R.Source, flt: ReportFilter | None = None) -> DataFrame:
+    """The five reports as one tagged long table (one lazy plan per part, unioned)."""
+    parts = list(dashboard_parts(R.filtered(src, flt), R.snapshot(src, flt)).values())
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def run_dashboard(df: DataFrame, flt: ReportFilter | None, out_dir: str,
+def run_dashboard(src: R.Source, flt: ReportFilter | None, out_dir: str,
                   fmt: str = "json") -> dict[str, str]:
-    """Write the five datasets under ``out_dir``; the filtered frame is read once.
+    """Write the five datasets under ``out_dir``; the filtered rows are computed once.
 
     ``persist`` (memory and disk) only saves recomputation: a lost block is
     rebuilt from lineage, so the job survives executor loss.
     """
-    base = apply_filters(df, flt).persist(StorageLevel.MEMORY_AND_DISK)
+    base = R.filtered(src, flt).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        latest = latest_date_value(base)
+        snap = base.where(F.col("business_date") == F.lit(latest)) if latest is not None \
+            else base.where(F.lit(False))
         paths = {}
-        for name, part in dashboard_parts(base, None).items():
+        for name, part in dashboard_parts(base, snap).items():
             path = f"{out_dir.rstrip('/')}/{name}"
             write_dataset(part, path, fmt)
             paths[name] = path

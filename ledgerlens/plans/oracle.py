@@ -36,7 +36,7 @@ metrics AS (
          r.r_name AS region,
          CAST(m.loan_count AS BIGINT) AS loan_count,
          CAST(m.delinquent AS DOUBLE) / m.loan_count AS delinquency_rate,
-         CAST(m.balance AS DOUBLE) AS total_balance_usd,
+         CAST(m.balance_cents AS DOUBLE) / 100.0 AS total_balance_usd,
          CASE WHEN CAST(m.delinquent AS DOUBLE) / m.loan_count < {GREEN_BELOW} THEN 'GREEN'
               WHEN CAST(m.delinquent AS DOUBLE) / m.loan_count < {YELLOW_BELOW} THEN 'YELLOW'
               ELSE 'RED' END AS metric_status
@@ -44,7 +44,7 @@ metrics AS (
                CAST(date_trunc('month', l_shipdate) AS DATE) AS business_date,
                count(*) AS loan_count,
                count(*) FILTER (WHERE l_returnflag = 'R') AS delinquent,
-               sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS balance
+               sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS balance_cents
         FROM lineitem GROUP BY 1, 2) m
   JOIN supplier s ON m.l_suppkey = s.s_suppkey
   JOIN nation n ON s.s_nationkey = n.n_nationkey

@@ -8,6 +8,8 @@ result can be written in parallel and sorted by whoever draws it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from typing import Union
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,60 +20,76 @@ from ledgerlens.functions.text import (
     as_of_title, grouped_integer, iso_date, millions_text, percent_text, series_label,
     whole_millions_text)
 from ledgerlens.operators.aggregates import kpi_row, kpi_with_status_map, status_counts
-from ledgerlens.operators.filters import ReportFilter, apply_filters
+from ledgerlens.operators.filters import NO_FILTER, ReportFilter, apply_filters
 from ledgerlens.operators.ordinals import with_ordinal
 from ledgerlens.operators.series import nest_series, series_table
-from ledgerlens.operators.snapshot import latest_snapshot
+from ledgerlens.operators.snapshot import latest_date_value
 from ledgerlens.schema import BALANCE_TITLE_PREFIX, METRICS_COLUMNS, STATUS_TITLE_PREFIX
+from ledgerlens.sources.base import MetricsSource, as_source
 
-Report = Callable[[DataFrame, "ReportFilter | None"], DataFrame]
+Source = Union[DataFrame, MetricsSource]
+Report = Callable[[Source, "ReportFilter | None"], DataFrame]
 
 
 # --- R-1, R-2: table-level questions (no filters) ---------------------------
 
-def row_count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("rows"))
+def _whole(src: Source) -> DataFrame:
+    return as_source(src)(None)
 
 
-def load_profile(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("rows"),
+def row_count(src: Source) -> DataFrame:
+    return _whole(src).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def load_profile(src: Source) -> DataFrame:
+    return _whole(src).agg(F.count(F.lit(1)).alias("rows"),
                   F.count_distinct("servicer_number").alias("servicers"))
 
 
-def servicer_list(df: DataFrame) -> DataFrame:
+def servicer_list(src: Source) -> DataFrame:
     """Distinct (number, name) pairs with their position in (number, name) order."""
-    pairs = df.select("servicer_number", "servicer_name").distinct()
+    pairs = _whole(src).select("servicer_number", "servicer_name").distinct()
     return with_ordinal(pairs, ["servicer_number", "servicer_name"], name="ordinal")
 
 
-def servicer_count(df: DataFrame) -> DataFrame:
-    return (df.select("servicer_number", "servicer_name").distinct()
+def servicer_count(src: Source) -> DataFrame:
+    return (_whole(src).select("servicer_number", "servicer_name").distinct()
             .agg(F.count(F.lit(1)).alias("count")))
 
 
 # --- Filters and snapshot ----------------------------------------------------
 
-def filtered(df: DataFrame, flt: ReportFilter | None) -> DataFrame:
-    return apply_filters(df, flt).select(*METRICS_COLUMNS)
+def filtered(src: Source, flt: ReportFilter | None = None) -> DataFrame:
+    """The source with the report filters applied (the filter also prunes the scan)."""
+    return apply_filters(as_source(src)(flt), flt).select(*METRICS_COLUMNS)
+
 
+def snapshot(src: Source, flt: ReportFilter | None = None) -> DataFrame:
+    """Rows at the latest date of the filtered set (the date moves with the filters).
 
-def snapshot(df: DataFrame, flt: ReportFilter | None) -> DataFrame:
-    """Rows at the latest date of the filtered set (the date moves with the filters)."""
-    return latest_snapshot(apply_filters(df, flt)).select(*METRICS_COLUMNS)
+    The date is found first (one small job), then the source is read again
+    pinned to that one date, so only that date's data is scanned.
+    """
+    source = as_source(src)
+    latest = latest_date_value(apply_filters(source(flt), flt))
+    if latest is None:
+        return apply_filters(source(flt), flt).where(F.lit(False)).select(*METRICS_COLUMNS)
+    pinned = replace(flt or NO_FILTER, start_date=latest, end_date=latest)
+    return filtered(source, pinned)
 
 
 # --- R-3: KPI ------------------------------------------------------------------
 
-def kpi_summary(df: DataFrame, flt: ReportFilter | None = None,
+def kpi_summary(src: Source, flt: ReportFilter | None = None,
                 with_status_map: bool = False) -> DataFrame:
     """One row of headline numbers over the latest snapshot; zeros when empty."""
-    snap = latest_snapshot(apply_filters(df, flt))
+    snap = snapshot(src, flt)
     return kpi_with_status_map(snap) if with_status_map else kpi_row(snap)
 
 
-def kpi_status_counts(df: DataFrame, flt: ReportFilter | None = None) -> DataFrame:
+def kpi_status_counts(src: Source, flt: ReportFilter | None = None) -> DataFrame:
     """Snapshot row count per status, the fixed three always present."""
-    return status_counts(latest_snapshot(apply_filters(df, flt)))
+    return status_counts(snapshot(src, flt))
 
 
 def kpi_display(kpi: DataFrame) -> DataFrame:
@@ -87,14 +105,18 @@ def kpi_display(kpi: DataFrame) -> DataFrame:
 
 # --- R-4: delinquency trend ---------------------------------------------------
 
-def delinquency_trend(df: DataFrame, flt: ReportFilter | None = None) -> DataFrame:
+def delinquency_trend(src: Source, flt: ReportFilter | None = None) -> DataFrame:
     """One point per filtered row, one series per servicer number.
 
     Points are ordered by (business_date, unique_id); the series label takes
     the name of the first point; colour cycles through the palette by series
     ordinal.
     """
-    points = apply_filters(df, flt).where(F.col("servicer_number").isNotNull())
+    return trend_of(filtered(src, flt))
+
+
+def trend_of(rows: DataFrame) -> DataFrame:
+    points = rows.where(F.col("servicer_number").isNotNull())
     series = series_table(points, [F.col("business_date"), F.col("unique_id")])
     return points.join(series, on="servicer_number").select(
         "series_ordinal", "series_name", "servicer_number", "color",
@@ -105,29 +127,33 @@ def delinquency_trend(df: DataFrame, flt: ReportFilter | None = None) -> DataFra
     )
 
 
-def trend_series(df: DataFrame, flt: ReportFilter | None = None) -> DataFrame:
+def trend_series(src: Source, flt: ReportFilter | None = None) -> DataFrame:
     """Delinquency trend folded to one row per series with x/y arrays."""
-    return nest_series(delinquency_trend(df, flt),
+    return nest_series(delinquency_trend(src, flt),
                        ["series_ordinal", "series_name", "servicer_number", "color"],
                        ["business_date", "unique_id"], "x", "y")
 
 
-def series_palette(df: DataFrame, flt: ReportFilter | None = None) -> DataFrame:
+def series_palette(src: Source, flt: ReportFilter | None = None) -> DataFrame:
     """Series ordinal and colour of each servicer number in the filtered set."""
-    points = apply_filters(df, flt).where(F.col("servicer_number").isNotNull())
+    points = filtered(src, flt).where(F.col("servicer_number").isNotNull())
     return series_table(points, [F.col("business_date"), F.col("unique_id")]).select(
         "servicer_number", "series_ordinal", "color")
 
 
 # --- R-5: loans by region -----------------------------------------------------
 
-def loan_by_region(df: DataFrame, flt: ReportFilter | None = None) -> DataFrame:
+def loan_by_region(src: Source, flt: ReportFilter | None = None) -> DataFrame:
     """Loan counts summed over all dates per (region, number, name).
 
     Rows with a missing region, number or name are left out; one series per
     number, points ordered by region then name.
     """
-    rows = apply_filters(df, flt).where(
+    return region_of(filtered(src, flt))
+
+
+def region_of(rows: DataFrame) -> DataFrame:
+    rows = rows.where(
         F.col("region").isNotNull() & F.col("servicer_number").isNotNull()
         & F.col("servicer_name").isNotNull())
     grouped = rows.groupBy("region", "servicer_number", "servicer_name").agg(
@@ -138,21 +164,25 @@ def loan_by_region(df: DataFrame, flt: ReportFilter | None = None) -> DataFrame:
         "region", "loan_count")
 
 
-def region_series(df: DataFrame, flt: ReportFilter | None = None) -> DataFrame:
+def region_series(src: Source, flt: ReportFilter | None = None) -> DataFrame:
     """Loans by region folded to one row per series with x (region) / y arrays."""
-    return nest_series(loan_by_region(df, flt),
+    return nest_series(loan_by_region(src, flt),
                        ["series_ordinal", "series_name", "servicer_number", "color"],
                        ["region", "servicer_name"], "region", "loan_count")
 
 
 # --- R-6: portfolio balance ---------------------------------------------------
 
-def portfolio_balance(df: DataFrame, flt: ReportFilter | None = None) -> DataFrame:
+def portfolio_balance(src: Source, flt: ReportFilter | None = None) -> DataFrame:
     """Balance per (number, name) on the latest snapshot, ascending.
 
     Value in USD millions (1 dp); palette colours for the first eight bars only.
     """
-    snap = latest_snapshot(apply_filters(df, flt)).where(
+    return balance_of(snapshot(src, flt))
+
+
+def balance_of(snap: DataFrame) -> DataFrame:
+    snap = snap.where(
         F.col("servicer_number").isNotNull() & F.col("servicer_name").isNotNull())
     bars = snap.groupBy("servicer_number", "servicer_name").agg(
         F.coalesce(F.sum(cents(F.col("total_balance_usd"))), F.lit(0)).alias("balance_cents"),
@@ -172,9 +202,13 @@ def portfolio_balance(df: DataFrame, flt: ReportFilter | None = None) -> DataFra
 
 # --- R-7: status distribution ------------------------------------------------
 
-def status_distribution(df: DataFrame, flt: ReportFilter | None = None) -> DataFrame:
+def status_distribution(src: Source, flt: ReportFilter | None = None) -> DataFrame:
     """Snapshot rows per status (no zero-fill), share of total, colour, title."""
-    snap = latest_snapshot(apply_filters(df, flt)).where(F.col("metric_status").isNotNull())
+    return status_of(snapshot(src, flt))
+
+
+def status_of(snap: DataFrame) -> DataFrame:
+    snap = snap.where(F.col("metric_status").isNotNull())
     counts = snap.groupBy("metric_status").agg(
         F.count(F.lit(1)).alias("count"), F.max("business_date").alias("as_of"))
     # One row per status value: the window runs on the aggregated rows only.
@@ -189,9 +223,9 @@ def status_distribution(df: DataFrame, flt: ReportFilter | None = None) -> DataF
 
 # --- Rounding rule demonstration over the whole table ------------------------
 
-def round_rules(df: DataFrame) -> DataFrame:
+def round_rules(src: Source) -> DataFrame:
     """Each row's rate and balance rounded by R1 at the precisions reports use."""
-    return df.select(
+    return _whole(src).select(
         "unique_id",
         percent_of(F.col("delinquency_rate"), 1).alias("rate_pct_1"),
         percent_of(F.col("delinquency_rate"), 2).alias("rate_pct_2"),
