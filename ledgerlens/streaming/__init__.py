@@ -1 +1,5 @@
 """Continuous loading of metric files into the partitioned table."""
+
+from ledgerlens.streaming.ingest import start_ingest
+
+__all__ = ["start_ingest"]

@@ -151,3 +151,33 @@ def test_record_and_trace_sinks(spark, sample, scratch):
     assert spark.read.parquet(out).count() == 8
     with pytest.raises(ValueError):
         write_dataset(sample, out, "xml")
+
+
+def test_snapshot_pins_scan_to_one_month(spark):
+    from ledgerlens.sources.star import StarSource
+    snap = R.snapshot(StarSource(spark, SMOKE), ReportFilter(end_date="2001-10-31"))
+    text = plan_text(snap)
+    assert "GreaterThanOrEqual(l_shipdate,2001-10-01T00:00)" in text
+    assert "LessThan(l_shipdate,2001-11-01T00:00)" in text
+    assert {r["business_date"].isoformat() for r in snap.collect()} == {"2001-10-01"}
+
+
+def test_snapshot_prunes_partitions(spark, sample, scratch):
+    from ledgerlens.sources.base import ParquetSource
+    path = os.path.join(scratch, "snap_parquet")
+    write_metrics_parquet(sample, path)
+    snap = R.snapshot(ParquetSource(spark, path), None)
+    text = plan_text(snap)
+    assert "(business_date#" in text and ">= 2026-04-03" in text and "<= 2026-04-03" in text
+    assert snap.count() == 8
+
+
+def test_materialized_source_builds_once(spark):
+    from ledgerlens.sources.star import materialized_star
+    src = materialized_star(spark, SMOKE)
+    first = src.table()
+    stamp = os.path.getmtime(src.path)
+    again = materialized_star(spark, SMOKE).table()
+    assert os.path.getmtime(src.path) == stamp
+    assert first.count() == again.count() == 826
+    assert "PartitionFilters" in plan_text(R.filtered(src, ReportFilter(start_date="2001-01-01")))
