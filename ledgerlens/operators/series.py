@@ -37,20 +37,32 @@ def series_table(points: DataFrame, first_name_order: Sequence[Column]) -> DataF
     )
 
 
+MAX_TRACE_POINTS = 10_000
+
+
 def nest_series(long_df: DataFrame, series_cols: Sequence[str],
-                order_cols: Sequence[str], x: str, y: str) -> DataFrame:
-    """Fold long-form points into one row per series with parallel arrays x, y.
+                order_cols: Sequence[str], x: str, y: str,
+                max_points: int = MAX_TRACE_POINTS) -> DataFrame:
+    """Fold long-form points into series parts with parallel arrays x, y.
 
-    Points are ordered by ``order_cols`` (NULLs last).  Each row holds one
-    series, so its arrays are as long as that series has points.
+    Points are ordered by ``order_cols`` (NULLs last) within each series.  A
+    global ordinal over (series, point order) gives each point its position in
+    its series, and points are folded in parts of at most ``max_points``, so no
+    group grows with the data and a heavy series is spread over many tasks.
+    Output: ``series_cols``, ``part`` (0-based), ``first_point`` (position of
+    the part's first point), ``x``, ``y``.
     """
-    point = F.struct(
-        *[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")).alias(f"k{i}")
-          for i, c in enumerate(order_cols)],
-        F.col(x).alias("x"), F.col(y).alias("y"))
-    nested = long_df.groupBy(*series_cols).agg(F.array_sort(F.collect_list(point)).alias("_pts"))
+    ranked = with_ordinal(long_df, [*series_cols, *order_cols], name="_pt")
+    starts = ranked.groupBy(*series_cols).agg(F.min("_pt").alias("_start"))
+    positioned = (ranked.join(starts, on=list(series_cols), how="inner")
+                  .withColumn("_pos", F.col("_pt") - F.col("_start"))
+                  .withColumn("part", F.floor(F.col("_pos") / F.lit(max_points)).cast("long")))
+    point = F.struct(F.col("_pos").alias("pos"), F.col(x).alias("x"), F.col(y).alias("y"))
+    nested = positioned.groupBy(*series_cols, "part").agg(
+        F.array_sort(F.collect_list(point)).alias("_pts"))
     return nested.select(
-        *series_cols,
+        *series_cols, "part",
+        (F.col("part") * F.lit(max_points)).alias("first_point"),
         F.transform("_pts", lambda p: p["x"]).alias("x"),
         F.transform("_pts", lambda p: p["y"]).alias("y"),
     )

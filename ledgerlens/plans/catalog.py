@@ -69,7 +69,7 @@ def _whole(report: Callable[[R.Source], DataFrame]) -> Callable[[SparkSession, s
 def _flat_series(nested: DataFrame, y_fmt: Callable) -> DataFrame:
     """Nested arrays as joined strings, for a flat comparison."""
     return nested.select(
-        "series_ordinal", "series_name", "servicer_number", "color",
+        "series_ordinal", "series_name", "servicer_number", "color", "part", "first_point",
         F.array_join(F.col("x"), ",", "").alias("x_values"),
         F.array_join(F.transform("y", y_fmt), ",", "").alias("y_values"),
         F.size("x").cast("long").alias("points"))

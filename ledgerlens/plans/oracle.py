@@ -8,6 +8,7 @@ Spark plans; nothing here runs on Spark.
 from __future__ import annotations
 
 from ledgerlens.operators.filters import ReportFilter
+from ledgerlens.operators.series import MAX_TRACE_POINTS
 from ledgerlens.schema import (
     BALANCE_TITLE_PREFIX, DEFAULT_STATUS_COLOUR, LABEL_SEPARATOR, PALETTE, REGION_TITLE,
     STATUS_COLOURS, STATUS_DOMAIN, STATUS_TITLE_PREFIX, TITLE_SUFFIX, TREND_TITLE)
@@ -185,16 +186,26 @@ SELECT series_ordinal, series_name, p.servicer_number, color, business_date,
 FROM pts p JOIN ser2 USING (servicer_number)""")
 
 
-def trend_series(flt: ReportFilter | None) -> str:
-    return _cte(flt, f"pts AS {TREND_POINTS}" + _series_ctes("pts", TREND_ORDER), f"""
+def _parts(points: str, order: str, x: str, y: str) -> str:
+    """Series folded in parts of MAX_TRACE_POINTS points, strings joined in order."""
+    n = MAX_TRACE_POINTS
+    return f"""
 SELECT series_ordinal, series_name, servicer_number, color,
-       string_agg(coalesce(x, ''), ',' ORDER BY {TREND_ORDER}) AS x_values,
-       string_agg(coalesce(format('{{:.3f}}', y), ''), ',' ORDER BY {TREND_ORDER}) AS y_values,
+       CAST(pos // {n} AS BIGINT) AS part, CAST((pos // {n}) * {n} AS BIGINT) AS first_point,
+       string_agg(coalesce({x}, ''), ',' ORDER BY pos) AS x_values,
+       string_agg(coalesce({y}, ''), ',' ORDER BY pos) AS y_values,
        CAST(count(*) AS BIGINT) AS points
-FROM (SELECT series_ordinal, series_name, p.servicer_number, color, business_date, unique_id,
-             {iso("business_date")} AS x, {r1("delinquency_rate * 100", 3)} AS y
-      FROM pts p JOIN ser2 USING (servicer_number))
-GROUP BY series_ordinal, series_name, servicer_number, color""")
+FROM (SELECT *, row_number() OVER (PARTITION BY servicer_number ORDER BY {order}) - 1 AS pos
+      FROM {points})
+GROUP BY series_ordinal, series_name, servicer_number, color, pos // {n}"""
+
+
+def trend_series(flt: ReportFilter | None) -> str:
+    pts = f"""(SELECT series_ordinal, series_name, p.servicer_number, color, business_date,
+              unique_id, {iso("business_date")} AS x, {r1("delinquency_rate * 100", 3)} AS y
+       FROM pts p JOIN ser2 USING (servicer_number))"""
+    return _cte(flt, f"pts AS {TREND_POINTS}" + _series_ctes("pts", TREND_ORDER),
+                _parts(pts, TREND_ORDER, "x", "format('{:.3f}', y)"))
 
 
 def series_palette(flt: ReportFilter | None) -> str:
@@ -218,13 +229,9 @@ FROM g JOIN ser2 USING (servicer_number)""")
 
 
 def region_series(flt: ReportFilter | None) -> str:
-    return _cte(flt, REGION_GROUPS + _series_ctes("g", REGION_ORDER), f"""
-SELECT series_ordinal, series_name, servicer_number, color,
-       string_agg(region, ',' ORDER BY {REGION_ORDER}) AS x_values,
-       string_agg(CAST(loan_count AS VARCHAR), ',' ORDER BY {REGION_ORDER}) AS y_values,
-       CAST(count(*) AS BIGINT) AS points
-FROM g JOIN ser2 USING (servicer_number)
-GROUP BY series_ordinal, series_name, servicer_number, color""")
+    pts = "(SELECT * FROM g JOIN ser2 USING (servicer_number))"
+    return _cte(flt, REGION_GROUPS + _series_ctes("g", REGION_ORDER),
+                _parts(pts, REGION_ORDER, "region", "CAST(loan_count AS VARCHAR)"))
 
 
 def _balance_body() -> str:

@@ -22,7 +22,7 @@ from ledgerlens.functions.text import (
 from ledgerlens.operators.aggregates import kpi_row, kpi_with_status_map, status_counts
 from ledgerlens.operators.filters import NO_FILTER, ReportFilter, apply_filters
 from ledgerlens.operators.ordinals import with_ordinal
-from ledgerlens.operators.series import nest_series, series_table
+from ledgerlens.operators.series import MAX_TRACE_POINTS, nest_series, series_table
 from ledgerlens.operators.snapshot import latest_date_value
 from ledgerlens.schema import BALANCE_TITLE_PREFIX, METRICS_COLUMNS, STATUS_TITLE_PREFIX
 from ledgerlens.sources.base import MetricsSource, as_source
@@ -127,11 +127,12 @@ def trend_of(rows: DataFrame) -> DataFrame:
     )
 
 
-def trend_series(src: Source, flt: ReportFilter | None = None) -> DataFrame:
-    """Delinquency trend folded to one row per series with x/y arrays."""
+def trend_series(src: Source, flt: ReportFilter | None = None,
+                 max_points: int = MAX_TRACE_POINTS) -> DataFrame:
+    """Delinquency trend folded to series parts with x/y arrays."""
     return nest_series(delinquency_trend(src, flt),
                        ["series_ordinal", "series_name", "servicer_number", "color"],
-                       ["business_date", "unique_id"], "x", "y")
+                       ["business_date", "unique_id"], "x", "y", max_points)
 
 
 def series_palette(src: Source, flt: ReportFilter | None = None) -> DataFrame:
@@ -164,11 +165,12 @@ def region_of(rows: DataFrame) -> DataFrame:
         "region", "loan_count")
 
 
-def region_series(src: Source, flt: ReportFilter | None = None) -> DataFrame:
-    """Loans by region folded to one row per series with x (region) / y arrays."""
+def region_series(src: Source, flt: ReportFilter | None = None,
+                  max_points: int = MAX_TRACE_POINTS) -> DataFrame:
+    """Loans by region folded to series parts with x (region) / y arrays."""
     return nest_series(loan_by_region(src, flt),
                        ["series_ordinal", "series_name", "servicer_number", "color"],
-                       ["region", "servicer_name"], "region", "loan_count")
+                       ["region", "servicer_name"], "region", "loan_count", max_points)
 
 
 # --- R-6: portfolio balance ---------------------------------------------------

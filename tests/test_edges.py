@@ -171,3 +171,15 @@ def test_exact_mean(spark):
     rows = [row(i, f"S{i}", "N", D3, rate=r) for i, r in enumerate([0.1, 0.2, 0.3, 0.4, 0.475])]
     k = R.kpi_summary(frame(spark, rows)).collect()[0]
     assert k["avg_delinquency_rate"] == 29.5
+
+
+def test_hot_series_is_split(spark):
+    # one servicer holding most rows: its trace is folded in bounded parts
+    from datetime import timedelta
+    rows = [row(i, "HOT", "Hot", D1 + timedelta(days=i), rate=(i % 100) / 1000)
+            for i in range(2500)]
+    rows += [row(10_000 + i, f"C{i}", "Cold", D1) for i in range(5)]
+    parts = R.trend_series(frame(spark, rows), max_points=300).where("servicer_number = 'HOT'")
+    got = sorted((r["part"], r["first_point"], len(r["x"]), r["x"][0]) for r in parts.collect())
+    assert len(got) == 9 and [g[2] for g in got] == [300] * 8 + [100]
+    assert got[1][3] == (D1 + timedelta(days=300)).isoformat()

@@ -55,7 +55,7 @@ def test_delinquency_trend(sample):
 
 def test_trend_series_nested(sample):
     rows = R.trend_series(sample).orderBy("series_ordinal").collect()
-    assert len(rows) == 8
+    assert len(rows) == 8 and {r["part"] for r in rows} == {0}
     assert rows[0]["x"] == ["2026-04-01", "2026-04-02", "2026-04-03"]
     assert rows[4]["y"] == [5.2, 5.4, 5.5]
     assert rows[7]["color"] == "#60a5fa"
@@ -110,3 +110,10 @@ def test_kpi_display(sample):
     d2 = R.kpi_display(R.kpi_summary(sample, ReportFilter(servicer_number="SVC-002"))).collect()[0]
     assert d2["avg_delinquency_text"] == "4.5%"
     assert d2["total_balance_text"] == "$122M"
+
+
+def test_trend_series_parts(sample):
+    rows = R.trend_series(sample, max_points=2).orderBy("series_ordinal", "part").collect()
+    first = [r for r in rows if r["servicer_number"] == "SVC-001"]
+    assert [(r["part"], r["first_point"], r["x"]) for r in first] == [
+        (0, 0, ["2026-04-01", "2026-04-02"]), (1, 2, ["2026-04-03"])]
