@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.operators.filters import ReportFilter
@@ -23,6 +25,7 @@ from ledgerlens.session import ensure_checkpoint_dir
 from ledgerlens.sources.files import read_metrics_parquet, write_metrics_parquet
 
 _BUILT: dict[str, str] = {}
+_LOCK = threading.Lock()
 
 
 def input_signature(paths: Iterable[str]) -> str:
@@ -45,14 +48,28 @@ class MaterializedSource:
 
     @property
     def path(self) -> str:
-        root = ensure_checkpoint_dir(self.spark).rstrip("/")
+        # A configured (shared) root is stable across applications, so a table
+        # built by one run is reused by the next; otherwise the session's own
+        # checkpoint folder is used.
+        root = (self.spark.conf.get("spark.checkpoint.dir", None)
+                or ensure_checkpoint_dir(self.spark)).rstrip("/")
         return f"{root}/ledgerlens-tables/{self.key}"
 
+    def _complete(self, path: str) -> bool:
+        """True when a finished write (its ``_SUCCESS`` marker) is at ``path``."""
+        try:
+            self.spark.read.text(f"{path}/_SUCCESS").limit(1).collect()
+            return True
+        except AnalysisException:
+            return False
+
     def table(self) -> DataFrame:
         path = self.path
-        if _BUILT.get(path) != self.key:
-            write_metrics_parquet(self.build(), path)
-            _BUILT[path] = self.key
+        with _LOCK:
+            if _BUILT.get(path) != self.key:
+                if not self._complete(path):
+                    write_metrics_parquet(self.build(), path)
+                _BUILT[path] = self.key
         return read_metrics_parquet(self.spark, path)
 
     def __call__(self, pushdown: ReportFilter | None = None) -> DataFrame:
