@@ -36,10 +36,13 @@ def with_ordinal(df: DataFrame, order: Sequence[str | Column], name: str = "ordi
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = _sort_order(order)
+    # Without an explicit count AQE may merge neighbouring (small) ranges; the
+    # partition count, and so the offsets table, stays <= shuffle partitions.
+    ranged = (df.repartitionByRange(partitions, *sort_cols) if partitions
+              else df.repartitionByRange(*sort_cols))
     tagged = (
-        df.repartitionByRange(n, *sort_cols)
+        ranged
         .sortWithinPartitions(*sort_cols)
         .withColumn("_ord_id", F.monotonically_increasing_id())
         .checkpoint(eager=True)
@@ -48,7 +51,7 @@ def with_ordinal(df: DataFrame, order: Sequence[str | Column], name: str = "ordi
     position = F.col("_ord_id").bitwiseAND(F.lit((1 << _ID_BITS) - 1))
     counts = tagged.groupBy(part.alias("_ord_part")).agg(F.count(F.lit(1)).alias("_ord_n"))
     before = Window.orderBy("_ord_part").rowsBetween(Window.unboundedPreceding, -1)
-    # At most ``n`` rows: a bound fixed by the partition count, safe to broadcast.
+    # One row per range partition: a bound fixed by configuration, safe to broadcast.
     offsets = counts.select(
         "_ord_part",
         F.coalesce(F.sum("_ord_n").over(before), F.lit(0)).cast("long").alias("_ord_off"))

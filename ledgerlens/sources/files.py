@@ -47,12 +47,14 @@ def write_metrics_parquet(df: DataFrame, path: str, mode: str = "overwrite",
                           max_records_per_file: int = 5_000_000) -> None:
     """Write the metrics table partitioned by ``business_date``.
 
-    Range partitioning on (date, number) keeps each task to a few dates while
-    splitting a heavy date over several tasks; files are capped in rows.
+    Range partitioning on (date, number, id) keeps each task to a few dates
+    while splitting a heavy date over several tasks; AQE sizes the ranges from
+    the shuffle statistics unless ``partitions`` is given; files are capped in rows.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.select(*METRICS_COLUMNS)
-     .repartitionByRange(n, "business_date", "servicer_number", "unique_id")
+    keys = ["business_date", "servicer_number", "unique_id"]
+    rows = df.select(*METRICS_COLUMNS)
+    # No explicit count: AQE sizes the ranges from the shuffle statistics.
+    ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
+    (ranged
      .write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
      .partitionBy("business_date").parquet(path))
