@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlens.functions.rounding import cents, mean_percent, millions, rate_units
 from ledgerlens.functions.text import iso_date
@@ -12,10 +11,10 @@ from ledgerlens.schema import STATUS_DOMAIN
 
 
 def _domain_zeros(spark: SparkSession) -> DataFrame:
-    """The fixed status domain with zero counts (three literal rows)."""
-    schema = T.StructType([T.StructField("metric_status", T.StringType(), False),
-                           T.StructField("count", T.LongType(), False)])
-    return spark.createDataFrame([(s, 0) for s in STATUS_DOMAIN], schema)
+    """The fixed status domain with zero counts (three literal rows, JVM-side)."""
+    rows = F.array(*[F.struct(F.lit(s).alias("metric_status"),
+                              F.lit(0).cast("long").alias("count")) for s in STATUS_DOMAIN])
+    return spark.range(1).select(F.inline(rows))
 
 
 def status_counts(snapshot: DataFrame, zero_fill: bool = True) -> DataFrame:

@@ -30,7 +30,13 @@ def write_traces(nested: DataFrame, path: str, chart_type: str, title: str) -> N
     trace_records(nested, chart_type, title).write.mode("overwrite").text(path)
 
 
-def to_records(df: DataFrame, limit: int | None = None) -> list[dict]:
-    """Small results to Python records (driver side); for reports whose size is bounded."""
-    rows = df.limit(limit).collect() if limit is not None else df.collect()
+def to_records(df: DataFrame, max_rows: int) -> list[dict]:
+    """A result as Python records on the driver, only when it has at most ``max_rows`` rows.
+
+    At most ``max_rows + 1`` rows are fetched; a larger result raises instead
+    of being cut short (write it with :func:`write_dataset`).
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"result has more than {max_rows} rows; write it as a dataset")
     return [r.asDict(recursive=True) for r in rows]

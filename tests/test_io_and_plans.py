@@ -139,9 +139,11 @@ def test_dashboard_long_and_run(spark, sample, scratch):
 
 
 def test_record_and_trace_sinks(spark, sample, scratch):
-    recs = to_records(R.servicer_list(sample).orderBy("ordinal"))
+    recs = to_records(R.servicer_list(sample).orderBy("ordinal"), max_rows=100)
     assert recs[0] == {"servicer_number": "SVC-001", "servicer_name": "Apex Mortgage Services",
                        "ordinal": 0}
+    with pytest.raises(ValueError):
+        to_records(sample, max_rows=10)
     traces = [json.loads(r["value"]) for r in trace_records(
         R.trend_series(sample), "line", "Delinquency Rate Trend (%)").collect()]
     t = [x for x in traces if x["trace"]["servicer_number"] == "SVC-002"][0]
