@@ -18,7 +18,10 @@ from contextlib import redirect_stdout
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as entry  # noqa: E402
+from ledgerlens.operators.filters import ReportFilter  # noqa: E402
+from ledgerlens.plans import reports as R  # noqa: E402
 from ledgerlens.session import local_session  # noqa: E402
+from ledgerlens.sources.star import StarSource, star_metrics  # noqa: E402
 
 NODE = re.compile(r"^\((\d+)\) (.+?)(?: \[codegen id : \d+\])?$")
 
@@ -44,6 +47,8 @@ def summarise(text: str) -> dict:
             exchanges[kind] += 1
         elif "Join" in node:
             joins[node.split(" ")[0] + " " + " ".join(node.split(" ")[1:2])] += 1
+        elif node.startswith("HashAggregate"):
+            other["hash aggregates"] += 1
         elif node.startswith("Window"):
             windows += 1
         elif node.startswith("Scan ExistingRDD"):
@@ -63,7 +68,15 @@ def main() -> None:
              "plans), default source: the materialized metrics table partitioned by "
              "`business_date`. Plan-time jobs (snapshot date, ordinal checkpoints) are not "
              "listed; their inputs appear as checkpointed RDD scans.", ""]
-    for name, build in entry.queries().items():
+    star = StarSource(spark, sf_dir)
+    pinned = ReportFilter(servicer_number="SVC-00007", end_date="2001-10-31")
+    extra = {
+        "(build) star adapter: lineitem -> metrics table": lambda s, d: star_metrics(s, d),
+        "(star source) filter_all": lambda s, d: R.filtered(star, ReportFilter(
+            servicer_number="SVC-00012", start_date="1996-01-01", end_date="1997-12-31")),
+        "(star source) kpi, number + end date": lambda s, d: R.kpi_summary(star, pinned),
+    }
+    for name, build in [*extra.items(), *entry.queries().items()]:
         df = build(spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         buf = io.StringIO()
