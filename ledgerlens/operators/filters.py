@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, replace
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -89,6 +89,15 @@ class ReportFilter:
 NO_FILTER = ReportFilter()
 
 
+def name_condition(name: Column, flt: ReportFilter) -> Column:
+    """The name filter on a name column: substring (or regex) of the lower-cased
+    name; a missing name never matches."""
+    lowered = F.lower(name)
+    cond = (lowered.rlike(flt.name_pattern) if flt.name_regex
+            else lowered.contains(F.lit(flt.name_pattern)))
+    return F.coalesce(cond, F.lit(False))
+
+
 def apply_filters(df: DataFrame, flt: ReportFilter | None) -> DataFrame:
     """Apply the filters in the fixed order; Catalyst merges them into one."""
     if flt is None:
@@ -96,11 +105,7 @@ def apply_filters(df: DataFrame, flt: ReportFilter | None) -> DataFrame:
     if flt.servicer_number:
         df = df.where(F.col("servicer_number") == F.lit(flt.servicer_number))
     if flt.servicer_name:
-        lowered = F.lower(F.col("servicer_name"))
-        cond = (lowered.rlike(flt.name_pattern) if flt.name_regex
-                else lowered.contains(F.lit(flt.name_pattern)))
-        # A missing name never matches.
-        df = df.where(F.coalesce(cond, F.lit(False)))
+        df = df.where(name_condition(F.col("servicer_name"), flt))
     if flt.start is not None:
         df = df.where(F.col("business_date") >= F.lit(flt.start))
     if flt.end is not None:

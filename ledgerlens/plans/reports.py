@@ -1,5 +1,7 @@
-"""The reports: each is ``(metrics DataFrame, ReportFilter) -> DataFrame``.
+"""The reports: each is ``(source, ReportFilter) -> DataFrame``.
 
+A source is a metrics DataFrame or a ``ReportFilter -> DataFrame`` callable
+that can use the filter to prune its scan (see ``ledgerlens.sources.base``).
 Long form (one row per point, bar or slice) is the primary result; ordering
 that matters to a chart is carried as columns (ordinals, sort keys), so a
 result can be written in parallel and sorted by whoever draws it.
@@ -43,7 +45,7 @@ def row_count(src: Source) -> DataFrame:
 
 def load_profile(src: Source) -> DataFrame:
     return _whole(src).agg(F.count(F.lit(1)).alias("rows"),
-                  F.count_distinct("servicer_number").alias("servicers"))
+                           F.count_distinct("servicer_number").alias("servicers"))
 
 
 def servicer_list(src: Source) -> DataFrame:

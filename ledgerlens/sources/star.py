@@ -22,7 +22,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.filters import ReportFilter
+from ledgerlens.operators.filters import ReportFilter, name_condition
 
 # Fixed mapping choices of the adapter.
 NUMBER_FORMAT = "SVC-%05d"
@@ -80,17 +80,24 @@ def shipdate_bounds(flt: ReportFilter | None) -> list[Column]:
 _DIMENSION_ROWS: dict[tuple[str, str], int] = {}
 
 
-def _dimension(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> DataFrame:
-    """Broadcast hint only for a dimension whose row count is checked to be small.
+def _small(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    """Whether a dimension's whole-table row count is under the broadcast bound.
 
-    The count of the whole table is taken once per session and path; above the
-    bound no hint is given and the planner picks the join (sort-merge, or an
-    AQE runtime broadcast when the filtered side turns out small).
+    Counted once per session and path (an unfiltered Parquet count reads footers).
     """
     key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}")
     if key not in _DIMENSION_ROWS:
         _DIMENSION_ROWS[key] = table(spark, sf_dir, name).count()
-    return F.broadcast(df) if _DIMENSION_ROWS[key] <= DIMENSION_BROADCAST_MAX_ROWS else df
+    return _DIMENSION_ROWS[key] <= DIMENSION_BROADCAST_MAX_ROWS
+
+
+def _dimension(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> DataFrame:
+    """Broadcast hint only for a dimension whose row count is checked to be small.
+
+    Above the bound no hint is given and the planner picks the join
+    (sort-merge, or an AQE runtime broadcast when the filtered side is small).
+    """
+    return F.broadcast(df) if _small(spark, sf_dir, name) else df
 
 
 class StarSource:
@@ -130,6 +137,14 @@ def star_metrics(spark: SparkSession, sf_dir: str,
             lines = lines.where(F.col("l_suppkey") == F.lit(key))
             supplier = supplier.where(F.col("s_suppkey") == F.lit(key))
 
+    if pushdown is not None and pushdown.servicer_name and _small(spark, sf_dir, "supplier"):
+        # Name filter: keep only the matching suppliers' lines before aggregating
+        # (a broadcast semi-join; skipped when the supplier table is too large to
+        # broadcast, where the filter then applies after aggregation).
+        matching = supplier.where(name_condition(F.col("s_name"), pushdown)).select("s_suppkey")
+        lines = lines.join(F.broadcast(matching), lines.l_suppkey == matching.s_suppkey,
+                           "left_semi")
+
     monthly = (
         lines.groupBy(
             F.col("l_suppkey"),

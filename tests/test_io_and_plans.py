@@ -184,3 +184,14 @@ def test_materialized_source_builds_once(spark):
     assert os.path.getmtime(local) == stamp
     assert first.count() == again.count() == 826
     assert "PartitionFilters" in plan_text(R.filtered(src, ReportFilter(start_date="2001-01-01")))
+
+
+def test_star_name_filter_semi_joins_before_aggregation(spark):
+    flt = ReportFilter(servicer_name="000000005")  # sf0.001 holds suppliers 0..9
+    df = R.filtered(star_metrics(spark, SMOKE, pushdown=flt), flt)
+    text = plan_text(df)
+    assert "BroadcastHashJoin LeftSemi" in text
+    semi = text.index("BroadcastHashJoin LeftSemi")
+    assert text.rfind("HashAggregate", 0, semi) != -1  # aggregation sits above the semi-join
+    names = {r["servicer_name"] for r in df.collect()}
+    assert names == {"Supplier#000000005"}
