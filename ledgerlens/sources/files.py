@@ -58,3 +58,14 @@ def write_metrics_parquet(df: DataFrame, path: str, mode: str = "overwrite",
     (ranged
      .write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
      .partitionBy("business_date").parquet(path))
+
+
+def write_metrics_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write the metrics table as CSV with a header row (dates as yyyy-MM-dd).
+
+    Doubles are written in a form that parses back to the same value.
+    """
+    (df.select(*METRICS_COLUMNS)
+     .repartitionByRange("business_date", "servicer_number", "unique_id")
+     .write.mode(mode).option("header", True).option("dateFormat", "yyyy-MM-dd")
+     .csv(path))

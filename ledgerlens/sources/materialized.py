@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.operators.filters import ReportFilter
 from ledgerlens.session import ensure_checkpoint_dir
-from ledgerlens.sources.files import read_metrics_parquet, write_metrics_parquet
+from ledgerlens.sources.files import (
+    read_metrics_csv, read_metrics_parquet, write_metrics_csv, write_metrics_parquet)
 
 _BUILT: dict[str, str] = {}
 _LOCK = threading.Lock()
@@ -43,8 +44,11 @@ def input_signature(paths: Iterable[str]) -> str:
 class MaterializedSource:
     """A metrics source built by ``build()`` on first use and read back after."""
 
-    def __init__(self, spark: SparkSession, key: str, build: Callable[[], DataFrame]):
-        self.spark, self.key, self.build = spark, key, build
+    def __init__(self, spark: SparkSession, key: str, build: Callable[[], DataFrame],
+                 fmt: str = "parquet"):
+        if fmt not in ("parquet", "csv"):
+            raise ValueError(f"unsupported format {fmt!r}")
+        self.spark, self.key, self.build, self.fmt = spark, key, build, fmt
 
     @property
     def path(self) -> str:
@@ -53,7 +57,7 @@ class MaterializedSource:
         # checkpoint folder is used.
         root = (self.spark.conf.get("spark.checkpoint.dir", None)
                 or ensure_checkpoint_dir(self.spark)).rstrip("/")
-        return f"{root}/ledgerlens-tables/{self.key}"
+        return f"{root}/ledgerlens-tables/{self.key}-{self.fmt}"
 
     def _complete(self, path: str) -> bool:
         """True when a finished write (its ``_SUCCESS`` marker) is at ``path``."""
@@ -68,8 +72,11 @@ class MaterializedSource:
         with _LOCK:
             if _BUILT.get(path) != self.key:
                 if not self._complete(path):
-                    write_metrics_parquet(self.build(), path)
+                    write = write_metrics_parquet if self.fmt == "parquet" else write_metrics_csv
+                    write(self.build(), path)
                 _BUILT[path] = self.key
+        if self.fmt == "csv":
+            return read_metrics_csv(self.spark, path)
         return read_metrics_parquet(self.spark, path)
 
     def __call__(self, pushdown: ReportFilter | None = None) -> DataFrame:

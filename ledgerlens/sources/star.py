@@ -113,12 +113,15 @@ class StarSource:
 STAR_TABLES = ["lineitem", "supplier", "nation", "region"]
 
 
-def materialized_star(spark: SparkSession, sf_dir: str):
-    """The adapter's table, written once per input signature and reused."""
+def materialized_star(spark: SparkSession, sf_dir: str, fmt: str = "parquet"):
+    """The adapter's table, written once per input signature and reused.
+
+    ``fmt="csv"`` writes a CSV copy instead, read back with the declared schema.
+    """
     from ledgerlens.sources.materialized import MaterializedSource, input_signature
 
     sig = input_signature(f"{sf_dir.rstrip('/')}/{t}.parquet" for t in STAR_TABLES)
-    return MaterializedSource(spark, f"star-{sig}", lambda: star_metrics(spark, sf_dir))
+    return MaterializedSource(spark, f"star-{sig}", lambda: star_metrics(spark, sf_dir), fmt)
 
 
 def star_metrics(spark: SparkSession, sf_dir: str,
