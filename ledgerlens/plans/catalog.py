@@ -85,6 +85,11 @@ def _region_series_flat(src: R.Source, flt: ReportFilter | None) -> DataFrame:
     return _flat_series(nested, lambda v: v.cast("string"))
 
 
+def _kpi_status_map(src: R.Source, flt: ReportFilter | None) -> DataFrame:
+    k = R.kpi_summary(src, flt, with_status_map=True)
+    return k.withColumn("status_counts_json", F.to_json("status_counts")).drop("status_counts")
+
+
 def _kpi_display(src: R.Source, flt: ReportFilter | None) -> DataFrame:
     return R.kpi_display(R.kpi_summary(src, flt))
 
@@ -119,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "kpi_filtered": Query(_on_metrics(R.kpi_summary, F_FULL), O.kpi_summary(F_FULL)),
     "kpi_empty": Query(_on_metrics(R.kpi_summary, F_EMPTY), O.kpi_summary(F_EMPTY)),
     "kpi_display": Query(_on_metrics(_kpi_display, F_FULL), O.kpi_display(F_FULL)),
+    "kpi_status_map": Query(_on_metrics(_kpi_status_map, F_FULL), O.kpi_status_map(F_FULL)),
     # A9 A10
     "status_counts": Query(_on_metrics(R.kpi_status_counts, F_FULL), O.status_counts(F_FULL)),
     # R-4, A15 A16 S8, W1 P12 X8

@@ -144,6 +144,22 @@ SELECT format('{:,}', total_loans) AS total_loans_text,
 FROM k""")
 
 
+def kpi_status_map(flt: ReportFilter | None) -> str:
+    domain = ", ".join(f"({q(st)}, 0)" for st in STATUS_DOMAIN)
+    return _cte(flt, f"""k AS ({KPI_BODY}),
+sc AS (
+  SELECT metric_status, CAST(sum(count) AS BIGINT) AS count FROM (
+    SELECT metric_status, count(*) AS count FROM snap
+    WHERE metric_status IS NOT NULL GROUP BY metric_status
+    UNION ALL
+    SELECT * FROM (VALUES {domain}) v(metric_status, count)
+  ) GROUP BY metric_status)""", """
+SELECT k.*, CAST(to_json((SELECT map_from_entries(list({'k': metric_status, 'v': count}
+                                                  ORDER BY metric_status)) FROM sc))
+                 AS VARCHAR) AS status_counts_json
+FROM k""")
+
+
 def status_counts(flt: ReportFilter | None) -> str:
     domain = ", ".join(f"({q(s)}, 0)" for s in STATUS_DOMAIN)
     return with_base(flt, f"""
