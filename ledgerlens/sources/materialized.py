@@ -29,15 +29,28 @@ _BUILT: dict[str, str] = {}
 _LOCK = threading.Lock()
 
 
-def input_signature(paths: Iterable[str]) -> str:
-    """Digest of the input files' paths, sizes and modification times."""
+def input_signature(paths: Iterable[str], spark: SparkSession | None = None) -> str:
+    """Digest identifying the current contents of the input tables.
+
+    A local path contributes its files' sizes and modification times; any
+    other path (shared or object storage) contributes the data-file listing
+    Spark reports for it (writers give part files unique names, so a rewrite
+    changes the listing).
+    """
     h = hashlib.sha256()
     for p in sorted(paths):
-        try:
-            st = os.stat(p)
-            h.update(f"{p}|{st.st_size}|{st.st_mtime_ns}".encode())
-        except OSError:
-            h.update(f"{p}|?".encode())
+        local = p.removeprefix("file:")
+        if os.path.exists(local):
+            entries = ([os.path.join(d, f) for d, _, fs in os.walk(local) for f in fs]
+                       if os.path.isdir(local) else [local])
+            for e in sorted(entries):
+                st = os.stat(e)
+                h.update(f"{e}|{st.st_size}|{st.st_mtime_ns}".encode())
+        elif spark is not None:
+            for f in sorted(spark.read.parquet(p).inputFiles()):
+                h.update(f.encode())
+        else:
+            raise ValueError(f"cannot sign {p!r} without a session")
     return h.hexdigest()[:16]
 
 

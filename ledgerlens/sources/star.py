@@ -120,7 +120,7 @@ def materialized_star(spark: SparkSession, sf_dir: str, fmt: str = "parquet"):
     """
     from ledgerlens.sources.materialized import MaterializedSource, input_signature
 
-    sig = input_signature(f"{sf_dir.rstrip('/')}/{t}.parquet" for t in STAR_TABLES)
+    sig = input_signature((f"{sf_dir.rstrip('/')}/{t}.parquet" for t in STAR_TABLES), spark)
     return MaterializedSource(spark, f"star-{sig}", lambda: star_metrics(spark, sf_dir), fmt)
 
 

@@ -195,3 +195,14 @@ def test_star_name_filter_semi_joins_before_aggregation(spark):
     assert text.rfind("HashAggregate", 0, semi) != -1  # aggregation sits above the semi-join
     names = {r["servicer_name"] for r in df.collect()}
     assert names == {"Supplier#000000005"}
+
+
+def test_input_signature(spark, scratch):
+    from ledgerlens.sources.materialized import input_signature
+    path = os.path.join(scratch, "sig.parquet")
+    spark.range(3).write.mode("overwrite").parquet(path)
+    first = input_signature([path], spark)
+    assert input_signature([path], spark) == first
+    assert input_signature(["file:" + path], spark) == first
+    spark.range(4).write.mode("overwrite").parquet(path)
+    assert input_signature([path], spark) != first
