@@ -26,6 +26,7 @@ from ledgerlens.sources.files import (
     read_metrics_csv, read_metrics_parquet, write_metrics_csv, write_metrics_parquet)
 
 _BUILT: dict[str, str] = {}
+_READ: dict[tuple[str, str], DataFrame] = {}
 _LOCK = threading.Lock()
 
 
@@ -81,6 +82,8 @@ class MaterializedSource:
             return False
 
     def table(self) -> DataFrame:
+        """The built table; one DataFrame per session, so its file listing
+        (partition discovery) is done once, not per report."""
         path = self.path
         with _LOCK:
             if _BUILT.get(path) != self.key:
@@ -88,9 +91,11 @@ class MaterializedSource:
                     write = write_metrics_parquet if self.fmt == "parquet" else write_metrics_csv
                     write(self.build(), path)
                 _BUILT[path] = self.key
-        if self.fmt == "csv":
-            return read_metrics_csv(self.spark, path)
-        return read_metrics_parquet(self.spark, path)
+            cache_key = (self.spark.sparkContext.applicationId, path)
+            if cache_key not in _READ:
+                _READ[cache_key] = (read_metrics_csv(self.spark, path) if self.fmt == "csv"
+                                    else read_metrics_parquet(self.spark, path))
+            return _READ[cache_key]
 
     def __call__(self, pushdown: ReportFilter | None = None) -> DataFrame:
         # Date filters prune partitions and the rest reach the Parquet reader
