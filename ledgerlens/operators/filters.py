@@ -10,10 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Non-ISO date forms also accepted (month first, as the reference's parser reads them).
+EXTRA_DATE_FORMATS = ["%m/%d/%Y", "%Y/%m/%d", "%B %d %Y", "%b %d %Y", "%B %d, %Y", "%b %d, %Y"]
+
+
 def parse_date(value: str | date | None) -> date | None:
     """Parse a date argument before any job starts; bad input raises ValueError.
 
-    Accepts ``YYYY-MM-DD``, ``YYYYMMDD`` and ISO date-times (time dropped).
+    Accepts ``YYYY-MM-DD``, ``YYYYMMDD``, ISO date-times (time dropped) and the
+    forms in ``EXTRA_DATE_FORMATS``.
     """
     if value is None or value == "":
         return None
@@ -29,7 +34,13 @@ def parse_date(value: str | date | None) -> date | None:
     try:
         return datetime.fromisoformat(text).date()
     except ValueError:
-        raise ValueError(f"not a date: {value!r}") from None
+        pass
+    for fmt in EXTRA_DATE_FORMATS:
+        try:
+            return datetime.strptime(text, fmt).date()
+        except ValueError:
+            continue
+    raise ValueError(f"not a date: {value!r}")
 
 
 @dataclass(frozen=True)

@@ -56,7 +56,7 @@ def test_normalised_filter():
     assert ReportFilter().is_empty()
 
 
-@pytest.mark.parametrize("bad", ["2026-13-01", "abc", "04/02/2026x"])
+@pytest.mark.parametrize("bad", ["2026-13-01", "abc", "04/02/2026x", "13/02/2026"])
 def test_bad_dates_raise_at_plan_time(bad):
     with pytest.raises(ValueError):
         ReportFilter(start_date=bad)
@@ -66,6 +66,9 @@ def test_date_parsing():
     assert parse_date("2026-04-02") == date(2026, 4, 2)
     assert parse_date("20260402") == date(2026, 4, 2)
     assert parse_date("2026-04-02T13:45:00") == date(2026, 4, 2)
+    assert parse_date("04/02/2026") == date(2026, 4, 2)
+    assert parse_date("April 2 2026") == date(2026, 4, 2)
+    assert parse_date("Apr 2, 2026") == date(2026, 4, 2)
     assert parse_date("") is None
 
 
