@@ -186,3 +186,12 @@ def test_hot_series_is_split(spark):
     got = sorted((r["part"], r["first_point"], len(r["x"]), r["x"][0]) for r in parts.collect())
     assert len(got) == 9 and [g[2] for g in got] == [300] * 8 + [100]
     assert got[1][3] == (D1 + timedelta(days=300)).isoformat()
+
+
+def test_semi_join_snapshot_matches_pinned(spark, sample):
+    from ledgerlens import latest_snapshot
+    for flt in (None, ReportFilter(end_date="2026-04-02"), ReportFilter(servicer_name="apex"),
+                ReportFilter(start_date="2026-04-04")):
+        lazy = sorted(r["unique_id"] for r in latest_snapshot(apply_filters(sample, flt)).collect())
+        pinned = sorted(r["unique_id"] for r in R.snapshot(sample, flt).collect())
+        assert lazy == pinned
