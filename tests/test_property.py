@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections import defaultdict
 from datetime import date
 
@@ -15,7 +16,7 @@ from ledgerlens.schema import DEFAULT_STATUS_COLOUR, PALETTE, STATUS_COLOURS
 from tests.fixtures import frame
 
 DATES = [date(2026, 3, 30), date(2026, 3, 31), date(2026, 4, 1), None]
-NUMBERS = ["S1", "S2", "S3", "S10", None]
+NUMBERS = ["S1", "S2", "S3", "S10", "S4", "S5", "S6", "S7", "S8", "S9", "S11", None]
 NAMES = ["Apex Co", "apex two", "Bay", None]
 REGIONS = ["EAST", "WEST", None]
 STATUSES = ["GREEN", "YELLOW", "RED", "BLUE", None]
@@ -31,7 +32,7 @@ def _label(number, name):
 
 @st.composite
 def tables(draw):
-    n = draw(st.integers(min_value=0, max_value=14))
+    n = draw(st.integers(min_value=0, max_value=24))
     rows = []
     for i in range(n):
         rows.append((
@@ -45,6 +46,7 @@ def tables(draw):
         ))
     flt = draw(st.sampled_from([
         None, ReportFilter(servicer_name="apex"), ReportFilter(servicer_number="S2"),
+        ReportFilter(servicer_name="^a.e", name_regex=True),
         ReportFilter(start_date="2026-03-31"), ReportFilter(end_date="2026-03-31")]))
     return rows, flt
 
@@ -55,8 +57,14 @@ def model_filter(rows, flt):
         if flt is not None:
             if flt.servicer_number and r[1] != flt.servicer_number:
                 continue
-            if flt.servicer_name and (r[2] is None or flt.name_pattern not in r[2].lower()):
-                continue
+            if flt.servicer_name:
+                if r[2] is None:
+                    continue
+                name = r[2].lower()
+                hit = (re.search(flt.name_pattern, name) if flt.name_regex
+                       else flt.name_pattern in name)
+                if not hit:
+                    continue
             if flt.start and (r[4] is None or r[4] < flt.start):
                 continue
             if flt.end and (r[4] is None or r[4] > flt.end):
