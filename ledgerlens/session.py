@@ -26,6 +26,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     )
 
 
+def app_id(spark: SparkSession) -> str:
+    """Identifier of the running application (also without a SparkContext)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session
+        return spark.conf.get("spark.app.id", None) or "spark-connect"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder named by the session.
 
@@ -33,7 +41,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     read from the session and used as is.  Only a local-mode session with no
     setting at all (tests) gets a fresh folder of its own.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server's setting applies
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir is not set on the server") from None
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current

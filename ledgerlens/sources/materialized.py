@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.operators.filters import ReportFilter
-from ledgerlens.session import ensure_checkpoint_dir
+from ledgerlens.session import app_id, ensure_checkpoint_dir
 from ledgerlens.sources.files import (
     read_metrics_csv, read_metrics_parquet, write_metrics_csv, write_metrics_parquet)
 
@@ -91,7 +91,7 @@ class MaterializedSource:
                     write = write_metrics_parquet if self.fmt == "parquet" else write_metrics_csv
                     write(self.build(), path)
                 _BUILT[path] = self.key
-            cache_key = (self.spark.sparkContext.applicationId, path)
+            cache_key = (app_id(self.spark), path)
             if cache_key not in _READ:
                 _READ[cache_key] = (read_metrics_csv(self.spark, path) if self.fmt == "csv"
                                     else read_metrics_parquet(self.spark, path))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.filters import ReportFilter, name_condition
+from ledgerlens.session import app_id
 
 # Fixed mapping choices of the adapter.
 NUMBER_FORMAT = "SVC-%05d"
@@ -85,7 +86,7 @@ def _small(spark: SparkSession, sf_dir: str, name: str) -> bool:
 
     Counted once per session and path (an unfiltered Parquet count reads footers).
     """
-    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}")
+    key = (app_id(spark), f"{sf_dir}/{name}")
     if key not in _DIMENSION_ROWS:
         _DIMENSION_ROWS[key] = table(spark, sf_dir, name).count()
     return _DIMENSION_ROWS[key] <= DIMENSION_BROADCAST_MAX_ROWS
