@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +27,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     )
 
 
+_CHECKPOINT_LOCK = threading.Lock()
+
+
 def app_id(spark: SparkSession) -> str:
     """Identifier of the running application (also without a SparkContext)."""
     try:
@@ -48,6 +52,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not configured:
             raise RuntimeError("spark.checkpoint.dir is not set on the server") from None
         return configured
+    with _CHECKPOINT_LOCK:
+        return _set_checkpoint_dir(spark, sc)
+
+
+def _set_checkpoint_dir(spark: SparkSession, sc) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
