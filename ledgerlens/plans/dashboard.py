@@ -16,7 +16,8 @@ from ledgerlens.operators.aggregates import kpi_row
 from ledgerlens.operators.filters import ReportFilter
 from ledgerlens.operators.snapshot import latest_date_value
 from ledgerlens.plans import reports as R
-from ledgerlens.plans.sinks import write_dataset
+from ledgerlens.operators.series import nest_series
+from ledgerlens.plans.sinks import write_dataset, write_traces
 from ledgerlens.schema import REGION_TITLE, TREND_TITLE
 
 DASHBOARD_COLUMNS = ["report", "series", "ordinal", "x", "y", "text", "color", "title"]
@@ -79,9 +80,11 @@ def dashboard_long(src: R.Source, flt: ReportFilter | None = None) -> DataFrame:
 
 
 def run_dashboard(src: R.Source, flt: ReportFilter | None, out_dir: str,
-                  fmt: str = "json") -> dict[str, str]:
+                  fmt: str = "json", traces: bool = False) -> dict[str, str]:
     """Write the five datasets under ``out_dir``; the filtered rows are computed once.
 
+    ``traces=True`` also writes the trend and region charts as nested traces
+    (one JSON record per bounded series part) for a charting client.
     ``persist`` (memory and disk) only saves recomputation: a lost block is
     rebuilt from lineage, so the job survives executor loss.
     """
@@ -95,6 +98,20 @@ def run_dashboard(src: R.Source, flt: ReportFilter | None, out_dir: str,
             path = f"{out_dir.rstrip('/')}/{name}"
             write_dataset(part, path, fmt)
             paths[name] = path
+        if traces:
+            series_cols = ["series_ordinal", "series_name", "servicer_number", "color"]
+            nested = {
+                "trend_traces": (nest_series(R.trend_of(base), series_cols,
+                                             ["business_date", "unique_id"], "x", "y"),
+                                 "line", TREND_TITLE),
+                "region_traces": (nest_series(R.region_of(base), series_cols,
+                                              ["region", "servicer_name"], "region",
+                                              "loan_count"), "bar", REGION_TITLE),
+            }
+            for name, (df, chart_type, title) in nested.items():
+                path = f"{out_dir.rstrip('/')}/{name}"
+                write_traces(df, path, chart_type, title)
+                paths[name] = path
         return paths
     finally:
         base.unpersist()

@@ -132,8 +132,13 @@ def test_dashboard_long_and_run(spark, sample, scratch):
     by_report = {r["report"]: r["n"] for r in long_df.groupBy("report")
                  .agg(F.count(F.lit(1)).alias("n")).collect()}
     assert by_report == {"kpi": 7, "trend": 24, "region": 8, "balance": 8, "status": 3}
-    paths = run_dashboard(sample, ReportFilter(end_date="2026-04-02"), os.path.join(scratch, "dash"))
-    assert set(paths) == {"kpi", "trend", "region", "balance", "status"}
+    paths = run_dashboard(sample, ReportFilter(end_date="2026-04-02"),
+                          os.path.join(scratch, "dash"), traces=True)
+    assert set(paths) == {"kpi", "trend", "region", "balance", "status",
+                          "trend_traces", "region_traces"}
+    recs = [json.loads(r["value"]) for r in spark.read.text(paths["trend_traces"]).collect()]
+    assert len(recs) == 8 and recs[0]["chartType"] == "line"
+    assert all(len(r["trace"]["x"]) == 2 for r in recs)  # end date keeps two days
     kpi = {r["series"]: r["y"] for r in spark.read.json(paths["kpi"]).collect()}
     assert kpi["total_loans"] == 10731
 
