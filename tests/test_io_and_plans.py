@@ -211,3 +211,33 @@ def test_input_signature(spark, scratch):
     assert input_signature(["file:" + path], spark) == first
     spark.range(4).write.mode("overwrite").parquet(path)
     assert input_signature([path], spark) != first
+
+
+def _window_subtrees(text: str):
+    """For each Window node of the plan tree, the lines of its subtree."""
+    tree = text.split("\n\n")[0].splitlines()
+    out = []
+    for i, line in enumerate(tree):
+        if "Window (" not in line:
+            continue
+        depth = line.index("Window (")
+        sub = []
+        for nxt in tree[i + 1:]:
+            stripped = nxt.lstrip(" :+-")
+            level = len(nxt) - len(stripped)
+            if level <= depth:
+                break
+            sub.append(stripped)
+        out.append(sub)
+    return out
+
+
+def test_windows_only_above_aggregates(spark):
+    seen = 0
+    for name, build in entry.queries().items():
+        df = build(spark, SMOKE)
+        df.write.format("noop").mode("overwrite").save()
+        for sub in _window_subtrees(plan_text(df)):
+            seen += 1
+            assert any("Aggregate" in node for node in sub), (name, sub)
+    assert seen > 0
