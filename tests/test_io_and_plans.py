@@ -241,3 +241,32 @@ def test_windows_only_above_aggregates(spark):
             seen += 1
             assert any("Aggregate" in node for node in sub), (name, sub)
     assert seen > 0
+
+
+def _single_partition_children(text: str):
+    """For each SinglePartition exchange, the node right below it in the plan tree."""
+    tree_text, *details = text.split("\n\n")
+    single = set()
+    for block in details:
+        lines = block.strip().splitlines()
+        if lines and lines[0].startswith("(") and any(
+                ln.startswith("Arguments: SinglePartition") for ln in lines[1:]):
+            single.add(lines[0].split(")")[0] + ")")          # e.g. "(10)"
+    tree = tree_text.splitlines()
+    out = []
+    for i, line in enumerate(tree):
+        node = line.lstrip(" :+-*")
+        if node.startswith("Exchange") and node[node.rfind("("):] in single:
+            out.append(tree[i + 1].lstrip(" :+-*") if i + 1 < len(tree) else "")
+    return out
+
+
+def test_single_partition_exchanges_carry_aggregates(spark):
+    seen = 0
+    for name, build in entry.queries().items():
+        df = build(spark, SMOKE)
+        df.write.format("noop").mode("overwrite").save()
+        for below in _single_partition_children(plan_text(df)):
+            seen += 1
+            assert "Aggregate" in below, (name, below)
+    assert seen > 0
