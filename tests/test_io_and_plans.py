@@ -270,3 +270,14 @@ def test_single_partition_exchanges_carry_aggregates(spark):
             seen += 1
             assert "Aggregate" in below, (name, below)
     assert seen > 0
+
+
+def test_command_line(spark, scratch):
+    from ledgerlens.__main__ import main
+    csv_path = os.path.join(scratch, "cli.csv")
+    with open(csv_path, "w", encoding="utf-8") as fh:
+        fh.write(sample_csv_text())
+    out = os.path.join(scratch, "cli_out")
+    paths = main(["--csv", csv_path, "--name", " apex ", "--out", out])
+    kpi = {r["series"]: r["y"] for r in spark.read.json(paths["kpi"]).collect()}
+    assert kpi["total_loans"] == 1251 and kpi["servicer_count"] == 1
