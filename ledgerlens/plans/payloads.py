@@ -3,13 +3,16 @@
 The same answers as the reports, shaped as the client reads them: the row
 count probe, the servicer option list, the KPI record and chart payloads
 ``{chartType, title, traces}``.  Each payload is pulled to the driver only
-under a checked row bound (``max_rows``, raising beyond it); at scale, write
+under a checked bound (``max_rows`` rows, or points for series charts;
+raising beyond it); at scale, write
 the long-form reports as datasets instead (``plans.sinks``).
 """
 
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from ledgerlens.operators.filters import ReportFilter
 from ledgerlens.plans import reports as R
 from ledgerlens.plans.sinks import to_records
@@ -38,7 +41,14 @@ def kpi(src: R.Source, flt: ReportFilter | None = None) -> dict:
 
 
 def _series_traces(nested, kind: str, max_rows: int) -> list[dict]:
-    """Series parts (bounded rows) joined back into one trace per series, in order."""
+    """Series parts joined back into one trace per series, in order.
+
+    ``max_rows`` bounds the total number of points pulled to the driver; it is
+    checked with one scalar aggregate before anything is collected.
+    """
+    total = nested.agg(F.sum(F.size("x")).alias("n")).first()["n"] or 0
+    if total > max_rows:
+        raise ValueError(f"chart has {total} points (> {max_rows}); write it as a dataset")
     traces: dict[int, dict] = {}
     for part in to_records(nested.orderBy("series_ordinal", "part"), max_rows):
         t = traces.setdefault(part["series_ordinal"], {

@@ -43,4 +43,5 @@ def test_chart_payloads(sample):
     with pytest.raises(KeyError):
         P.chart_payload(sample, "donut")
     with pytest.raises(ValueError):
-        P.chart_payload(sample, "delinquency-trend", max_rows=3)
+        P.chart_payload(sample, "delinquency-trend", max_rows=23)   # 24 points
+    assert len(P.chart_payload(sample, "delinquency-trend", max_rows=24)["traces"]) == 8
