@@ -7,7 +7,10 @@ reports read it with partition pruning and pushed filters.  A written table
 also cuts lineage, so a lost executor never replays the source aggregation.
 
 The table is keyed by the caller's key plus a signature of the input files
-(path, size, modification time), so changed inputs get a new table.
+(path, size, modification time), so changed inputs get a new table.  Within
+one application a lock serialises the build; separate applications sharing a
+configured root should not build the same table for the first time at the
+same moment (build it once, e.g. in the load job, then every reader reuses it).
 """
 
 from __future__ import annotations
