@@ -4,15 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import simhash_dedup
+from ledgerlens.llm import mixing, simhash_dedup, warc
 from ledgerlens.llm._util import table
 
 
+def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back through the index."""
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents (4-word shingles, 4 bits)."""
     return simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_pareto_mix": (op2_pareto_mix, mixing.SQL),
+    "op8_warc_index": (op8_warc_index, warc.SQL),
     "op9_simhash_dedup": (op9_simhash_dedup, None),
 }
