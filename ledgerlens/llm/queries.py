@@ -4,15 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import mixing, simhash_dedup, warc
+from ledgerlens.llm import language_id, mixing, quality, simhash_dedup, url_reputation, warc
 from ledgerlens.llm._util import table
 
 
+def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the rules, else by its host's reputation."""
+    outcomes = url_reputation.outcomes_of(table(spark, sf_dir, "labels"))
+    return url_reputation.judge_pages(table(spark, sf_dir, "pages"), outcomes)
+
+
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back through the index."""
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
@@ -24,7 +40,10 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_reputation": (op1_url_reputation, url_reputation.SQL),
     "op2_pareto_mix": (op2_pareto_mix, mixing.SQL),
+    "op3_co_training": (op3_co_training, None),
+    "op4_language_id": (op4_language_id, None),
     "op8_warc_index": (op8_warc_index, warc.SQL),
     "op9_simhash_dedup": (op9_simhash_dedup, None),
 }
