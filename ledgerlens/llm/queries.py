@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import language_id, mixing, quality, simhash_dedup, url_reputation, warc
+from ledgerlens.llm import (
+    hilbert_ann, language_id, mixing, quality, simhash_dedup, topk_inner_product, url_reputation, warc)
 from ledgerlens.llm._util import table
 
 
@@ -29,6 +31,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest inner products of every 100th vector."""
+    return topk_inner_product.top_inner_products(_vectors(spark, sf_dir), F.col("vec_id") % 100 == 0)
+
+
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back through the index."""
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
@@ -39,11 +50,18 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors found for every 50th vector."""
+    return hilbert_ann.nearest(_vectors(spark, sf_dir), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_url_reputation": (op1_url_reputation, url_reputation.SQL),
     "op2_pareto_mix": (op2_pareto_mix, mixing.SQL),
     "op3_co_training": (op3_co_training, None),
     "op4_language_id": (op4_language_id, None),
+    "op5_exact_top_k": (op5_exact_top_k, topk_inner_product.SQL),
     "op8_warc_index": (op8_warc_index, warc.SQL),
     "op9_simhash_dedup": (op9_simhash_dedup, None),
+    "op10_hilbert_ann": (op10_hilbert_ann, None),
 }
