@@ -8,17 +8,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import simhash_dedup
+from ledgerlens.llm import language_id, mixing, piece_sampling, quality, simhash_dedup
 from ledgerlens.llm._util import stored, table
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a clearly identified language."""
+    return language_id.keep_identified(docs)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the co-trained classifier finds of low quality."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each SimHash component."""
     return simhash_dedup.keep_one_of_each(docs)
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it (none, one or two copies)."""
+    return mixing.mixed_corpus(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled piece ids of the mixed documents."""
+    return piece_sampling.encode_documents(docs)
+
+
 STAGES = [
+    ("language_id", language_stage),
+    ("quality", quality_stage),
     ("simhash_dedup", simhash_stage),
+    ("mixing", mixing_stage),
+    ("encoding", encoding_stage),
 ]
 
 #: Hashing, model fitting and sampling over word pieces have no SQL form.
@@ -26,7 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the ``documents`` table."""
+    """All stages over the ``documents`` table; the last one's result."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -29,8 +29,9 @@ def range_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     """64-bit hashes of ``buffer[start:end]`` that do not depend on the place."""
     n = len(buffer)
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate(([1], np.full(n, _BASE, np.uint64))).astype(np.uint64))
-        back = np.cumprod(np.concatenate(([1], np.full(n, _INVERSE, np.uint64))).astype(np.uint64))
+        one = np.ones(1, np.uint64)
+        power = np.cumprod(np.concatenate((one, np.full(n, _BASE, np.uint64))))
+        back = np.cumprod(np.concatenate((one, np.full(n, _INVERSE, np.uint64))))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((buffer.astype(np.uint64) + U64(1)) * power[:-1])))
         value = (sums[ends] - sums[starts]) * back[starts]
         return mix64(value ^ ((ends - starts).astype(np.uint64) * U64(0xD6E8FEB86659FD93)))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
-    hilbert_ann, language_id, mixing, quality, simhash_dedup, topk_inner_product, url_reputation, warc)
+    hilbert_ann, language_id, license_scan, mixing, piece_sampling, quality, simhash_dedup, topk_inner_product,
+    url_reputation, warc)
 from ledgerlens.llm._util import table
 
 
@@ -40,6 +41,16 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_inner_product.top_inner_products(_vectors(spark, sf_dir), F.col("vec_id") % 100 == 0)
 
 
+def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every document, decoded again and compared."""
+    return piece_sampling.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License templates found in every document."""
+    return license_scan.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back through the index."""
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
@@ -61,6 +72,8 @@ QUERIES = {
     "op3_co_training": (op3_co_training, None),
     "op4_language_id": (op4_language_id, None),
     "op5_exact_top_k": (op5_exact_top_k, topk_inner_product.SQL),
+    "op6_piece_sampling": (op6_piece_sampling, None),
+    "op7_license_scan": (op7_license_scan, None),
     "op8_warc_index": (op8_warc_index, warc.SQL),
     "op9_simhash_dedup": (op9_simhash_dedup, None),
     "op10_hilbert_ann": (op10_hilbert_ann, None),

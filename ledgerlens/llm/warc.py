@@ -30,6 +30,8 @@ ARCHIVE_BYTES = 512 << 20
 #: Ranges closer than GAP_BYTES are read together, up to READ_BYTES at once.
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
+#: Archive bytes that one reading task covers.
+TASK_BYTES = 32 << 20
 RECORD_DATE = "1970-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -211,8 +213,10 @@ def read_records(selected: DataFrame, gap: int = GAP_BYTES, most: int = READ_BYT
     and a long archive spreads over several.  Payloads are checked against
     their digests; a damaged record fails the job.
     """
-    placed = (selected.select("archive", "offset", "length")
-              .repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset"))
+    wanted = selected.select("archive", "offset", "length")
+    # index rows are tiny beside what they point to, so tasks are cut by archive bytes
+    tasks = 1 + int((wanted.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES)
+    placed = wanted.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return placed.mapInPandas(_reader(gap, most), RECORD_SCHEMA)
 
 
