@@ -73,7 +73,7 @@ def _strength(children: DataFrame) -> float:
     exact = [F.coalesce(F.sum(F.round(x * 1e6).cast("decimal(38,0)")), F.lit(0)).cast("double")
              for x in ((k - n * m) * (k - n * m) - noise, (n - 1) * noise)]
     above, scale = children.agg(*exact).first()
-    rho = above / scale if scale > 0 else 0.0
+    rho = above / scale if scale > 0 else 1.0  # nothing seen of the scatter: the weakest prior
     low, high = STRENGTH
     rho = min(max(rho, 1 / (1 + high)), 1 / (1 + low))
     return round(1 / rho - 1, 6)
@@ -120,7 +120,8 @@ def judge_pages(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str
     are ignored and a page labelled more than once is bad if any label says so.
     A null url or one without ``://`` has empty host and path and is judged by
     the empty host's reputation.  Repeated pages count as often as they occur.
-    Without labels every host has the flat prior.  An empty table gives no rows.
+    Without labels every host has a flat, weak prior and is
+    allowed.  An empty table gives no rows.
     """
     host, path = host_and_path(F.col("url").cast("string"))
     placed = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -147,7 +148,7 @@ def _sql_strength(name: str, rows: str) -> str:
     terms = ("(k - n * parent) * (k - n * parent) - n * parent * (1 - parent)", "(n - 1) * (n * parent * (1 - parent))")
     above, scale = (f"coalesce(sum(round(({t}) * 1e6)::DECIMAL(38,0)), 0)::DOUBLE" for t in terms)
     low, high = (repr(1 / (1 + s)) + "::DOUBLE" for s in reversed(STRENGTH))
-    return (f"{name} AS (SELECT round(1 / least(greatest(CASE WHEN scale > 0 THEN above / scale ELSE 0.0 END, {low}), "
+    return (f"{name} AS (SELECT round(1 / least(greatest(CASE WHEN scale > 0 THEN above / scale ELSE 1.0 END, {low}), "
             f"{high}) - 1, 6) AS s FROM (SELECT {above} AS above, {scale} AS scale FROM {rows}))")
 
 

@@ -1,0 +1,129 @@
+from __future__ import annotations
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerlens.llm import hilbert_ann as H
+from ledgerlens.llm import topk_inner_product as T
+from ledgerlens.llm.vectors import TopK
+from tests.llm.conftest import rows_of
+
+SCHEMA = "vec_id long, vector array<double>"
+
+
+def odd_rows():
+    """Ties, repeated rows, copies, null, broken, zero, short and very long vectors."""
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=6) * 10.0 ** rng.integers(-2, 2)).tolist()) for i in range(300)]
+    rows += [(300 + i, rows[7][1]) for i in range(60)] + [rows[10], rows[10], rows[200]]
+    rows += [(1000, None), (1001, [1.0, None, 0, 0, 0, 0]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6),
+             (1004, [0.0] * 6), (1100, [0.0] * 6), (1005, [1.0, 2.0]), (1006, []), (None, [1.0] * 6),
+             (1200, [1e7, -1e7, 3.0, 0, 0, 0])]
+    return rows
+
+
+def taking_part(rows):
+    return sorted({(i, tuple(v)) for i, v in rows if i is not None and v is not None
+                   and all(x is not None and np.isfinite(x) for x in v)})
+
+
+def padded(v, n=6):
+    return np.array([*v, *[0.0] * (n - len(v))])
+
+
+def test_exact_top_k_matches_brute_force(spark):
+    rows = spark.createDataFrame(odd_rows(), SCHEMA).withColumns({c: F.lit(1) for c in ("norm", "v", "score", "g", "h")})
+    whole = [(i, [int(x) for x in np.floor(padded(v) * 1024)]) for i, v in taking_part(odd_rows())]
+    expected = []
+    for q, a in whole:
+        if q % 100 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q)
+            expected += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:10], 1)]
+    assert rows_of(T.top_inner_products(rows, F.col("vec_id") % 100 == 0)) == sorted(expected, key=repr)
+
+
+def test_small_and_empty_tables(spark):
+    few = spark.createDataFrame([(0, [1.0, 2.0]), (100, [3.0, 4.0]), (7, [0.0, 1.0])], SCHEMA)
+    assert rows_of(T.top_inner_products(few, F.col("vec_id") % 100 == 0, scale=1.0)) == [
+        (0, 1, 100, 11), (0, 2, 7, 2), (100, 1, 0, 11), (100, 2, 7, 4)]
+    none = spark.createDataFrame([], SCHEMA)
+    assert T.top_inner_products(none, F.col("vec_id") % 100 == 0).collect() == []
+    assert H.nearest(none, F.col("vec_id") % 50 == 0).collect() == []
+    assert H.nearest(few.where("vec_id = 0"), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_sql_twin(spark):
+    rows = spark.createDataFrame(odd_rows()[:300], SCHEMA)
+    con = duckdb.connect()
+    con.register("embeddings", rows.withColumnRenamed("vector", "embedding").toArrow())
+    assert rows_of(T.top_inner_products(rows, F.col("vec_id") % 100 == 0)) == sorted(con.execute(T.SQL).fetchall(), key=repr)
+
+
+def test_pruned_blocks_change_nothing():
+    """Offers in descending length with and without thresholds give the same results."""
+    rng = np.random.default_rng(8)
+    data = np.floor(rng.normal(size=(3000, 8)) * np.exp(rng.normal(size=(3000, 1))) * 100)
+    data = data[np.argsort(-np.linalg.norm(data, axis=1))]
+    ids, asked = np.arange(3000), np.arange(0, 3000, 97)
+    rotation = np.linalg.svd(data, full_matrices=True)[2].T
+    searcher = T.Searcher(asked, data[asked], np.full(len(asked), -np.inf), rotation, 10)
+    for a in range(0, 3000, 200):
+        searcher.offer(ids[a:a + 200], data[a:a + 200])
+    scores = data[asked] @ data.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    for row in range(len(asked)):
+        best = np.lexsort((ids, -scores[row]))[:10]
+        assert searcher.top.ids[row].tolist() == best.tolist()
+
+
+def test_huge_components_use_exact_integers():
+    a = np.array([[2.0 ** 40 + 1, 3.0]])
+    assert T.exact_scores(a, a)[0, 0] == (2 ** 63 - 1)
+    b = np.array([[2.0 ** 30 + 1, 2.0 ** 30 - 1]])
+    assert T.exact_scores(b, b)[0, 0] == (2 ** 30 + 1) ** 2 + (2 ** 30 - 1) ** 2
+
+
+def test_running_top_k_breaks_ties_by_id():
+    top = TopK(1, 3)
+    top.add(np.array([0]), np.array([[1.0, 2.0, 2.0, -np.inf]]), np.array([9, 8, 5, 1]))
+    top.add(np.array([0]), np.array([[2.0, 1.0]]), np.array([6, 2]))
+    assert top.ids.tolist() == [[5, 6, 8]] and top.bar().tolist() == [2.0]
+
+
+@pytest.mark.parametrize("bits,dims", [(4, 2), (3, 3), (1, 4)])
+def test_hilbert_walk_visits_every_cell_in_unit_steps(bits, dims):
+    cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), axis=-1).reshape(-1, dims)
+    keys = H.hilbert_keys(cells, bits)
+    assert sorted(keys.tolist()) == list(range(len(cells)))
+    walk = cells[np.argsort(keys)]
+    assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_nearest_recall_and_copies(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(30, 16))
+    rows = [(i, (centres[i % 30] + 0.3 * rng.normal(size=16)).tolist()) for i in range(1500)]
+    rows += [(1500 + i, rows[50][1]) for i in range(700)] + [rows[3], rows[3]]
+    rows += [(9000, [0.0] * 16), (9050, None), (9100, [float("nan")] * 16), (None, rows[0][1])]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("norm", "rep", "pos", "curve")})
+    found = {}
+    for r in H.nearest(frame, F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(r["query_id"], []).append(r)
+    part = [(i, np.array(v)) for i, v in taking_part(rows) if any(v)]
+    ids, data = np.array([i for i, _ in part]), np.stack([v for _, v in part])
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    hits = total = 0
+    for q in ids[ids % 50 == 0]:
+        score = unit @ unit[np.flatnonzero(ids == q)[0]]
+        score[ids == q] = -9
+        best = ids[np.lexsort((ids, -score.round(10)))[:5]]
+        mine = sorted(found[q], key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == [1, 2, 3, 4, 5] and q not in [r["vec_id"] for r in mine]
+        for r in mine:
+            assert r["score"] == pytest.approx(float(score[ids == r["vec_id"]][0]), abs=1e-12)
+        hits += len(set(best) & {r["vec_id"] for r in mine})
+        total += 5
+    assert set(found) == set(ids[ids % 50 == 0].tolist()) and hits / total >= 0.9
+    assert [r["vec_id"] for r in sorted(found[1700], key=lambda r: r["rank"])] == [50, 1500, 1501, 1502, 1503]
