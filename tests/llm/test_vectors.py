@@ -18,9 +18,9 @@ def odd_rows():
     rng = np.random.default_rng(4)
     rows = [(i, (rng.normal(size=6) * 10.0 ** rng.integers(-2, 2)).tolist()) for i in range(300)]
     rows += [(300 + i, rows[7][1]) for i in range(60)] + [rows[10], rows[10], rows[200]]
-    rows += [(1000, None), (1001, [1.0, None, 0, 0, 0, 0]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6),
+    rows += [(1000, None), (1001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6),
              (1004, [0.0] * 6), (1100, [0.0] * 6), (1005, [1.0, 2.0]), (1006, []), (None, [1.0] * 6),
-             (1200, [1e7, -1e7, 3.0, 0, 0, 0])]
+             (1200, [1e7, -1e7, 3.0, 0.0, 0.0, 0.0])]
     return rows
 
 
