@@ -17,41 +17,51 @@ def _domain_zeros(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(rows))
 
 
-def status_counts(snapshot: DataFrame, zero_fill: bool = True) -> DataFrame:
-    """Rows per status (NULL status dropped); the fixed domain zero-filled.
+def snapshot_parts(snapshot: DataFrame) -> DataFrame:
+    """The snapshot's one aggregate: a row per (number, name, status), NULLs included.
+
+    The KPI, the balance bars and the status shares all follow from it.
+    """
+    return snapshot.groupBy("servicer_number", "servicer_name", "metric_status").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("loan_count").alias("loans"),
+        F.sum(rate_units(F.col("delinquency_rate"))).alias("rate_units"),
+        F.count("delinquency_rate").alias("rated"),
+        F.sum(cents(F.col("total_balance_usd"))).alias("cents"),
+        F.max("business_date").alias("as_of"))
+
+
+def status_counts(parts: DataFrame, zero_fill: bool = True) -> DataFrame:
+    """Rows per status (NULL status dropped) of ``snapshot_parts``; the fixed domain zero-filled.
 
     The zero rows are unioned and summed instead of joined, so there is no join.
     """
-    seen = (snapshot.where(F.col("metric_status").isNotNull())
-            .groupBy("metric_status").agg(F.count(F.lit(1)).alias("count")))
-    if not zero_fill:
-        return seen
-    return (seen.unionByName(_domain_zeros(snapshot.sparkSession))
-            .groupBy("metric_status").agg(F.sum("count").cast("long").alias("count")))
+    seen = parts.where(F.col("metric_status").isNotNull()).select("metric_status", F.col("rows").alias("count"))
+    if zero_fill:
+        seen = seen.unionByName(_domain_zeros(parts.sparkSession))
+    return seen.groupBy("metric_status").agg(F.sum("count").cast("long").alias("count"))
 
 
-def kpi_row(snapshot: DataFrame) -> DataFrame:
-    """Headline numbers of a snapshot in one pass; one row even when empty.
+def kpi_row(parts: DataFrame) -> DataFrame:
+    """Headline numbers of ``snapshot_parts``; one row even when empty.
 
     total_loans, avg_delinquency_rate (%, 2 dp, unweighted mean over rows),
     total_balance_usd (USD millions, 1 dp), servicer_count (distinct numbers),
     status_green/yellow/red, as_of_date (NULL when empty).
     """
-    rows = F.count(F.lit(1))
-    rated = F.count("delinquency_rate")
     status_cols = [
-        F.count_if(F.col("metric_status") == F.lit(s)).alias(f"status_{s.lower()}")
+        F.coalesce(F.sum(F.when(F.col("metric_status") == F.lit(s), F.col("rows"))), F.lit(0)).alias(f"status_{s.lower()}")
         for s in STATUS_DOMAIN
     ]
-    agg = snapshot.agg(
-        rows.alias("_rows"),
-        F.coalesce(F.sum("loan_count"), F.lit(0)).cast("long").alias("total_loans"),
-        F.sum(rate_units(F.col("delinquency_rate"))).alias("_rate_units"),
-        rated.alias("_rated"),
-        F.coalesce(F.sum(cents(F.col("total_balance_usd"))), F.lit(0)).alias("_cents"),
+    agg = parts.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("_rows"),
+        F.coalesce(F.sum("loans"), F.lit(0)).cast("long").alias("total_loans"),
+        F.sum("rate_units").alias("_rate_units"),
+        F.sum("rated").alias("_rated"),
+        F.coalesce(F.sum("cents"), F.lit(0)).alias("_cents"),
         F.count_distinct("servicer_number").alias("servicer_count"),
         *status_cols,
-        F.max("business_date").alias("_as_of"),
+        F.max("as_of").alias("_as_of"),
     )
     return agg.select(
         "total_loans",
@@ -65,14 +75,14 @@ def kpi_row(snapshot: DataFrame) -> DataFrame:
     )
 
 
-def kpi_with_status_map(snapshot: DataFrame) -> DataFrame:
+def kpi_with_status_map(parts: DataFrame) -> DataFrame:
     """KPI row plus ``status_counts``: map of every status seen, domain zero-filled.
 
     The map comes from the (tiny) per-status counts; the two one-row results are
     stacked and folded with ``first``, so no join is needed.
     """
-    kpi = kpi_row(snapshot)
-    entries = status_counts(snapshot).agg(
+    kpi = kpi_row(parts)
+    entries = status_counts(parts).agg(
         F.map_from_entries(F.array_sort(F.collect_list(
             F.struct("metric_status", "count")))).alias("status_counts"))
     stacked = (kpi.withColumn("status_counts", F.lit(None).cast("map<string,bigint>"))

@@ -1,11 +1,10 @@
 """Global 0-based ordinals over a total order, without a single-task window.
 
-An unpartitioned ``row_number()`` window moves every row to one task.  Here the
-rows are range-partitioned on the order keys and sorted inside each partition;
-``monotonically_increasing_id`` then encodes (partition, position).  The tagged
-rows are checkpointed to the session's reliable checkpoint folder, so the ids
-stay fixed if an executor is lost and the frame is read twice.  Per-partition
-counts (one row per range partition, a bound we choose) give the offsets.
+An unpartitioned ``row_number()`` window moves every row to one task.  Here one
+small job picks bucket bounds from a bounded sample of the order keys; every
+row finds its bucket by comparing with the bounds, rows are numbered inside
+their bucket, and the buckets' counts (one row per bucket) give the offsets.
+The result does not depend on the bounds, so nothing needs to be written.
 """
 
 from __future__ import annotations
@@ -15,49 +14,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.session import ensure_checkpoint_dir
+BUCKETS = 64
+SAMPLE_KEYS = 2048
 
-_ID_BITS = 33  # monotonically_increasing_id: partition index << 33 | position
 
+def with_ordinal(df: DataFrame, order: Sequence[str], name: str = "ordinal") -> DataFrame:
+    """Add ``name``: the 0-based position of each row by the ``order`` columns.
 
-def _sort_order(keys: Sequence[str | Column]) -> list[Column]:
-    cols = []
-    for k in keys:
-        cols.append(F.col(k).asc_nulls_last() if isinstance(k, str) else k)
-    return cols
-
-
-def with_ordinal(df: DataFrame, order: Sequence[str | Column], name: str = "ordinal",
-                 partitions: int | None = None) -> DataFrame:
-    """Add ``name``: the 0-based position of each row in ``order``.
-
-    ``order`` should be a total order over the rows (ties get distinct but
-    arbitrary positions).  String keys sort ascending with NULLs last.
+    Keys sort ascending with NULLs last; ``order`` should be a total order over
+    the rows (ties get distinct but arbitrary positions).
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    sort_cols = _sort_order(order)
-    # Without an explicit count AQE may merge neighbouring (small) ranges; the
-    # partition count, and so the offsets table, stays <= shuffle partitions.
-    ranged = (df.repartitionByRange(partitions, *sort_cols) if partitions
-              else df.repartitionByRange(*sort_cols))
-    tagged = (
-        ranged
-        .sortWithinPartitions(*sort_cols)
-        .withColumn("_ord_id", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
-    )
-    part = F.shiftright(F.col("_ord_id"), _ID_BITS)
-    position = F.col("_ord_id").bitwiseAND(F.lit((1 << _ID_BITS) - 1))
-    counts = tagged.groupBy(part.alias("_ord_part")).agg(F.count(F.lit(1)).alias("_ord_n"))
-    before = Window.orderBy("_ord_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per range partition: a bound fixed by configuration, safe to broadcast.
-    offsets = counts.select(
-        "_ord_part",
-        F.coalesce(F.sum("_ord_n").over(before), F.lit(0)).cast("long").alias("_ord_off"))
-    return (
-        tagged.withColumn("_ord_part", part)
-        .join(F.broadcast(offsets), on="_ord_part", how="inner")
-        .withColumn(name, (F.col("_ord_off") + position).cast("long"))
-        .drop("_ord_id", "_ord_part", "_ord_off")
-    )
+    key = F.struct(*[c for k in order for c in (F.col(k).isNull().alias(f"no_{k}"), F.col(k).alias(k))])
+    keyed = df.withColumn("_ord_key", key)
+    sample = sorted(
+        (r["_ord_key"] for r in keyed.select("_ord_key").orderBy(F.xxhash64("_ord_key")).limit(SAMPLE_KEYS).collect()),
+        key=lambda r: tuple((r[f"no_{k}"], r[k]) if r[k] is not None else (True,) for k in order))
+    step = max(1, -(-len(sample) // BUCKETS))
+    kind = keyed.schema["_ord_key"].dataType
+    bounds = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in kind]) for r in sample[step::step]]
+    bucket: Column = F.lit(0)
+    if bounds:
+        bucket = F.size(F.filter(F.array(*bounds), lambda b: b <= F.col("_ord_key")))
+    tagged = keyed.withColumn("_ord_bucket", bucket)
+    counts = tagged.groupBy("_ord_bucket").agg(F.count(F.lit(1)).alias("_ord_n"))
+    before = Window.orderBy("_ord_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # at most BUCKETS rows: safe to number in one task and to broadcast
+    offsets = counts.select("_ord_bucket", F.coalesce(F.sum("_ord_n").over(before), F.lit(0)).alias("_ord_off"))
+    inside = F.row_number().over(Window.partitionBy("_ord_bucket").orderBy("_ord_key"))
+    return (tagged.withColumn("_ord_pos", inside).join(F.broadcast(offsets), "_ord_bucket")
+            .select(*df.columns, (F.col("_ord_off") + F.col("_ord_pos") - 1).cast("long").alias(name)))

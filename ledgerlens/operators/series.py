@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.palette import cycling_colour
@@ -26,8 +26,12 @@ def series_table(points: DataFrame, first_name_order: Sequence[Column]) -> DataF
     The label uses the servicer's first name in ``first_name_order``; the
     ordinal ranks the numbers present in ``points``.
     """
-    per_series = points.groupBy("servicer_number").agg(
-        first_by("servicer_name", first_name_order).alias("first_name"))
+    return numbered_series(points.groupBy("servicer_number").agg(
+        first_by("servicer_name", first_name_order).alias("first_name")))
+
+
+def numbered_series(per_series: DataFrame) -> DataFrame:
+    """Label, ordinal and colour for ``per_series(servicer_number, first_name)``."""
     ranked = with_ordinal(per_series, ["servicer_number"], name="series_ordinal")
     return ranked.select(
         "servicer_number",
@@ -37,32 +41,27 @@ def series_table(points: DataFrame, first_name_order: Sequence[Column]) -> DataF
     )
 
 
-MAX_TRACE_POINTS = 10_000
-
-
-def nest_series(long_df: DataFrame, series_cols: Sequence[str],
-                order_cols: Sequence[str], x: str, y: str,
-                max_points: int = MAX_TRACE_POINTS) -> DataFrame:
-    """Fold long-form points into series parts with parallel arrays x, y.
+def nest_series(long_df: DataFrame, series_cols: Sequence[str], order_cols: Sequence[str],
+                x: str, y: str, period: Column | None = None) -> DataFrame:
+    """Fold long-form points into records with parallel arrays x, y.
 
-    Points are ordered by ``order_cols`` (NULLs last) within each series.  A
-    global ordinal over (series, point order) gives each point its position in
-    its series, and points are folded in parts of at most ``max_points``, so no
-    group grows with the data and a heavy series is spread over many tasks.
-    Output: ``series_cols``, ``part`` (0-based), ``first_point`` (position of
-    the part's first point), ``x``, ``y``.
+    Points are ordered by ``order_cols`` (NULLs last) within each record.
+    ``period`` cuts a series into one record per period (for a time axis: its
+    year), whatever the size of the data, so a heavy series is spread over
+    many groups.  Output: ``series_cols``, ``part`` (0-based, periods in order,
+    NULL last), ``first_point`` (position of the record's first point in its
+    series), ``x``, ``y``.
     """
-    ranked = with_ordinal(long_df, [*series_cols, *order_cols], name="_pt")
-    starts = ranked.groupBy(*series_cols).agg(F.min("_pt").alias("_start"))
-    positioned = (ranked.join(starts, on=list(series_cols), how="inner")
-                  .withColumn("_pos", F.col("_pt") - F.col("_start"))
-                  .withColumn("part", F.floor(F.col("_pos") / F.lit(max_points)).cast("long")))
-    point = F.struct(F.col("_pos").alias("pos"), F.col(x).alias("x"), F.col(y).alias("y"))
-    nested = positioned.groupBy(*series_cols, "part").agg(
-        F.array_sort(F.collect_list(point)).alias("_pts"))
+    order = [c for k in order_cols for c in (F.col(k).isNull().alias(f"no_{k}"), F.col(k).alias(f"by_{k}"))]
+    point = F.struct(*order, F.col(x).alias("x"), F.col(y).alias("y"))
+    keyed = long_df.withColumn("_period", period if period is not None else F.lit(0))
+    nested = keyed.groupBy(*series_cols, "_period").agg(F.array_sort(F.collect_list(point)).alias("_pts"))
+    inside = Window.partitionBy(*series_cols).orderBy(F.asc_nulls_last("_period"))
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
     return nested.select(
-        *series_cols, "part",
-        (F.col("part") * F.lit(max_points)).alias("first_point"),
+        *series_cols,
+        (F.row_number().over(inside) - 1).cast("long").alias("part"),
+        F.coalesce(F.sum(F.size("_pts")).over(before), F.lit(0)).cast("long").alias("first_point"),
         F.transform("_pts", lambda p: p["x"]).alias("x"),
         F.transform("_pts", lambda p: p["y"]).alias("y"),
     )

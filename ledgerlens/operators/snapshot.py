@@ -13,21 +13,11 @@ def latest_date(df: DataFrame) -> DataFrame:
     return df.agg(F.max("business_date").alias("business_date"))
 
 
-def latest_snapshot(df: DataFrame) -> DataFrame:
-    """Rows of ``df`` at its latest date.
-
-    The right side is a global aggregate, so it is one row by construction and
-    safe to broadcast at any scale; the left-semi join keeps ``df``'s columns.
-    An empty frame, or one with no dated rows, gives no rows.
-    """
-    return df.join(F.broadcast(latest_date(df)), on="business_date", how="left_semi")
-
-
 def latest_date_value(df: DataFrame) -> date | None:
     """The latest date as a plan-time value (one small aggregate job).
 
     Binding the snapshot date as a literal lets a date-partitioned table prune
-    to a single partition and lets a derived source bound its raw scan; the
-    semi-join form above cannot do either (no dynamic pruning applies to it).
+    to a single partition and lets a derived source bound its raw scan; a
+    semi-join on the greatest date could do neither.
     """
     return latest_date(df).first()["business_date"]

@@ -8,7 +8,6 @@ Spark plans; nothing here runs on Spark.
 from __future__ import annotations
 
 from ledgerlens.operators.filters import ReportFilter
-from ledgerlens.operators.series import MAX_TRACE_POINTS
 from ledgerlens.schema import (
     BALANCE_TITLE_PREFIX, DEFAULT_STATUS_COLOUR, LABEL_SEPARATOR, PALETTE, REGION_TITLE,
     STATUS_COLOURS, STATUS_DOMAIN, STATUS_TITLE_PREFIX, TITLE_SUFFIX, TREND_TITLE)
@@ -72,6 +71,29 @@ def where_sql(flt: ReportFilter | None) -> str:
     return " AND ".join(preds) if preds else "TRUE"
 
 
+#: Twin of ``star.messy_metrics``.
+MESSY_SQL = METRICS_SQL.replace("metrics AS (", "clean AS (", 1) + """,
+metrics AS (
+  SELECT unique_id,
+         CASE WHEN unique_id // 1000000 % 17 <> 3 THEN servicer_number END AS servicer_number,
+         CASE WHEN unique_id // 1000000 % 13 = 5 THEN NULL
+              WHEN unique_id // 1000000 % 5 = 2 AND year(business_date) >= 1996 THEN servicer_name || ' (renamed)'
+              ELSE servicer_name END AS servicer_name,
+         tenant_id, CASE WHEN unique_id % 41 <> 7 THEN business_date END AS business_date,
+         CASE WHEN unique_id // 1000000 % 11 <> 4 THEN region END AS region,
+         CASE WHEN unique_id % 19 <> 1 THEN loan_count END AS loan_count,
+         CASE WHEN unique_id % 23 <> 2 THEN delinquency_rate END AS delinquency_rate,
+         CASE WHEN unique_id % 29 <> 3 THEN total_balance_usd END AS total_balance_usd,
+         CASE WHEN unique_id // 1000000 % 7 = 1 THEN 'BLUE' WHEN unique_id // 1000000 % 7 = 6 THEN NULL
+              ELSE metric_status END AS metric_status
+  FROM clean)"""
+
+
+def messy(sql: str) -> str:
+    """The same query over the table with missing values, new names and an unknown status."""
+    return sql.replace(METRICS_SQL, MESSY_SQL, 1)
+
+
 def with_base(flt: ReportFilter | None, body: str) -> str:
     """Metrics view, filtered view ``f`` and latest snapshot ``snap``, then ``body``."""
     return f"""WITH {METRICS_SQL},
@@ -103,10 +125,8 @@ def load_profile() -> str:
 
 def servicer_list() -> str:
     return with_base(None, """
-SELECT servicer_number, servicer_name,
-       CAST(row_number() OVER (ORDER BY servicer_number NULLS LAST,
-                                        servicer_name NULLS LAST) - 1 AS BIGINT) AS ordinal
-FROM (SELECT DISTINCT servicer_number, servicer_name FROM metrics)""")
+SELECT DISTINCT servicer_number, servicer_name FROM metrics
+ORDER BY servicer_number NULLS LAST, servicer_name NULLS LAST""")
 
 
 def servicer_count() -> str:
@@ -202,18 +222,19 @@ SELECT series_ordinal, series_name, p.servicer_number, color, business_date,
 FROM pts p JOIN ser2 USING (servicer_number)""")
 
 
-def _parts(points: str, order: str, x: str, y: str) -> str:
-    """Series folded in parts of MAX_TRACE_POINTS points, strings joined in order."""
-    n = MAX_TRACE_POINTS
+def _parts(points: str, order: str, x: str, y: str, period: str = "CAST(0 AS INTEGER)") -> str:
+    """Series folded by period, strings joined in order."""
     return f"""
 SELECT series_ordinal, series_name, servicer_number, color,
-       CAST(pos // {n} AS BIGINT) AS part, CAST((pos // {n}) * {n} AS BIGINT) AS first_point,
-       string_agg(coalesce({x}, ''), ',' ORDER BY pos) AS x_values,
-       string_agg(coalesce({y}, ''), ',' ORDER BY pos) AS y_values,
-       CAST(count(*) AS BIGINT) AS points
-FROM (SELECT *, row_number() OVER (PARTITION BY servicer_number ORDER BY {order}) - 1 AS pos
-      FROM {points})
-GROUP BY series_ordinal, series_name, servicer_number, color, pos // {n}"""
+       CAST(row_number() OVER by_period - 1 AS BIGINT) AS part,
+       CAST(sum(points) OVER by_period - points AS BIGINT) AS first_point, x_values, y_values, points
+FROM (SELECT series_ordinal, series_name, servicer_number, color, {period} AS period,
+             string_agg(coalesce({x}, ''), ',' ORDER BY pos) AS x_values,
+             string_agg(coalesce({y}, ''), ',' ORDER BY pos) AS y_values,
+             CAST(count(*) AS BIGINT) AS points
+      FROM (SELECT *, row_number() OVER (PARTITION BY servicer_number ORDER BY {order}) AS pos FROM {points})
+      GROUP BY series_ordinal, series_name, servicer_number, color, {period})
+WINDOW by_period AS (PARTITION BY servicer_number ORDER BY period NULLS LAST)"""
 
 
 def trend_series(flt: ReportFilter | None) -> str:
@@ -221,7 +242,7 @@ def trend_series(flt: ReportFilter | None) -> str:
               unique_id, {iso("business_date")} AS x, {r1("delinquency_rate * 100", 3)} AS y
        FROM pts p JOIN ser2 USING (servicer_number))"""
     return _cte(flt, f"pts AS {TREND_POINTS}" + _series_ctes("pts", TREND_ORDER),
-                _parts(pts, TREND_ORDER, "x", "format('{:.3f}', y)"))
+                _parts(pts, TREND_ORDER, "x", "format('{:.3f}', y)", "year(business_date)"))
 
 
 def series_palette(flt: ReportFilter | None) -> str:

@@ -1,34 +1,30 @@
-"""Response-shaped results for a charting client (bounded, driver side).
-
-The same answers as the reports, shaped as the client reads them: the row
-count probe, the servicer option list, the KPI record and chart payloads
-``{chartType, title, traces}``.  Each payload is pulled to the driver only
-under a checked bound (``max_rows`` rows, or points for series charts;
-raising beyond it); at scale, write
-the long-form reports as datasets instead (``plans.sinks``).
+"""Response-shaped results for a charting client.
+
+The same answers as the reports, shaped as the client reads them.  The probe
+and the KPI are one record each.  The option list and the charts are datasets:
+a chart is one row per trace with ``chartType``, ``title`` and the trace as
+JSON, nested as the client draws it (``line.color``, ``marker.color``,
+``marker.colors``; constant styling is left to the client).  A trend series
+has one trace per calendar year, in order of ``part``.
 """
 
 from __future__ import annotations
 
-
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.filters import ReportFilter
 from ledgerlens.plans import reports as R
-from ledgerlens.plans.sinks import to_records
 from ledgerlens.schema import REGION_TITLE, STATUS_DOMAIN, TREND_TITLE
 
-DEFAULT_MAX_ROWS = 100_000
-
 
 def health(src: R.Source) -> dict:
     return {"status": "ok", "rows": R.row_count(src).first()["rows"]}
 
 
-def servicers(src: R.Source, max_rows: int = DEFAULT_MAX_ROWS) -> dict:
-    items = to_records(R.servicer_list(src).orderBy("ordinal"), max_rows)
-    return {"items": [{k: it[k] for k in ("servicer_number", "servicer_name")} for it in items],
-            "count": len(items)}
+def servicers(src: R.Source) -> DataFrame:
+    """The option list in order; its size is ``reports.servicer_count``."""
+    return R.servicer_list(src)
 
 
 def kpi(src: R.Source, flt: ReportFilter | None = None) -> dict:
@@ -40,49 +36,41 @@ def kpi(src: R.Source, flt: ReportFilter | None = None) -> dict:
     return row
 
 
-def _series_traces(nested, kind: str, max_rows: int) -> list[dict]:
-    """Series parts joined back into one trace per series, in order.
-
-    ``max_rows`` bounds the total number of points pulled to the driver; it is
-    checked with one scalar aggregate before anything is collected.
-    """
-    total = nested.agg(F.sum(F.size("x")).alias("n")).first()["n"] or 0
-    if total > max_rows:
-        raise ValueError(f"chart has {total} points (> {max_rows}); write it as a dataset")
-    traces: dict[int, dict] = {}
-    for part in to_records(nested.orderBy("series_ordinal", "part"), max_rows):
-        t = traces.setdefault(part["series_ordinal"], {
-            "type": kind, "name": part["series_name"], "x": [], "y": [],
-            "color": part["color"]})
-        t["x"].extend(part["x"])
-        t["y"].extend(part["y"])
-    return [traces[k] for k in sorted(traces)]
-
-
-def chart_payload(src: R.Source, name: str, flt: ReportFilter | None = None,
-                  max_rows: int = DEFAULT_MAX_ROWS) -> dict:
-    """Payload of a chart by name; an unknown name raises ``KeyError``."""
+def _payload(traces: DataFrame, chart_type: str, title: Column, order: list, *trace: Column) -> DataFrame:
+    return traces.select(F.lit(chart_type).alias("chartType"), title.alias("title"), *order,
+                         F.to_json(F.struct(*trace)).alias("trace"))
+
+
+def _folded(rows: DataFrame, order: str, *columns: str) -> DataFrame:
+    """All rows as one record of parallel arrays (bars of one date, status values); none if there are no rows."""
+    all_rows = rows.agg(F.max("title").alias("title"),
+                        F.array_sort(F.collect_list(F.struct(order, *columns))).alias("all"))
+    arrays = [F.transform("all", lambda r, c=c: r[c]).alias(c) for c in columns]
+    return all_rows.where(F.size("all") > 0).select("title", F.lit(0).cast("long").alias("part"), *arrays)
+
+
+def chart_payload(src: R.Source, name: str, flt: ReportFilter | None = None) -> DataFrame:
+    """Traces of a chart by name; an unknown name raises ``KeyError``."""
     R.chart(name)  # validates the name
+    kind = lambda k: F.lit(k).alias("type")
     if name == "delinquency-trend":
-        return {"chartType": "line", "title": TREND_TITLE,
-                "traces": _series_traces(R.trend_series(src, flt), "scatter", max_rows)}
+        return _payload(
+            R.trend_series(src, flt), "line", F.lit(TREND_TITLE), ["series_ordinal", "part"],
+            kind("scatter"), F.lit("lines+markers").alias("mode"), F.col("series_name").alias("name"), F.col("x"),
+            F.col("y"), F.struct("color").alias("line"))
     if name == "loan-by-region":
-        return {"chartType": "bar", "title": REGION_TITLE,
-                "traces": _series_traces(R.region_series(src, flt), "bar", max_rows)}
+        return _payload(
+            R.region_series(src, flt), "bar", F.lit(REGION_TITLE), ["series_ordinal", "part"],
+            kind("bar"), F.col("series_name").alias("name"), F.col("x"), F.col("y"), F.struct("color").alias("marker"))
     if name == "portfolio-balance":
-        bars = to_records(R.portfolio_balance(src, flt).orderBy("bar_ordinal"), max_rows)
-        title = bars[0]["title"] if bars else None
-        return {"chartType": "bar", "title": title, "traces": [{
-            "type": "bar", "orientation": "h",
-            "x": [b["balance_musd"] for b in bars], "y": [b["label"] for b in bars],
-            "text": [b["text"] for b in bars],
-            "colors": [b["color"] for b in bars if b["color"] is not None]}]}
-    slices = to_records(R.status_distribution(src, flt).orderBy("metric_status"), max_rows)
-    title = slices[0]["title"] if slices else None
-    return {"chartType": "pie", "title": title, "traces": [{
-        "type": "pie", "labels": [s["metric_status"] for s in slices],
-        "values": [s["count"] for s in slices], "colors": [s["color"] for s in slices],
-        "percent": [s["share_pct"] for s in slices]}]}
+        bars = _folded(R.portfolio_balance(src, flt), "bar_ordinal", "balance_musd", "label", "text", "color")
+        colours = F.filter("color", lambda c: c.isNotNull())
+        return _payload(bars, "bar", F.col("title"), ["part"], kind("bar"), F.lit("h").alias("orientation"),
+                        F.col("balance_musd").alias("x"), F.col("label").alias("y"),
+                        F.struct(colours.alias("color")).alias("marker"), F.col("text"))
+    slices = _folded(R.status_distribution(src, flt), "metric_status", "metric_status", "count", "color")
+    return _payload(slices, "pie", F.col("title"), ["part"], kind("pie"), F.col("metric_status").alias("labels"),
+                    F.col("count").alias("values"), F.struct(F.col("color").alias("colors")).alias("marker"))
 
 
 __all__ = ["chart_payload", "health", "kpi", "servicers"]

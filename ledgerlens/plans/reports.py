@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.palette import cut_colour, status_colour
-from ledgerlens.functions.rounding import cents, millions, percent_of, py_round
+from ledgerlens.functions.rounding import millions, percent_of, py_round
 from ledgerlens.functions.text import (
     as_of_title, grouped_integer, iso_date, millions_text, percent_text, series_label,
     whole_millions_text)
-from ledgerlens.operators.aggregates import kpi_row, kpi_with_status_map, status_counts
+from ledgerlens.operators.aggregates import (
+    kpi_row, kpi_with_status_map, snapshot_parts, status_counts)
 from ledgerlens.operators.filters import NO_FILTER, ReportFilter, apply_filters
 from ledgerlens.operators.ordinals import with_ordinal
-from ledgerlens.operators.series import MAX_TRACE_POINTS, nest_series, series_table
+from ledgerlens.operators.series import nest_series, series_table
 from ledgerlens.operators.snapshot import latest_date_value
 from ledgerlens.schema import BALANCE_TITLE_PREFIX, METRICS_COLUMNS, STATUS_TITLE_PREFIX
 from ledgerlens.sources.base import MetricsSource, as_source
@@ -49,9 +50,9 @@ def load_profile(src: Source) -> DataFrame:
 
 
 def servicer_list(src: Source) -> DataFrame:
-    """Distinct (number, name) pairs with their position in (number, name) order."""
+    """Distinct (number, name) pairs, sorted by number then name (NULLs last)."""
     pairs = _whole(src).select("servicer_number", "servicer_name").distinct()
-    return with_ordinal(pairs, ["servicer_number", "servicer_name"], name="ordinal")
+    return pairs.orderBy(F.asc_nulls_last("servicer_number"), F.asc_nulls_last("servicer_name"))
 
 
 def servicer_count(src: Source) -> DataFrame:
@@ -85,13 +86,13 @@ def snapshot(src: Source, flt: ReportFilter | None = None) -> DataFrame:
 def kpi_summary(src: Source, flt: ReportFilter | None = None,
                 with_status_map: bool = False) -> DataFrame:
     """One row of headline numbers over the latest snapshot; zeros when empty."""
-    snap = snapshot(src, flt)
-    return kpi_with_status_map(snap) if with_status_map else kpi_row(snap)
+    parts = snapshot_parts(snapshot(src, flt))
+    return kpi_with_status_map(parts) if with_status_map else kpi_row(parts)
 
 
 def kpi_status_counts(src: Source, flt: ReportFilter | None = None) -> DataFrame:
     """Snapshot row count per status, the fixed three always present."""
-    return status_counts(snapshot(src, flt))
+    return status_counts(snapshot_parts(snapshot(src, flt)))
 
 
 def kpi_display(kpi: DataFrame) -> DataFrame:
@@ -117,10 +118,12 @@ def delinquency_trend(src: Source, flt: ReportFilter | None = None) -> DataFrame
     return trend_of(filtered(src, flt))
 
 
-def trend_of(rows: DataFrame) -> DataFrame:
+def trend_of(rows: DataFrame, series: DataFrame | None = None) -> DataFrame:
     points = rows.where(F.col("servicer_number").isNotNull())
-    series = series_table(points, [F.col("business_date"), F.col("unique_id")])
-    return points.join(series, on="servicer_number").select(
+    if series is None:
+        series = series_table(points, [F.col("business_date"), F.col("unique_id")])
+    # Every point has its series; as an outer join only the series side can be broadcast.
+    return points.join(series, "servicer_number", "left").select(
         "series_ordinal", "series_name", "servicer_number", "color",
         "business_date",
         iso_date(F.col("business_date")).alias("x"),
@@ -129,12 +132,23 @@ def trend_of(rows: DataFrame) -> DataFrame:
     )
 
 
-def trend_series(src: Source, flt: ReportFilter | None = None,
-                 max_points: int = MAX_TRACE_POINTS) -> DataFrame:
-    """Delinquency trend folded to series parts with x/y arrays."""
-    return nest_series(delinquency_trend(src, flt),
-                       ["series_ordinal", "series_name", "servicer_number", "color"],
-                       ["business_date", "unique_id"], "x", "y", max_points)
+SERIES_COLUMNS = ["series_ordinal", "series_name", "servicer_number", "color"]
+
+
+def nested_trend(trend: DataFrame) -> DataFrame:
+    """Trend points folded to one record per series and calendar year."""
+    return nest_series(trend, SERIES_COLUMNS, ["business_date", "unique_id"], "x", "y",
+                       F.year("business_date"))
+
+
+def nested_region(region: DataFrame) -> DataFrame:
+    """Region bars folded to one record per series."""
+    return nest_series(region, SERIES_COLUMNS, ["region", "servicer_name"], "region", "loan_count")
+
+
+def trend_series(src: Source, flt: ReportFilter | None = None) -> DataFrame:
+    """Delinquency trend with x/y arrays, a record per series and calendar year."""
+    return nested_trend(delinquency_trend(src, flt))
 
 
 def series_palette(src: Source, flt: ReportFilter | None = None) -> DataFrame:
@@ -159,20 +173,21 @@ def region_of(rows: DataFrame) -> DataFrame:
     rows = rows.where(
         F.col("region").isNotNull() & F.col("servicer_number").isNotNull()
         & F.col("servicer_name").isNotNull())
-    grouped = rows.groupBy("region", "servicer_number", "servicer_name").agg(
-        F.coalesce(F.sum("loan_count"), F.lit(0)).cast("long").alias("loan_count"))
+    return region_bars(rows.groupBy("region", "servicer_number", "servicer_name").agg(
+        F.coalesce(F.sum("loan_count"), F.lit(0)).cast("long").alias("loan_count")))
+
+
+def region_bars(grouped: DataFrame) -> DataFrame:
+    """Bars with series label, ordinal and colour from the sums per (region, number, name)."""
     series = series_table(grouped, [F.col("region"), F.col("servicer_name")])
-    return grouped.join(series, on="servicer_number").select(
+    return grouped.join(series, "servicer_number", "left").select(
         "series_ordinal", "series_name", "servicer_number", "servicer_name", "color",
         "region", "loan_count")
 
 
-def region_series(src: Source, flt: ReportFilter | None = None,
-                  max_points: int = MAX_TRACE_POINTS) -> DataFrame:
-    """Loans by region folded to series parts with x (region) / y arrays."""
-    return nest_series(loan_by_region(src, flt),
-                       ["series_ordinal", "series_name", "servicer_number", "color"],
-                       ["region", "servicer_name"], "region", "loan_count", max_points)
+def region_series(src: Source, flt: ReportFilter | None = None) -> DataFrame:
+    """Loans by region with x (region) / y arrays, a record per series."""
+    return nested_region(loan_by_region(src, flt))
 
 
 # --- R-6: portfolio balance ---------------------------------------------------
@@ -182,15 +197,15 @@ def portfolio_balance(src: Source, flt: ReportFilter | None = None) -> DataFrame
 
     Value in USD millions (1 dp); palette colours for the first eight bars only.
     """
-    return balance_of(snapshot(src, flt))
+    return balance_of(snapshot_parts(snapshot(src, flt)))
 
 
-def balance_of(snap: DataFrame) -> DataFrame:
-    snap = snap.where(
+def balance_of(parts: DataFrame) -> DataFrame:
+    parts = parts.where(
         F.col("servicer_number").isNotNull() & F.col("servicer_name").isNotNull())
-    bars = snap.groupBy("servicer_number", "servicer_name").agg(
-        F.coalesce(F.sum(cents(F.col("total_balance_usd"))), F.lit(0)).alias("balance_cents"),
-        F.max("business_date").alias("as_of"))
+    bars = parts.groupBy("servicer_number", "servicer_name").agg(
+        F.coalesce(F.sum("cents"), F.lit(0)).cast("decimal(38,0)").alias("balance_cents"),
+        F.max("as_of").alias("as_of"))
     ranked = with_ordinal(bars, ["balance_cents", "servicer_number", "servicer_name"],
                           name="bar_ordinal")
     value = millions(F.col("balance_cents"), 1)
@@ -208,13 +223,13 @@ def balance_of(snap: DataFrame) -> DataFrame:
 
 def status_distribution(src: Source, flt: ReportFilter | None = None) -> DataFrame:
     """Snapshot rows per status (no zero-fill), share of total, colour, title."""
-    return status_of(snapshot(src, flt))
+    return status_of(snapshot_parts(snapshot(src, flt)))
 
 
-def status_of(snap: DataFrame) -> DataFrame:
-    snap = snap.where(F.col("metric_status").isNotNull())
-    counts = snap.groupBy("metric_status").agg(
-        F.count(F.lit(1)).alias("count"), F.max("business_date").alias("as_of"))
+def status_of(parts: DataFrame) -> DataFrame:
+    parts = parts.where(F.col("metric_status").isNotNull())
+    counts = parts.groupBy("metric_status").agg(
+        F.sum("rows").alias("count"), F.max("as_of").alias("as_of"))
     # One row per status value: the window runs on the aggregated rows only.
     total = F.sum("count").over(Window.partitionBy())
     return counts.select(

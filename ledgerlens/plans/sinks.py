@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +32,11 @@ def write_traces(nested: DataFrame, path: str, chart_type: str, title: str) -> N
     trace_records(nested, chart_type, title).write.mode("overwrite").text(path)
 
 
-def to_records(df: DataFrame, max_rows: int) -> list[dict]:
-    """A result as Python records on the driver, only when it has at most ``max_rows`` rows.
+def to_records(df: DataFrame) -> Iterator[dict]:
+    """A result as Python records, one partition at a time on the driver, without a limit.
 
-    At most ``max_rows + 1`` rows are fetched; a larger result raises instead
-    of being cut short (write it with :func:`write_dataset`).
+    For handing answers to a client; a large result is better written with
+    :func:`write_dataset`.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"result has more than {max_rows} rows; write it as a dataset")
-    return [r.asDict(recursive=True) for r in rows]
+    for row in df.toLocalIterator():
+        yield row.asDict(recursive=True)

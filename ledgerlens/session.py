@@ -20,8 +20,6 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        # ordinals checkpoint their input; drop the files once unreferenced
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -38,6 +36,25 @@ def app_id(spark: SparkSession) -> str:
         return spark.conf.get("spark.app.id", None) or "spark-connect"
 
 
+def _checked(root: str, master: str) -> str:
+    """``root`` unless it is a machine-local folder on a real cluster."""
+    scheme = root.split(":", 1)[0] if "://" in root or root.startswith("file:") else ""
+    if scheme == "file" and not master.startswith("local"):
+        raise ValueError(f"{root!r} is local to each machine; spark.checkpoint.dir must be shared storage")
+    return root.rstrip("/")
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder for tables the library writes: ``spark.checkpoint.dir`` as the session has it.
+
+    Only a local-mode session without the setting (tests) gets a fresh folder.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return _checked(configured, spark.conf.get("spark.master", "local"))
+    return ensure_checkpoint_dir(spark).rstrip("/")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder named by the session.
 
@@ -63,7 +80,7 @@ def _set_checkpoint_dir(spark: SparkSession, sc) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if configured:
-        sc.setCheckpointDir(configured)
+        sc.setCheckpointDir(_checked(configured, sc.master))
         return sc.getCheckpointDir()
     if not sc.master.startswith("local"):
         raise RuntimeError(

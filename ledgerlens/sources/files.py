@@ -1,36 +1,65 @@
-"""Metrics table as files: CSV with an explicit schema, partitioned Parquet."""
+"""Metrics table as files: CSV read by header name, partitioned Parquet."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.schema import METRICS_COLUMNS, METRICS_SCHEMA
 
-_TEXT_COLUMNS = ["servicer_number", "servicer_name", "tenant_id", "region", "metric_status"]
-
-
-def read_metrics_csv(spark: SparkSession, path: str,
-                     null_tokens: Iterable[str] = ()) -> DataFrame:
-    """Read metrics CSV: header row, comma, UTF-8, declared schema.
-
-    Empty fields become NULL.  ``null_tokens`` (e.g. ``["NA", "null"]``) turns
-    further text tokens into NULL in the string columns.
+# The texts that the usual CSV reader of the Python world takes as missing.
+MISSING_TOKENS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+# Date forms besides ISO dates and date-times.
+DATE_FORMATS = ("M/d/yyyy", "yyyy/M/d", "yyyyMMdd")
+
+
+def _converted(raw: Column, kind: str) -> Column:
+    if kind == "string":
+        return raw
+    text = F.trim(raw)
+    if kind == "date":
+        # a date-time loses its time
+        return F.coalesce(text.try_cast("timestamp_ntz").cast("date"),
+                          *[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in DATE_FORMATS])
+    if kind == "bigint":  # 12.0 is a whole number, 12.5 is not
+        number = text.try_cast("decimal(38,10)")
+        return F.coalesce(text.try_cast("bigint"), F.when(number == F.floor(number), number.try_cast("bigint")))
+    return text.try_cast(kind)
+
+
+def read_metrics_csv(spark: SparkSession, path: str, null_tokens: Iterable[str] = MISSING_TOKENS,
+                     multi_line: bool = True) -> DataFrame:
+    """Read metrics CSV: comma, UTF-8, columns found by their header name.
+
+    Column order is free and further columns are ignored; a missing column
+    raises ``ValueError``.  Quoted fields may hold commas, doubled quotes and
+    (``multi_line``; such files are read by one task each) line breaks.
+    ``null_tokens`` are missing in every column.  Dates may carry a time, which
+    is dropped.  A value that does not fit its column's type fails the query
+    with the column's name.  All files of a folder need the same header.
     """
-    df = (spark.read.schema(METRICS_SCHEMA)
-          .option("header", True).option("encoding", "UTF-8")
-          .option("dateFormat", "yyyy-MM-dd")
-          .option("mode", "FAILFAST")
-          .csv(path))
+    raw = (spark.read.option("header", True).option("encoding", "UTF-8")
+           .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+           .option("enforceSchema", False).option("mode", "FAILFAST").csv(path))
+    absent = [c for c in METRICS_COLUMNS if c not in raw.columns]
+    if absent:
+        raise ValueError(f"{path}: no column {', '.join(absent)} in the header")
     tokens = list(null_tokens)
-    if tokens:
-        df = df.select(*[
-            F.when(F.col(c).isin(tokens), F.lit(None).cast("string")).otherwise(F.col(c)).alias(c)
-            if c in _TEXT_COLUMNS else F.col(c)
-            for c in METRICS_COLUMNS])
-    return df
+
+    def column(name: str, kind: str) -> Column:
+        text = F.col(f"`{name}`")
+        given = F.when(text.isin(tokens), None).otherwise(text) if tokens else text
+        value = _converted(given, kind)
+        if kind == "string":
+            return value.alias(name)
+        problem = F.concat(F.lit(f"column {name}: not a {kind}: "), given)
+        return F.when(given.isNotNull() & value.isNull(), F.raise_error(problem).cast(kind)).otherwise(value).alias(name)
+
+    return raw.select(*[column(f.name, f.dataType.simpleString()) for f in METRICS_SCHEMA])
 
 
 def read_metrics_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -42,6 +71,9 @@ def read_metrics_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(METRICS_SCHEMA).parquet(path).select(*METRICS_COLUMNS)
 
 
+_KEYS = ("business_date", "servicer_number", "unique_id")
+
+
 def write_metrics_parquet(df: DataFrame, path: str, mode: str = "overwrite",
                           partitions: int | None = None,
                           max_records_per_file: int = 5_000_000) -> None:
@@ -49,23 +81,24 @@ def write_metrics_parquet(df: DataFrame, path: str, mode: str = "overwrite",
 
     Range partitioning on (date, number, id) keeps each task to a few dates
     while splitting a heavy date over several tasks; AQE sizes the ranges from
-    the shuffle statistics unless ``partitions`` is given; files are capped in rows.
+    the shuffle statistics unless ``partitions`` is given; files are capped in
+    rows.  Rows are sorted by the same keys, so the statistics of a file's row
+    groups and pages prune by servicer number.
     """
-    keys = ["business_date", "servicer_number", "unique_id"]
     rows = df.select(*METRICS_COLUMNS)
-    # No explicit count: AQE sizes the ranges from the shuffle statistics.
-    ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    (ranged
+    ranged = rows.repartitionByRange(partitions, *_KEYS) if partitions else rows.repartitionByRange(*_KEYS)
+    (ranged.sortWithinPartitions(*_KEYS)
      .write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
      .partitionBy("business_date").parquet(path))
 
 
-def write_metrics_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_metrics_csv(df: DataFrame, path: str, mode: str = "overwrite",
+                      columns: Sequence[str] = METRICS_COLUMNS, null_token: str = "") -> None:
     """Write the metrics table as CSV with a header row (dates as yyyy-MM-dd).
 
-    Doubles are written in a form that parses back to the same value.
+    Doubles are written in a form that parses back to the same value;
+    ``columns`` sets the column order and ``null_token`` what stands for missing.
     """
-    (df.select(*METRICS_COLUMNS)
-     .repartitionByRange("business_date", "servicer_number", "unique_id")
+    (df.select(*columns).repartitionByRange(*_KEYS)
      .write.mode(mode).option("header", True).option("dateFormat", "yyyy-MM-dd")
-     .csv(path))
+     .option("escape", '"').option("nullValue", null_token).csv(path))

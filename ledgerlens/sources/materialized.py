@@ -2,62 +2,72 @@
 
 The reference loads its table once and answers every request from memory.
 Here the derived table is written once, partitioned by ``business_date``, to
-the session's reliable checkpoint folder (shared storage on a cluster); later
-reports read it with partition pruning and pushed filters.  A written table
-also cuts lineage, so a lost executor never replays the source aggregation.
-
-The table is keyed by the caller's key plus a signature of the input files
-(path, size, modification time), so changed inputs get a new table.  Within
-one application a lock serialises the build; separate applications sharing a
-configured root should not build the same table for the first time at the
-same moment (build it once, e.g. in the load job, then every reader reuses it).
+the shared folder that the session names; later reports read it with partition
+pruning and pushed filters.  A written table also cuts lineage, so a lost
+executor never replays the source aggregation.
+
+A table is keyed by its inputs (path, size and modification time of every
+file, as Spark lists them) and by its definition (see ``definition_digest``),
+so changed data or changed code gets a new table.  Every build writes to a
+folder of its own and is then published by a small marker below the key;
+nothing is overwritten or deleted, so any number of applications may build or
+read at the same time.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
+import inspect
 import threading
+import uuid
 from collections.abc import Callable, Iterable
+from types import ModuleType
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens.operators.filters import ReportFilter
-from ledgerlens.session import app_id, ensure_checkpoint_dir
+from ledgerlens.schema import METRICS_SCHEMA
+from ledgerlens.session import app_id, shared_root
 from ledgerlens.sources.files import (
     read_metrics_csv, read_metrics_parquet, write_metrics_csv, write_metrics_parquet)
 
-_BUILT: dict[str, str] = {}
 _READ: dict[tuple[str, str], DataFrame] = {}
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 
 
-def input_signature(paths: Iterable[str], spark: SparkSession | None = None) -> str:
-    """Digest identifying the current contents of the input tables.
+def input_signature(spark: SparkSession, paths: Iterable[str]) -> str:
+    """Digest of the files below ``paths``: names, sizes and modification times.
 
-    A local path contributes its files' sizes and modification times; any
-    other path (shared or object storage) contributes the data-file listing
-    Spark reports for it (writers give part files unique names, so a rewrite
-    changes the listing).
+    The listing is Spark's own (no content is read), so it works on any store;
+    it is summed up on the executors and one row reaches the driver.
     """
     h = hashlib.sha256()
-    for p in sorted(paths):
-        local = p.removeprefix("file:")
-        if os.path.exists(local):
-            entries = ([os.path.join(d, f) for d, _, fs in os.walk(local) for f in fs]
-                       if os.path.isdir(local) else [local])
-            for e in sorted(entries):
-                st = os.stat(e)
-                h.update(f"{e}|{st.st_size}|{st.st_mtime_ns}".encode())
-        elif spark is not None:
-            for f in sorted(spark.read.parquet(p).inputFiles()):
-                h.update(f.encode())
-        else:
-            raise ValueError(f"cannot sign {p!r} without a session")
+    for path in sorted(paths):
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+                 .select(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h"), "length"))
+        h.update(f"{path}|{tuple(files.agg(F.count('h'), F.sum('h'), F.sum('length')).first())}".encode())
     return h.hexdigest()[:16]
 
 
+def definition_digest(*modules: ModuleType) -> str:
+    """Digest of what defines a table: the modules' source, their constants as they are now, and the schema."""
+    h = hashlib.sha256(METRICS_SCHEMA.json().encode())
+    for module in modules:
+        h.update(inspect.getsource(module).encode())
+        h.update(repr(sorted((k, v) for k, v in vars(module).items()
+                             if k.isupper() and isinstance(v, (int, float, str, tuple, list)))).encode())
+    return h.hexdigest()[:16]
+
+
+def stored_small(df: DataFrame, name: str) -> DataFrame:
+    """Write an aggregated table to the shared folder and read it back, with its true size known."""
+    path = f"{shared_root(df.sparkSession)}/ledgerlens-tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class MaterializedSource:
     """A metrics source built by ``build()`` on first use and read back after."""
 
@@ -68,37 +78,35 @@ class MaterializedSource:
         self.spark, self.key, self.build, self.fmt = spark, key, build, fmt
 
     @property
-    def path(self) -> str:
-        # A configured (shared) root is stable across applications, so a table
-        # built by one run is reused by the next; otherwise the session's own
-        # checkpoint folder is used.
-        root = (self.spark.conf.get("spark.checkpoint.dir", None)
-                or ensure_checkpoint_dir(self.spark)).rstrip("/")
-        return f"{root}/ledgerlens-tables/{self.key}-{self.fmt}"
-
-    def _complete(self, path: str) -> bool:
-        """True when a finished write (its ``_SUCCESS`` marker) is at ``path``."""
+    def home(self) -> str:
+        return f"{shared_root(self.spark)}/ledgerlens-tables/{self.key}-{self.fmt}"
+
+    def published(self) -> str | None:
+        """Folder of a finished table, the first by name if several were built; None if there is none."""
         try:
-            self.spark.read.text(f"{path}/_SUCCESS").limit(1).collect()
-            return True
+            found = self.spark.read.text(f"{self.home}/published/*/part-*").agg(F.min("value")).first()[0]
         except AnalysisException:
-            return False
+            return None
+        return f"{self.home}/{found}" if found else None
+
+    def _build(self) -> str:
+        name = f"table-{uuid.uuid4().hex}"
+        write = write_metrics_parquet if self.fmt == "parquet" else write_metrics_csv
+        write(self.build(), f"{self.home}/{name}")
+        marker = self.spark.range(1).select(F.lit(name).alias("value")).coalesce(1)
+        marker.write.text(f"{self.home}/published/{name}")
+        return f"{self.home}/{name}"
 
     def table(self) -> DataFrame:
         """The built table; one DataFrame per session, so its file listing
         (partition discovery) is done once, not per report."""
-        path = self.path
+        cached = (app_id(self.spark), self.home)
         with _LOCK:
-            if _BUILT.get(path) != self.key:
-                if not self._complete(path):
-                    write = write_metrics_parquet if self.fmt == "parquet" else write_metrics_csv
-                    write(self.build(), path)
-                _BUILT[path] = self.key
-            cache_key = (app_id(self.spark), path)
-            if cache_key not in _READ:
-                _READ[cache_key] = (read_metrics_csv(self.spark, path) if self.fmt == "csv"
-                                    else read_metrics_parquet(self.spark, path))
-            return _READ[cache_key]
+            if cached not in _READ:
+                path = self.published() or self._build()
+                read = read_metrics_csv if self.fmt == "csv" else read_metrics_parquet
+                _READ[cached] = read(self.spark, path)
+            return _READ[cached]
 
     def __call__(self, pushdown: ReportFilter | None = None) -> DataFrame:
         # Date filters prune partitions and the rest reach the Parquet reader

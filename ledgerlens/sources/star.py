@@ -2,10 +2,8 @@
 
 Grain: supplier x ship month.  ``lineitem`` is aggregated first (partial
 aggregation before the shuffle, so a hot supplier costs one row per map task),
-then joined to ``supplier``/``nation``/``region``.  A dimension is broadcast
-only when its row count, read from the Parquet footers, is under a bound;
-otherwise the join is left to the planner (sort-merge, or AQE's runtime
-broadcast).
+then joined to ``supplier``/``nation``/``region``.  The joins carry no hints:
+Spark broadcasts a dimension by its size in bytes or sort-merges it.
 
 Filters on the derived columns cannot reach the scan by themselves
 (``business_date`` is a month truncation, ``servicer_number`` a formatted
@@ -17,19 +15,21 @@ the report on top; the raw bounds only prune.
 from __future__ import annotations
 
 import re
+import sys
 from datetime import date
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.filters import ReportFilter, name_condition
 from ledgerlens.session import app_id
+from ledgerlens.sources import files
 
 # Fixed mapping choices of the adapter.
 NUMBER_FORMAT = "SVC-%05d"
 GREEN_BELOW = 0.25
 YELLOW_BELOW = 0.5
-DIMENSION_BROADCAST_MAX_ROWS = 5_000_000
 
 _NUMBER_RE = re.compile(r"SVC-(\d+)")
 
@@ -78,29 +78,6 @@ def shipdate_bounds(flt: ReportFilter | None) -> list[Column]:
     return preds
 
 
-_DIMENSION_ROWS: dict[tuple[str, str], int] = {}
-
-
-def _small(spark: SparkSession, sf_dir: str, name: str) -> bool:
-    """Whether a dimension's whole-table row count is under the broadcast bound.
-
-    Counted once per session and path (an unfiltered Parquet count reads footers).
-    """
-    key = (app_id(spark), f"{sf_dir}/{name}")
-    if key not in _DIMENSION_ROWS:
-        _DIMENSION_ROWS[key] = table(spark, sf_dir, name).count()
-    return _DIMENSION_ROWS[key] <= DIMENSION_BROADCAST_MAX_ROWS
-
-
-def _dimension(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> DataFrame:
-    """Broadcast hint only for a dimension whose row count is checked to be small.
-
-    Above the bound no hint is given and the planner picks the join
-    (sort-merge, or an AQE runtime broadcast when the filtered side is small).
-    """
-    return F.broadcast(df) if _small(spark, sf_dir, name) else df
-
-
 class StarSource:
     """The star-schema adapter as a metrics source (filters become scan bounds)."""
 
@@ -114,15 +91,23 @@ class StarSource:
 STAR_TABLES = ["lineitem", "supplier", "nation", "region"]
 
 
-def materialized_star(spark: SparkSession, sf_dir: str, fmt: str = "parquet"):
-    """The adapter's table, written once per input signature and reused.
+_SOURCES: dict[tuple[str, ...], Any] = {}
+
+
+def materialized_star(spark: SparkSession, sf_dir: str, fmt: str = "parquet", refresh: bool = False):
+    """The adapter's table, written once per input and definition and reused.
 
-    ``fmt="csv"`` writes a CSV copy instead, read back with the declared schema.
+    ``fmt="csv"`` writes a CSV copy instead, read back by header name.  The
+    inputs are identified once per session (``refresh=True``: again).
     """
-    from ledgerlens.sources.materialized import MaterializedSource, input_signature
+    from ledgerlens.sources.materialized import MaterializedSource, definition_digest, input_signature
 
-    sig = input_signature((f"{sf_dir.rstrip('/')}/{t}.parquet" for t in STAR_TABLES), spark)
-    return MaterializedSource(spark, f"star-{sig}", lambda: star_metrics(spark, sf_dir), fmt)
+    mine = (app_id(spark), sf_dir, fmt, definition_digest(sys.modules[__name__], files))
+    if refresh or mine not in _SOURCES:
+        inputs = input_signature(spark, (f"{sf_dir.rstrip('/')}/{t}.parquet" for t in STAR_TABLES))
+        _SOURCES[mine] = MaterializedSource(
+            spark, f"star-{inputs}-{mine[-1]}", lambda: star_metrics(spark, sf_dir), fmt)
+    return _SOURCES[mine]
 
 
 def star_metrics(spark: SparkSession, sf_dir: str,
@@ -141,13 +126,10 @@ def star_metrics(spark: SparkSession, sf_dir: str,
             lines = lines.where(F.col("l_suppkey") == F.lit(key))
             supplier = supplier.where(F.col("s_suppkey") == F.lit(key))
 
-    if pushdown is not None and pushdown.servicer_name and _small(spark, sf_dir, "supplier"):
-        # Name filter: keep only the matching suppliers' lines before aggregating
-        # (a broadcast semi-join; skipped when the supplier table is too large to
-        # broadcast, where the filter then applies after aggregation).
+    if pushdown is not None and pushdown.servicer_name:
+        # Name filter: keep only the matching suppliers' lines before aggregating.
         matching = supplier.where(name_condition(F.col("s_name"), pushdown)).select("s_suppkey")
-        lines = lines.join(F.broadcast(matching), lines.l_suppkey == matching.s_suppkey,
-                           "left_semi")
+        lines = lines.join(matching, lines.l_suppkey == matching.s_suppkey, "left_semi")
 
     monthly = (
         lines.groupBy(
@@ -163,12 +145,9 @@ def star_metrics(spark: SparkSession, sf_dir: str,
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     joined = (
-        monthly.join(_dimension(spark, sf_dir, "supplier", supplier),
-                     monthly.l_suppkey == supplier.s_suppkey)
-        .join(_dimension(spark, sf_dir, "nation", nation),
-              F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(_dimension(spark, sf_dir, "region", region),
-              F.col("n_regionkey") == F.col("r_regionkey"))
+        monthly.join(supplier, monthly.l_suppkey == supplier.s_suppkey)
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     )
     rate = F.col("delinquent") / F.col("loan_count")
     return joined.select(
@@ -187,3 +166,30 @@ def star_metrics(spark: SparkSession, sf_dir: str,
         .when(rate < F.lit(YELLOW_BELOW), F.lit("YELLOW"))
         .otherwise(F.lit("RED")).alias("metric_status"),
     )
+
+
+def messy_metrics(metrics: DataFrame) -> DataFrame:
+    """``metrics`` with missing values in every column, renamed servicers and an unknown status.
+
+    A fixed function of the row ids, to check how the reports treat such rows.
+    """
+    supplier = F.floor(F.col("unique_id") / F.lit(1_000_000))
+    uid = F.col("unique_id")
+
+    def unless(hit: Column, name: str) -> Column:
+        return F.when(~hit, F.col(name))
+
+    renamed = (supplier % 5 == 2) & F.coalesce(F.year("business_date") >= 1996, F.lit(False))
+    changed = {
+        "servicer_number": unless(supplier % 17 == 3, "servicer_number"),
+        "servicer_name": F.when(supplier % 13 == 5, None).when(
+            renamed, F.concat("servicer_name", F.lit(" (renamed)"))).otherwise(F.col("servicer_name")),
+        "business_date": unless(uid % 41 == 7, "business_date"),
+        "region": unless(supplier % 11 == 4, "region"),
+        "loan_count": unless(uid % 19 == 1, "loan_count"),
+        "delinquency_rate": unless(uid % 23 == 2, "delinquency_rate"),
+        "total_balance_usd": unless(uid % 29 == 3, "total_balance_usd"),
+        "metric_status": F.when(supplier % 7 == 1, "BLUE").when(supplier % 7 == 6, None).otherwise(
+            F.col("metric_status")),
+    }
+    return metrics.withColumns(changed)
