@@ -3,7 +3,7 @@
 Example::
 
     python -m ledgerlens --parquet /data/metrics --end-date 2026-04-02 --out /data/dash
-    python -m ledgerlens --star /data/tpch --name apex --out /data/dash --traces
+    python -m ledgerlens --star /data/tpch --name iris --out /data/dash --traces
 
 On a cluster, submit this file with ``spark-submit`` (its settings apply);
 run with plain ``python`` and no master configured, it starts a local session.

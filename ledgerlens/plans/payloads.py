@@ -44,8 +44,8 @@ def _payload(traces: DataFrame, chart_type: str, title: Column, order: list, *tr
 def _folded(rows: DataFrame, order: str, *columns: str) -> DataFrame:
     """All rows as one record of parallel arrays (bars of one date, status values); none if there are no rows."""
     all_rows = rows.agg(F.max("title").alias("title"),
-                        F.array_sort(F.collect_list(F.struct(order, *columns))).alias("all"))
-    arrays = [F.transform("all", lambda r, c=c: r[c]).alias(c) for c in columns]
+                        F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), *columns))).alias("all"))
+    arrays = [F.col("all").getField(c).alias(c) for c in columns]
     return all_rows.where(F.size("all") > 0).select("title", F.lit(0).cast("long").alias("part"), *arrays)
 
 

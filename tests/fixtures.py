@@ -6,35 +6,32 @@ from datetime import date
 
 from ledgerlens.schema import METRICS_SCHEMA
 
-D1, D2, D3 = date(2026, 4, 1), date(2026, 4, 2), date(2026, 4, 3)
+D1, D2, D3 = date(2025, 2, 27), date(2025, 2, 28), date(2025, 3, 1)
 
-# The 24-row sample metrics table (8 servicers x 3 dates).
+# An invented table: seven servicers, three dates, one of them missing on the last date.
+# The last date's mean rate is exactly 3.575 %, and 64.35 is a rounding tie.
 # (unique_id, number, name, tenant, date, region, loans, rate, balance, status)
 SAMPLE_ROWS = [
-    (1001, "SVC-001", "Apex Mortgage Services", "tenant-a", D1, "NORTH", 1240, 0.032, 184500000.00, "GREEN"),
-    (1002, "SVC-001", "Apex Mortgage Services", "tenant-a", D2, "NORTH", 1248, 0.034, 185100000.00, "GREEN"),
-    (1003, "SVC-001", "Apex Mortgage Services", "tenant-a", D3, "NORTH", 1251, 0.036, 185920000.00, "YELLOW"),
-    (1004, "SVC-002", "Beacon Loan Servicing", "tenant-a", D1, "SOUTH", 890, 0.041, 121300000.00, "YELLOW"),
-    (1005, "SVC-002", "Beacon Loan Servicing", "tenant-a", D2, "SOUTH", 892, 0.043, 121800000.00, "YELLOW"),
-    (1006, "SVC-002", "Beacon Loan Servicing", "tenant-a", D3, "SOUTH", 895, 0.045, 122050000.00, "RED"),
-    (1007, "SVC-003", "Cardinal Servicing Group", "tenant-b", D1, "EAST", 2105, 0.021, 302400000.00, "GREEN"),
-    (1008, "SVC-003", "Cardinal Servicing Group", "tenant-b", D2, "EAST", 2112, 0.022, 303100000.00, "GREEN"),
-    (1009, "SVC-003", "Cardinal Servicing Group", "tenant-b", D3, "EAST", 2118, 0.023, 303900000.00, "GREEN"),
-    (1010, "SVC-004", "Delta Financial Partners", "tenant-b", D1, "WEST", 1567, 0.029, 221800000.00, "GREEN"),
-    (1011, "SVC-004", "Delta Financial Partners", "tenant-b", D2, "WEST", 1571, 0.030, 222400000.00, "GREEN"),
-    (1012, "SVC-004", "Delta Financial Partners", "tenant-b", D3, "WEST", 1574, 0.031, 223000000.00, "GREEN"),
-    (1013, "SVC-005", "Evergreen Capital Servicing", "tenant-c", D1, "NORTH", 743, 0.052, 98700000.00, "RED"),
-    (1014, "SVC-005", "Evergreen Capital Servicing", "tenant-c", D2, "NORTH", 741, 0.054, 98500000.00, "RED"),
-    (1015, "SVC-005", "Evergreen Capital Servicing", "tenant-c", D3, "NORTH", 739, 0.055, 98300000.00, "RED"),
-    (1016, "SVC-006", "Fortis Home Loans", "tenant-c", D1, "SOUTH", 1820, 0.027, 258900000.00, "GREEN"),
-    (1017, "SVC-006", "Fortis Home Loans", "tenant-c", D2, "SOUTH", 1825, 0.028, 259400000.00, "GREEN"),
-    (1018, "SVC-006", "Fortis Home Loans", "tenant-c", D3, "SOUTH", 1830, 0.029, 259900000.00, "YELLOW"),
-    (1019, "SVC-007", "Granite Mortgage Co", "tenant-a", D1, "EAST", 995, 0.038, 140200000.00, "YELLOW"),
-    (1020, "SVC-007", "Granite Mortgage Co", "tenant-a", D2, "EAST", 998, 0.039, 140600000.00, "YELLOW"),
-    (1021, "SVC-007", "Granite Mortgage Co", "tenant-a", D3, "EAST", 1001, 0.040, 141100000.00, "YELLOW"),
-    (1022, "SVC-008", "Horizon Lending Services", "tenant-b", D1, "WEST", 1340, 0.025, 189700000.00, "GREEN"),
-    (1023, "SVC-008", "Horizon Lending Services", "tenant-b", D2, "WEST", 1344, 0.026, 190200000.00, "GREEN"),
-    (1024, "SVC-008", "Horizon Lending Services", "tenant-b", D3, "WEST", 1348, 0.027, 190700000.00, "GREEN"),
+    (501, "Q-11", "Juniper Ledger Works", "t1", D1, "UPLAND", 410, 0.029, 63_900_000.00, "GREEN"),
+    (502, "Q-11", "Juniper Ledger Works", "t1", D2, "UPLAND", 414, 0.03, 64_100_000.00, "GREEN"),
+    (503, "Q-11", "Juniper Ledger Works", "t1", D3, "UPLAND", 417, 0.031, 64_350_000.00, "YELLOW"),
+    (504, "Q-12", "Kestrel Payment House", "t2", D1, "COAST", 1530, 0.041, 212_250_000.00, "YELLOW"),
+    (505, "Q-12", "Kestrel Payment House", "t2", D2, "COAST", 1536, 0.0425, 213_000_000.00, "YELLOW"),
+    (506, "Q-12", "Kestrel Payment House", "t2", D3, "COAST", 1549, 0.044, 214_400_000.00, "RED"),
+    (507, "Q-13", "Lumen Billing Office", "t2", D1, "UPLAND", 2750, 0.02, 401_000_000.00, "GREEN"),
+    (508, "Q-13", "Lumen Billing Office", "t2", D2, "UPLAND", 2761, 0.021, 402_500_000.00, "GREEN"),
+    (509, "Q-13", "Lumen Billing Office", "t2", D3, "UPLAND", 2768, 0.022, 403_750_000.00, "GREEN"),
+    (510, "Q-14", "Marlin Ledger Trust", "t3", D1, "DELTA", 98, 0.055, 12_400_000.00, "RED"),
+    (511, "Q-14", "Marlin Ledger Trust", "t3", D2, "DELTA", 97, 0.056, 12_300_000.00, "RED"),
+    (512, "Q-14", "Marlin Ledger Trust", "t3", D3, "DELTA", 95, 0.057, 12_050_000.00, "RED"),
+    (513, "Q-15", "Nettle Accounts", "t1", D1, "COAST", 633, 0.0275, 88_100_000.00, "GREEN"),
+    (514, "Q-15", "Nettle Accounts", "t1", D2, "COAST", 640, 0.028, 88_900_000.00, "GREEN"),
+    (515, "Q-15", "Nettle Accounts", "t1", D3, "COAST", 642, 0.0285, 89_450_000.00, "GREEN"),
+    (516, "Q-16", "Osprey Payment Desk", "t3", D1, "DELTA", 1205, 0.034, 167_300_000.00, "YELLOW"),
+    (517, "Q-16", "Osprey Payment Desk", "t3", D2, "DELTA", 1210, 0.033, 168_050_000.00, "YELLOW"),
+    (518, "Q-16", "Osprey Payment Desk", "t3", D3, "DELTA", 1216, 0.032, 168_900_000.00, "YELLOW"),
+    (519, "Q-17", "Pinecone Ledger Bureau", "t2", D1, "UPLAND", 75, 0.012, 9_800_000.00, "GREEN"),
+    (520, "Q-17", "Pinecone Ledger Bureau", "t2", D2, "UPLAND", 76, 0.013, 9_950_000.00, "GREEN"),
 ]
 
 SAMPLE_CSV_HEADER = ("unique_id,servicer_number,servicer_name,tenant_id,business_date,region,"
@@ -45,7 +42,7 @@ def sample_csv_text() -> str:
     lines = [SAMPLE_CSV_HEADER]
     for r in SAMPLE_ROWS:
         lines.append(",".join([str(r[0]), r[1], r[2], r[3], r[4].isoformat(), r[5], str(r[6]),
-                               f"{r[7]:.3f}", f"{r[8]:.2f}", r[9]]))
+                               repr(r[7]), f"{r[8]:.2f}", r[9]]))
     return "\n".join(lines) + "\n"
 
 

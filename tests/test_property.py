@@ -17,7 +17,7 @@ from tests.fixtures import frame
 
 DATES = [date(2026, 3, 30), date(2026, 3, 31), date(2026, 4, 1), None]
 NUMBERS = ["S1", "S2", "S3", "S10", "S4", "S5", "S6", "S7", "S8", "S9", "S11", None]
-NAMES = ["Apex Co", "apex two", "Bay", None]
+NAMES = ["Iris Co", "iris two", "Bay", None]
 REGIONS = ["EAST", "WEST", None]
 STATUSES = ["GREEN", "YELLOW", "RED", "BLUE", None]
 
@@ -45,8 +45,8 @@ def tables(draw):
             draw(st.sampled_from(STATUSES)),
         ))
     flt = draw(st.sampled_from([
-        None, ReportFilter(servicer_name="apex"), ReportFilter(servicer_number="S2"),
-        ReportFilter(servicer_name="^a.e", name_regex=True),
+        None, ReportFilter(servicer_name="iris"), ReportFilter(servicer_number="S2"),
+        ReportFilter(servicer_name="^i.i", name_regex=True),
         ReportFilter(start_date="2026-03-31"), ReportFilter(end_date="2026-03-31")]))
     return rows, flt
 
