@@ -21,6 +21,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerlens.llm._util import U64, mix64, spans
 from ledgerlens.llm._words import range_hashes, word_bounds
@@ -33,7 +34,7 @@ GUARANTEE = 0.9999
 _BYTES = 1 << 20
 _CELLS = 1 << 18
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-SCHEMA = "doc_id long, license string, containment double, first_word int, window_words int"
+SCHEMA = "doc_id string, license string, containment double, first_word int, window_words int"
 
 
 def _is_separator() -> np.ndarray:
@@ -203,9 +204,11 @@ def find_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
                 found = defaultdict(list)
                 for doc, template, share, first, count in scanner.scan(texts[a:b]):
                     for name, value in zip(("doc_id", "license", "containment", "first_word", "window_words"), (
-                            None if pd.isna(ids[a + doc]) else int(ids[a + doc]), scanner.names[template], share, first, count)):
+                            ids[a + doc], scanner.names[template], share, first, count)):
                         found[name].append(value)
                 if found:
-                    yield pd.DataFrame(found).astype({"doc_id": "Int64"})
+                    yield pd.DataFrame(found)
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    # ids travel as text: a batch with a null id would turn whole numbers into doubles
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return rows.mapInPandas(run, SCHEMA).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

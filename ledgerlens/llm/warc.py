@@ -46,6 +46,17 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def _whole(text: str | None) -> int | None:
+    return None if text is None else int(text)
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """Rows as a frame; whole numbers stay exact beside nulls."""
+    columns = [c.split() for c in schema.split(", ")]
+    return pd.DataFrame({name: pd.array([r[i] for r in rows], dtype="Int64" if kind == "long" else object)
+                         for i, (name, kind) in enumerate(columns)})
+
+
 # --- records ----------------------------------------------------------------
 
 def record_id(page_id: int | None) -> str:
@@ -126,8 +137,7 @@ def _writer(folder: str, archive_bytes: int):
             for frame in frames:
                 index = []
                 for page_id, url, payload, digest, refers in frame.itertuples(index=False, name=None):
-                    page_id = None if pd.isna(page_id) else int(page_id)
-                    refers = None if pd.isna(refers) else int(refers)
+                    page_id, refers = _whole(page_id), _whole(refers)
                     member = _gzip(make_record(page_id, url, payload, digest, refers))
                     if out is None or offset + len(member) > archive_bytes:
                         if out is not None:
@@ -138,8 +148,7 @@ def _writer(folder: str, archive_bytes: int):
                     index.append((f"{folder}/{name}", offset, len(member), url, digest,
                                   "response" if refers is None else "revisit", page_id))
                     offset += len(member)
-                yield pd.DataFrame(index, columns=[c.split()[0] for c in INDEX_SCHEMA.split(", ")]).astype(
-                    {"page_id": "Int64"})
+                yield _frame(index, INDEX_SCHEMA)
         finally:
             if out is not None:
                 out.close()
@@ -157,7 +166,9 @@ def write_archives(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES,
     its payload are responses, all of them.  Other columns are not read.
     """
     folder = shared_path(pages.sparkSession, "archives")
-    rows = with_revisits(pages, min_bytes)
+    # ids travel as text: a batch with a null id would turn whole numbers into doubles
+    rows = with_revisits(pages, min_bytes).withColumns(
+        {c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     return stored(rows.mapInPandas(_writer(folder, archive_bytes), INDEX_SCHEMA), "warc-index")
 
 
@@ -190,8 +201,7 @@ def _reader(gap: int, most: int):
                         for offset, length in ranges[first:last]:
                             member = data[offset - start:offset - start + length]
                             rows.append(_as_row(*parse_record(zlib.decompress(member, 31))))
-                        yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD_SCHEMA.split(", ")]).astype(
-                            {"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
+                        yield _frame(rows, RECORD_SCHEMA)
 
     return read
 

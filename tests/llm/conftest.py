@@ -26,7 +26,7 @@ def messy_rows() -> list[tuple]:
              (123, "12 34 --", "de", "s2", 8), (124, long, "en", "s3", len(long)), (None, rows[0][1], "en", "s0", 9),
              (None, None, None, None, None), rows[3], rows[3], rows[3],
              (125, rows[5][1], "fr", None, 7), (126, rows[5][1] + " x", "fr", "s1", 7), (127, "word", "en", "s9", 4),
-             (128, "nul\x00 é \U0001F600 ▁ <0x41>  two", "en", "s0", 20)]
+             (128, "nul\x00 é \U0001F600 ▁ <0x41>  two", "en", "s0", 20), (2 ** 60 + 1, "Released under the MIT License.", "en", "s1", 31)]
     return rows
 
 

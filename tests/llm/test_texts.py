@@ -45,7 +45,8 @@ def licensed_rows():
             at = rng.randint(0, len(text))
             text = text[:at] + notice + text[at:]
         rows.append((i, " ".join(text)))
-    rows += [(200, None), (201, ""), (202, "Released under the MIT"), (None, "Released under the MIT License."), rows[5], rows[5],
+    rows += [(200, None), (201, ""), (202, "Released under the MIT"), (None, "Released under the MIT License."),
+             (2 ** 60 + 1, "Released under the MIT License."), rows[5], rows[5],
              (203, "Released under the MIT License. " * 3000)]
     return rows
 

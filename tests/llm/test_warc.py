@@ -17,7 +17,8 @@ def pages(spark):
     return spark.createDataFrame([
         (5, "http://a/\r\nInjected: 1", BIG), (3, "http://b", BIG), (9, None, BIG), (1, "http://c", "tiny"),
         (2, "http://d", "tiny"), (4, "http://e", None), (6, "http://f", ""), (7, "%41\x00", LONG), (8, "u", LONG),
-        (None, "n", BIG), (None, "n", "WARC/1.1\r\n\r\n" * 30), (3, "http://b", BIG)], PAGES).withColumn("digest", F.lit(1))
+        (None, "n", BIG), (None, "n", "WARC/1.1\r\n\r\n" * 30), (3, "http://b", BIG),
+        (2 ** 60 + 1, "http://big", "y" * 100), (2 ** 60 + 3, "http://big", "y" * 100)], PAGES).withColumn("digest", F.lit(1))
 
 
 def plain(rows):
