@@ -9,10 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
-                  app_name: str = "ledgerlens") -> SparkSession:
+                  app_name: str = "ledgerlens", checkpoint_dir: str | None = None) -> SparkSession:
     """Session for tests and the local bench; a cluster brings its own config."""
+    builder = SparkSession.builder.master(f"local[{cpus}]")
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder
         .appName(app_name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
