@@ -8,15 +8,14 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.session import ensure_checkpoint_dir
+from ledgerlens.session import shared_root
 
 U64 = np.uint64
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that the cluster names in ``spark.checkpoint.dir``."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    return f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
