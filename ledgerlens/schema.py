@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# --- Fixed values (must equal the reference's input and output) -------------
+# Column names and types of the table.
 # One row per (servicer, business date[, region]); declared, never inferred.
 METRICS_SCHEMA = T.StructType(
     [
@@ -22,7 +24,6 @@ METRICS_SCHEMA = T.StructType(
 
 METRICS_COLUMNS = [f.name for f in METRICS_SCHEMA.fields]
 
-# --- Fixed values (must equal the reference's output) -----------------------
 # Status domain that the KPI always reports, zero-filled, in this order.
 STATUS_DOMAIN = ["GREEN", "YELLOW", "RED"]
 # Status colours of the donut chart, and the colour of any other status.
