@@ -38,18 +38,20 @@ def _letters(codes: np.ndarray) -> np.ndarray:
         codes.astype(np.uint64))
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed trigrams of all texts (lower case, words framed by spaces) and the text each is from."""
-    joined = "  ".join(["", *(t.lower() for t in texts), ""])
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.fromiter((len(t.lower()) + 2 for t in texts), np.int64, len(texts))
-    letters = _letters(codes)
-    a, b, c = letters[:-2], letters[1:-1], letters[2:]
-    keep = np.flatnonzero(((a != _SPACE) | (b != _SPACE)) & ((b != _SPACE) | (c != _SPACE)))
-    packed = (a[keep] << U64(42)) | (b[keep] << U64(21)) | c[keep]
-    # a trigram belongs to the text that its middle character is in
-    owner = np.searchsorted(np.cumsum(sizes), np.maximum(keep - 1, 0), side="right")
-    return packed, np.minimum(owner, max(len(texts) - 1, 0))
+def trigram_blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Packed trigrams of all texts (lower case, words framed by spaces) and the text each is from, block by block."""
+    lowered = [t.lower() for t in texts]
+    joined = "  ".join(["", *lowered, ""])
+    bounds = np.cumsum(np.fromiter((len(t) + 2 for t in lowered), np.int64, len(lowered)))
+    for at in range(0, len(joined) - 2, _CHARS):
+        codes = np.frombuffer(joined[at:at + _CHARS + 2].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = _letters(codes)
+        a, b, c = letters[:-2], letters[1:-1], letters[2:]
+        keep = np.flatnonzero(((a != _SPACE) | (b != _SPACE)) & ((b != _SPACE) | (c != _SPACE)))
+        packed = (a[keep] << U64(42)) | (b[keep] << U64(21)) | c[keep]
+        # a trigram belongs to the text that its middle character is in
+        owner = np.searchsorted(bounds, np.maximum(keep + at - 1, 0), side="right")
+        yield packed, np.minimum(owner, max(len(texts) - 1, 0))
 
 
 def _count_trigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,11 +61,12 @@ def _count_trigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, part in frame.groupby("lang", sort=False):
             texts = part["text"].tolist()
             for at, end in spans([len(t) for t in texts], _CHARS):
-                gram, n = np.unique(trigrams(texts[at:end])[0], return_counts=True)
-                new = pd.Series(n, index=gram.view(np.int64))
-                totals[lang] = new if lang not in totals else totals[lang].add(new, fill_value=0)
-                if len(totals[lang]) > 1 << 20:
-                    yield _rows(lang, totals.pop(lang))
+                for grams, _ in trigram_blocks(texts[at:end]):
+                    gram, n = np.unique(grams, return_counts=True)
+                    new = pd.Series(n, index=gram.view(np.int64))
+                    totals[lang] = new if lang not in totals else totals[lang].add(new, fill_value=0)
+                    if len(totals[lang]) > 1 << 20:
+                        yield _rows(lang, totals.pop(lang))
     for lang, counts in totals.items():
         yield _rows(lang, counts)
 
@@ -127,19 +130,16 @@ def train(rows: DataFrame, min_share: float = MIN_SHARE, slots: int = SLOTS,
 
 def coverage(texts: list[str], model: LanguageFilter) -> np.ndarray:
     """Per text and language the corrected share of its trigrams that the language contains."""
-    grams, owner = trigrams(texts)
-    n = np.bincount(owner, minlength=len(texts)).astype(float) if len(grams) else np.zeros(len(texts))
-    out = np.zeros((len(texts), len(model.languages)))
-    if not len(grams):
-        return out
-    slots = list(_slots(grams, model.masks.shape[1], model.hashes))
-    for word, plane in enumerate(model.masks):
-        held = plane[slots[0]]
-        for slot in slots[1:]:
-            held &= plane[slot]
-        for bit in range(min(64, len(model.languages) - 64 * word)):
-            hits = np.bincount(owner, weights=(held >> U64(bit)) & U64(1), minlength=len(texts))
-            out[:, 64 * word + bit] = hits
+    n, out = np.zeros(len(texts)), np.zeros((len(texts), len(model.languages)))
+    for grams, owner in trigram_blocks(texts):
+        n += np.bincount(owner, minlength=len(texts))
+        slots = list(_slots(grams, model.masks.shape[1], model.hashes))
+        for word, plane in enumerate(model.masks):
+            held = plane[slots[0]]
+            for slot in slots[1:]:
+                held &= plane[slot]
+            for bit in range(min(64, len(model.languages) - 64 * word)):
+                out[:, 64 * word + bit] += np.bincount(owner, weights=(held >> U64(bit)) & U64(1), minlength=len(texts))
     share = out / np.maximum(n, 1)[:, None]
     return np.clip((share - model.false_rates) / (1 - model.false_rates), 0.0, 1.0)
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm._components import components
-from ledgerlens.llm._util import U64, forest, spans, stored
+from ledgerlens.llm._util import U64, forest, stored
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -29,38 +29,40 @@ SEED = 42
 # Rows of a bucket that one task compares; larger buckets are cut into pairs of chunks.
 CHUNK = 16384
 _TILE = 256
+#: Hashes of a text that are held at once.
+_HASHES = 1 << 15
 _ONES = U64(0xFFFFFFFFFFFFFFFF)
 
 
 # --- fingerprints -----------------------------------------------------------
 
-def shingle_hashes(text: str, words: int, seed: int) -> list[int]:
-    """XXH64 of every word shingle, repeats included; the whole text if it has fewer words."""
+def shingle_hashes(text: str, words: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of every word shingle, repeats included, some thousands at a time; the whole text if it has fewer words."""
     tokens = text.encode().lower().split()  # bytes: only A-Z fall, only ASCII space splits
-    if not tokens:
-        return []
-    joined = b" ".join(tokens)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(tokens) - words + 1)
-    last = ends[words - 1:] if len(tokens) >= words else ends[-1:]
+    count = max(1, len(tokens) - words + 1) if tokens else 0
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)]
-
-
-def majority(hashes: np.ndarray) -> int:
-    """64 bits, each set if set in over half of ``hashes`` (none: zero)."""
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at:at + 65536]
+    for at in range(0, count, _HASHES):
+        part = tokens[at:min(at + _HASHES, count) + words - 1]
+        joined = b" ".join(part)
+        ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        last = ends[words - 1:] if len(part) >= words else ends[-1:]
+        yield np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), last.tolist())], np.uint64)
+
+
+def majority(blocks: Iterator[np.ndarray]) -> int:
+    """64 bits, each set if set in over half of the hashes (none: zero)."""
+    counts, total = np.zeros(64, np.int64), 0
+    for part in blocks:
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return sum(1 << int(b) for b in np.flatnonzero(2 * counts > len(hashes)))
+        total += len(part)
+    return sum(1 << int(b) for b in np.flatnonzero(2 * counts > total))
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     """SimHash of a text as a signed long; null and word-free texts give zero."""
-    value = majority(np.array(shingle_hashes(text or "", words, seed), np.uint64))
+    value = majority(shingle_hashes(text or "", words, seed))
     return value - (1 << 64) if value >> 63 else value
 
 

@@ -15,12 +15,14 @@ def plain_trigrams(text):
             if "  " not in padded[i:i + 3]]
 
 
-def test_trigrams_match_plain_code():
-    texts = ["Ab c", "", "é!x", "a", "İx ßß\n\U00020000"]
-    packed, owner = L.trigrams(texts)
-    for i, text in enumerate(texts):
-        mine = sorted((int(g) >> 42, int(g) >> 21 & 0x1FFFFF, int(g) & 0x1FFFFF) for g in packed[owner == i])
-        assert mine == sorted(tuple(map(ord, t)) for t in plain_trigrams(text)), text
+def test_trigrams_match_plain_code(monkeypatch):
+    texts = ["Ab c", "", "é!x", "a", "İx ßß\n\U00020000", "one two three four"]
+    for block in (3, 1 << 20):
+        monkeypatch.setattr(L, "_CHARS", block)
+        packed, owner = (np.concatenate(x) for x in zip(*L.trigram_blocks(texts)))
+        for i, text in enumerate(texts):
+            mine = sorted((int(g) >> 42, int(g) >> 21 & 0x1FFFFF, int(g) & 0x1FFFFF) for g in packed[owner == i])
+            assert mine == sorted(tuple(map(ord, t)) for t in plain_trigrams(text)), text
 
 
 def test_prediction_against_exact_sets(messy, clashing):
