@@ -32,7 +32,7 @@ TEMPERATURE = 1.0
 MARK = "▁"
 #: Stands for a space mark that the text itself holds; no character has this code.
 _LITERAL_MARK = 0x110000
-_CHARS = 3 << 20
+_CHARS = 1 << 19
 _RUNS = re.compile(" *[^ ]+| +$")
 
 
@@ -282,23 +282,23 @@ class Decoder:
 
 # --- the operator -----------------------------------------------------------
 
-def encoded_column(text: Column, key: Column, vocabulary: Vocabulary) -> Column:
-    """Struct (ids, lossless): sampled ids, and whether they decode to the very text; null for a null text."""
+def _encode(vocabulary: Vocabulary):
+    """``mapInPandas`` body: (doc_id as text, text, key) to (doc_id, ids, lossless), a few texts at a time."""
 
-    @F.pandas_udf("ids array<int>, lossless boolean")
-    def encode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie, decode = Trie(vocabulary), Decoder(vocabulary)
-        for texts, keys in batches:
-            ids, same = np.full(len(texts), None, object), np.full(len(texts), None, object)
-            given = np.flatnonzero(texts.notna().to_numpy())
-            values, seeds = texts.to_numpy()[given].tolist(), keys.to_numpy(np.int64)[given]
-            for a, b in spans([len(t) for t in values], _CHARS):
-                for i, tokens in enumerate(encode_batch(values[a:b], seeds[a:b], vocabulary, trie), a):
-                    ids[given[i]] = tokens
-                    same[given[i]] = decode(tokens) == values[i]
-            yield pd.DataFrame({"ids": ids, "lossless": same})
+        for frame in frames:
+            texts, keys = frame["text"].tolist(), frame["key"].to_numpy(np.int64)
+            for a, b in spans([len(t or "") for t in texts], _CHARS):
+                part = texts[a:b]
+                encoded = encode_batch([t or "" for t in part], keys[a:b], vocabulary, trie)
+                yield pd.DataFrame({
+                    "doc_id": frame["doc_id"].iloc[a:b].to_numpy(),
+                    "ids": pd.Series([None if t is None else e for t, e in zip(part, encoded)], dtype=object),
+                    "lossless": pd.Series([None if t is None else decode(e) == t
+                                           for t, e in zip(part, encoded)], dtype=object)})
 
-    return encode(text, F.xxhash64(key))
+    return run
 
 
 def decoded_column(ids: Column, vocabulary: Vocabulary) -> Column:
@@ -321,5 +321,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, temperature: floa
     empty table gives no rows; other columns are not read.
     """
     vocabulary = load_vocabulary(path or model_path(), temperature)
-    return docs.select("doc_id", encoded_column(F.col("text"), F.col("doc_id"), vocabulary).alias("e")).select(
-        "doc_id", "e.ids", F.coalesce(F.array_size("e.ids"), F.lit(0)).alias("n_pieces"), "e.lossless")
+    # ids travel as text: a batch with a null id would turn whole numbers into doubles
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("doc_id").alias("key"))
+    encoded = rows.mapInPandas(_encode(vocabulary), "doc_id string, ids array<int>, lossless boolean")
+    return encoded.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "ids",
+                          F.coalesce(F.array_size("ids"), F.lit(0)).alias("n_pieces"), "lossless")
