@@ -21,9 +21,11 @@ SAMPLE_KEYS = 2048
 def with_ordinal(df: DataFrame, order: Sequence[str], name: str = "ordinal") -> DataFrame:
     """Add ``name``: the 0-based position of each row by the ``order`` columns.
 
-    Keys sort ascending with NULLs last; ``order`` should be a total order over
-    the rows (ties get distinct but arbitrary positions).
+    Keys sort ascending with NULLs last; ties go by the remaining columns.  As
+    the key holds every column, rows and bucket counts read one and the same
+    ``df``, whose exchange Spark reuses.
     """
+    order = [*order, *(c for c in df.columns if c not in order)]
     key = F.struct(*[c for k in order for c in (F.col(k).isNull().alias(f"no_{k}"), F.col(k).alias(k))])
     keyed = df.withColumn("_ord_key", key)
     sample = sorted(
