@@ -143,9 +143,19 @@ def test_adapter_helpers():
     assert shipdate_bounds(None) == []
 
 
-def test_no_python_udfs_in_any_query(spark):
+@pytest.fixture(scope="module")
+def final_plans(spark):
+    """Plan of every registered report after it ran (adaptive decisions are final)."""
+    plans = {}
     for name, query in QUERIES.items():
-        text = plan_text(query.build(spark, SMOKE))
+        df = query.build(spark, SMOKE)
+        df.write.format("noop").mode("overwrite").save()
+        plans[name] = plan_text(df)
+    return plans
+
+
+def test_no_python_udfs_in_any_query(final_plans):
+    for name, text in final_plans.items():
         for marker in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas"):
             assert marker not in text, (name, marker)
 
@@ -364,12 +374,10 @@ def _window_subtrees(text: str):
     return out
 
 
-def test_windows_only_above_aggregates(spark):
+def test_windows_only_above_aggregates(final_plans):
     seen = 0
-    for name, query in QUERIES.items():
-        df = query.build(spark, SMOKE)
-        df.write.format("noop").mode("overwrite").save()
-        for sub in _window_subtrees(plan_text(df)):
+    for name, text in final_plans.items():
+        for sub in _window_subtrees(text):
             seen += 1
             assert any("Aggregate" in node for node in sub), (name, sub)
     assert seen > 0
@@ -393,12 +401,10 @@ def _single_partition_children(text: str):
     return out
 
 
-def test_single_partition_exchanges_carry_aggregates(spark):
+def test_single_partition_exchanges_carry_aggregates(final_plans):
     seen = 0
-    for name, query in QUERIES.items():
-        df = query.build(spark, SMOKE)
-        df.write.format("noop").mode("overwrite").save()
-        for below in _single_partition_children(plan_text(df)):
+    for name, text in final_plans.items():
+        for below in _single_partition_children(text):
             seen += 1
             assert "Aggregate" in below, (name, below)
     assert seen > 0

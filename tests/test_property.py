@@ -146,7 +146,7 @@ def model_status(rows):
                    for s, n in counts.items()), key=repr)
 
 
-_EXAMPLES = int(os.environ.get("LEDGERLENS_PROPERTY_EXAMPLES", "12"))
+_EXAMPLES = int(os.environ.get("LEDGERLENS_PROPERTY_EXAMPLES", "8"))
 
 
 @settings(max_examples=_EXAMPLES, deadline=None, derandomize=_EXAMPLES <= 12,
