@@ -26,6 +26,8 @@ MAX_BAD_RATE = 0.3
 Z = 1.645
 #: The prior counts as many labelled pages as this at least and at most.
 STRENGTH = (2.0, 1000.0)
+#: A sentence of fewer words does not tell documents apart.
+MIN_WORDS = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -144,6 +146,42 @@ def outcomes_of(labels: DataFrame) -> DataFrame:
         F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0).alias("bad"))
 
 
+def _sentences(text: Column) -> Column:
+    """Hashes of the distinct sentences (words only, lower-cased; ``MIN_WORDS`` words or more) of a text."""
+    words = F.transform(F.split(F.lower(text), r"[.!?\n]+"),
+                        lambda s: F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " ")))
+    long = F.filter(words, lambda s: F.size(F.split(s, " ")) >= MIN_WORDS)
+    return F.array_distinct(F.transform(long, lambda s: F.xxhash64(s)))
+
+
+def page_text(html: Column) -> Column:
+    """Text of a page: scripts, styles and comments left out, a line per block element, entities as blanks."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
+    inline = F.regexp_replace(F.regexp_replace(bare, r"\s*\n\s*", " "),
+                              r"(?i)</?(a|abbr|b|code|em|i|mark|s|small|span|strong|sub|sup|u)\b[^>]*>", "")
+    return F.regexp_replace(F.regexp_replace(inline, r"<[^>]*>", "\n"), r"&#?\w+;", " ")
+
+
+def outcomes_by_text(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``page_id, bad`` of every page that carries text of a labelled document.
+
+    Documents with the same set of sentences are one content, bad if any label
+    of it says so.  A sentence points to a content if no other content of
+    ``docs``, labelled or not, has it; a page is bad if any content that its
+    sentences point to is.  The html and the texts are read whole.
+    """
+    marks = outcomes_of(labels).where("page_id is not null and bad is not null").groupBy(
+        F.col("page_id").alias("doc_id")).agg(F.max("bad").alias("bad"))
+    texts = stored(docs.select("doc_id", _sentences(F.col("text")).alias("s")).where("size(s) > 0").select(
+        "doc_id", "s", F.xxhash64(F.array_sort("s")).alias("content")), "url-sentences")
+    contents = texts.select("doc_id", "content").join(marks, "doc_id").groupBy("content").agg(F.max("bad").alias("bad"))
+    lines = texts.select("content", F.explode("s").alias("line")).groupBy("line").agg(
+        F.min("content").alias("content"), F.max("content").alias("other")).where("content = other")
+    pointers = lines.join(contents, "content").select("line", "bad")
+    seen = pages.select("page_id", F.explode(_sentences(page_text(F.col("html")))).alias("line"))
+    return seen.join(pointers, "line").groupBy("page_id").agg(F.max("bad").alias("bad"))
+
+
 def _sql_strength(name: str, rows: str) -> str:
     terms = ("(k - n * parent) * (k - n * parent) - n * parent * (1 - parent)", "(n - 1) * (n * parent * (1 - parent))")
     above, scale = (f"coalesce(sum(round(({t}) * 1e6)::DECIMAL(38,0)), 0)::DOUBLE" for t in terms)

@@ -82,3 +82,19 @@ def test_registered_domains(spark):
     rows = spark.createDataFrame([(h,) for h in hosts], "host string")
     domain, suffix = U.domain_and_suffix(F.col("host"))
     assert {r[0]: (r[1], r[2]) for r in rows.select("host", domain, suffix).collect()} == hosts
+
+
+def test_outcomes_come_from_the_text_of_pages(spark):
+    """A page has the label of the document that it carries, not of the document with its number."""
+    own = ["One bad text about certain large wins. Another line of %d.", "A fine text on growing green garden beans. And more of %d."]
+    docs = [(i, own[i % 2] % i + f" Only number {i} says these words.\nEvery page says this very same line.") for i in range(6)]
+    docs += [(6, docs[0][1]), (7, "An unlabelled text with words of its own. Every page says this very same line."), (8, None)]
+    marks = [(i, i % 2, 0) for i in range(1, 6)] + [(6, 0, 0), (8, 0, 0), (None, 0, 0)]
+    page = lambda i: ("<html><script>var x;</script><p>" + docs[i][1].replace("\n", "</p><p>").replace("Only", "<b>Only</b>")
+                      + "</p><!-- x --></html>")
+    pages_ = [(10 + i, page(i)) for i in range(8)] + [(1, page(2)), (2, "<p>Nothing that a document says at all</p>"), (3, None)]
+    found = U.outcomes_by_text(spark.createDataFrame(pages_, "page_id long, html string"),
+                               spark.createDataFrame(docs, "doc_id long, text string"),
+                               spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    expected = {10 + i: 1 - i % 2 for i in range(7)} | {1: 1}
+    assert {r["page_id"]: r["bad"] for r in found.collect()} == expected and found.count() == len(expected)
