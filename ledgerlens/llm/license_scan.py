@@ -7,8 +7,11 @@ window can have with a template that it contains to 0.8: they retrieve it with
 probability ``GUARANTEE`` or more.  Retrieved pairs are verified on the words
 themselves.
 
-A window can share a MinHash value with a template only if it holds one of the
-template's shingles, so signatures are made for windows with such a shingle.
+A window can contain 0.8 of a template only if it holds as many of its shingles,
+so signatures are made for windows with so many hits.
+
+Notices of fewer than five words have no shingle: they count where their words
+stand in a row.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm._util import U64, mix64, spans
 from ledgerlens.llm._words import range_hashes, word_bounds
-from ledgerlens.llm.license_texts import TEMPLATES
+from ledgerlens.llm.license_texts import NOTICES, TEMPLATES
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -154,7 +157,7 @@ class Scanner:
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for group in self.classes.values():
             own = hits[np.isin(hashes[hits], group.known)]
-            for text, start in self._windows(group, owner[own], number[own]):
+            for text, start in self._windows(group, owner[own], number[own], shingle_count):
                 index = start[:, None] + np.arange(group.width)[None, :]
                 # the last windows of a text are cut off at its end: they repeat their last shingle
                 index = first[text][:, None] + np.minimum(index, shingle_count[text][:, None] - 1)
@@ -171,40 +174,66 @@ class Scanner:
         return [(doc, template, *found) for (doc, template), found in sorted(best.items())]
 
     @staticmethod
-    def _windows(group: SizeClass, owner: np.ndarray, number: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Distinct windows (text, first shingle) that hold one of the given shingles, in bounded parts."""
+    def _windows(group: SizeClass, owner: np.ndarray, number: np.ndarray,
+                 shingle_count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Distinct windows (text, first shingle) with ``need`` or more of the given shingles, in bounded parts."""
         steps = group.width // group.stride
         starts = (number // group.stride)[:, None] - np.arange(steps)[None, :]
         text = np.repeat(owner, steps)
         starts = starts.ravel()
         keep = starts >= 0
-        pairs = np.unique(np.stack((text[keep], starts[keep] * group.stride), axis=1), axis=0)
+        place = (text * (int(shingle_count.max()) + 1) + starts)[keep]
+        found, counts = np.unique(place, return_counts=True)
+        text, starts = np.divmod(found[counts >= group.need], int(shingle_count.max()) + 1)
         part = max(1, _CELLS // group.width)
-        for a in range(0, len(pairs), part):
-            yield pairs[a:a + part, 0], pairs[a:a + part, 1]
+        for a in range(0, len(text), part):
+            yield text[a:a + part], starts[a:a + part] * group.stride
+
+
+class Phrases:
+    """Notices of fewer words than a shingle, found as whole runs of words."""
+
+    def __init__(self, notices: Sequence[tuple[str, str]]):
+        self.names = [name for name, _ in notices]
+        self.words = [words_of(text) for _, text in notices]
+        if not all(self.words):
+            raise ValueError("a notice needs words")
+        letter, gap = rb"[0-9a-z\x80-\xff]", rb"[^0-9a-z\x80-\xff]+"
+        self.patterns = [re.compile(b"(?<!%s)%s(?!%s)" % (letter, gap.join(w), letter)) for w in self.words]
+
+    def scan(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(notice, first word, words) of the first place of every notice found."""
+        blob = text.encode("utf-8", "replace").lower()
+        for i, (pattern, words) in enumerate(zip(self.patterns, self.words)):
+            match = pattern.search(blob)
+            if match:
+                yield i, len(_WORD.findall(blob, 0, match.start())), len(words)
 
 
 def find_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES,
-                  containment: float = CONTAINMENT) -> DataFrame:
+                  containment: float = CONTAINMENT, notices: Sequence[tuple[str, str]] = NOTICES) -> DataFrame:
     """One row per document and license found: ``doc_id, license, containment, first_word, window_words``.
 
     The window with the highest containment counts, the first of equal ones.
-    Null, empty and short texts (fewer than five words) match nothing.  Repeated
-    rows come back as often as they occur, null ids as null.  An empty table
+    ``notices`` are found as whole runs of words and ``templates`` need five
+    words.  Null and empty texts match nothing.  Repeated rows come back as often as they occur, null ids as null.  An empty table
     gives no rows; other columns are not read.
     """
-    templates = tuple(templates)
+    templates, notices = tuple(templates), tuple(notices)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(templates, containment)
+        scanner, phrases = Scanner(templates, containment), Phrases(notices)
         for frame in frames:
             frame = frame[frame["text"].notna()]
             texts, ids = frame["text"].tolist(), frame["doc_id"].tolist()
             for a, b in spans([len(t) for t in texts], _BYTES):
                 found = defaultdict(list)
-                for doc, template, share, first, count in scanner.scan(texts[a:b]):
-                    for name, value in zip(("doc_id", "license", "containment", "first_word", "window_words"), (
-                            ids[a + doc], scanner.names[template], share, first, count)):
+                rows = [(ids[a + doc], scanner.names[template], *match)
+                        for doc, template, *match in scanner.scan(texts[a:b])]
+                rows += [(ids[at], phrases.names[i], 1.0, *match)
+                         for at in range(a, b) for i, *match in phrases.scan(texts[at])]
+                for row in rows:
+                    for name, value in zip(("doc_id", "license", "containment", "first_word", "window_words"), row):
                         found[name].append(value)
                 if found:
                     yield pd.DataFrame(found)

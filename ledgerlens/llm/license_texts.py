@@ -1,4 +1,11 @@
-"""License templates (name, text). Public license notices in their own words."""
+"""License templates (name, text). Public license notices and texts in their own words.
+
+Whole license texts are in the folder ``licenses``, one file each.
+"""
+
+import pathlib
+
+_FOLDER = pathlib.Path(__file__).parent / "licenses"
 
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -35,4 +42,36 @@ TEMPLATES = (
      "notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce "
      "the above copyright notice, this list of conditions and the following disclaimer in the documentation "
      "and/or other materials provided with the distribution."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0 notice",
+     "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0 notice",
+     "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring "
+     "rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("LGPL notice",
+     "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+     "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+     "(at your option) any later version. This library is distributed in the hope that it will be useful, but "
+     "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+     "PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("AGPL notice",
+     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+     "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+     "(at your option) any later version. This program is distributed in the hope that it will be useful, but "
+     "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+     "PURPOSE. See the GNU Affero General Public License for more details."),
+    ("MPL-2.0 notice",
+     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+     "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0 notice",
+     "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+     "2.0 which is available at https://www.eclipse.org/legal/epl-2.0/."),
+    ("Unlicense",
+     "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+     "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+     "binary, for any purpose, commercial or non-commercial, and by any means."),
+    *((f"{path.stem} text", path.read_text(encoding="utf-8")) for path in sorted(_FOLDER.glob("*.txt"))),
 )
+
+#: Notices shorter than a shingle: their words in a row.
+NOTICES = (("All rights reserved", "All rights reserved."),)

@@ -71,6 +71,34 @@ def test_short_templates_are_refused():
         L.Scanner([("x", "only four words here")])
 
 
+def test_every_notice_line_of_the_documents_is_found(spark):
+    """The five notice lines that the given documents hold, counted by their words in a row."""
+    lines = {"GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+             "All rights reserved": "All rights reserved.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+             "MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0."}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    expected = {(r["doc_id"], name) for r in docs.collect() for name, line in lines.items() if line in (r["text"] or "")}
+    found = {(r["doc_id"], r["license"]) for r in L.find_licenses(docs).collect()}
+    assert expected <= found and {name for _, name in expected} == set(lines)
+
+
+def test_short_notices_are_runs_of_words(spark):
+    texts = ["x ALL rights,\nreserved", "all rights are reserved", "overall rights reserved", "all rights reservedé", "All rights reserved"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows_of(L.find_licenses(docs)) == [(0, "All rights reserved", 1.0, 1, 3), (4, "All rights reserved", 1.0, 0, 3)]
+
+
+def test_whole_license_texts_are_found(spark):
+    """Whole texts inside a document, of the licenses that are usual."""
+    wanted = ["Apache-2.0 text", "CC0-1.0 text", "GPL-2 text", "GPL-3 text", "LGPL-2.1 text", "LGPL-3 text", "MPL-2.0 text",
+              "LGPL notice", "AGPL notice", "MPL-2.0 notice", "EPL-2.0 notice", "Unlicense", "CC-BY-SA-4.0"]
+    notice = dict(L.TEMPLATES)
+    rows = [(i, f"some words before it {notice[name].lower()} and some behind") for i, name in enumerate(wanted)]
+    found = {(r["doc_id"], r["license"]): r["containment"] for r in L.find_licenses(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i, name] == 1 for i, name in enumerate(wanted))
+
+
 # --- piece sampling ---------------------------------------------------------
 
 VOCABULARY = P.load_vocabulary(P.model_path())
