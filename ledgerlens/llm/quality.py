@@ -2,17 +2,20 @@
 
 Two logistic classifiers see different views of a document: its text (hashed
 byte trigrams and shape statistics) and its page metadata (language, source,
-length).  Over rounds each labels the pool documents it is most sure of for
-the other.  Both are then calibrated on labelled documents they were not
+length).  Over rounds each labels the unlabelled documents it is most sure of
+for the other.  Both are then calibrated on labelled documents they were not
 fitted on, and their log-odds add up (less the prior once) to the score of
 every document.
 
-Fitting uses a bounded sample: the ``MAX_LABELLED`` labelled and ``MAX_POOL``
-unlabelled documents with the smallest id hashes.  Scoring covers all rows.
+Every unlabelled row takes part: each round scores them all by both views, and
+the fits on their pseudo-labels add up sums that the tasks make.  Of the
+labelled documents at most twice ``PER_CLASS`` are fitted on, those with the
+smallest id hashes.  Scoring covers all rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +26,16 @@ from pyspark.sql import functions as F
 from ledgerlens.llm._util import U64, mix64, spans, stored
 from ledgerlens.llm._words import range_hashes, separators, word_bounds
 
-MAX_LABELLED = 4000
-MAX_POOL = 4000
+#: Labelled documents of a class that are fitted on, at most.
+PER_CLASS = 2000
 ROUNDS = 4
-#: A pseudo-label needs this probability; a round exchanges at most PER_ROUND of them per view and class.
+#: A pseudo-label needs this probability; a round exchanges at most this share of the pool per view and class.
 CONFIDENT = 0.95
-PER_ROUND = 250
+SHARE = 0.1
+_RIDGES = (0.05, 1.0)
+_STEPS = 8
+#: Log-odds are counted in bins of this width to find the share's cut.
+_BIN, _FAR = 0.02, 30.0
 THRESHOLD = 0.5
 _GRAMS = 512
 _BYTES = 1 << 20
@@ -99,14 +106,17 @@ def meta_view(lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> np.ndar
 
 # --- logistic fits ----------------------------------------------------------
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12) -> np.ndarray:
-    """Ridge logistic regression (last weight: intercept) by Newton steps with conjugate gradients."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12, offset: float = 0.0) -> np.ndarray:
+    """Ridge logistic regression (last weight: intercept) by Newton steps with conjugate gradients.
+
+    ``offset`` is added to the log-odds of the rows and is no part of the weights.
+    """
     x = np.concatenate((x, np.ones((len(x), 1), x.dtype)), axis=1).astype(np.float32)
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30).astype(np.float64)))
+        p = _sigmoid((x @ w.astype(np.float32)).astype(np.float64) + offset)
         gradient = x.T @ (p - y).astype(np.float32) + penalty * w
         curve = np.maximum(p * (1 - p), 1e-6).astype(np.float32)
         step, r = np.zeros_like(w), -gradient
@@ -146,41 +156,158 @@ class CoTrained:
     exchanged: tuple[int, int]
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], label: np.ndarray, calibrate: np.ndarray,
-             rounds: int = ROUNDS, confident: float = CONFIDENT, per_round: int = PER_ROUND) -> CoTrained | None:
-    """Fit both views; ``label`` is 1, 0 or NaN (pool), ``calibrate`` marks labelled rows kept for calibration.
+Views = tuple[np.ndarray, np.ndarray]
+#: Adds up what a function gives for the blocks of the pool.
+Sums = Callable[[Callable[[Views], np.ndarray]], np.ndarray]
+
+
+@dataclass(frozen=True)
+class _Turn:
+    """Weights of both views after a fit and, per view, the log-odds (low, high) beyond which it gives labels."""
+
+    weights: tuple[np.ndarray, np.ndarray]
+    cuts: tuple[tuple[float, float], tuple[float, float]]
+
+
+def given_labels(views: Views, turns: list[_Turn]) -> list[np.ndarray]:
+    """Pseudo-labels (NaN: none) that the rows of a block have got for each view.
 
-    None if the labelled rows hold one class only.
+    They follow from the turns alone.  A row that either view has used is not given again.
     """
-    known = ~np.isnan(label)
-    fit = known & ~calibrate
-    if len(np.unique(label[fit])) < 2 or len(np.unique(label[known & calibrate])) < 2:
-        return None
-    ridges = (0.05, 1.0)
-    # pseudo-labels given to each view; a pool row that either view has used is not given again
-    given = [np.full(len(label), np.nan), np.full(len(label), np.nan)]
-    weights: list[np.ndarray] = [np.empty(0), np.empty(0)]
-    for turn in range(rounds + 1):
+    n = len(views[0])
+    given = [np.full(n, np.nan), np.full(n, np.nan)]
+    for turn in turns:
+        free = np.isnan(given[0]) & np.isnan(given[1])
         for v in (0, 1):
-            use = fit | ~np.isnan(given[v])
-            weights[v] = fit_logistic(views[v][use], np.where(fit, label, given[v])[use], ridges[v])
-        if turn == rounds:
-            break
-        pool = np.flatnonzero(~known & np.isnan(given[0]) & np.isnan(given[1]))
+            z, (low, high) = logits(views[v], turn.weights[v]), turn.cuts[v]
+            given[1 - v][free & (z >= high)] = 1.0
+            given[1 - v][free & (z <= low)] = 0.0
+    return given
+
+
+def _histograms(turns: list[_Turn], weights: tuple[np.ndarray, np.ndarray]) -> Callable[[Views], np.ndarray]:
+    bins = int(2 * _FAR / _BIN)
+
+    def count(views: Views) -> np.ndarray:
+        first, second = given_labels(views, turns)
+        free = np.isnan(first) & np.isnan(second)
+        return np.stack([np.bincount(np.clip(((logits(x[free], w) + _FAR) / _BIN).astype(np.int64), 0, bins - 1),
+                                     minlength=bins) for x, w in zip(views, weights)]).astype(np.float64)
+
+    return count
+
+
+def _cuts(counts: np.ndarray, share: float, confident: float) -> tuple[float, float]:
+    """Log-odds (low, high) of a view's pseudo-labels: confident, and ``share`` of the rows per class at most.
+
+    A bin is taken whole or not at all, but the outermost one that has rows always is.
+    """
+    most, sure = max(share * counts.sum(), 1.0), float(np.log(confident / (1 - confident)))
+
+    def inwards(c: np.ndarray) -> int:
+        filled = np.flatnonzero(c)
+        return max(int(np.searchsorted(np.cumsum(c), most, side="right")), int(filled[0]) + 1 if len(filled) else 0)
+
+    low, high = -_FAR + inwards(counts) * _BIN, _FAR - inwards(counts[::-1]) * _BIN
+    return min(low - 1e-9, -sure), max(high, sure)
+
+
+def _slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray, offset: float = 0.0) -> np.ndarray:
+    """Gradient and curvature of the logistic loss of the rows, flat."""
+    x = np.concatenate((x, np.ones((len(x), 1), x.dtype)), axis=1).astype(np.float32)
+    p = _sigmoid((x @ w.astype(np.float32)).astype(np.float64) + offset)
+    curve = np.sqrt(np.maximum(p * (1 - p), 1e-6)).astype(np.float32)
+    bent = x * curve[:, None]
+    return np.concatenate((x.T @ (p - y).astype(np.float32), (bent.T @ bent).ravel())).astype(np.float64)
+
+
+def _pool_slopes(turns: list[_Turn], weights: tuple[np.ndarray, np.ndarray],
+                 active: tuple[bool, bool]) -> Callable[[Views], np.ndarray]:
+    def add(views: Views) -> np.ndarray:
+        given = given_labels(views, turns)
+        return np.concatenate([_slopes(x[~np.isnan(g)], g[~np.isnan(g)], w)
+                               for x, g, w, on in zip(views, given, weights, active) if on])
+
+    return add
+
+
+def _counts(turns: list[_Turn]) -> Callable[[Views], np.ndarray]:
+    return lambda views: np.array([float((~np.isnan(g)).sum()) for g in given_labels(views, turns)])
+
+
+def _fit_turn(views: Views, label: np.ndarray, offset: float, pool: Sums, turns: list[_Turn],
+              start: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Newton steps of both views at once: sums over the labelled rows here, over the pool where it lies."""
+    weights, active = [start[0].copy(), start[1].copy()], [True, True]
+    for _ in range(_STEPS):
+        total, at = pool(_pool_slopes(turns, (weights[0], weights[1]), (active[0], active[1]))), 0
         for v in (0, 1):
-            p = _sigmoid(logits(views[v][pool], weights[v]))
-            for side, sure in ((1.0, p), (0.0, 1 - p)):
-                at = np.argsort(-sure, kind="stable")[:per_round]
-                at = at[sure[at] >= confident]
-                given[1 - v][pool[at]] = side
-    held = known & calibrate
-    rate = (label[known].sum() + 1) / (known.sum() + 2)
-    calibrations = []
+            if not active[v]:
+                continue
+            n = len(weights[v])
+            sums = total[at:at + n + n * n] + _slopes(views[v], label, weights[v], offset)
+            at += n + n * n
+            penalty = np.full(n, _RIDGES[v])
+            penalty[-1] = 1e-6
+            step = np.linalg.solve(sums[n:].reshape(n, n) + np.diag(penalty + 1e-6), sums[:n] + penalty * weights[v])
+            # a long step could leave the region where the curvature holds
+            weights[v] -= step * min(1.0, 20 / max(np.abs(step).max(), 1e-12))
+            active[v] = bool(np.abs(step).max() >= 1e-2)
+        if not any(active):
+            break
+    return weights[0], weights[1]
+
+
+def co_train_with(views: Views, label: np.ndarray, calibrate: np.ndarray, pool: Sums, true_odds: float | None = None,
+                  rounds: int = ROUNDS, confident: float = CONFIDENT, share: float = SHARE) -> CoTrained | None:
+    """Fit both views on labelled rows and a pool that is only seen through sums over its blocks.
+
+    ``calibrate`` marks labelled rows kept for calibration; a class that one of
+    the two parts lacks is taken from all rows.  ``true_odds`` are the log-odds of
+    the classes where the rows come from, if the rows are no fair sample.  None if
+    they hold one class only.
+    """
+    if len(np.unique(label)) < 2:
+        return None
+    fit, held = ~calibrate, calibrate.copy()
+    for part in (fit, held):
+        if len(np.unique(label[part])) < 2:
+            part[:] = True
+    rate = (label.sum() + 1) / (len(label) + 2)
+    prior = float(np.log(rate / (1 - rate))) if true_odds is None else true_odds
+
+    def beyond(part: np.ndarray) -> float:
+        if true_odds is None:
+            return 0.0
+        return float(np.log(label[part].sum() / (1 - label[part]).sum())) - true_odds
+
+    x = (views[0][fit], views[1][fit])
+    y, offset = label[fit], beyond(fit)
+    weights = tuple(fit_logistic(x[v], y, _RIDGES[v], offset=offset) for v in (0, 1))
+    turns: list[_Turn] = []
+    for _ in range(rounds):
+        counts = pool(_histograms(turns, weights))
+        cuts = tuple(_cuts(c, share, confident) for c in counts)
+        edges = -_FAR + np.arange(counts.shape[1]) * _BIN
+        if not any(c[(edges >= high - _BIN) | (edges <= low)].any() for c, (low, high) in zip(counts, cuts)):
+            break  # nothing left that a view is sure of
+        turns.append(_Turn(weights, cuts))
+        weights = _fit_turn(x, y, offset, pool, turns, weights)
+    given = pool(_counts(turns)) if turns else np.zeros(2)
+    calibrations, offset = [], beyond(held)
     for v in (0, 1):
-        w = fit_logistic(logits(views[v][held], weights[v])[:, None], label[held], 1e-2)
+        w = fit_logistic(logits(views[v][held], weights[v])[:, None], label[held], 1e-2, offset=offset)
         calibrations.append((float(w[0]), float(w[1])))
-    return CoTrained(weights[0], weights[1], tuple(calibrations), float(np.log(rate / (1 - rate))),
-                     (int((~np.isnan(given[0])).sum()), int((~np.isnan(given[1])).sum())))
+    return CoTrained(weights[0], weights[1], tuple(calibrations), prior, (int(given[0]), int(given[1])))
+
+
+def co_train(views: Views, label: np.ndarray, calibrate: np.ndarray, rounds: int = ROUNDS,
+             confident: float = CONFIDENT, share: float = SHARE) -> CoTrained | None:
+    """``co_train_with`` over rows in memory; ``label`` is 1, 0 or NaN (pool)."""
+    known = ~np.isnan(label)
+    block = (views[0][~known], views[1][~known])
+    return co_train_with((views[0][known], views[1][known]), label[known], calibrate[known],
+                         lambda part: part(block), None, rounds, confident, share)
 
 
 def combine(text: np.ndarray, meta: np.ndarray, model: CoTrained) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,37 +319,72 @@ def combine(text: np.ndarray, meta: np.ndarray, model: CoTrained) -> tuple[np.nd
 
 # --- the operator -----------------------------------------------------------
 
-def fit_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
-                  max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained | None:
-    """Co-train on a bounded sample (one label per id: the smallest; null ids and labels do not count)."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(
-        F.min(F.col(label).cast("double")).alias("label"))
-    place = F.xxhash64("doc_id")
-    chosen = known.orderBy(place, "doc_id").limit(max_labelled)
-    pool = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(
-        F.xxhash64("doc_id", F.lit("pool")), "doc_id").limit(max_pool)
-    # at most max_labelled + max_pool ids: small enough to broadcast
-    ids = stored(chosen.unionByName(pool.withColumn("label", F.lit(None).cast("double"))), "quality-ids")
-    labelled_pool = known.join(F.broadcast(ids.where("label is null").select("doc_id")), "doc_id").select("doc_id")
-    ids = stored(ids.where("label is not null").unionByName(
-        ids.where("label is null").join(F.broadcast(stored(labelled_pool, "quality-known")), "doc_id", "left_anti")),
-        "quality-sample")
+_TEXT_WIDTH, _META_WIDTH = _GRAMS + 10, _META + 2
+
 
+def _packed(texts: pd.Series, langs: pd.Series, sources: pd.Series, sizes: pd.Series) -> list[bytes]:
+    rows = np.concatenate((text_view([t or "" for t in texts]), meta_view(langs, sources, sizes)), axis=1)
+    return [row.tobytes() for row in rows.astype(np.float16)]
+
+
+def _unpacked(rows: pd.Series) -> Views:
+    whole = np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), _TEXT_WIDTH + _META_WIDTH).astype(np.float32)
+    return whole[:, :_TEXT_WIDTH], whole[:, _TEXT_WIDTH:]
+
+
+def pool_sums(pool: DataFrame, tasks: int) -> Sums:
+    """Sums over the blocks of ``pool(features)``: per task, then per group of tasks, then here."""
+    groups = max(1, int(np.sqrt(tasks)))
+
+    def sums(part: Callable[[Views], np.ndarray]) -> np.ndarray:
+        none = np.zeros((0, _TEXT_WIDTH), np.float32), np.zeros((0, _META_WIDTH), np.float32)
+        zero = part(none)
+        shape = zero.shape
+
+        def over_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, seen = np.zeros(shape), False
+            for frame in frames:
+                for a in range(0, len(frame), 4096):
+                    total, seen = total + part(_unpacked(frame["features"].iloc[a:a + 4096])), True
+            if seen:
+                yield pd.DataFrame({"sums": [total.tobytes()]})
+
+        def over_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, seen = np.zeros(shape), False
+            for frame in frames:
+                for blob in frame["sums"]:
+                    total, seen = total + np.frombuffer(blob).reshape(shape), True
+            if seen:
+                yield pd.DataFrame({"sums": [total.tobytes()]})
+
+        found = pool.mapInPandas(over_rows, "sums binary")
+        if groups > 4:
+            found = found.repartition(groups).mapInPandas(over_sums, "sums binary")
+        return sum((np.frombuffer(r["sums"]).reshape(shape) for r in found.collect()), np.zeros(shape))
+
+    return sums
+
+
+def fit_documents(docs: DataFrame, labels: DataFrame, label: str = "quality") -> CoTrained | None:
+    """Co-train on a bounded sample of the labels (one per id: the smallest) and on all rows without a label."""
     @F.pandas_udf("binary")
-    def features(texts: pd.Series) -> pd.Series:
-        rows = text_view([t or "" for t in texts]).astype(np.float16)
-        return pd.Series([row.tobytes() for row in rows])
-
-    sample = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(ids), "doc_id").select(
-        "doc_id", "label", "lang", "source", "n_chars", features("text").alias("features"))
-    rows = sample.orderBy(place, "doc_id").limit(max_labelled + max_pool).toPandas()
-    if rows.empty:
+    def features(texts: pd.Series, langs: pd.Series, sources: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series(_packed(texts, langs, sources, sizes))
+
+    rows = stored(docs.select("doc_id", features("text", "lang", "source", "n_chars").alias("features")), "quality-features")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(
+        F.min(F.col(label).cast("double")).alias("label"))
+    known = stored(known, "quality-known")
+    place = F.xxhash64("doc_id")
+    chosen = stored(known.orderBy(place, "doc_id").limit(2 * PER_CLASS), "quality-sample")
+    sample = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.min("label").alias("label"), F.min("features").alias("features")).orderBy("label", place, "doc_id").toPandas()
+    pool = stored(rows.join(known.select("doc_id"), "doc_id", "left_anti").select("features"), "quality-pool")
+    label_values = sample["label"].to_numpy(np.float64)
+    if sample.empty:
         return None
-    text = np.stack([np.frombuffer(b, np.float16) for b in rows["features"]]).astype(np.float32)
-    meta = meta_view(rows["lang"], rows["source"], rows["n_chars"])
-    label_values = rows["label"].to_numpy(np.float64)
-    fold = mix64(rows["doc_id"].to_numpy(np.int64).view(np.uint64)) % U64(4) == U64(0)
-    return co_train((text, meta), label_values, fold)
+    held = mix64(sample["doc_id"].to_numpy(np.int64).view(np.uint64)) % U64(4) == U64(0)
+    return co_train_with(_unpacked(sample["features"]), label_values, held, pool_sums(pool, pool.rdd.getNumPartitions()))
 
 
 def quality_column(text: Column, lang: Column, source: Column, n_chars: Column, model: CoTrained | None) -> Column:

@@ -74,3 +74,22 @@ def test_messy_rows_and_missing_labels(spark, messy, clashing, no_docs):
     assert kept.columns == clashing.columns and kept.count() == len(messy_rows())
     assert Q.score_documents(no_docs, labels).collect() == [] and Q.keep_good(no_docs, none).collect() == []
     assert Q.score_documents(messy.withColumn("lang", F.lit(None).cast("string")), labels).count() == len(messy_rows())
+
+
+def short_corpus(spark, ids, bad):
+    rng, rows = random.Random(5), []
+    for i in ids:
+        text = prose(rng, "en", 8)
+        rows.append((i, text.replace(" ", "### ") + "$$$" if i in bad else text, "en", "forum" if i in bad else "news", len(text)))
+    return rows, "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_whole_pool_takes_part(spark):
+    """The exchange grows with the unlabelled table: more than 2,000 pseudo-labels per view on 9,000 rows."""
+    bad = set(range(0, 9200, 3))
+    rows, schema = short_corpus(spark, range(9200), bad)
+    labels = spark.createDataFrame([(i, int(i not in bad), 0) for i in range(200)], LABELS)
+    model = Q.fit_documents(spark.createDataFrame(rows, schema), labels)
+    assert min(model.exchanged) > 2000 and sum(model.exchanged) <= 2 * 9000
+    few = Q.fit_documents(spark.createDataFrame(rows[:1100], schema), labels)
+    assert 0 < max(few.exchanged) <= 900
