@@ -9,8 +9,9 @@ every document.
 
 Every unlabelled row takes part: each round scores them all by both views, and
 the fits on their pseudo-labels add up sums that the tasks make.  Of the
-labelled documents at most twice ``PER_CLASS`` are fitted on, those with the
-smallest id hashes.  Scoring covers all rows.
+labelled documents at most ``PER_CLASS`` of each class are fitted on, those with
+the smallest id hashes; offsets bring the log-odds back to the classes' true
+shares.  Scoring covers all rows.
 """
 
 from __future__ import annotations
@@ -365,8 +366,14 @@ def pool_sums(pool: DataFrame, tasks: int) -> Sums:
     return sums
 
 
-def fit_documents(docs: DataFrame, labels: DataFrame, label: str = "quality") -> CoTrained | None:
-    """Co-train on a bounded sample of the labels (one per id: the smallest) and on all rows without a label."""
+def fit_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
+                  per_class: int = PER_CLASS) -> CoTrained | None:
+    """Co-train on the labels of documents that exist and on all rows without a label.
+
+    An id has one label, the smallest; null ids and labels other than 0 and 1 do not count.  Of each
+    class the ``per_class`` ids with the smallest hashes are fitted on, one row
+    each.  None if the labels of existing documents hold one class only.
+    """
     @F.pandas_udf("binary")
     def features(texts: pd.Series, langs: pd.Series, sources: pd.Series, sizes: pd.Series) -> pd.Series:
         return pd.Series(_packed(texts, langs, sources, sizes))
@@ -374,17 +381,21 @@ def fit_documents(docs: DataFrame, labels: DataFrame, label: str = "quality") ->
     rows = stored(docs.select("doc_id", features("text", "lang", "source", "n_chars").alias("features")), "quality-features")
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(
         F.min(F.col(label).cast("double")).alias("label"))
-    known = stored(known, "quality-known")
+    known = stored(known.join(rows.select("doc_id"), "doc_id", "left_semi"), "quality-known")
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    if len(sizes) < 2:
+        return None
     place = F.xxhash64("doc_id")
-    chosen = stored(known.orderBy(place, "doc_id").limit(2 * PER_CLASS), "quality-sample")
+    bad, good = (known.where(F.col("label") == side).orderBy(place, "doc_id").limit(per_class) for side in (0.0, 1.0))
+    chosen = stored(bad.unionByName(good), "quality-sample")
     sample = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
         F.min("label").alias("label"), F.min("features").alias("features")).orderBy("label", place, "doc_id").toPandas()
     pool = stored(rows.join(known.select("doc_id"), "doc_id", "left_anti").select("features"), "quality-pool")
     label_values = sample["label"].to_numpy(np.float64)
-    if sample.empty:
-        return None
-    held = mix64(sample["doc_id"].to_numpy(np.int64).view(np.uint64)) % U64(4) == U64(0)
-    return co_train_with(_unpacked(sample["features"]), label_values, held, pool_sums(pool, pool.rdd.getNumPartitions()))
+    # the second of every four of a class, so that a class of two is in both parts
+    held = sample.groupby("label").cumcount().to_numpy() % 4 == 1
+    return co_train_with(_unpacked(sample["features"]), label_values, held, pool_sums(pool, pool.rdd.getNumPartitions()),
+                         float(np.log(sizes[1.0] / sizes[0.0])))
 
 
 def quality_column(text: Column, lang: Column, source: Column, n_chars: Column, model: CoTrained | None) -> Column:

@@ -93,3 +93,34 @@ def test_whole_pool_takes_part(spark):
     assert min(model.exchanged) > 2000 and sum(model.exchanged) <= 2 * 9000
     few = Q.fit_documents(spark.createDataFrame(rows[:1100], schema), labels)
     assert 0 < max(few.exchanged) <= 900
+
+
+def by_hash(spark, n):
+    return [r[0] for r in spark.range(n).orderBy(F.xxhash64("id"), "id").collect()]
+
+
+def test_rare_class_reaches_the_fit(spark):
+    """Bad labels whose ids hash last are sampled all the same, and absent documents use up no place."""
+    order = by_hash(spark, 5000)
+    bad = set(order[-40:])
+    rows, schema = short_corpus(spark, range(5000), bad)
+    labels = [(i, int(i not in bad), 0) for i in range(5000)] + [(i, 1, 0) for i in range(10_000, 15_000)]
+    found = Q.score_documents(spark.createDataFrame(rows, schema), spark.createDataFrame(labels, LABELS)).collect()
+    kept = {r["doc_id"] for r in found if r["keep"]}
+    assert len(bad - kept) >= 38 and len(kept) > 4900
+
+
+def test_repeated_id_takes_one_place(spark):
+    order = by_hash(spark, 300)
+    bad = set(order[1::2])
+    rows, schema = short_corpus(spark, range(300), bad)
+    rows += [rows[order[0]]] * 9000
+    labels = [(i, int(i not in bad), 0) for i in range(200)]
+    model = Q.fit_documents(spark.createDataFrame(rows, schema), spark.createDataFrame(labels, LABELS))
+    assert model is not None
+
+
+def test_two_bad_labels_are_enough(spark):
+    rows, schema = short_corpus(spark, range(300), {3, 4})
+    labels = [(i, int(i not in (3, 4)), 0) for i in range(300)]
+    assert Q.fit_documents(spark.createDataFrame(rows, schema), spark.createDataFrame(labels, LABELS)) is not None
