@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.rounding import cents, mean_percent, millions, rate_units
@@ -17,12 +17,20 @@ def _domain_zeros(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(rows))
 
 
+#: ``kind`` of a row of ``snapshot_parts``: grouping ids over (number, name, status).
+PAIRS, STATUSES = 0b001, 0b110
+
+
 def snapshot_parts(snapshot: DataFrame) -> DataFrame:
-    """The snapshot's one aggregate: a row per (number, name, status), NULLs included.
+    """The snapshot's one aggregate pass, as two grouping sets told apart by ``kind``.
 
-    The KPI, the balance bars and the status shares all follow from it.
+    A row per (number, name) and a row per status, NULL keys included; the KPI,
+    the balance bars and the status shares follow from them.  Statuses meet in
+    the map tasks, so their set sends a handful of rows per task.
     """
-    return snapshot.groupBy("servicer_number", "servicer_name", "metric_status").agg(
+    keys = ["servicer_number", "servicer_name", "metric_status"]
+    return snapshot.groupingSets([keys[:2], keys[2:]], *keys).agg(
+        F.grouping_id(*keys).cast("int").alias("kind"),
         F.count(F.lit(1)).alias("rows"),
         F.sum("loan_count").alias("loans"),
         F.sum(rate_units(F.col("delinquency_rate"))).alias("rate_units"),
@@ -31,15 +39,30 @@ def snapshot_parts(snapshot: DataFrame) -> DataFrame:
         F.max("business_date").alias("as_of"))
 
 
+def balance_parts(snapshot: DataFrame) -> DataFrame:
+    """Cents and date per (number, name) alone, in the columns of ``snapshot_parts`` that the bars need."""
+    return snapshot.groupBy("servicer_number", "servicer_name").agg(
+        F.lit(PAIRS).alias("kind"), F.sum(cents(F.col("total_balance_usd"))).alias("cents"),
+        F.max("business_date").alias("as_of"))
+
+
+def status_parts(snapshot: DataFrame) -> DataFrame:
+    """Rows and date per status alone, in the columns of ``snapshot_parts`` that the counts need."""
+    return snapshot.groupBy("metric_status").agg(
+        F.lit(STATUSES).alias("kind"), F.count(F.lit(1)).alias("rows"), F.max("business_date").alias("as_of"))
+
+
 def status_counts(parts: DataFrame, zero_fill: bool = True) -> DataFrame:
-    """Rows per status (NULL status dropped) of ``snapshot_parts``; the fixed domain zero-filled.
+    """Rows per status (NULL status dropped) of the parts; the fixed domain zero-filled.
 
     The zero rows are unioned and summed instead of joined, so there is no join.
     """
-    seen = parts.where(F.col("metric_status").isNotNull()).select("metric_status", F.col("rows").alias("count"))
-    if zero_fill:
-        seen = seen.unionByName(_domain_zeros(parts.sparkSession))
-    return seen.groupBy("metric_status").agg(F.sum("count").cast("long").alias("count"))
+    seen = parts.where((F.col("kind") == STATUSES) & F.col("metric_status").isNotNull()).select(
+        "metric_status", F.col("rows").alias("count"))
+    if not zero_fill:
+        return seen
+    return seen.unionByName(_domain_zeros(parts.sparkSession)).groupBy("metric_status").agg(
+        F.sum("count").cast("long").alias("count"))
 
 
 def kpi_row(parts: DataFrame) -> DataFrame:
@@ -50,15 +73,21 @@ def kpi_row(parts: DataFrame) -> DataFrame:
     status_green/yellow/red, as_of_date (NULL when empty).
     """
     status_cols = [
-        F.coalesce(F.sum(F.when(F.col("metric_status") == F.lit(s), F.col("rows"))), F.lit(0)).alias(f"status_{s.lower()}")
+        F.coalesce(F.sum(F.when((F.col("kind") == STATUSES) & (F.col("metric_status") == F.lit(s)), F.col("rows"))),
+                   F.lit(0)).alias(f"status_{s.lower()}")
         for s in STATUS_DOMAIN
     ]
+
+    def paired(column: str) -> Column:
+        return F.sum(F.when(F.col("kind") == PAIRS, F.col(column)))
+
     agg = parts.agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("_rows"),
-        F.coalesce(F.sum("loans"), F.lit(0)).cast("long").alias("total_loans"),
-        F.sum("rate_units").alias("_rate_units"),
-        F.sum("rated").alias("_rated"),
-        F.coalesce(F.sum("cents"), F.lit(0)).alias("_cents"),
+        F.coalesce(paired("rows"), F.lit(0)).alias("_rows"),
+        F.coalesce(paired("loans"), F.lit(0)).cast("long").alias("total_loans"),
+        paired("rate_units").alias("_rate_units"),
+        paired("rated").alias("_rated"),
+        F.coalesce(paired("cents"), F.lit(0)).alias("_cents"),
+        # NULL in the rows of the status set, so they do not count
         F.count_distinct("servicer_number").alias("servicer_count"),
         *status_cols,
         F.max("as_of").alias("_as_of"),

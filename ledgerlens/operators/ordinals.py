@@ -1,10 +1,11 @@
 """Global 0-based ordinals over a total order, without a single-task window.
 
-An unpartitioned ``row_number()`` window moves every row to one task.  Here one
-small job picks bucket bounds from a bounded sample of the order keys; every
-row finds its bucket by comparing with the bounds, rows are numbered inside
-their bucket, and the buckets' counts (one row per bucket) give the offsets.
-The result does not depend on the bounds, so nothing needs to be written.
+An unpartitioned ``row_number()`` window moves every row to one task.  Here the
+rows are range-partitioned by the order and sorted inside their partition, so
+the place of a row is its place in the partition plus the rows of the
+partitions before it.  Spark sizes the ranges from the data; there is no
+constant number of groups.  The placed rows are written once to the shared
+folder, so they are computed once and a lost executor never replays them.
 """
 
 from __future__ import annotations
@@ -14,34 +15,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 16
-SAMPLE_KEYS = 2048
+from ledgerlens.sources.materialized import stored_small
 
+#: ``monotonically_increasing_id`` holds the partition above these bits and the row's place in it below.
+_PLACE_BITS = 33
 
-def with_ordinal(df: DataFrame, order: Sequence[str], name: str = "ordinal") -> DataFrame:
+
+def with_ordinal(df: DataFrame, order: Sequence[str | Column], name: str = "ordinal",
+                 spread: Sequence[Column] = ()) -> DataFrame:
     """Add ``name``: the 0-based position of each row by the ``order`` columns.
 
-    Keys sort ascending with NULLs last; ties go by the remaining columns.  As
-    the key holds every column, rows and bucket counts read one and the same
-    ``df``, whose exchange Spark reuses.
+    Plain names sort ascending with NULLs last, columns as they say; ties go by
+    the remaining columns.  Rows equal in all of them are interchangeable:
+    ``spread`` columns (such as a row number of a stored table) let many such rows
+    fall into several ranges.
     """
-    order = [*order, *(c for c in df.columns if c not in order)]
-    key = F.struct(*[c for k in order for c in (F.col(k).isNull().alias(f"no_{k}"), F.col(k).alias(k))])
-    keyed = df.withColumn("_ord_key", key)
-    sample = sorted(
-        (r["_ord_key"] for r in keyed.select("_ord_key").orderBy(F.xxhash64("_ord_key")).limit(SAMPLE_KEYS).collect()),
-        key=lambda r: tuple((r[f"no_{k}"], r[k]) if r[k] is not None else (True,) for k in order))
-    step = max(1, -(-len(sample) // BUCKETS))
-    kind = keyed.schema["_ord_key"].dataType
-    bounds = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in kind]) for r in sample[step::step]]
-    bucket: Column = F.lit(0)
-    if bounds:
-        bucket = F.size(F.filter(F.array(*bounds), lambda b: b <= F.col("_ord_key")))
-    tagged = keyed.withColumn("_ord_bucket", bucket)
-    counts = tagged.groupBy("_ord_bucket").agg(F.count(F.lit(1)).alias("_ord_n"))
-    before = Window.orderBy("_ord_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # at most BUCKETS rows: safe to number in one task and to broadcast
-    offsets = counts.select("_ord_bucket", F.coalesce(F.sum("_ord_n").over(before), F.lit(0)).alias("_ord_off"))
-    inside = F.row_number().over(Window.partitionBy("_ord_bucket").orderBy("_ord_key"))
-    return (tagged.withColumn("_ord_pos", inside).join(F.broadcast(offsets), "_ord_bucket")
-            .select(*df.columns, (F.col("_ord_off") + F.col("_ord_pos") - 1).cast("long").alias(name)))
+    named = [c for c in order if isinstance(c, str)]
+    keys = [F.asc_nulls_last(c) if isinstance(c, str) else c for c in order]
+    keys += [F.asc_nulls_last(c) for c in df.columns if c not in named]
+    placed = df.repartitionByRange(*keys, *spread).sortWithinPartitions(*keys)
+    rows = stored_small(placed.withColumn("_ord_at", F.monotonically_increasing_id()), "ordinals")
+    part = F.shiftright("_ord_at", _PLACE_BITS)
+    counts = rows.groupBy(part.alias("_ord_part")).agg(F.count(F.lit(1)).alias("_ord_n"))
+    before = Window.orderBy("_ord_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range partition: safe to add up in one task and to broadcast
+    offsets = counts.select("_ord_part", F.coalesce(F.sum("_ord_n").over(before), F.lit(0)).alias("_ord_off"))
+    inside = F.col("_ord_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    return rows.withColumn("_ord_part", part).join(F.broadcast(offsets), "_ord_part").select(
+        *df.columns, (F.col("_ord_off") + inside).cast("long").alias(name))

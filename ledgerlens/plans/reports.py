@@ -22,7 +22,7 @@ from ledgerlens.functions.text import (
     as_of_title, grouped_integer, iso_date, millions_text, percent_text, series_label,
     whole_millions_text)
 from ledgerlens.operators.aggregates import (
-    kpi_row, kpi_with_status_map, snapshot_parts, status_counts)
+    PAIRS, STATUSES, balance_parts, kpi_row, kpi_with_status_map, snapshot_parts, status_counts, status_parts)
 from ledgerlens.operators.filters import NO_FILTER, ReportFilter, apply_filters
 from ledgerlens.operators.ordinals import with_ordinal
 from ledgerlens.operators.series import nest_series, series_table
@@ -92,7 +92,7 @@ def kpi_summary(src: Source, flt: ReportFilter | None = None,
 
 def kpi_status_counts(src: Source, flt: ReportFilter | None = None) -> DataFrame:
     """Snapshot row count per status, the fixed three always present."""
-    return status_counts(snapshot_parts(snapshot(src, flt)))
+    return status_counts(status_parts(snapshot(src, flt)))
 
 
 def kpi_display(kpi: DataFrame) -> DataFrame:
@@ -197,15 +197,14 @@ def portfolio_balance(src: Source, flt: ReportFilter | None = None) -> DataFrame
 
     Value in USD millions (1 dp); palette colours for the first eight bars only.
     """
-    return balance_of(snapshot_parts(snapshot(src, flt)))
+    return balance_of(balance_parts(snapshot(src, flt)))
 
 
 def balance_of(parts: DataFrame) -> DataFrame:
-    parts = parts.where(
-        F.col("servicer_number").isNotNull() & F.col("servicer_name").isNotNull())
-    bars = parts.groupBy("servicer_number", "servicer_name").agg(
-        F.coalesce(F.sum("cents"), F.lit(0)).cast("decimal(38,0)").alias("balance_cents"),
-        F.max("as_of").alias("as_of"))
+    bars = parts.where((F.col("kind") == PAIRS) & F.col("servicer_number").isNotNull()
+                       & F.col("servicer_name").isNotNull()).select(
+        "servicer_number", "servicer_name",
+        F.coalesce("cents", F.lit(0)).cast("decimal(38,0)").alias("balance_cents"), "as_of")
     ranked = with_ordinal(bars, ["balance_cents", "servicer_number", "servicer_name"],
                           name="bar_ordinal")
     value = millions(F.col("balance_cents"), 1)
@@ -223,13 +222,12 @@ def balance_of(parts: DataFrame) -> DataFrame:
 
 def status_distribution(src: Source, flt: ReportFilter | None = None) -> DataFrame:
     """Snapshot rows per status (no zero-fill), share of total, colour, title."""
-    return status_of(snapshot_parts(snapshot(src, flt)))
+    return status_of(status_parts(snapshot(src, flt)))
 
 
 def status_of(parts: DataFrame) -> DataFrame:
-    parts = parts.where(F.col("metric_status").isNotNull())
-    counts = parts.groupBy("metric_status").agg(
-        F.sum("rows").alias("count"), F.max("as_of").alias("as_of"))
+    counts = parts.where((F.col("kind") == STATUSES) & F.col("metric_status").isNotNull()).select(
+        "metric_status", F.col("rows").alias("count"), "as_of")
     # One row per status value: the window runs on the aggregated rows only.
     total = F.sum("count").over(Window.partitionBy())
     return counts.select(
