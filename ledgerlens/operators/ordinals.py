@@ -21,18 +21,17 @@ from ledgerlens.sources.materialized import stored_small
 _PLACE_BITS = 33
 
 
-def with_ordinal(df: DataFrame, order: Sequence[str | Column], name: str = "ordinal",
+def with_ordinal(df: DataFrame, order: Sequence[str], name: str = "ordinal", nulls_first: bool = False,
                  spread: Sequence[Column] = ()) -> DataFrame:
     """Add ``name``: the 0-based position of each row by the ``order`` columns.
 
-    Plain names sort ascending with NULLs last, columns as they say; ties go by
-    the remaining columns.  Rows equal in all of them are interchangeable:
-    ``spread`` columns (such as a row number of a stored table) let many such rows
-    fall into several ranges.
+    Keys sort ascending, NULLs last unless ``nulls_first``; ties go by the
+    remaining columns.  Rows equal in all of them are interchangeable: ``spread``
+    columns (such as a row number of a stored table) let many such rows fall
+    into several ranges.
     """
-    named = [c for c in order if isinstance(c, str)]
-    keys = [F.asc_nulls_last(c) if isinstance(c, str) else c for c in order]
-    keys += [F.asc_nulls_last(c) for c in df.columns if c not in named]
+    up = F.asc_nulls_first if nulls_first else F.asc_nulls_last
+    keys = [up(c) for c in [*order, *(c for c in df.columns if c not in order)]]
     placed = df.repartitionByRange(*keys, *spread).sortWithinPartitions(*keys)
     rows = stored_small(placed.withColumn("_ord_at", F.monotonically_increasing_id()), "ordinals")
     part = F.shiftright("_ord_at", _PLACE_BITS)
