@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
-    hilbert_ann, language_id, license_scan, mixing, piece_sampling, quality, simhash_dedup, topk_inner_product,
+    hilbert_ann, language_id, license_scan, merkle_manifest, mixing, piece_sampling, quality, simhash_dedup, topk_inner_product,
     url_reputation, warc)
 from ledgerlens.llm._util import table
 
@@ -73,6 +73,11 @@ def op10_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_ann.nearest(_vectors(spark, sf_dir), F.col("vec_id") % 50 == 0)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, refolded from the tampered texts."""
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_reputation": (op1_url_reputation, url_reputation.SQL),
     "op1_url_reputation_by_text": (op1_url_reputation_by_text, None),
@@ -85,4 +90,5 @@ QUERIES = {
     "op8_warc_index": (op8_warc_index, warc.SQL),
     "op9_simhash_dedup": (op9_simhash_dedup, None),
     "op10_hilbert_ann": (op10_hilbert_ann, None),
+    "op11_merkle_manifest": (op11_merkle_manifest, merkle_manifest.SQL),
 }
