@@ -39,6 +39,16 @@ def app_id(spark: SparkSession) -> str:
         return spark.conf.get("spark.app.id", None) or "spark-connect"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark gives it: its own, else that of the default file system."""
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001 - no public call resolves a path
+        system = place.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+    except AttributeError:  # a Spark Connect session has no JVM at hand
+        return path
+    return system.makeQualified(place).toString()
+
+
 def _checked(root: str, master: str) -> str:
     """``root`` unless it is a machine-local folder on a real cluster."""
     scheme = root.split(":", 1)[0] if "://" in root or root.startswith("file:") else ""
@@ -54,7 +64,7 @@ def shared_root(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return _checked(configured, spark.conf.get("spark.master", "local"))
+        return _checked(qualified(spark, configured), spark.conf.get("spark.master", "local"))
     return ensure_checkpoint_dir(spark).rstrip("/")
 
 
