@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
-    hilbert_ann, language_id, license_scan, merkle_manifest, mixing, piece_sampling, quality, simhash_dedup,
+    collocations, hilbert_ann, language_id, license_scan, merkle_manifest, mixing, piece_sampling, quality, simhash_dedup,
     token_planes, topk_inner_product, url_reputation, warc)
 from ledgerlens.llm._util import table
 
@@ -78,6 +78,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as files of id planes and read back."""
     return token_planes.token_round_trip(table(spark, sf_dir, "documents"))
@@ -96,5 +101,6 @@ QUERIES = {
     "op9_simhash_dedup": (op9_simhash_dedup, None),
     "op10_hilbert_ann": (op10_hilbert_ann, None),
     "op11_merkle_manifest": (op11_merkle_manifest, merkle_manifest.SQL),
+    "op12_collocations": (op12_collocations, collocations.SQL),
     "op13_token_planes": (op13_token_planes, None),
 }
