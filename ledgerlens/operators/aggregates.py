@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,42 @@ def status_counts(parts: DataFrame, zero_fill: bool = True) -> DataFrame:
         F.sum("count").cast("long").alias("count"))
 
 
+#: log2 of the sketch's buckets: a relative standard error of about 1.04 / sqrt(2**12) = 1.6 %.
+SKETCH_LG = 12
+
+
+def servicer_sketches(rows: DataFrame, lg: int = SKETCH_LG) -> DataFrame:
+    """``business_date, rows, servicers``: a mergeable distinct-count sketch of the servicer numbers of each date.
+
+    A few kilobytes per date whatever its rows, so kept sketches answer for any range of dates.
+    """
+    return rows.groupBy("business_date").agg(
+        F.count(F.lit(1)).alias("rows"), F.hll_sketch_agg("servicer_number", lg).alias("servicers"))
+
+
+def profile_of_sketches(sketches: DataFrame) -> DataFrame:
+    """``rows, servicers`` (estimated) over all dates of ``servicer_sketches``."""
+    merged = sketches.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.hll_union_agg("servicers").alias("all"))
+    return merged.select("rows", F.coalesce(F.hll_sketch_estimate("all"), F.lit(0)).alias("servicers"))
+
+
+def approximate_kpi_row(snapshot: DataFrame, lg: int = SKETCH_LG) -> DataFrame:
+    """``kpi_row`` straight from the snapshot with an estimated ``servicer_count``: one partial row per task.
+
+    The exact count sends a row per servicer and task; everything else is exact here too.
+    """
+    status = F.col("metric_status")
+    return _headline(snapshot.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.coalesce(F.sum("loan_count"), F.lit(0)).cast("long").alias("total_loans"),
+        F.sum(rate_units(F.col("delinquency_rate"))).alias("_rate_units"),
+        F.count("delinquency_rate").alias("_rated"),
+        F.coalesce(F.sum(cents(F.col("total_balance_usd"))), F.lit(0)).alias("_cents"),
+        F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg("servicer_number", lg)), F.lit(0)).alias("servicer_count"),
+        *[F.count_if(status == F.lit(s)).alias(f"status_{s.lower()}") for s in STATUS_DOMAIN],
+        F.max("business_date").alias("_as_of")))
+
+
 def kpi_row(parts: DataFrame) -> DataFrame:
     """Headline numbers of ``snapshot_parts``; one row even when empty.
 
@@ -72,6 +110,10 @@ def kpi_row(parts: DataFrame) -> DataFrame:
     total_balance_usd (USD millions, 1 dp), servicer_count (distinct numbers),
     status_green/yellow/red, as_of_date (NULL when empty).
     """
+    return _kpi(parts)
+
+
+def _kpi(parts: DataFrame, extra: Sequence[Column] = (), kept: Sequence[Column] = ()) -> DataFrame:
     status_cols = [
         F.coalesce(F.sum(F.when((F.col("kind") == STATUSES) & (F.col("metric_status") == F.lit(s)), F.col("rows"))),
                    F.lit(0)).alias(f"status_{s.lower()}")
@@ -81,7 +123,8 @@ def kpi_row(parts: DataFrame) -> DataFrame:
     def paired(column: str) -> Column:
         return F.sum(F.when(F.col("kind") == PAIRS, F.col(column)))
 
-    agg = parts.agg(
+    return _headline(parts.agg(
+        *extra,
         F.coalesce(paired("rows"), F.lit(0)).alias("_rows"),
         F.coalesce(paired("loans"), F.lit(0)).cast("long").alias("total_loans"),
         paired("rate_units").alias("_rate_units"),
@@ -91,7 +134,10 @@ def kpi_row(parts: DataFrame) -> DataFrame:
         F.count_distinct("servicer_number").alias("servicer_count"),
         *status_cols,
         F.max("as_of").alias("_as_of"),
-    )
+    ), kept)
+
+
+def _headline(agg: DataFrame, kept: Sequence[Column] = ()) -> DataFrame:
     return agg.select(
         "total_loans",
         F.when(F.col("_rows") == 0, F.lit(0.0))
@@ -101,19 +147,19 @@ def kpi_row(parts: DataFrame) -> DataFrame:
         F.col("servicer_count").cast("long").alias("servicer_count"),
         *[F.col(f"status_{s.lower()}") for s in STATUS_DOMAIN],
         iso_date(F.col("_as_of")).alias("as_of_date"),
+        *kept,
     )
 
 
 def kpi_with_status_map(parts: DataFrame) -> DataFrame:
     """KPI row plus ``status_counts``: map of every status seen, domain zero-filled.
 
-    The map comes from the (tiny) per-status counts; the two one-row results are
-    stacked and folded with ``first``, so no join is needed.
+    The statuses (a row each in the parts) are gathered by the same aggregate as the KPI.
     """
-    kpi = kpi_row(parts)
-    entries = status_counts(parts).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(
-            F.struct("metric_status", "count")))).alias("status_counts"))
-    stacked = (kpi.withColumn("status_counts", F.lit(None).cast("map<string,bigint>"))
-               .unionByName(entries, allowMissingColumns=True))
-    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
+    entry = F.struct(F.col("metric_status").alias("metric_status"), F.col("rows").alias("count"))
+    seen = F.collect_list(F.when((F.col("kind") == STATUSES) & F.col("metric_status").isNotNull(), entry)).alias("_seen")
+    names = F.transform("_seen", lambda e: e["metric_status"])
+    zeros = F.array(*[F.struct(F.lit(s).alias("metric_status"), F.lit(0).cast("long").alias("count")) for s in STATUS_DOMAIN])
+    unseen = F.filter(zeros, lambda e: ~F.array_contains(names, e["metric_status"]))
+    counts = F.map_from_entries(F.array_sort(F.concat(F.col("_seen"), unseen)))
+    return _kpi(parts, [seen], [counts.alias("status_counts")])

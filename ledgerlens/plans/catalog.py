@@ -106,7 +106,7 @@ def _metrics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_root(spark)}/ledgerlens-tables/csv-copy-{uuid.uuid4().hex}"
     write_metrics_csv(_messy(spark, sf_dir), path, columns=[*METRICS_COLUMNS[5:], *METRICS_COLUMNS[:5]][::-1],
                       null_token="NA")
-    return read_metrics_csv(spark, path, multi_line=False)
+    return read_metrics_csv(spark, path)
 
 
 def _on_messy(report: Callable[[R.Source], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

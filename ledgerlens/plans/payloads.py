@@ -5,7 +5,8 @@ and the KPI are one record each.  The option list and the charts are datasets:
 a chart is one row per trace with ``chartType``, ``title`` and the trace as
 JSON, nested as the client draws it (``line.color``, ``marker.color``,
 ``marker.colors``; constant styling is left to the client).  A trend series
-has one trace per calendar year, in order of ``part``.
+has one trace per calendar year, the balance bars one per ``PART_BARS`` bars, in
+order of ``part``.
 """
 
 from __future__ import annotations
@@ -41,16 +42,24 @@ def _payload(traces: DataFrame, chart_type: str, title: Column, order: list, *tr
                          F.to_json(F.struct(*trace)).alias("trace"))
 
 
-def _folded(rows: DataFrame, order: str, *columns: str) -> DataFrame:
-    """All rows as one record of parallel arrays (bars of one date, status values); none if there are no rows."""
-    all_rows = rows.agg(F.max("title").alias("title"),
-                        F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), *columns))).alias("all"))
-    arrays = [F.col("all").getField(c).alias(c) for c in columns]
-    return all_rows.where(F.size("all") > 0).select("title", F.lit(0).cast("long").alias("part"), *arrays)
+#: Bars that a part of the balance trace holds.
+PART_BARS = 10_000
 
 
-def chart_payload(src: R.Source, name: str, flt: ReportFilter | None = None) -> DataFrame:
-    """Traces of a chart by name; an unknown name raises ``KeyError``."""
+def _folded(rows: DataFrame, order: str, part: Column, *columns: str) -> DataFrame:
+    """Rows as records of parallel arrays, one per ``part``; none if there are no rows."""
+    parts = rows.groupBy(part.cast("long").alias("part")).agg(
+        F.max("title").alias("title"),
+        F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), *columns))).alias("all"))
+    return parts.select("title", "part", *[F.col("all").getField(c).alias(c) for c in columns])
+
+
+def chart_payload(src: R.Source, name: str, flt: ReportFilter | None = None, part_bars: int = PART_BARS) -> DataFrame:
+    """Traces of a chart by name; an unknown name raises ``KeyError``.
+
+    Balance bars come in parts of ``part_bars`` by their place; the arrays of the
+    parts, one after the other, are the whole trace.
+    """
     R.chart(name)  # validates the name
     kind = lambda k: F.lit(k).alias("type")
     if name == "delinquency-trend":
@@ -63,12 +72,13 @@ def chart_payload(src: R.Source, name: str, flt: ReportFilter | None = None) ->
             R.region_series(src, flt), "bar", F.lit(REGION_TITLE), ["series_ordinal", "part"],
             kind("bar"), F.col("series_name").alias("name"), F.col("x"), F.col("y"), F.struct("color").alias("marker"))
     if name == "portfolio-balance":
-        bars = _folded(R.portfolio_balance(src, flt), "bar_ordinal", "balance_musd", "label", "text", "color")
+        part = F.floor(F.col("bar_ordinal") / F.lit(part_bars))
+        bars = _folded(R.portfolio_balance(src, flt), "bar_ordinal", part, "balance_musd", "label", "text", "color")
         colours = F.filter("color", lambda c: c.isNotNull())
         return _payload(bars, "bar", F.col("title"), ["part"], kind("bar"), F.lit("h").alias("orientation"),
                         F.col("balance_musd").alias("x"), F.col("label").alias("y"),
                         F.struct(colours.alias("color")).alias("marker"), F.col("text"))
-    slices = _folded(R.status_distribution(src, flt), "metric_status", "metric_status", "count", "color")
+    slices = _folded(R.status_distribution(src, flt), "metric_status", F.lit(0), "metric_status", "count", "color")
     return _payload(slices, "pie", F.col("title"), ["part"], kind("pie"), F.col("metric_status").alias("labels"),
                     F.col("count").alias("values"), F.struct(F.col("color").alias("colors")).alias("marker"))
 

@@ -22,13 +22,15 @@ from ledgerlens.functions.text import (
     as_of_title, grouped_integer, iso_date, millions_text, percent_text, series_label,
     whole_millions_text)
 from ledgerlens.operators.aggregates import (
-    PAIRS, STATUSES, balance_parts, kpi_row, kpi_with_status_map, snapshot_parts, status_counts, status_parts)
+    PAIRS, STATUSES, approximate_kpi_row, balance_parts, kpi_row, kpi_with_status_map, profile_of_sketches,
+    servicer_sketches, snapshot_parts, status_counts, status_parts)
 from ledgerlens.operators.filters import NO_FILTER, ReportFilter, apply_filters
 from ledgerlens.operators.ordinals import with_ordinal
 from ledgerlens.operators.series import nest_series, series_table
-from ledgerlens.operators.snapshot import latest_date_value
+from ledgerlens.operators.snapshot import latest_date, latest_date_value
 from ledgerlens.schema import BALANCE_TITLE_PREFIX, METRICS_COLUMNS, STATUS_TITLE_PREFIX
 from ledgerlens.sources.base import MetricsSource, as_source
+from ledgerlens.sources.files import latest_partition
 
 Source = Union[DataFrame, MetricsSource]
 Report = Callable[[Source, "ReportFilter | None"], DataFrame]
@@ -44,7 +46,10 @@ def row_count(src: Source) -> DataFrame:
     return _whole(src).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def load_profile(src: Source) -> DataFrame:
+def load_profile(src: Source, approximate: bool = False) -> DataFrame:
+    """Rows and distinct servicers; ``approximate`` estimates the latter from one mergeable sketch per date."""
+    if approximate:
+        return profile_of_sketches(servicer_sketches(_whole(src)))
     return _whole(src).agg(F.count(F.lit(1)).alias("rows"),
                            F.count_distinct("servicer_number").alias("servicers"))
 
@@ -70,11 +75,20 @@ def filtered(src: Source, flt: ReportFilter | None = None) -> DataFrame:
 def snapshot(src: Source, flt: ReportFilter | None = None) -> DataFrame:
     """Rows at the latest date of the filtered set (the date moves with the filters).
 
-    The date is found first (one small job), then the source is read again
-    pinned to that one date, so only that date's data is scanned.
+    A table partitioned by date gives the date by its partitions if only dates
+    filter, and else joins the rows to their greatest date (one row), with
+    which Spark prunes partitions when the query runs; neither needs a job before the plan.
+    Any other source is asked for the date first (one small job).  Then the
+    source is read again pinned to that one date, so only its data is scanned.
     """
     source = as_source(src)
-    latest = latest_date_value(apply_filters(source(flt), flt))
+    if getattr(source, "by_date", False):
+        if flt is not None and (flt.servicer_number or flt.servicer_name):
+            rows = filtered(source, flt)
+            return rows.join(F.broadcast(latest_date(rows)), "business_date", "left_semi").select(*METRICS_COLUMNS)
+        latest = latest_partition(source(None), flt)
+    else:
+        latest = latest_date_value(apply_filters(source(flt), flt))
     if latest is None:
         return apply_filters(source(flt), flt).where(F.lit(False)).select(*METRICS_COLUMNS)
     pinned = replace(flt or NO_FILTER, start_date=latest, end_date=latest)
@@ -84,8 +98,15 @@ def snapshot(src: Source, flt: ReportFilter | None = None) -> DataFrame:
 # --- R-3: KPI ------------------------------------------------------------------
 
 def kpi_summary(src: Source, flt: ReportFilter | None = None,
-                with_status_map: bool = False) -> DataFrame:
-    """One row of headline numbers over the latest snapshot; zeros when empty."""
+                with_status_map: bool = False, approximate: bool = False) -> DataFrame:
+    """One row of headline numbers over the latest snapshot; zeros when empty.
+
+    ``approximate`` (without the map) estimates the servicer count by a sketch.
+    """
+    if approximate:
+        if with_status_map:
+            raise ValueError("the status map comes with exact counts only")
+        return approximate_kpi_row(snapshot(src, flt))
     parts = snapshot_parts(snapshot(src, flt))
     return kpi_with_status_map(parts) if with_status_map else kpi_row(parts)
 
@@ -192,21 +213,35 @@ def region_series(src: Source, flt: ReportFilter | None = None) -> DataFrame:
 
 # --- R-6: portfolio balance ---------------------------------------------------
 
-def portfolio_balance(src: Source, flt: ReportFilter | None = None) -> DataFrame:
+def portfolio_balance(src: Source, flt: ReportFilter | None = None, first: int | None = None) -> DataFrame:
     """Balance per (number, name) on the latest snapshot, ascending.
 
     Value in USD millions (1 dp); palette colours for the first eight bars only.
+    ``first`` gives that many bars (at most ``MOST_FIRST``) and puts no others in order.
     """
-    return balance_of(balance_parts(snapshot(src, flt)))
+    return balance_of(balance_parts(snapshot(src, flt)), first)
+
+
+#: Bars that a caller may ask for as the first ones; they are numbered in one task.
+MOST_FIRST = 10_000
+
+
+def _first_bars(bars: DataFrame, order: list[str], first: int) -> DataFrame:
+    """The first bars with their ordinals: every task keeps its own first ones, which are merged on the driver."""
+    if not 0 < first <= MOST_FIRST:
+        raise ValueError(f"first must be 1 to {MOST_FIRST}")
+    keys = [F.asc_nulls_last(c) for c in order]
+    return bars.orderBy(*keys).limit(first).withColumn(
+        "bar_ordinal", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
 
 
-def balance_of(parts: DataFrame) -> DataFrame:
+def balance_of(parts: DataFrame, first: int | None = None) -> DataFrame:
     bars = parts.where((F.col("kind") == PAIRS) & F.col("servicer_number").isNotNull()
                        & F.col("servicer_name").isNotNull()).select(
         "servicer_number", "servicer_name",
         F.coalesce("cents", F.lit(0)).cast("decimal(38,0)").alias("balance_cents"), "as_of")
-    ranked = with_ordinal(bars, ["balance_cents", "servicer_number", "servicer_name"],
-                          name="bar_ordinal")
+    order = ["balance_cents", "servicer_number", "servicer_name"]
+    ranked = _first_bars(bars, order, first) if first else with_ordinal(bars, order, name="bar_ordinal")
     value = millions(F.col("balance_cents"), 1)
     return ranked.select(
         "bar_ordinal", "servicer_number", "servicer_name",

@@ -14,7 +14,7 @@ from typing import Union
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.operators.filters import ReportFilter
-from ledgerlens.sources.files import read_metrics_parquet
+from ledgerlens.sources.files import read_metrics_parquet, restricted_to_names
 
 MetricsSource = Callable[[Union[ReportFilter, None]], DataFrame]
 
@@ -30,13 +30,23 @@ class FrameSource:
 
 
 class ParquetSource:
-    """A metrics table written by ``write_metrics_parquet`` (partitioned by date)."""
+    """A metrics table written by ``write_metrics_parquet`` (partitioned by date).
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    ``names`` is the folder of its ``write_servicer_names``, if there is one; a
+    name filter then becomes one on servicer numbers before the facts are read.
+    """
+
+    #: Its dates are partitions, so the latest one is known without a scan.
+    by_date = True
+
+    def __init__(self, spark: SparkSession, path: str, names: str | None = None):
+        self.spark, self.path, self.names = spark, path, names
 
     def __call__(self, pushdown: ReportFilter | None = None) -> DataFrame:
-        return read_metrics_parquet(self.spark, self.path)
+        facts = read_metrics_parquet(self.spark, self.path)
+        if self.names is None or pushdown is None or not pushdown.servicer_name:
+            return facts
+        return restricted_to_names(facts, self.spark.read.parquet(self.names), pushdown)
 
 
 def as_source(src: DataFrame | MetricsSource) -> MetricsSource:

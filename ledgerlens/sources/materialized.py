@@ -31,9 +31,12 @@ from ledgerlens.operators.filters import ReportFilter
 from ledgerlens.schema import METRICS_SCHEMA
 from ledgerlens.session import app_id, shared_root
 from ledgerlens.sources.files import (
-    read_metrics_csv, read_metrics_parquet, write_metrics_csv, write_metrics_parquet)
+    read_metrics_csv, read_metrics_parquet, restricted_to_names, write_metrics_csv, write_metrics_parquet,
+    write_servicer_names)
 
-_READ: dict[tuple[str, str], DataFrame] = {}
+#: What a published name stands for: a table and, for Parquet, its servicer names beside it.
+LAYOUT = "named"
+_READ: dict[tuple[str, str], tuple[DataFrame, str]] = {}
 _LOCK = threading.RLock()
 
 
@@ -79,7 +82,12 @@ class MaterializedSource:
 
     @property
     def home(self) -> str:
-        return f"{shared_root(self.spark)}/ledgerlens-tables/{self.key}-{self.fmt}"
+        return f"{shared_root(self.spark)}/ledgerlens-tables/{self.key}-{self.fmt}-{LAYOUT}"
+
+    @property
+    def by_date(self) -> bool:
+        """Whether dates are partitions, so that the latest one is known without a scan."""
+        return self.fmt == "parquet"
 
     def published(self) -> str | None:
         """Folder of a finished table, the first by name if several were built; None if there is none."""
@@ -93,22 +101,30 @@ class MaterializedSource:
         name = f"table-{uuid.uuid4().hex}"
         write = write_metrics_parquet if self.fmt == "parquet" else write_metrics_csv
         write(self.build(), f"{self.home}/{name}")
+        if self.fmt == "parquet":
+            write_servicer_names(read_metrics_parquet(self.spark, f"{self.home}/{name}"), f"{self.home}/{name}-names")
         marker = self.spark.range(1).select(F.lit(name).alias("value")).coalesce(1)
         marker.write.text(f"{self.home}/published/{name}")
         return f"{self.home}/{name}"
 
-    def table(self) -> DataFrame:
-        """The built table; one DataFrame per session, so its file listing
-        (partition discovery) is done once, not per report."""
+    def _opened(self) -> tuple[DataFrame, str]:
+        """The built table and its path; one DataFrame per session, so its file
+        listing (partition discovery) is done once, not per report."""
         cached = (app_id(self.spark), self.home)
         with _LOCK:
             if cached not in _READ:
                 path = self.published() or self._build()
                 read = read_metrics_csv if self.fmt == "csv" else read_metrics_parquet
-                _READ[cached] = read(self.spark, path)
+                _READ[cached] = read(self.spark, path), path
             return _READ[cached]
 
+    def table(self) -> DataFrame:
+        return self._opened()[0]
+
     def __call__(self, pushdown: ReportFilter | None = None) -> DataFrame:
-        # Date filters prune partitions and the rest reach the Parquet reader
-        # through Catalyst, so the hint is not needed here.
-        return self.table()
+        # Date filters prune partitions and the number reaches the Parquet reader
+        # through Catalyst; a name is turned into numbers first.
+        facts, path = self._opened()
+        if self.fmt != "parquet" or pushdown is None or not pushdown.servicer_name:
+            return facts
+        return restricted_to_names(facts, self.spark.read.parquet(f"{path}-names"), pushdown)

@@ -1,0 +1,289 @@
+"""Plans and forms that matter at scale: ordinals, grouping sets, sketches, name dictionary, split CSV, partition dates."""
+
+from __future__ import annotations
+
+import json
+import os
+import random
+import re
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerlens import ReportFilter
+from ledgerlens.operators import aggregates as A
+from ledgerlens.operators import ordinals
+from ledgerlens.plans import payloads as P
+from ledgerlens.plans import reports as R
+from ledgerlens.sources import files
+from ledgerlens.sources.base import ParquetSource
+from ledgerlens.sources.star import materialized_star
+from tests.fixtures import D1, D2, SAMPLE_ROWS, frame, row
+from tests.test_io_and_plans import SMOKE, plan_text
+
+FACT_SCAN = re.compile(r"Scan parquet *\n(?:.*\n)*?Location: [^\n]*/star-")
+
+
+@pytest.fixture()
+def written(monkeypatch):
+    """Plans of the tables that ordinals write, sample included: its rows come from the same plan."""
+    plans, write = [], ordinals.stored_small
+
+    def recorded(df, name):
+        plans.append(plan_text(df))
+        return write(df, name)
+
+    monkeypatch.setattr(ordinals, "stored_small", recorded)
+    return plans
+
+
+def jobs_of(spark, tag, build):
+    group = f"{tag}-{random.random()}"
+    spark.sparkContext.setJobGroup(group, tag)
+    df = build()
+    found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return df, found
+
+
+# --- ordinals ---------------------------------------------------------------
+
+def test_ordinal_ranges_follow_the_session(spark, written):
+    """No constant number of groups: 200 partitions give 200 ranges, numbered right."""
+    rows = [(f"k{i:05d}", i) for i in random.Random(1).sample(range(100_000), 6000)]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = ordinals.with_ordinal(spark.createDataFrame(rows, "key string, v long"), ["key"])
+        assert "rangepartitioning(key" in written[0] and ", 200)" in written[0]
+        assert {r["key"]: r["ordinal"] for r in df.collect()} == {k: i for i, (k, _) in enumerate(sorted(rows))}
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+
+
+@pytest.mark.parametrize("report,first,final", [
+    (R.series_palette, 1, 0), (R.portfolio_balance, 1, 0), (R.delinquency_trend, 1, 1), (R.trend_series, 1, 1),
+    (R.loan_by_region, 1, 1), (R.region_series, 1, 1)])
+def test_facts_are_scanned_once_per_need(spark, written, report, first, final):
+    """One scan for the numbered table, which is written; points or bars read the facts once more."""
+    df = report(materialized_star(spark, SMOKE))
+    assert [len(FACT_SCAN.findall(p)) for p in written] == [first]
+    assert len(FACT_SCAN.findall(plan_text(df))) == final
+
+
+def test_equal_rows_and_null_order(spark):
+    rows = [(None,)] * 30 + [("a",)] * 500 + [("b",)] * 20
+    df = spark.createDataFrame(rows, "key string").repartition(5)
+    last = ordinals.with_ordinal(df, ["key"], spread=[F.monotonically_increasing_id()]).collect()
+    assert sorted(r["ordinal"] for r in last) == list(range(550))
+    assert {r["ordinal"] for r in last if r["key"] is None} == set(range(520, 550))
+    first = ordinals.with_ordinal(df, ["key"], nulls_first=True).collect()
+    assert {r["ordinal"] for r in first if r["key"] is None} == set(range(30))
+
+
+def test_first_bars_are_a_top_n(spark, written):
+    src = materialized_star(spark, "/root/testdata/sf0.01")
+    some = R.portfolio_balance(src, first=8)
+    plan = plan_text(some)
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan and not written
+    whole = sorted(R.portfolio_balance(src).collect(), key=lambda r: r["bar_ordinal"])
+    assert sorted(some.collect(), key=lambda r: r["bar_ordinal"]) == whole[:8]
+    assert all(r["color"] for r in whole[:8]) and not any(r["color"] for r in whole[8:])
+    for bad in (-1, R.MOST_FIRST + 1):
+        with pytest.raises(ValueError):
+            R.portfolio_balance(src, first=bad)
+
+
+# --- snapshot aggregates ----------------------------------------------------
+
+def test_status_counts_exchange_status_rows_only(spark):
+    plan = plan_text(R.kpi_status_counts(materialized_star(spark, SMOKE)))
+    assert "servicer_number" not in plan and len(FACT_SCAN.findall(plan)) == 1
+    assert all("metric_status" in e for e in re.findall(r"hashpartitioning\(([^)]*)\)", plan))
+
+
+@pytest.mark.parametrize("status_map", [False, True])
+def test_kpi_is_one_pass_over_grouping_sets(spark, status_map):
+    plan = plan_text(R.kpi_summary(materialized_star(spark, SMOKE), with_status_map=status_map))
+    assert "Expand" in plan
+    scans = len(FACT_SCAN.findall(plan)) - plan.count("ReusedExchange")
+    assert scans == 1
+
+
+def test_parts_keep_null_keys_apart_from_grouped_ones(spark):
+    df = frame(spark, [row(1, number=None), row(2, name=None), row(3, status=None), row(4, number=None, name=None, status=None)])
+    parts = {(r["kind"], r["servicer_number"], r["servicer_name"], r["metric_status"]): r["rows"]
+             for r in A.snapshot_parts(df).collect()}
+    assert parts == {(A.PAIRS, None, "Name", None): 1, (A.PAIRS, "SVC-X", None, None): 1, (A.PAIRS, "SVC-X", "Name", None): 1,
+                     (A.PAIRS, None, None, None): 1, (A.STATUSES, None, None, "GREEN"): 2, (A.STATUSES, None, None, None): 2}
+
+
+# --- sketches ---------------------------------------------------------------
+
+def many(spark, n=30_000):
+    return spark.range(3 * n).select(
+        F.col("id").alias("unique_id"), F.concat(F.lit("S"), (F.col("id") % n).cast("string")).alias("servicer_number"),
+        F.lit("x").alias("servicer_name"), F.lit("t").alias("tenant_id"),
+        F.date_add(F.lit(date(2025, 1, 1)), (F.col("id") / n).cast("int")).alias("business_date"), F.lit("r").alias("region"),
+        F.lit(1).cast("long").alias("loan_count"), F.lit(0.5).alias("delinquency_rate"), F.lit(2.0).alias("total_balance_usd"),
+        F.lit("GREEN").alias("metric_status"))
+
+
+def test_sketched_count_stays_within_its_error(spark):
+    """Four standard errors (1.04 / sqrt(4096) each) around the exact count, which is the default."""
+    df, n = many(spark), 30_000
+    assert tuple(R.load_profile(df).first()) == (3 * n, n)
+    rough = R.load_profile(df, approximate=True).first()
+    bound = 4 * 1.04 / 2 ** (A.SKETCH_LG / 2)
+    assert rough["rows"] == 3 * n and 0 < abs(rough["servicers"] / n - 1) < bound
+    exact, kpi = R.kpi_summary(df).first(), R.kpi_summary(df, approximate=True).first()
+    assert exact["servicer_count"] == n and abs(kpi["servicer_count"] / n - 1) < bound
+    assert exact.asDict() | {"servicer_count": 0} == kpi.asDict() | {"servicer_count": 0}
+
+
+def test_sketches_of_dates_merge(spark):
+    """Kept sketches answer for a range of dates as one over its rows does, and are one row per date."""
+    df = many(spark, 5000)
+    kept = A.servicer_sketches(df.withColumn("servicer_number", F.concat("servicer_number", F.dayofmonth("business_date"))))
+    assert kept.count() == 3
+    part = A.profile_of_sketches(kept.where("business_date <= '2025-01-02'")).first()
+    assert part["rows"] == 10_000 and abs(part["servicers"] / 10_000 - 1) < 0.07
+
+
+def test_sketches_of_nothing_and_nulls(spark):
+    none = frame(spark, [])
+    assert tuple(R.load_profile(none, approximate=True).first()) == (0, 0)
+    assert R.kpi_summary(none, approximate=True).first() == R.kpi_summary(none).first()
+    nulls = frame(spark, [row(1, number=None), row(2, number="a"), row(3, number="b", status=None, rate=None)])
+    assert R.load_profile(nulls, approximate=True).first() == R.load_profile(nulls).first()
+    assert R.kpi_summary(nulls, approximate=True).first() == R.kpi_summary(nulls).first()
+    with pytest.raises(ValueError):
+        R.kpi_summary(nulls, with_status_map=True, approximate=True)
+
+
+# --- name dictionary --------------------------------------------------------
+
+def test_name_filter_reaches_the_scan_as_numbers(spark):
+    src = materialized_star(spark, SMOKE)
+    flt = ReportFilter(servicer_name="000000005")
+    plan = plan_text(R.filtered(src, flt))
+    pushed = [p for p in re.findall(r"PushedFilters: \[(.*)\]", plan) if "servicer_number" in p]
+    assert any("SVC-00005" in p for p in pushed), plan
+    assert {r["servicer_name"] for r in R.filtered(src, flt).collect()} == {"Supplier#000000005"}
+    assert R.filtered(src, ReportFilter(servicer_name="no such name")).collect() == []
+
+
+@pytest.mark.parametrize("most", [1000, 1])
+def test_dictionary_prunes_without_changing_rows(spark, tmp_path, monkeypatch, most):
+    """Renamed servicers, missing names and numbers; few matches become a predicate, many a semi-join."""
+    rows = SAMPLE_ROWS + [row(900, number="Q-11", name="Other Ledger"), row(901, number=None, name="Ledger of None"),
+                          row(902, number="Q-99", name=None), row(903, number=None, name=None)]
+    path, names = str(tmp_path / "facts"), str(tmp_path / "names")
+    files.write_metrics_parquet(frame(spark, rows), path)
+    files.write_servicer_names(frame(spark, rows), names)
+    plain, fast = ParquetSource(spark, path), ParquetSource(spark, path, names)
+    monkeypatch.setattr(files.restricted_to_names, "__defaults__", (most,))
+    for flt in (ReportFilter(servicer_name="LEDGER"), ReportFilter(servicer_name="of none"), ReportFilter(servicer_name=" "),
+                ReportFilter(servicer_name="l.*r", name_regex=True), ReportFilter(servicer_name="ledger", servicer_number="Q-11")):
+        wanted = sorted(map(str, R.filtered(plain, flt).collect()))
+        assert sorted(map(str, R.filtered(fast, flt).collect())) == wanted
+    assert ("LeftSemi" in plan_text(R.filtered(fast, ReportFilter(servicer_name="ledger")))) == (most == 1)
+
+
+# --- snapshot date ----------------------------------------------------------
+
+def test_snapshot_needs_no_job_before_its_plan(spark):
+    src = materialized_star(spark, SMOKE)
+    src.table()
+    for flt in (None, ReportFilter(end_date="2001-10-31"), ReportFilter(servicer_number="SVC-00005")):
+        df, jobs = jobs_of(spark, "snapshot", lambda flt=flt: R.snapshot(src, flt))
+        assert jobs == 0
+        assert sorted(map(str, df.collect())) == sorted(map(str, R.snapshot(src.table(), flt).collect()))
+    assert R.snapshot(src, ReportFilter(start_date="2030-01-01")).collect() == []
+
+
+def test_snapshot_of_a_servicer_prunes_partitions_at_run_time(spark):
+    plan = plan_text(R.snapshot(materialized_star(spark, SMOKE), ReportFilter(servicer_number="SVC-00005")))
+    assert "dynamicpruning" in plan
+
+
+def test_partition_dates_skip_the_missing_one(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    files.write_metrics_parquet(frame(spark, [row(1, date_=D1), row(2, date_=D2), row(3, date_=None)]), path)
+    table = files.read_metrics_parquet(spark, path)
+    assert files.latest_partition(table) == D2
+    assert files.latest_partition(table, ReportFilter(end_date=D1.isoformat())) == D1
+    assert files.latest_partition(table, ReportFilter(start_date="2030-01-01")) is None
+
+
+# --- balance payload --------------------------------------------------------
+
+def test_balance_parts_rejoin_to_the_whole_trace(spark):
+    src = materialized_star(spark, "/root/testdata/sf0.01")
+
+    def arrays(part_bars):
+        rows = sorted(P.chart_payload(src, "portfolio-balance", part_bars=part_bars).collect(), key=lambda r: r["part"])
+        traces = [json.loads(r["trace"]) for r in rows]
+        return [[v for t in traces for v in t[k]] for k in ("x", "y", "text")] + [
+            [c for t in traces for c in t["marker"].get("color", [])]], len(rows), {r["title"] for r in rows}
+
+    whole, one, title = arrays(10_000)
+    cut, parts, titles = arrays(5)
+    assert cut == whole and one == 1 and parts == -(-len(whole[0]) // 5) and title == titles and len(whole[3]) == 8
+
+
+# --- CSV --------------------------------------------------------------------
+
+def broken_csv(path, n, breaks):
+    """A file whose quoted fields hold line breaks, commas, quotes and carriage returns."""
+    rng, rows = random.Random(4), []
+    with open(path, "w", encoding="utf-8", newline="") as out:
+        out.write("﻿" + ",".join(c for c in files.METRICS_COLUMNS) + "\n")
+        for i in range(n):
+            name = rng.choice(["plain", "with, comma", 'a "quoted" word'])
+            if i in breaks:
+                name += rng.choice(["\nsecond line", "\r\nsecond line", "\n\n\nfourth", '\n"x"\n,'])
+            rows.append((i, name))
+            quoted = '"' + name.replace('"', '""') + '"'
+            out.write(f'{i},S-{i % 7},{quoted},t,2025-01-0{1 + i % 9},"R,1",{i},0.25,{i}.5,GREEN' + rng.choice(["\n", "\r\n"]))
+            if i % 50 == 0:
+                out.write("\n")
+    return rows
+
+
+@pytest.mark.parametrize("breaks", [set(), {3}, set(range(0, 400, 3)), set(range(400))])
+def test_files_with_line_breaks_are_split(spark, tmp_path, breaks):
+    path = str(tmp_path / "broken.csv")
+    rows = broken_csv(path, 400, breaks)
+    conf = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "900")  # some records run over several splits
+    try:
+        df = files.read_metrics_csv(spark, path)
+        found = {r["unique_id"]: r["servicer_name"] for r in df.collect()}
+        splits = files._lines(spark, path).select("block").distinct().count()
+        one = files.read_metrics_csv(spark, path, split=False).collect() if breaks else []
+    finally:
+        spark.conf.set(conf, before)
+    assert found == dict(rows) and splits > 20
+    if breaks:
+        # the reader of whole files turns \r\n into \n inside fields; all else is the same
+        assert {r["unique_id"]: r["servicer_name"].replace("\r\n", "\n") for r in one} == {
+            i: name.replace("\r\n", "\n") for i, name in rows}
+
+
+def test_several_files_with_line_breaks(spark, tmp_path):
+    wanted = {}
+    for k in range(3):
+        rows = broken_csv(str(tmp_path / f"{k}.csv"), 40 + k, {5, 6})
+        for _, name in rows:
+            wanted[name] = wanted.get(name, 0) + 1
+    got = files.read_metrics_csv(spark, str(tmp_path)).groupBy("servicer_name").count().collect()
+    assert {r["servicer_name"]: r["count"] for r in got} == wanted
+    with open(os.path.join(tmp_path, "other.csv"), "w", encoding="utf-8") as out:
+        out.write(",".join(files.METRICS_COLUMNS[::-1]) + "\nGREEN,1.0,0.1,5,r,2025-01-01,t,\"a\nb\",n,1\n")
+    with pytest.raises(Exception, match="header|not a bigint"):
+        files.read_metrics_csv(spark, str(tmp_path)).collect()
