@@ -12,12 +12,6 @@ from ledgerlens.llm._util import table
 
 
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page judged by the rules, else by its host's reputation."""
-    outcomes = url_reputation.outcomes_of(table(spark, sf_dir, "labels"))
-    return url_reputation.judge_pages(table(spark, sf_dir, "pages"), outcomes)
-
-
-def op1_url_reputation_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page judged by the rules, else by its host's reputation from the labelled texts that pages carry."""
     pages = table(spark, sf_dir, "pages")
     outcomes = url_reputation.outcomes_by_text(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -90,7 +84,6 @@ def op13_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_reputation": (op1_url_reputation, url_reputation.SQL),
-    "op1_url_reputation_by_text": (op1_url_reputation_by_text, None),
     "op2_pareto_mix": (op2_pareto_mix, mixing.SQL),
     "op3_co_training": (op3_co_training, None),
     "op4_language_id": (op4_language_id, None),

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import url_reputation as U
+from ledgerlens.llm.queries import QUERIES
 from tests.llm.conftest import rows_of
 
 URLS = [
@@ -33,7 +36,9 @@ def plain_judgement(url):
 
 
 def labels(spark, rows):
-    return U.outcomes_of(spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
+    """Outcomes (page_id, bad) from rows (page_id, quality, toxic)."""
+    return spark.createDataFrame(rows, "page_id long, quality int, toxic int").select(
+        "page_id", U.is_bad(F.col("quality"), F.col("toxic")).alias("bad"))
 
 
 def test_hosts_paths_and_rules(spark):
@@ -59,14 +64,84 @@ def test_bad_hosts_are_blocked_and_small_ones_shrink(spark):
     assert found[5001]["bad_rate"] > found[5000]["bad_rate"] > found[1001]["bad_rate"]
 
 
-def test_sql_twin(spark):
+def plain_reputation(hosts, z=U.Z):
+    """``hosts``: host -> (domain, suffix, n, k); the formulas one by one, a child's pages left out of its prior."""
+    def strength(children):
+        noise = [n * m * (1 - m) for n, _, m in children]
+        above = sum(round(((k - n * m) ** 2 - e) * 1e6) for (n, k, m), e in zip(children, noise))
+        scale = sum(round((n - 1) * e * 1e6) for (n, _, _), e in zip(children, noise))
+        rho = min(max(above / scale if scale > 0 else 1.0, 1 / (1 + U.STRENGTH[1])), 1 / (1 + U.STRENGTH[0]))
+        return round(1 / rho - 1, 6)
+
+    domains, suffixes = {}, {}
+    for domain, suffix, n, k in hosts.values():
+        for group, key in ((domains, (domain, suffix)), (suffixes, suffix)):
+            group[key] = tuple(map(sum, zip(group.get(key, (0, 0)), (n, k))))
+    all_n, all_k = (sum(x[i] for x in suffixes.values()) for i in (0, 1))
+    base = {x: (all_k - k + 1) / (all_n - n + 2) for x, (n, k) in suffixes.items()}
+    s1 = strength([(*suffixes[x], base[x]) for x in suffixes])
+    top = {d: (suffixes[d[1]][1] - k + s1 * base[d[1]]) / (suffixes[d[1]][0] - n + s1) for d, (n, k) in domains.items()}
+    s2 = strength([(*domains[d], top[d]) for d in domains])
+    own = {h: (domains[d, x][1] - k + s2 * top[d, x]) / (domains[d, x][0] - n + s2) for h, (d, x, n, k) in hosts.items()}
+    s3 = strength([(n, k, own[h]) for h, (_, _, n, k) in hosts.items()])
+    out = {}
+    for h, (_, _, n, k) in hosts.items():
+        a, b = k + s3 * own[h], n - k + s3 * (1 - own[h])
+        out[h] = a / (a + b), max(0.0, a / (a + b) - z * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5)
+    return out
+
+
+def test_reputation_equals_the_formulas(spark):
+    rng, hosts = random.Random(5), {}
+    for i in range(60):
+        domain, suffix = f"d{i % 9}.{'org' if i % 3 else 'co.uk'}", "org" if i % 3 else "co.uk"
+        n = rng.choice([0, 1, 5, 40])
+        hosts[f"h{i}.{domain}"] = (domain, suffix, n, min(n, int(n * rng.random() * (1 if i % 9 else 1.6))))
+    rows = [(h, n, k) for h, (_, _, n, k) in hosts.items()]
+    found = {r["host"]: r for r in U.host_reputation(spark.createDataFrame(rows, "host string, n long, k long")).collect()}
+    for host, (rate, low) in plain_reputation(hosts).items():
+        assert (found[host]["bad_rate"], found[host]["bad_low"]) == pytest.approx((rate, low), abs=2e-6)
+
+
+def test_prior_does_not_hold_the_hosts_own_pages(spark):
+    """All labelled pages lie on one host: its prior is the flat one, whatever they say."""
+    rows = [("a.x.org", 100, 90), ("b.x.org", 0, 0)]
+    found = {r["host"]: r for r in U.host_reputation(spark.createDataFrame(rows, "host string, n long, k long")).collect()}
+    assert found["a.x.org"]["bad_rate"] == pytest.approx((90 + 2 * 0.5) / 102, abs=1e-5)
+    assert found["b.x.org"]["bad_rate"] > 0.8
+
+
+def text_tables():
+    """Pages, documents and labels: bad hosts and good ones, each page carrying a document's text."""
+    rng, docs, marks, pages_ = random.Random(8), [], [], []
+    for i in range(240):
+        bad = i % 4 == 0
+        text = " ".join(rng.choice(["green", "bean", "stone", "river", "lamp", "Été"]) + str(rng.randrange(999)) for _ in range(12))
+        docs.append((i, f"{text}. Every page says this same line! {text[::-1]}\nand the end of number {i}", None, None, None))
+        if i % 5:
+            marks.append((i, int(not bad), int(bad and i % 8 == 0)))
+        host = f"h{i % 3}.casino.org" if bad else f"www{i % 7}.fine.com"
+        body = docs[-1][1].replace("\n", "</p>\r\n<P class=x>").replace("green", "<b>green</b>")
+        pages_.append((1000 + i, f"http://{host}/{i}", f"<html><SCRIPT>var x;</script ><p>{body}</p><!-- a\nb --></html>"))
+    docs += [(900, None, None, None, None), (901, "", None, None, None), (None, docs[0][1], None, None, None), docs[7]]
+    pages_ += [(None, "http://n.org", pages_[0][2]), (2000, None, None), (2001, "http://new.casino.org/", ""), pages_[3]]
+    return pages_, docs, marks + [(None, 0, 0), (3, None, None), (7, 1, 0)]
+
+
+def test_query_blocks_bad_hosts_as_its_sql_does(spark, tmp_path):
+    pages_, docs, marks = text_tables()
+    tables = {"pages": spark.createDataFrame(pages_, "page_id long, url string, html string"),
+              "documents": spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"),
+              "labels": spark.createDataFrame(marks, "doc_id long, quality int, toxic int")}
     con = duckdb.connect()
-    con.register("pages", pages(spark).select("page_id", "url").toArrow())
-    rows = [(i, i % 3 != 0, i % 5 == 0) for i in range(12)]
-    con.register("labels", spark.createDataFrame([(i, int(q), int(t)) for i, q, t in rows],
-                                                 "doc_id long, quality int, toxic int").toArrow())
-    ours = U.judge_pages(pages(spark), labels(spark, [(i, int(q), int(t)) for i, q, t in rows]))
-    assert rows_of(ours) == sorted(con.execute(U.SQL).fetchall(), key=repr)
+    for name, df in tables.items():
+        df.withColumns({c: F.lit("x") for c in ("line", "content", "bad", "n")}).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.register(name, df.toArrow())
+    found = QUERIES["op1_url_reputation"][0](spark, str(tmp_path))
+    assert rows_of(found) == sorted(con.execute(U.SQL).fetchall(), key=repr)
+    verdicts = {r["host"]: r["verdict"] for r in found.collect()}
+    assert {h: v for h, v in verdicts.items() if "fine" in h or h.startswith("h")} == {
+        **{f"h{i}.casino.org": "block" for i in range(3)}, **{f"www{i}.fine.com": "allow" for i in range(7)}}
 
 
 @pytest.mark.parametrize("urls", [[], ["http://a.org/x"]])
@@ -76,12 +151,21 @@ def test_without_labels_or_pages(spark, urls):
     assert [r["verdict"] for r in found] == ["allow"] * len(urls)
 
 
-def test_registered_domains(spark):
+def test_registered_domains(spark, tmp_path):
     hosts = {"a.b.example.com": ("example.com", "com"), "x.co.uk": ("x.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
              "u@w.x.co.uk:8080": ("x.co.uk", "co.uk"), "10.0.0.1": ("10.0.0.1", ""), "localhost": ("localhost", ""), "": ("", "")}
     rows = spark.createDataFrame([(h,) for h in hosts], "host string")
-    domain, suffix = U.domain_and_suffix(F.col("host"))
-    assert {r[0]: (r[1], r[2]) for r in rows.select("host", domain, suffix).collect()} == hosts
+    found = U.with_domains(rows).collect()
+    assert {r["host"]: (r["domain"], r["suffix"]) for r in found} == hosts
+
+    path = tmp_path / "rules"
+    path.write_text("// a comment\n\ncom\n*.ck\n!www.ck\na.b.jp trailing words\nb.jp\n")
+    rules = U.load_suffixes(str(path))
+    listed = {"x.com": ("x.com", "com"), "s.shop.ck": ("s.shop.ck", "shop.ck"), "shop.ck": ("shop.ck", "shop.ck"),
+              "www.ck": ("www.ck", "ck"), "q.www.ck": ("www.ck", "ck"), "y.z.a.b.jp": ("z.a.b.jp", "a.b.jp"),
+              "z.c.b.jp": ("c.b.jp", "b.jp"), "x.unknown": ("x.unknown", "unknown")}
+    found = U.with_domains(spark.createDataFrame([(h,) for h in listed], "host string"), rules).collect()
+    assert {r["host"]: (r["domain"], r["suffix"]) for r in found} == listed
 
 
 def test_outcomes_come_from_the_text_of_pages(spark):
