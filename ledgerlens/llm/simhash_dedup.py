@@ -291,27 +291,18 @@ def keep_one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int =
                      seed: int = SEED) -> DataFrame:
     """``docs`` without near-duplicates: the document with the smallest id of each component stays.
 
-    Of rows that repeat that id one stays; a component of null ids keeps one
-    row.  All columns come back as they are, whatever their names.
+    Of rows that repeat that id and fingerprint one stays; a component of null
+    ids keeps one row.  All columns come back as they are, whatever their names.
+    The documents are stored beside their fingerprints and a row number, and
+    winners are row numbers, so joins neither multiply nor depend on ids.
     """
-    hashed = stored(docs.select(F.col("doc_id").alias("id"),
-                                fingerprint_column(F.col("text"), words, seed).alias("fp")), "simhash")
-    members = stored(fingerprint_components(hashed, radius), "simhash-members")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "fp")
-    per_fp = hashed.groupBy("fp").agg(F.min(order).alias("low"))
-    best = (per_fp.join(members, per_fp.fp == members.node, "left")
-            .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("low").alias("low"))
-            .select(F.col("low.id").alias("keep_id"), F.col("low.fp").alias("keep_fp")))
-    per_id = hashed.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    winners = stored(best.join(per_id, best.keep_id.eqNullSafe(per_id.id))
-                     .select("keep_id", "keep_fp", (F.col("n") > 1).alias("shared")), "simhash-winners")
-    kept = docs.join(winners, docs["doc_id"].eqNullSafe(winners["keep_id"]))
-    rows = F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns])
-    if winners.where("shared").isEmpty():  # every kept id belongs to one row
-        return kept.select(rows.alias("row")).select("row.*")
-    # An id of several rows: the text decides, and of equal rows one stays.
-    text = F.when(winners["shared"], docs["text"])
-    return (kept.withColumn("simhash of shared ids", fingerprint_column(text, words, seed))
-            .where(~winners["shared"] | (F.col("simhash of shared ids") == winners["keep_fp"]))
-            .select(rows.alias("row"), winners["keep_id"].alias("k"), winners["keep_fp"].alias("f"))
-            .dropDuplicates(["k", "f"]).select("row.*"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = stored(docs.select(whole, F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("at"),
+                              fingerprint_column(F.col("text"), words, seed).alias("fp")), "simhash-rows")
+    members = stored(fingerprint_components(rows, radius), "simhash-members")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "at")
+    per_fp = rows.groupBy("fp").agg(F.min(order).alias("low"))
+    winners = stored(per_fp.join(members, per_fp.fp == members.node, "left")
+                     .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("low").alias("low"))
+                     .select(F.col("low.at").alias("at")), "simhash-winners")
+    return rows.join(winners, "at", "left_semi").select("row.*")
