@@ -33,15 +33,18 @@ SAMPLE_ROWS = 4096
 HEAD_SHARE = 0.5
 
 
-def exact_scores(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Integer inner products of whole-number matrices (as doubles while these are exact)."""
-    most = (np.abs(queries).max(initial=0) * np.abs(block).max(initial=0)) * max(1, queries.shape[1])
-    if most < 2.0 ** 53:
+#: Longs that scores are held within; the one below stands for no score.
+_LOWEST, _HIGHEST = -(1 << 63) + 1, (1 << 63) - 1
+
+
+def exact_scores(queries: np.ndarray, block: np.ndarray, huge: bool = False) -> np.ndarray:
+    """Integer inner products of whole-number matrices: doubles while these are exact, else longs."""
+    if not huge:
         return queries @ block.T
     wide = np.vectorize(int, otypes=[object])
     # beyond doubles: Python integers, held within the range of a long
     score = wide(queries) @ wide(block).T
-    return np.clip(score, -(1 << 63), (1 << 63) - 1)
+    return np.clip(score, _LOWEST, _HIGHEST).astype(np.int64)
 
 
 def _exact_pairs(queries: np.ndarray, block: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
@@ -55,39 +58,39 @@ def _exact_pairs(queries: np.ndarray, block: np.ndarray, row: np.ndarray, col: n
 class Searcher:
     """Queries of one group with their running results."""
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, bar: np.ndarray, rotation: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, bar: np.ndarray, rotation: np.ndarray, k: int, huge: bool = False):
         self.ids, self.matrix, self.seed, self.rotation = ids, matrix, bar, rotation
         self.norm = np.linalg.norm(matrix, axis=1)
         self.head = max(1, round(matrix.shape[1] * HEAD_SHARE))
         turned = matrix @ rotation
         self.front, self.rest = turned[:, :self.head], np.linalg.norm(turned[:, self.head:], axis=1)
-        self.top = TopK(len(ids), k)
-        self.exact = k, np.abs(matrix).max(initial=0) * max(1, matrix.shape[1])
+        self.top = TopK(len(ids), k, np.int64 if huge else np.float64)
+        self.huge = huge
 
     def offer(self, ids: np.ndarray, block: np.ndarray) -> None:
         """One block of candidates, longest first."""
         bar = np.maximum(self.seed, self.top.bar())
         length = np.linalg.norm(block, axis=1)
-        slack = 1e-9 * (1 + self.norm * length.max(initial=0))
-        live = np.flatnonzero(self.norm * length.max(initial=0) + slack >= bar)
-        if not len(live):
-            return
-        turned = block @ self.rotation
-        rest = np.linalg.norm(turned[:, self.head:], axis=1)
-        bound = self.front[live] @ turned[:, :self.head].T + self.rest[live][:, None] * rest[None, :]
-        may = bound + slack[live][:, None] >= bar[live][:, None]
+        with np.errstate(over="ignore", invalid="ignore"):  # lengths beyond doubles rule nothing out
+            slack = 1e-9 * (1 + self.norm * length.max(initial=0))
+            live = np.flatnonzero(~(self.norm * length.max(initial=0) + slack < bar))
+            if not len(live):
+                return
+            turned = block @ self.rotation
+            rest = np.linalg.norm(turned[:, self.head:], axis=1)
+            bound = self.front[live] @ turned[:, :self.head].T + self.rest[live][:, None] * rest[None, :]
+            may = ~(bound + slack[live][:, None] < bar[live][:, None])
         may &= ids[None, :] != self.ids[live][:, None]
         some = may.any(axis=1)
         live, may = live[some], may[some]
         if not len(live):
             return
-        small = self.exact[1] * np.abs(block).max(initial=0) < 2.0 ** 53
-        if small and may.mean() < 0.05:
+        if not self.huge and may.mean() < 0.05:
             score = np.full(may.shape, -np.inf)
             row, col = np.nonzero(may)
             score[row, col] = _exact_pairs(self.matrix[live], block, row, col)
         else:
-            score = np.where(may, exact_scores(self.matrix[live], block).astype(np.float64), -np.inf)
+            score = np.where(may, exact_scores(self.matrix[live], block, self.huge), self.top.none)
         self.top.add(live, score, ids)
 
 
@@ -112,7 +115,7 @@ def _blocks(rows: int, dim: int):
     return run
 
 
-def _search(rotation: np.ndarray, k: int, dim: int):
+def _search(rotation: np.ndarray, k: int, dim: int, huge: bool):
     """Rows sorted by (g, h, queries first, longest block first) to candidates of each query."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,7 +140,7 @@ def _search(rotation: np.ndarray, k: int, dim: int):
                 if searcher is None:
                     if not waiting:
                         continue
-                    searcher = Searcher(*(np.concatenate(x) for x in zip(*waiting)), rotation, k)
+                    searcher = Searcher(*(np.concatenate(x) for x in zip(*waiting)), rotation, k, huge)
                 searcher.offer(ids, matrix)
         if searcher is not None:
             yield results()
@@ -150,14 +153,16 @@ def _rotation(vectors: DataFrame, dim: int) -> np.ndarray:
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").toPandas()
     if sample.empty or dim == 0:
         return np.eye(dim)
-    return np.linalg.svd(unpack(sample["v"], dim), full_matrices=True)[2].T
+    matrix = unpack(sample["v"], dim)
+    return np.linalg.svd(matrix / max(1.0, np.abs(matrix).max()), full_matrices=True)[2].T
 
 
 def top_inner_products(rows: DataFrame, is_query: Column, k: int = K, scale: float | None = SCALE) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` highest inner products of each query.
 
     ``rows(vec_id, vector)``; components become floor(scale * x) first, so
-    scores are whole numbers (held within a long).  Vectors that are null or
+    scores are whole numbers, exact whatever their size and then
+    held within a long (a lower or higher score counts as its end).  Vectors that are null or
     hold a null or non-finite component, and rows without ``vec_id``, take no
     part; shorter vectors count as filled up with zeros.  A query is never its
     own candidate (rows of its id); ties go to the smaller id.  A repeated row
@@ -170,6 +175,9 @@ def top_inner_products(rows: DataFrame, is_query: Column, k: int = K, scale: flo
     vectors = stored(packed(clean.select("vec_id", "vector"), dim, scale), "mips-vectors")
     if vectors.where(is_query).isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # no sum of products is longer than the product of lengths: below 2**53 doubles hold them all
+    longest = vectors.agg(F.max("norm")).first()[0]
+    huge = not longest * longest < 2.0 ** 53
     rotation = _rotation(vectors, dim)
     queries = vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
 
@@ -180,12 +188,14 @@ def top_inner_products(rows: DataFrame, is_query: Column, k: int = K, scale: flo
     def ready(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             ids, matrix = frame["vec_id"].to_numpy(np.int64), unpack(frame["v"], dim)
-            score = exact_scores(matrix, seed_matrix[seed_index]).astype(np.float64)
+            score = exact_scores(matrix, seed_matrix[seed_index], huge).astype(np.float64)
             score[every[None, :] == ids[:, None]] = -np.inf
             bar = np.sort(score, axis=1)[:, -k] if len(every) >= k else np.full(len(ids), -np.inf)
+            if huge:  # scores below the range of a long count as its lower end
+                bar = np.where(bar <= float(_LOWEST), -np.inf, bar)
             norm = np.linalg.norm(matrix, axis=1)
             # the length a candidate needs; a negative threshold rules nothing out
-            reach = np.where((bar > 0) & (norm > 0), bar / np.maximum(norm, 1e-300), 0.0)
+            reach = np.where((bar > 0) & (norm > 0) & np.isfinite(norm), bar / np.maximum(norm, 1e-300), 0.0)
             yield pd.DataFrame({"vec_id": ids, "v": frame["v"], "bar": bar, "reach": reach})
 
     asked = stored(queries.mapInPandas(ready, "vec_id long, v binary, bar double, reach double"), "mips-queries")
@@ -198,7 +208,8 @@ def top_inner_products(rows: DataFrame, is_query: Column, k: int = K, scale: flo
     blocks = stored(
         vectors.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id", "v")
         .mapInPandas(_blocks(BLOCK_ROWS, dim), "max_norm double, ids binary, matrix binary"), "mips-blocks")
-    lanes = max(1, min(blocks.count(), 4 * spark.sparkContext.defaultParallelism))
+    # a query travels once per lane; groups of queries are parallel by themselves, so many of them need few lanes
+    lanes = max(1, min(blocks.count(), math.ceil(4 * spark.sparkContext.defaultParallelism / groups)))
     lane = F.pmod(F.xxhash64("max_norm", "ids"), F.lit(lanes)).cast("int")
     needs = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(r).alias("reach")) for g, r in sorted(reach.items())])
     sent = blocks.withColumn("h", lane).select(
@@ -209,7 +220,7 @@ def top_inner_products(rows: DataFrame, is_query: Column, k: int = K, scale: flo
         "g", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("h"), F.lit(0).alias("kind"), "bar",
         F.unhex(F.lpad(F.hex("vec_id"), 16, "0")).alias("ids"), F.col("v").alias("matrix"))
     found = (there.unionByName(sent).repartition("g", "h").sortWithinPartitions("g", "h", "kind", F.desc("bar"))
-             .mapInPandas(_search(rotation, k, dim), "query_id long, vec_id long, score long"))
+             .mapInPandas(_search(rotation, k, dim, huge), "query_id long, vec_id long, score long"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

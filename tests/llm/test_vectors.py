@@ -78,11 +78,30 @@ def test_pruned_blocks_change_nothing():
         assert searcher.top.ids[row].tolist() == best.tolist()
 
 
-def test_huge_components_use_exact_integers():
+@pytest.mark.parametrize("size", [1e5, 1e7, 1e8, 1e9, 1e15, 1e30, 1e300])
+def test_huge_components_use_exact_integers(spark, size):
+    """Scores beyond doubles differ in their last digits; beyond longs they count as the end of the range."""
+    rng = np.random.default_rng(int(np.log10(size)))
+    base = (rng.normal(size=4) * size).round()
+    rows = [(i, (base + rng.integers(-40, 40, 4)).tolist()) for i in range(150)] + [(200, (-base).tolist())]
+    whole = [(i, [int(x) for x in v]) for i, v in rows]
+    expected = []
+    for q, a in whole:
+        if q % 100 == 0:
+            scored = sorted((-max(-2 ** 63 + 1, min(2 ** 63 - 1, sum(x * y for x, y in zip(a, b)))), i) for i, b in whole if i != q)
+            expected += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:10], 1)]
+    found = T.top_inner_products(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 100 == 0, scale=1.0)
+    assert rows_of(found) == sorted(expected, key=repr)
+
+
+def test_long_scores_hold_both_ends():
     a = np.array([[2.0 ** 40 + 1, 3.0]])
-    assert T.exact_scores(a, a)[0, 0] == (2 ** 63 - 1)
+    assert T.exact_scores(a, a, True)[0, 0] == 2 ** 63 - 1 and T.exact_scores(a, -a, True)[0, 0] == -2 ** 63 + 1
     b = np.array([[2.0 ** 30 + 1, 2.0 ** 30 - 1]])
-    assert T.exact_scores(b, b)[0, 0] == (2 ** 30 + 1) ** 2 + (2 ** 30 - 1) ** 2
+    assert T.exact_scores(b, b, True)[0, 0] == (2 ** 30 + 1) ** 2 + (2 ** 30 - 1) ** 2
+    top = TopK(1, 2, np.int64)
+    top.add(np.array([0]), np.array([[2 ** 53, 2 ** 53 + 1, top.none, -2 ** 63 + 1]]), np.array([4, 9, 1, 2]))
+    assert top.ids.tolist() == [[9, 4]] and top.found()[2].tolist() == [2 ** 53 + 1, 2 ** 53]
 
 
 def test_running_top_k_breaks_ties_by_id():
