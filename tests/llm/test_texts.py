@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import collections
 import random
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -115,8 +117,10 @@ def test_round_trip_of_any_text(texts, key):
     assert alone[0].tolist() == ids[0].tolist()
 
 
-def test_draws_follow_the_lattice():
-    """Frequencies over many keys against all segmentations listed one by one."""
+@pytest.mark.parametrize("long", [128, 1])
+def test_draws_follow_the_lattice(monkeypatch, long):
+    """Frequencies over many keys against all segmentations listed one by one; also as a long word."""
+    monkeypatch.setattr(P, "_LONG", long)
     word, number = "▁thing", {VOCABULARY.pieces[i]: i for i in np.flatnonzero(VOCABULARY.normal)}
 
     def cuts(at):
@@ -129,9 +133,9 @@ def test_draws_follow_the_lattice():
 
     every = dict(cuts(0))
     total = np.logaddexp.reduce(list(every.values()))
-    n = 40_000
+    n = 40_000 if long > 1 else 4_000
     drawn = collections.Counter(tuple(x.tolist()) for x in P.encode_batch(["thing"] * n, np.arange(n), VOCABULARY, TRIE))
-    assert set(drawn) <= set(every) and len(drawn) > 3
+    assert set(drawn) <= set(every) and len(drawn) >= 3
     for pieces, weight in every.items():
         p = np.exp(weight - total)
         assert abs(drawn[pieces] / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 1e-4
@@ -156,3 +160,70 @@ def test_temperature_flattens_draws():
     texts, keys = ["something interesting happened there"] * 300, np.arange(300)
     count = lambda v: len({tuple(x.tolist()) for x in P.encode_batch(texts, keys, v, P.Trie(v))})
     assert count(hot) > count(VOCABULARY)
+
+
+UNSPACED = {
+    "letters": lambda rng, n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", weights=range(26, 0, -1), k=n)),
+    "cjk": lambda rng, n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n)),
+    "mixed": lambda rng, n: "".join(rng.choices(["th", "e", "▁", "é", "\U0001F600", "\n", "==", "0"], k=n // 2)),
+    "spaces": lambda rng, n: " " * n, "one": lambda rng, n: "a" * n}
+
+
+@pytest.mark.parametrize("kind", UNSPACED)
+def test_long_words_have_the_sums_of_the_lattice(monkeypatch, kind):
+    """Stretches and segments joined by their starts give the forward sums of one lattice over the whole word."""
+    monkeypatch.setattr(P, "_SEGMENT", 700)
+    monkeypatch.setattr(P, "_STRETCH", 64)
+    text = UNSPACED[kind](random.Random(3), 2000)
+    word = P.LongWord(" " + text, VOCABULARY, TRIE)
+    monkeypatch.setattr(P, "_LONG", 1 << 60)
+    lattice = P.Lattice([" " + text], VOCABULARY, TRIE)
+    assert word.total == pytest.approx(lattice.total, abs=1e-6)
+    tokens = word.sample(77)
+    assert DECODE(tokens) == text and tokens.tolist() == P.LongWord(" " + text, VOCABULARY, TRIE).sample(77).tolist()
+    assert tokens.tolist() != word.sample(78).tolist() or kind == "cjk"
+
+
+def test_long_words_do_not_depend_on_the_batch():
+    rng = random.Random(6)
+    texts = ["short text", UNSPACED["letters"](rng, 5000) + " and " + UNSPACED["cjk"](rng, 3000), "x " * 50]
+    together = P.encode_batch(texts, np.arange(3), VOCABULARY, TRIE)
+    sampler = P.Sampler(VOCABULARY, TRIE)
+    sampler(["and other words x"], np.arange(1))
+    alone = [sampler([t], np.array([i]))[0] for i, t in enumerate(texts)]
+    assert [a.tolist() for a in alone] == [b.tolist() for b in together] and [DECODE(i) for i in together] == texts
+
+
+def test_kept_lattices_start_over(monkeypatch):
+    rng, texts = random.Random(8), []
+    for _ in range(6):
+        texts.append([prose(rng, "en", 30) for _ in range(3)])
+    whole = [P.encode_batch(t, np.arange(3), VOCABULARY, TRIE) for t in texts]
+    monkeypatch.setattr(P, "_KEPT_CHARS", 200)
+    sampler = P.Sampler(VOCABULARY, TRIE)
+    assert [[x.tolist() for x in sampler(t, np.arange(3))] for t in texts] == [[x.tolist() for x in w] for w in whole]
+
+
+@pytest.mark.parametrize("kind", ["letters", "cjk"])
+def test_text_without_spaces_keeps_up(kind):
+    """A million characters without a space take at most twice the time per byte of spaced text, in little memory."""
+    rng = random.Random(1)
+    unspaced = UNSPACED[kind](rng, 1_000_000 if kind == "letters" else 340_000)
+    spaced = " ".join(UNSPACED["letters"](rng, rng.randint(2, 12)) for _ in range(130_000))
+    sampler = P.Sampler(VOCABULARY, TRIE)
+    sampler(["warm up " + spaced[:9000], unspaced[:9000]], np.arange(2))
+
+    def rate(text):
+        best = 1e9
+        for _ in range(2):
+            fresh, start = P.Sampler(VOCABULARY, TRIE), time.process_time()
+            fresh([text], np.arange(1))
+            best = min(best, time.process_time() - start)
+        return best / len(text.encode())
+
+    assert rate(unspaced) < 2 * rate(spaced)
+    tracemalloc.start()
+    P.Sampler(VOCABULARY, TRIE)([unspaced], np.arange(1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
