@@ -25,9 +25,12 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -46,8 +49,11 @@ UNIT_BITS = 8
 LEVEL = 3
 #: Chunks that one reading task begins documents in.
 READ_CHUNKS = 64
-_CHARS = 1 << 22
-_CACHED_WORDS = 1 << 20
+#: Documents of the sample whose common words tasks know from the start, and words at most.
+COMMON_ROWS, COMMON_WORDS = 20_000, 200_000
+_CHARS = 1 << 21
+#: Further words that a task remembers.
+_CACHED_WORDS = 1 << 18
 _MAGIC = b"IDPLANE1"
 _TRAILER = "<QQQII8s"  # index offset, chunks, ids, chunk ids, unit bits, magic
 INDEX_SCHEMA = "part int, file string, chunk int, offset long, length long, first long, n_ids long, n_docs long, crc32 long"
@@ -62,6 +68,32 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
 
 # --- encoding ---------------------------------------------------------------
 
+@dataclass(frozen=True)
+class CommonWords:
+    """Words joined by spaces, their ids in a row, and the number of ids of each."""
+
+    words: str
+    ids: np.ndarray
+    size: np.ndarray
+
+
+class _Numbers(dict):
+    """Words to numbers; a new word gets the next one."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+
+def _splits_words(spec: str) -> bool:
+    """Whether the tokenizer splits plain text at words, each with the space before it."""
+    form = json.loads(spec)
+    before = form.get("pre_tokenizer") or {}
+    return (form.get("normalizer") is None and before.get("type") == "ByteLevel"
+            and before.get("use_regex", True) and not before.get("add_prefix_space", True))
+
+
 class Encoder:
     """Ids of whole texts; special strings in a text are ordinary text.
 
@@ -73,24 +105,27 @@ class Encoder:
 
     _UNSAFE = re.compile(r"\s ")
 
-    def __init__(self, spec: str, end_id: int = END_ID):
+    def __init__(self, spec: str, end_id: int = END_ID, common: CommonWords | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.model, self.end_id = Tokenizer.from_str(spec), end_id
         self.model.encode_special_tokens = True
-        form = json.loads(spec)
-        before = form.get("pre_tokenizer") or {}
-        self.by_words = (form.get("normalizer") is None and before.get("type") == "ByteLevel"
-                         and before.get("use_regex", True) and not before.get("add_prefix_space", True))
+        self.by_words = _splits_words(spec)
         vocabulary = self.model.get_vocab()
         self.opens_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.opens_word[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        self.common = common
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers: dict[str, int] = {}
+        """Only the common words are known."""
+        self.numbers = _Numbers()
         self.pool, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if self.common is not None:
+            self.numbers.update(zip(self.common.words.split(" "), range(len(self.common.size))))
+            self.pool, self.size = self.common.ids, self.common.size.astype(np.int64)
+            self.at = np.cumsum(self.size) - self.size
 
     def _each(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -112,19 +147,23 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, an end id after each, and the number of ids of each (end ids counted)."""
-        if len(self.numbers) > _CACHED_WORDS:
+        seeded = 0 if self.common is None else len(self.common.size)
+        if len(self.numbers) > seeded + _CACHED_WORDS:
             self._forget()
-        known, numbers = len(self.numbers), self.numbers
-        firsts, words = [], []
-        for text in texts:
-            if self.by_words and not self._UNSAFE.search(text):
-                first, *rest = text.split(" ")
-                words.append([numbers.setdefault(w, len(numbers)) for w in rest])
-            else:
-                first = text
-                words.append([])
-            firsts.append(first)
-        new = list(numbers)[known:]
+        known = len(self.numbers)
+        whole = [not self.by_words or bool(self._UNSAFE.search(t)) for t in texts]
+        split = pc.split_pattern(pa.array(["" if w else t for w, t in zip(whole, texts)], pa.string()), " ")
+        offsets, pieces = split.offsets.to_numpy(), split.values.dictionary_encode()
+        firsts = [t if w else f for w, t, f in zip(whole, texts, pieces.take(pa.array(offsets[:-1])).to_pylist())]
+        place = pieces.indices.to_numpy()
+        is_word = np.ones(len(place), bool)
+        is_word[offsets[:-1]] = False
+        used = np.zeros(len(pieces.dictionary), bool)
+        used[place[is_word]] = True
+        number_of = np.zeros(len(used), np.int64)
+        words = pieces.dictionary.filter(pa.array(used)).to_pylist()
+        number_of[used] = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        new = list(islice(self.numbers, known, None))
         if new:
             self._learn(new)
         heads = self._each(firsts)
@@ -133,13 +172,42 @@ class Encoder:
         pool = np.concatenate((self.pool, *heads, np.array([self.end_id], np.uint32)))
         at = np.concatenate((self.at, len(self.pool) + np.cumsum(head_size) - head_size, [len(pool) - 1]))
         size = np.concatenate((self.size, head_size, [1]))
-        n = len(self.numbers)
-        order = np.fromiter((x for i, part in enumerate(words) for x in (n + i, *part, n + len(texts))), np.int64)
-        length = size[order]
-        place = np.repeat(at[order] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-        items = np.fromiter((len(part) + 2 for part in words), np.int64, len(words))
-        upto = np.concatenate(([0], np.cumsum(length)))[np.cumsum(items)]
-        return pool[place], np.diff(upto, prepend=0)
+        n, each = len(self.numbers), np.arange(len(texts))
+        items = np.empty(len(place) + len(texts), np.int64)
+        tails = offsets[1:].astype(np.int64) + each
+        items[np.arange(len(place)) + np.repeat(each, np.diff(offsets))] = number_of[place]
+        items[offsets[:-1] + each], items[tails] = n + each, n + len(texts)
+        length = size[items]
+        upto = np.cumsum(length)
+        place = np.repeat(at[items] - (upto - length), length) + np.arange(int(length.sum()))
+        return pool[place], np.diff(upto[tails], prepend=0)
+
+
+def common_words(docs: DataFrame, spec: str, rows: int = COMMON_ROWS, most: int = COMMON_WORDS) -> CommonWords | None:
+    """The most frequent words of a sample of about ``rows`` documents with their ids.
+
+    Tasks start with them, so that no task encodes them again; they change no
+    result.  The driver receives ``most`` words at most.
+    """
+    if not _splits_words(spec):
+        return None
+    texts = docs.select("text").where("text is not null")
+    count = texts.count()
+    sample = texts.sample(min(1.0, rows / max(1, count)), seed=7) if count > rows else texts
+    words = sample.select(F.explode(F.slice(F.split("text", " "), 2, 1 << 30)).alias("word")).groupBy("word").count()
+    kept = words.where((F.col("count") > 1) & (F.length("word") > 0)).orderBy(F.desc("count"), "word").limit(most)
+
+    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(spec)
+        for frame in frames:
+            found = encoder._each([" " + w for w in frame["word"]])
+            yield pd.DataFrame({"word": frame["word"], "ids": [x.tobytes() for x in found]})
+
+    found = kept.select("word").repartition(max(1, most // 20_000)).mapInPandas(encode, "word string, ids binary").toPandas()
+    if found.empty:
+        return None
+    return CommonWords(" ".join(found["word"]), np.frombuffer(b"".join(found["ids"]), np.uint32),
+                       (found["ids"].map(len) // 4).to_numpy(np.int32))
 
 
 # --- planes -----------------------------------------------------------------
@@ -279,11 +347,11 @@ class PlaneReader:
 
 # --- the operator -----------------------------------------------------------
 
-def _writer(folder: str, spec: str, end_id: int, chunk_ids: int, unit_bits: int, file_bytes: int):
+def _writer(folder: str, spec: str, common: CommonWords | None, end_id: int, chunk_ids: int, unit_bits: int, file_bytes: int):
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = opened(folder)
         system.create_dir(base, recursive=True)
-        part, encode = TaskContext.get().partitionId(), Encoder(spec, end_id)
+        part, encode = TaskContext.get().partitionId(), Encoder(spec, end_id, common)
         file, name, before = None, None, 0
 
         def closed() -> pd.DataFrame:
@@ -335,8 +403,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
         *order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
     # ids travel as text: a batch with a null id would turn whole numbers into doubles
     rows = placed.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return stored(rows.mapInPandas(_writer(folder, spec, end_id, chunk_ids, unit_bits, file_bytes), INDEX_SCHEMA),
-                  "tokens-index")
+    return stored(rows.mapInPandas(_writer(folder, spec, common_words(docs, spec), end_id, chunk_ids, unit_bits,
+                                           file_bytes), INDEX_SCHEMA), "tokens-index")
 
 
 def _read(summary: bool):

@@ -44,6 +44,14 @@ def test_words_are_encoded_as_in_the_whole_text(spec, model):
         assert [g.tolist() for g in got] == [e.ids + [0] for e in model.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_common_words_change_nothing(spark, spec, model, messy):
+    common = T.common_words(messy, spec, most=300)
+    assert len(common.size) == 300 == len(common.words.split(" ")) and common.size.sum() == len(common.ids)
+    texts = [r["text"] or "" for r in messy.collect()] + ODD
+    ids, sizes = T.Encoder(spec, 0, common)(texts)
+    assert ids.tolist() == [i for t in texts for i in model.encode(t, add_special_tokens=False).ids + [0]]
+
+
 def test_word_cache_starts_over(spec, model, monkeypatch):
     monkeypatch.setattr(T, "_CACHED_WORDS", 10)
     encode, rng = T.Encoder(spec), random.Random(3)
