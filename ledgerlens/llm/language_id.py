@@ -26,6 +26,8 @@ HASHES = 3
 UNDETERMINED = "und"
 _CHARS = 1 << 20
 _SPACE = 32
+#: Distinct trigrams that a task holds, of all languages together.
+_HELD_GRAMS = 1 << 20
 
 
 # --- trigrams ---------------------------------------------------------------
@@ -65,8 +67,9 @@ def _count_trigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     gram, n = np.unique(grams, return_counts=True)
                     new = pd.Series(n, index=gram.view(np.int64))
                     totals[lang] = new if lang not in totals else totals[lang].add(new, fill_value=0)
-                    if len(totals[lang]) > 1 << 20:
-                        yield _rows(lang, totals.pop(lang))
+                    while sum(map(len, totals.values())) > _HELD_GRAMS:  # whatever the number of languages
+                        largest = max(totals, key=lambda x: len(totals[x]))
+                        yield _rows(largest, totals.pop(largest))
     for lang, counts in totals.items():
         yield _rows(lang, counts)
 
@@ -86,6 +89,8 @@ class LanguageFilter:
     false_rates: np.ndarray
     hashes: int
     common: str
+    #: Per language the share of its own trigrams that the filter holds.
+    mass: np.ndarray
 
 
 def _slots(grams: np.ndarray, count: int, hashes: int) -> Iterator[np.ndarray]:
@@ -113,23 +118,30 @@ def train(rows: DataFrame, min_share: float = MIN_SHARE, slots: int = SLOTS,
         return None
     languages = tuple(sorted(r["lang"] for r in sizes))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    chosen = counts.join(totals, "lang").where(F.col("n") >= F.col("total") * min_share).select("lang", "gram").toPandas()
+    chosen = counts.join(totals, "lang").where(F.col("n") >= F.col("total") * min_share).select(
+        "lang", "gram", (F.col("n") / F.col("total")).alias("share")).toPandas()
     masks = np.zeros(((len(languages) + 63) // 64, slots), np.uint64)
     number = {lang: i for i, lang in enumerate(languages)}
-    false_rates = np.zeros(len(languages))
+    false_rates, mass = np.zeros(len(languages)), np.zeros(len(languages))
     for lang, part in chosen.groupby("lang"):
         i = number[lang]
+        mass[i] = part["share"].sum()
         grams = part["gram"].to_numpy(np.int64).view(np.uint64)
         for slot in _slots(grams, slots, hashes):
             masks[i // 64, slot] |= U64(1) << U64(i % 64)
         filled = np.count_nonzero(masks[i // 64] >> U64(i % 64) & U64(1)) / slots
         false_rates[i] = filled ** hashes
     common = min(sizes, key=lambda r: (-r["docs"], r["lang"]))["lang"]
-    return LanguageFilter(languages, masks, false_rates, hashes, common)
+    return LanguageFilter(languages, masks, false_rates, hashes, common, mass)
 
 
 def coverage(texts: list[str], model: LanguageFilter) -> np.ndarray:
     """Per text and language the corrected share of its trigrams that the language contains."""
+    return _coverage(texts, model)[0]
+
+
+def _coverage(texts: list[str], model: LanguageFilter) -> tuple[np.ndarray, np.ndarray]:
+    """``coverage`` and the number of trigrams of each text."""
     n, out = np.zeros(len(texts)), np.zeros((len(texts), len(model.languages)))
     for grams, owner in trigram_blocks(texts):
         n += np.bincount(owner, minlength=len(texts))
@@ -141,7 +153,7 @@ def coverage(texts: list[str], model: LanguageFilter) -> np.ndarray:
             for bit in range(min(64, len(model.languages) - 64 * word)):
                 out[:, 64 * word + bit] += np.bincount(owner, weights=(held >> U64(bit)) & U64(1), minlength=len(texts))
     share = out / np.maximum(n, 1)[:, None]
-    return np.clip((share - model.false_rates) / (1 - model.false_rates), 0.0, 1.0)
+    return np.clip((share - model.false_rates) / (1 - model.false_rates), 0.0, 1.0), n
 
 
 def decide(texts: list[str], model: LanguageFilter) -> tuple[list[str], np.ndarray]:
@@ -199,14 +211,45 @@ def identify(docs: DataFrame, model: LanguageFilter | None = None) -> DataFrame:
         "doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-#: A document stays if at least this share of its trigrams belongs to its language.
+#: A document stays if it has this part of the coverage that its language has of itself ..
 MIN_SCORE = 0.3
+#: .. and its language leads the next one by this share of its trigrams, if it has enough of them to tell.
+MIN_LEAD, MIN_TRIGRAMS = 0.02, 20
+
+
+def identified(texts: list[str], model: LanguageFilter, min_score: float = MIN_SCORE,
+               min_lead: float = MIN_LEAD) -> np.ndarray:
+    """Whether the language of each text is clear.
+
+    Coverage is compared with what the filter holds of the language itself, so a script of
+    very many characters, of which it holds few n-grams, is measured by its own rule.
+    """
+    share, n = _coverage(texts, model)
+    own = share / np.maximum(model.mass, 1e-9)
+    best = own.argmax(axis=1)
+    rows = np.arange(len(texts))
+    top = own[rows, best]
+    own[rows, best] = 0.0
+    return (top >= min_score) & ((n < MIN_TRIGRAMS) | (top - own.max(axis=1) >= min_lead))
 
 
-def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """Documents whose language is found with ``min_score`` or more; columns as they are."""
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, min_lead: float = MIN_LEAD) -> DataFrame:
+    """Documents whose language is clear; columns as they are.
+
+    Null texts, texts without a letter, texts of some length that two languages cover alike and
+    texts that no language covers go.  Without any language to learn from all go.
+    """
     model = fit_documents(docs)
+
+    @F.pandas_udf("boolean")
+    def clear(texts: pd.Series) -> pd.Series:
+        out = np.zeros(len(texts), bool)
+        at = np.flatnonzero(texts.notna().to_numpy()) if model is not None else np.empty(0, np.int64)
+        values = texts.to_numpy()[at].tolist()
+        for a, b in spans([len(t) for t in values], _CHARS):
+            out[at[a:b]] = identified(values[a:b], model, min_score, min_lead)
+        return pd.Series(out)
+
     rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    found = language_column(F.col("text"), model)
-    return docs.select(rows.alias("row"), found.alias("found")).where(
-        (F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= min_score)).select("row.*")
+    text = F.col("text")
+    return docs.select(rows.alias("row"), clear(F.when(text.rlike(r"\p{L}"), text)).alias("clear")).where("clear").select("row.*")

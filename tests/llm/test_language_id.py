@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import language_id as L
-from tests.llm.conftest import messy_rows, rows_of
+from tests.llm.conftest import messy_rows, prose, rows_of
 
 
 def plain_trigrams(text):
@@ -86,4 +88,34 @@ def test_pipeline_filter_keeps_columns_and_clean_rows(clashing):
     kept = L.keep_identified(clashing)
     assert kept.columns == clashing.columns
     ids = {r["doc_id"] for r in kept.collect()}
-    assert {121, 122, 123}.isdisjoint(ids) and set(range(120)) <= ids
+    # the text of 5 is labelled with two languages
+    assert {121, 122, 123}.isdisjoint(ids) and set(range(120)) - {5} <= ids
+
+
+def test_unclear_documents_go_and_large_scripts_stay(spark):
+    """A tie of two languages and an unknown script go; a script of thousands of characters is judged by its own coverage."""
+    rng = random.Random(12)
+    chars = [chr(0x4E00 + i) for i in range(3000)]
+    weights = [(i + 2) ** -1.3 for i in range(3000)]
+    zh = ["".join(rng.choices(chars, weights, k=200)) for _ in range(120)]
+    en = [prose(rng, "en", 40) for _ in range(120)]
+    same = [prose(rng, "de", 40) for _ in range(120)]
+    rows = [(i, t, "zh") for i, t in enumerate(zh)] + [(200 + i, t, "en") for i, t in enumerate(en)]
+    rows += [(400 + i, t, lang) for i, t in enumerate(same) for lang in ("aa", "bb")]  # two languages, one set of texts
+    rows += [(1000, "Ελληνικά γράμματα μόνο", None), (1001, "12 34", None), (1002, None, None), (1003, en[0], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit_documents(docs)
+    assert dict(zip(model.languages, model.mass))["zh"] < 0.5
+    kept = {r["doc_id"] for r in L.keep_identified(docs).collect()}
+    assert len([i for i in kept if i < 200]) > 110 and len([i for i in kept if 200 <= i < 400]) == 120
+    assert not [i for i in kept if 400 <= i < 1000] and kept & {1000, 1001, 1002, 1003} == {1003}
+
+
+def test_trigrams_held_by_a_task_are_bounded(monkeypatch):
+    """Counts of many languages are passed on before they grow, and add up to the same."""
+    rng = random.Random(2)
+    frame = pd.DataFrame({"lang": [f"l{i % 30}" for i in range(300)], "text": [prose(rng, "fr", 20) for _ in range(300)]})
+    whole = pd.concat(L._count_trigrams(iter([frame]))).groupby(["lang", "gram"])["n"].sum()
+    monkeypatch.setattr(L, "_HELD_GRAMS", 500)
+    parts = list(L._count_trigrams(iter([frame])))
+    assert len(parts) >= 30 and pd.concat(parts).groupby(["lang", "gram"])["n"].sum().equals(whole)
