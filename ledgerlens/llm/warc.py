@@ -18,11 +18,11 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm._util import shared_path, stored
+from ledgerlens.llm._files import opened, shared_folder
+from ledgerlens.llm._util import stored
 
 #: Payloads below this size are always stored in full.
 MIN_REVISIT_BYTES = 100
@@ -41,11 +41,6 @@ RECORD_SCHEMA = ("page_id long, url string, record_type string, refers_to long,
                  "payload_bytes long")
 
 
-def _open(path: str):
-    """File system and path of a URI or plain path."""
-    return fs.FileSystem.from_uri(path)
-
-
 def _whole(text: str | None) -> int | None:
     return None if text is None else int(text)
 
@@ -130,7 +125,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
 
 def _writer(folder: str, archive_bytes: int):
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, base = _open(folder)
+        system, base = opened(folder)
         system.create_dir(base, recursive=True)
         out, name, offset = None, None, 0
         try:
@@ -165,7 +160,7 @@ def write_archives(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES,
     and is a response if there is none.  Rows that repeat the smallest id and
     its payload are responses, all of them.  Other columns are not read.
     """
-    folder = shared_path(pages.sparkSession, "archives")
+    folder = shared_folder(pages.sparkSession, "archives")
     # ids travel as text: a batch with a null id would turn whole numbers into doubles
     rows = with_revisits(pages, min_bytes).withColumns(
         {c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
@@ -193,7 +188,7 @@ def _reader(gap: int, most: int):
             for archive, part in frame.groupby("archive", sort=True):
                 part = part.sort_values("offset")
                 ranges = list(zip(part["offset"].tolist(), part["length"].tolist()))
-                system, path = _open(archive)
+                system, path = opened(archive)
                 with system.open_input_file(path) as source:
                     for start, end, first, last in coalesce(ranges, gap, most):
                         data = memoryview(source.read_at(end - start, start))

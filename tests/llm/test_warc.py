@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import warc as W
+from ledgerlens.llm._files import opened
 from tests.llm.conftest import rows_of
 
 PAGES = "page_id long, url string, html string"
@@ -44,7 +45,7 @@ def test_empty_table(spark):
 def test_archives_are_gzip_members_and_the_index_selects(spark):
     index = W.write_archives(pages(spark))
     row = index.where("page_id = 7").first()
-    system, path = W._open(row["archive"])
+    system, path = opened(row["archive"])
     whole = system.open_input_file(path).read()
     member = whole[row["offset"]:row["offset"] + row["length"]]
     fields, payload = W.parse_record(gzip.decompress(member))
