@@ -5,7 +5,8 @@ source every document has an expected number of copies; its whole part is
 certain, and the fractional part is its inclusion probability in a Pareto
 sample: documents are ranked by random odds over inclusion odds, and the
 sample is the prefix whose words come nearest to the words still wanted.
-The random number is a hash of the document id, so reruns agree.
+The random number is a hash of the document's id and text, so reruns agree and
+rows that share an id (or have none) spread over the ranks.
 
 A source is never sorted as a whole: ranks fall into about sqrt(n) buckets,
 bucket sums find the one bucket the cut falls into, and only that bucket's
@@ -120,12 +121,13 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: fl
     ``weight_col`` gives documents unequal expected copies (null or negative:
     zero).  A document without words is never taken.  Null sources are one
     source of their own.  Repeated rows count as often as they occur; rows equal in
-    id, source and size are interchangeable.  An empty table gives no rows.
+    id, text and source are interchangeable.  An empty table gives no rows.
     """
     weight = F.lit(1.0) if weight_col is None else F.greatest(
         F.coalesce(F.col(f"`{weight_col}`").cast("double"), F.lit(0.0)), F.lit(0.0))
-    columns = ["doc_id", F.col("source").cast("string").alias("source"),
-               word_count(F.col("text")).alias("size"), weight.alias("weight")]
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))
+    columns = ["doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
+               weight.alias("weight"), unit_hash(key, salt).alias("unit")]
     if not carry:
         base = stored(docs.select(*columns), "mix-sizes")
         narrow = base
@@ -142,7 +144,7 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: fl
         else:
             met = expected_copies(met, cap)
         whole = F.floor("expected")
-        rank = pareto_rank(unit_hash(F.col("doc_id"), salt), F.col("expected") - whole)
+        rank = pareto_rank(F.col("unit"), F.col("expected") - whole)
         return met.select("*", F.when(F.col("size") > 0, whole).otherwise(0).cast("long").alias("whole"),
                           F.when(F.col("size") > 0, rank).alias("rank")).withColumn(
             "bucket", F.floor(F.col("rank") * F.ceil(F.sqrt("n"))))
@@ -187,7 +189,9 @@ def mixed_corpus(docs: DataFrame, **options) -> DataFrame:
 #: DuckDB twin of ``mix_documents`` with its defaults.
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':mix'), 1, 13))::BIGINT::DOUBLE + 0.5)
+           / 4503599627370496.0::DOUBLE AS u FROM documents),
 src AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n,
          row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM sized GROUP BY source),
@@ -209,9 +213,7 @@ filled AS (
   FROM stops s, cut),
 expected AS (
   SELECT d.doc_id, d.source, d.size, f.source_size, f.target,
-         CASE WHEN f.source_size > 0 THEN f.target / f.source_size ELSE 0.0 END AS e,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 13))::BIGINT::DOUBLE + 0.5)
-           / 4503599627370496.0::DOUBLE AS u
+         CASE WHEN f.source_size > 0 THEN f.target / f.source_size ELSE 0.0 END AS e, d.u
   FROM sized d JOIN filled f ON d.source IS NOT DISTINCT FROM f.source),
 ranked AS (
   SELECT *, CASE WHEN size > 0 THEN floor(e)::BIGINT ELSE 0 END AS whole,
