@@ -34,8 +34,8 @@ TUNING_QUERIES = 200
 TARGET = 0.97
 MIN_WINDOW = 256
 SEGMENT_ROWS = 2048
-#: Queries that one task holds while the rows of its segment stream past.
-HELD_QUERIES = 4096
+#: Queries that are compared at once with the held vectors of a segment.
+HELD_QUERIES = 1024
 SEED = 20
 
 
@@ -177,40 +177,36 @@ def window_rows(placed: DataFrame, reps: DataFrame, dim: int, k: int, target: fl
 # --- search -----------------------------------------------------------------
 
 def _scan(window: int, k: int, dim: int):
-    """Rows sorted by (curve, seg, part, queries first, pos) to the best candidates per query."""
+    """Rows sorted by (curve, seg, the segment's vectors first, pos) to the best candidates per query and segment.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segment, ids, pos, blobs, held, top = None, [], [], [], None, None
-
-        def results() -> Iterator[pd.DataFrame]:
-            if top is not None:
-                row, other, score = top.found()
-                yield pd.DataFrame({"query": held[0][row], "rep": other, "score": score})
+    The vectors of one segment are held; queries pass by in batches.
+    """
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        segment, waiting, held = None, [], None
         for frame in frames:
-            keys = frame[["curve", "seg", "part", "kind"]].to_numpy(np.int64)
+            keys = frame[["curve", "seg", "kind"]].to_numpy(np.int64)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(frame)]):
                 rows, key = frame.iloc[a:b], tuple(keys[a])
-                if key[:3] != segment:
-                    yield from results()
-                    segment, ids, pos, blobs, held, top = key[:3], [], [], [], None, None
-                if key[3] == 0:
-                    ids += rows["rep"].tolist()
-                    pos += rows["pos"].tolist()
-                    blobs += rows["v"].tolist()
+                if key[:2] != segment:
+                    segment, waiting, held = key[:2], [], None
+                if key[2] == 0:
+                    waiting.append(rows)
                     continue
-                if not ids:
+                if not waiting:
                     continue
                 if held is None:
-                    held = np.array(ids, np.int64), np.array(pos, np.int64), unpack(pd.Series(blobs), dim)
-                    top = TopK(len(ids), k + 1)
-                at, others = rows["pos"].to_numpy(np.int64), rows["rep"].to_numpy(np.int64)
-                live = np.flatnonzero((held[1] + window >= at[0]) & (held[1] - window <= at[-1]))
-                score = cosines(held[2][live], unpack(rows["v"], dim))
-                score[np.abs(held[1][live][:, None] - at[None, :]) > window] = -np.inf
-                top.add(live, score, others)
-        yield from results()
+                    whole = pd.concat(waiting)
+                    held = whole["rep"].to_numpy(np.int64), whole["pos"].to_numpy(np.int64), unpack(whole["v"], dim)
+                for at in range(0, len(rows), HELD_QUERIES):
+                    part = rows.iloc[at:at + HELD_QUERIES]
+                    score = cosines(unpack(part["v"], dim), held[2])
+                    score[np.abs(part["pos"].to_numpy(np.int64)[:, None] - held[1][None, :]) > window] = -np.inf
+                    top = TopK(len(part), k + 1)
+                    top.add(np.arange(len(part)), score, held[0])
+                    row, other, value = top.found()
+                    yield pd.DataFrame({"query": part["rep"].to_numpy(np.int64)[row], "rep": other, "score": value})
 
     return run
 
@@ -241,18 +237,16 @@ def nearest(rows: DataFrame, is_query: Column, k: int = K, curves: int = CURVES,
 
     # each distinct query vector searches once; its ids share the result
     mapped = stored(asked.join(reps.select("rep", "v"), "v").select("vec_id", "rep"), "ann-mapped")
-    segment = max(SEGMENT_ROWS, window)
-    parts = max(1, math.ceil(mapped.count() * 3 * segment / max(1, reps.count()) / HELD_QUERIES))
-    seg = lambda at: F.floor(at / segment)
+    # segments have a fixed size; a query goes to those that its window covers, the table to one each
+    seg = lambda at: F.floor(at / SEGMENT_ROWS)
+    last = (reps.count() - 1) // SEGMENT_ROWS
     probes = placed.join(mapped.select("rep").distinct(), "rep", "left_semi").select(
-        "curve", F.explode(F.sequence(seg(F.greatest(F.col("pos") - window, F.lit(0))), seg(F.col("pos") + window)))
-        .alias("seg"), F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int").alias("part"),
-        F.lit(0).alias("kind"), "pos", "rep", "v")
-    walked = placed.select("curve", seg(F.col("pos")).alias("seg"),
-                           F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
-                           F.lit(1).alias("kind"), "pos", "rep", "v")
-    found = (probes.unionByName(walked).repartition("curve", "seg", "part")
-             .sortWithinPartitions("curve", "seg", "part", "kind", "pos")
+        "curve", F.explode(F.sequence(seg(F.greatest(F.col("pos") - window, F.lit(0))),
+                                      F.least(seg(F.col("pos") + window), F.lit(last).cast("long"))))
+        .alias("seg"), F.lit(1).alias("kind"), "pos", "rep", "v")
+    walked = placed.select("curve", seg(F.col("pos")).alias("seg"), F.lit(0).alias("kind"), "pos", "rep", "v")
+    found = (walked.unionByName(probes).repartition("curve", "seg")
+             .sortWithinPartitions("curve", "seg", "kind", "pos")
              .mapInPandas(_scan(window, k, dim), "query long, rep long, score double"))
     best = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
     near = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
