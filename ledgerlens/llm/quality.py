@@ -1,17 +1,18 @@
 """Quality classifier by co-training.
 
 Two logistic classifiers see different views of a document: its text (hashed
-byte trigrams and shape statistics) and its page metadata (language, source,
-length).  Over rounds each labels the unlabelled documents it is most sure of
+byte trigrams and shape statistics, none of them its length) and its page
+metadata (language, source, length).  Over rounds each labels the unlabelled documents it is most sure of
 for the other.  Both are then calibrated on labelled documents they were not
 fitted on, and their log-odds add up (less the prior once) to the score of
 every document.
 
-Every unlabelled row takes part: each round scores them all by both views, and
-the fits on their pseudo-labels add up sums that the tasks make.  Of the
-labelled documents at most ``PER_CLASS`` of each class are fitted on, those with
-the smallest id hashes; offsets bring the log-odds back to the classes' true
-shares.  Scoring covers all rows.
+Of the labelled documents at most ``PER_CLASS`` of each class are fitted on,
+those with the smallest id hashes; offsets bring the log-odds back to the
+classes' true shares.  All other rows are the pool, labelled or not: each round
+scores them all by both views, and the fits on their pseudo-labels add up sums
+that the tasks make.  Features are made once per document and stored; fitting
+and scoring read them.
 """
 
 from __future__ import annotations
@@ -35,10 +36,13 @@ CONFIDENT = 0.95
 SHARE = 0.1
 _RIDGES = (0.05, 1.0)
 _STEPS = 8
+#: Newton steps of a turn that measure the curvature; the others keep it and add up gradients only.
+_CURVED = (0, 1, 4)
 #: Log-odds are counted in bins of this width to find the share's cut.
 _BIN, _FAR = 0.02, 30.0
 THRESHOLD = 0.5
 _GRAMS = 512
+_SHAPE = 9
 _BYTES = 1 << 20
 _META = 128
 
@@ -47,7 +51,7 @@ _META = 128
 
 def text_view(texts: list[str]) -> np.ndarray:
     """Text features: hashed byte trigrams (square roots of shares) and shape statistics."""
-    out = np.zeros((len(texts), _GRAMS + 10), np.float32)
+    out = np.zeros((len(texts), _GRAMS + _SHAPE), np.float32)
     blobs = [t.encode("utf-8", "replace") for t in texts]
     for a, b in spans([len(x) for x in blobs], _BYTES):
         out[a:b] = _text_rows(blobs[a:b])
@@ -82,7 +86,7 @@ def _text_rows(blobs: list[bytes]) -> np.ndarray:
     some = np.maximum(words, 1)
     # texts of unlike length compare by how far distinct words fall behind a square-root law
     stats = np.stack([*share, np.minimum(length, 30) / 10, again / some, distinct / some,
-                      np.log1p(distinct) - 0.8 * np.log1p(words), np.log1p(sizes) / 10], axis=1)
+                      np.log1p(distinct) - 0.8 * np.log1p(words)], axis=1)
     return np.concatenate((grams, stats), axis=1).astype(np.float32)
 
 
@@ -213,22 +217,25 @@ def _cuts(counts: np.ndarray, share: float, confident: float) -> tuple[float, fl
     return min(low - 1e-9, -sure), max(high, sure)
 
 
-def _slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray, offset: float = 0.0) -> np.ndarray:
-    """Gradient and curvature of the logistic loss of the rows, flat."""
+def _slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray, offset: float = 0.0, curved: bool = True) -> np.ndarray:
+    """Gradient and, if ``curved``, the upper triangle of the curvature of the rows' logistic loss."""
     x = np.concatenate((x, np.ones((len(x), 1), x.dtype)), axis=1).astype(np.float32)
     p = _sigmoid((x @ w.astype(np.float32)).astype(np.float64) + offset)
-    curve = np.sqrt(np.maximum(p * (1 - p), 1e-6)).astype(np.float32)
-    bent = x * curve[:, None]
-    return np.concatenate((x.T @ (p - y).astype(np.float32), (bent.T @ bent).ravel())).astype(np.float64)
+    gradient = (x.T @ (p - y).astype(np.float32)).astype(np.float64)
+    if not curved:
+        return gradient
+    bent = x * np.sqrt(np.maximum(p * (1 - p), 1e-6)).astype(np.float32)[:, None]
+    return np.concatenate((gradient, (bent.T @ bent)[np.triu_indices(x.shape[1])])).astype(np.float64)
 
 
-def _pool_slopes(turns: list[_Turn], weights: tuple[np.ndarray, np.ndarray],
-                 active: tuple[bool, bool]) -> Callable[[Views], np.ndarray]:
+def _pool_slopes(turns: list[_Turn], weights: tuple[np.ndarray, np.ndarray], active: tuple[bool, bool],
+                 curved: bool) -> Callable[[Views], np.ndarray]:
     def add(views: Views) -> np.ndarray:
         given = given_labels(views, turns)
-        return np.concatenate([_slopes(x[~np.isnan(g)], g[~np.isnan(g)], w)
+        return np.concatenate([_slopes(x[~np.isnan(g)], g[~np.isnan(g)], w, curved=curved)
                                for x, g, w, on in zip(views, given, weights, active) if on])
 
+    add.rough = curved  # half a million numbers: single floats do
     return add
 
 
@@ -240,17 +247,24 @@ def _fit_turn(views: Views, label: np.ndarray, offset: float, pool: Sums, turns:
               start: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Newton steps of both views at once: sums over the labelled rows here, over the pool where it lies."""
     weights, active = [start[0].copy(), start[1].copy()], [True, True]
-    for _ in range(_STEPS):
-        total, at = pool(_pool_slopes(turns, (weights[0], weights[1]), (active[0], active[1]))), 0
+    curvature: list[np.ndarray | None] = [None, None]
+    for number in range(_STEPS):
+        curved = number in _CURVED
+        total, at = pool(_pool_slopes(turns, (weights[0], weights[1]), (active[0], active[1]), curved)), 0
         for v in (0, 1):
             if not active[v]:
                 continue
             n = len(weights[v])
-            sums = total[at:at + n + n * n] + _slopes(views[v], label, weights[v], offset)
-            at += n + n * n
+            size = n + (n * (n + 1) // 2 if curved else 0)
+            sums = total[at:at + size] + _slopes(views[v], label, weights[v], offset, curved)
+            at += size
             penalty = np.full(n, _RIDGES[v])
             penalty[-1] = 1e-6
-            step = np.linalg.solve(sums[n:].reshape(n, n) + np.diag(penalty + 1e-6), sums[:n] + penalty * weights[v])
+            if curved:
+                whole = np.zeros((n, n))
+                whole[np.triu_indices(n)] = sums[n:]
+                curvature[v] = whole + np.triu(whole, 1).T + np.diag(penalty + 1e-6)
+            step = np.linalg.solve(curvature[v], sums[:n] + penalty * weights[v])
             # a long step could leave the region where the curvature holds
             weights[v] -= step * min(1.0, 20 / max(np.abs(step).max(), 1e-12))
             active[v] = bool(np.abs(step).max() >= 1e-2)
@@ -320,7 +334,9 @@ def combine(text: np.ndarray, meta: np.ndarray, model: CoTrained) -> tuple[np.nd
 
 # --- the operator -----------------------------------------------------------
 
-_TEXT_WIDTH, _META_WIDTH = _GRAMS + 10, _META + 2
+_TEXT_WIDTH, _META_WIDTH = _GRAMS + _SHAPE, _META + 2
+#: Rows of sums that reach the driver at most.
+_FAN_IN = 16
 
 
 def _packed(texts: pd.Series, langs: pd.Series, sources: pd.Series, sizes: pd.Series) -> list[bytes]:
@@ -334,13 +350,10 @@ def _unpacked(rows: pd.Series) -> Views:
 
 
 def pool_sums(pool: DataFrame, tasks: int) -> Sums:
-    """Sums over the blocks of ``pool(features)``: per task, then per group of tasks, then here."""
-    groups = max(1, int(np.sqrt(tasks)))
-
+    """Sums over the blocks of ``pool(features)``: per task, then per ``_FAN_IN`` of these, until so few are left."""
     def sums(part: Callable[[Views], np.ndarray]) -> np.ndarray:
         none = np.zeros((0, _TEXT_WIDTH), np.float32), np.zeros((0, _META_WIDTH), np.float32)
-        zero = part(none)
-        shape = zero.shape
+        shape, kind = part(none).shape, np.float32 if getattr(part, "rough", False) else np.float64
 
         def over_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, seen = np.zeros(shape), False
@@ -348,37 +361,45 @@ def pool_sums(pool: DataFrame, tasks: int) -> Sums:
                 for a in range(0, len(frame), 4096):
                     total, seen = total + part(_unpacked(frame["features"].iloc[a:a + 4096])), True
             if seen:
-                yield pd.DataFrame({"sums": [total.tobytes()]})
+                yield pd.DataFrame({"sums": [total.astype(kind).tobytes()]})
 
         def over_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, seen = np.zeros(shape), False
             for frame in frames:
                 for blob in frame["sums"]:
-                    total, seen = total + np.frombuffer(blob).reshape(shape), True
+                    total, seen = total + np.frombuffer(blob, kind).reshape(shape), True
             if seen:
-                yield pd.DataFrame({"sums": [total.tobytes()]})
+                yield pd.DataFrame({"sums": [total.astype(kind).tobytes()]})
 
-        found = pool.mapInPandas(over_rows, "sums binary")
-        if groups > 4:
-            found = found.repartition(groups).mapInPandas(over_sums, "sums binary")
-        return sum((np.frombuffer(r["sums"]).reshape(shape) for r in found.collect()), np.zeros(shape))
+        found, left = pool.mapInPandas(over_rows, "sums binary"), tasks
+        while left > _FAN_IN:
+            left = -(-left // _FAN_IN)
+            found = found.repartition(left).mapInPandas(over_sums, "sums binary")
+        return sum((np.frombuffer(r["sums"], kind).reshape(shape).astype(np.float64) for r in found.collect()), np.zeros(shape))
 
     return sums
 
 
-def fit_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
-                  per_class: int = PER_CLASS) -> CoTrained | None:
-    """Co-train on the labels of documents that exist and on all rows without a label.
+def with_features(docs: DataFrame, *kept: Column) -> DataFrame:
+    """``kept`` columns and ``features`` (both views of a document, 16-bit floats) of every row, stored.
 
-    An id has one label, the smallest; null ids and labels other than 0 and 1 do not count.  Of each
-    class the ``per_class`` ids with the smallest hashes are fitted on, one row
-    each.  None if the labels of existing documents hold one class only.
+    A null text counts as empty, a null metadata field has a class of its own.
     """
     @F.pandas_udf("binary")
     def features(texts: pd.Series, langs: pd.Series, sources: pd.Series, sizes: pd.Series) -> pd.Series:
         return pd.Series(_packed(texts, langs, sources, sizes))
 
-    rows = stored(docs.select("doc_id", features("text", "lang", "source", "n_chars").alias("features")), "quality-features")
+    return stored(docs.select(*kept, features("text", "lang", "source", "n_chars").alias("features")), "quality-features")
+
+
+def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> CoTrained | None:
+    """Co-train on the labels of documents in ``rows(doc_id, features)`` and on all other rows as the pool.
+
+    An id has one label, the smallest; null ids and labels other than 0 and 1 do not count.  Of each
+    class the ``per_class`` ids with the smallest hashes are fitted on, one row
+    each; rows of other ids, labelled ones among them, are pool rows.  None if
+    the labels of existing documents hold one class only.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(
         F.min(F.col(label).cast("double")).alias("label"))
     known = stored(known.join(rows.select("doc_id"), "doc_id", "left_semi"), "quality-known")
@@ -388,34 +409,33 @@ def fit_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
     place = F.xxhash64("doc_id")
     bad, good = (known.where(F.col("label") == side).orderBy(place, "doc_id").limit(per_class) for side in (0.0, 1.0))
     chosen = stored(bad.unionByName(good), "quality-sample")
-    sample = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+    sample = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(  # 2 * per_class ids
         F.min("label").alias("label"), F.min("features").alias("features")).orderBy("label", place, "doc_id").toPandas()
-    pool = stored(rows.join(known.select("doc_id"), "doc_id", "left_anti").select("features"), "quality-pool")
+    pool = rows.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").select("features")
     label_values = sample["label"].to_numpy(np.float64)
     # the second of every four of a class, so that a class of two is in both parts
     held = sample.groupby("label").cumcount().to_numpy() % 4 == 1
-    return co_train_with(_unpacked(sample["features"]), label_values, held, pool_sums(pool, pool.rdd.getNumPartitions()),
+    return co_train_with(_unpacked(sample["features"]), label_values, held, pool_sums(pool, rows.rdd.getNumPartitions()),
                          float(np.log(sizes[1.0] / sizes[0.0])))
 
 
-def quality_column(text: Column, lang: Column, source: Column, n_chars: Column, model: CoTrained | None) -> Column:
-    """Struct (text_score, meta_score, score): probabilities of good quality; without a model 0.5 each.
+def fit_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
+                  per_class: int = PER_CLASS) -> CoTrained | None:
+    """``fit`` over the features of ``docs``."""
+    return fit(with_features(docs, F.col("doc_id")), labels, label, per_class)
 
-    A null text counts as empty, a null metadata field has a class of its own.
-    """
+
+def quality_column(features: Column, model: CoTrained | None) -> Column:
+    """Struct (text_score, meta_score, score): probabilities of good quality; without a model 0.5 each."""
 
     @F.pandas_udf("text_score double, meta_score double, score double")
-    def score(texts: pd.Series, langs: pd.Series, sources: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+    def score(rows: pd.Series) -> pd.DataFrame:
+        names = ("text_score", "meta_score", "score")
         if model is None:
-            return pd.DataFrame({c: np.full(len(texts), 0.5) for c in ("text_score", "meta_score", "score")})
-        found = combine(text_view([t or "" for t in texts]), meta_view(langs, sources, sizes), model)
-        return pd.DataFrame(dict(zip(("text_score", "meta_score", "score"), found)))
-
-    return score(text, lang, source, n_chars)
-
+            return pd.DataFrame({c: np.full(len(rows), 0.5) for c in names})
+        return pd.DataFrame(dict(zip(names, combine(*_unpacked(rows), model))))
 
-def _scored(docs: DataFrame, model: CoTrained | None) -> Column:
-    return quality_column(*(F.col(c) for c in ("text", "lang", "source", "n_chars")), model)
+    return score(features)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -425,14 +445,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     usable labels all scores are 0.5 and all documents stay.  An empty table
     gives no rows; other columns are not read.
     """
-    model = fit_documents(docs, labels)
-    return docs.select("doc_id", _scored(docs, model).alias("q")).select(
+    rows = with_features(docs, F.col("doc_id"))
+    model = fit(rows, labels)
+    return rows.select("doc_id", quality_column(F.col("features"), model).alias("q")).select(
         "doc_id", "q.text_score", "q.meta_score", "q.score", (F.col("q.score") >= threshold).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents that score ``threshold`` or more; columns as they are."""
-    model = fit_documents(docs, labels)
-    rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.select(rows.alias("row"), _scored(docs, model).alias("q")).where(
+    """Documents that score ``threshold`` or more; columns as they are.
+
+    The documents are stored beside their features, so that both are read together again.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = with_features(docs, F.col("doc_id"), whole)
+    model = fit(rows.select("doc_id", "features"), labels)
+    return rows.select("row", quality_column(F.col("features"), model).alias("q")).where(
         F.col("q.score") >= threshold).select("row.*")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,39 @@ def test_two_bad_labels_are_enough(spark):
     rows, schema = short_corpus(spark, range(300), {3, 4})
     labels = [(i, int(i not in (3, 4)), 0) for i in range(300)]
     assert Q.fit_documents(spark.createDataFrame(rows, schema), spark.createDataFrame(labels, LABELS)) is not None
+
+
+def test_pooled_fit_equals_one_process_fit(spark, monkeypatch):
+    """Sums made by many tasks and added up over a tree give the weights of a fit in one process."""
+    bad = set(range(0, 3000, 3))
+    rows, schema = short_corpus(spark, range(3000), bad)
+    labels = spark.createDataFrame([(i, int(i not in bad), 0) for i in range(120)], LABELS)
+    monkeypatch.setattr(Q, "_FAN_IN", 3)  # several levels of the tree
+    docs = spark.createDataFrame(rows, schema).repartition(20)
+    found = Q.fit_documents(docs, labels)
+
+    frame = docs.toPandas()
+    views = Q._unpacked(pd.Series(Q._packed(frame["text"], frame["lang"], frame["source"], frame["n_chars"])))
+    order = {i: k for k, i in enumerate(by_hash(spark, 120))}
+    frame["label"] = [float(i not in bad) if i < 120 else np.nan for i in frame["doc_id"]]
+    sample = frame[frame["doc_id"] < 120].copy()
+    sample["place"] = sample["doc_id"].map(order)
+    sample = sample.sort_values(["label", "place"])
+    at, rest = sample.index.to_numpy(), frame.index[frame["doc_id"] >= 120].to_numpy()
+    held = sample.groupby("label").cumcount().to_numpy() % 4 == 1
+    y = sample["label"].to_numpy()
+    block = views[0][rest], views[1][rest]
+    alone = Q.co_train_with((views[0][at], views[1][at]), y, held, lambda part: part(block),
+                            float(np.log(y.sum() / (1 - y).sum())))
+    assert found.exchanged == alone.exchanged and min(alone.exchanged) > 500
+    assert found.text == pytest.approx(alone.text, abs=1e-3) and found.meta == pytest.approx(alone.meta, abs=1e-3)
+    one, two = Q.combine(*block, found)[2], Q.combine(*block, alone)[2]
+    assert np.abs(one - two).max() < 1e-4
+
+
+def test_views_share_no_feature():
+    """Length belongs to the metadata view: a text said ten times as often has about the same text features."""
+    text = "one two three four five six seven eight nine ten "
+    once, many = Q.text_view([text * 400, text * 4000])
+    assert np.abs(once[:-1] - many[:-1]).max() < 0.01  # the last one compares distinct words with all words
+    assert Q.text_view([text]).shape[1] == Q._GRAMS + Q._SHAPE
