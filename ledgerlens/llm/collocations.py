@@ -7,16 +7,22 @@ word) have reached the threshold, it is counted from the next step on, whatever
 shard that is, and it is complete when every shard has been scanned once since.
 Counting ends when no phrase is active.
 
+Texts are split into words once.  A word is a 64-bit hash of its language and its
+letters from then on, and a phrase up to four of these numbers; a second hash
+shows that no two words share a number (else another salt is taken), so counts
+are exact.
+
 A scan knows the supported phrases as two Bloom filters (all of them, and those
 of the last cycle) of a bounded size, so that the tasks pass on few phrases that
 are not active.  Filters only save work: which phrases were active from which
-step on is settled by joins on the phrases themselves, and counts are exact.  A
-phrase that reaches the threshold has reached its share in one shard, so only
-such phrases are looked up in the shards' counts.
+step on is settled by joins on the phrases themselves.  A phrase that reaches the
+threshold has reached its share in one shard, so only such phrases are looked up
+in the shards' counts, by a broadcast if they are few and else behind a filter.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -24,7 +30,6 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,16 +44,17 @@ TOP = 2000
 COVER = 80
 NO_LANG = "und"
 #: Tables up to this many rows are broadcast to be looked up in.
-BROADCAST_ROWS = 500_000
-#: Bits of a filter: so many per phrase seen, within these bounds (a full filter costs time, no phrase).
-BITS_PER_PHRASE, FEWEST_BITS, MOST_BITS = 64, 1 << 16, 1 << 28
+BROADCAST_ROWS = 200_000
+#: Bits of a filter: so many per phrase, within these bounds (a full filter costs time, no phrase).
+BITS_PER_PHRASE, FEWEST_BITS, MOST_BITS = 32, 1 << 16, 1 << 26
 _PROBES = 4
 #: Words that a task holds before it passes counts on, and bytes of a text that are split at once.
 _WORDS = 1 << 21
 _BYTES = 1 << 20
-_EMIT = 1 << 17
-_END = b"\xff"  # no byte of a text
-_SCHEMA = "lang string, len int, phrase string, n long"
+_EMIT = 1 << 18
+#: No byte of a text; the number of the end of a piece.
+_END, _STOP = b"\xff", 0
+_KEY = ["a", "b", "c", "d"]  # the words of a phrase, 0 behind the last one
 
 
 def _byte_table() -> bytes:
@@ -62,19 +68,133 @@ def _byte_table() -> bytes:
     return bytes(table)
 
 
-# --- filters ----------------------------------------------------------------
+# --- words as numbers -------------------------------------------------------
+
+def _blocks(data: bytes) -> Iterator[bytes]:
+    """A translated text in parts of about ``_BYTES``, cut before spaces or ends of pieces."""
+    at = 0
+    while len(data) - at > _BYTES:
+        cut = min((p for p in (data.find(b" ", at + _BYTES), data.find(_END, at + _BYTES)) if p >= 0), default=len(data))
+        yield data[at:cut]
+        at = cut
+    yield data[at:]
+
+
+class _Words(dict):
+    """Words of a language to numbers."""
+
+    def __init__(self, lang: str, salt: int):
+        super().__init__()
+        self.lang, self.seed = lang, xxhash.xxh64_intdigest(lang.encode(), salt)
+        self[_END] = _STOP
+
+    def __missing__(self, word: bytes) -> int:
+        number = xxhash.xxh64_intdigest(word, self.seed)
+        number = self[word] = number - (1 << 64) if number >> 63 else number or 1
+        return number
+
 
-def word_hashes(words: list[bytes], lang: str) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+def _coded(salt: int):
+    """``mapInArrow`` body: (lang, text, shard) to coded texts and, in shard -1, the words of the task."""
+    table = _byte_table()
 
+    def batch(shard: list | None, langs: list, ids: list, words: list, numbers: list) -> pa.RecordBatch:
+        n = len(langs)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(langs, pa.string()), pa.array(ids, pa.binary()), pa.array(words, pa.binary()).cast(pa.string()),
+             pa.array(numbers, pa.int64()), pa.array([-1] * n if shard is None else shard, pa.int32())],
+            ["lang", "ids", "word", "id", "shard"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, _Words] = {}
+
+        def joined(out: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            """Parts of texts, in order, as one row per shard."""
+            for shard in dict.fromkeys(s for s, _ in out):
+                codes = np.concatenate([c for s, c in out if s == shard])
+                yield batch([shard], [None], [codes.tobytes()], [None], [None])
+
+        def dictionary() -> Iterator[pa.RecordBatch]:
+            for lang, words in known.items():
+                names = [w for w in words if w != _END]
+                for a in range(0, len(names), _EMIT):
+                    part = names[a:a + _EMIT]
+                    yield batch(None, [lang] * len(part), [None] * len(part), part, [words[w] for w in part])
+            known.clear()
+
+        for rows in batches:
+            out: list[tuple[int, np.ndarray]] = []
+            size = 0
+            for lang, data, shard in zip(rows.column("lang").to_pylist(), rows.column("text").cast(pa.binary()),
+                                         rows.column("shard").to_pylist()):
+                number = known.setdefault(lang, _Words(lang, salt)).__getitem__
+                for part in _blocks(data.as_py().translate(table)):
+                    codes = np.array(array("q", map(number, part.replace(_END, b" " + _END + b" ").split())), np.int64)
+                    out.append((shard, codes))
+                    size += len(codes)
+                    if size > _WORDS and (codes == _STOP).any():  # a long text is cut between pieces
+                        cut = int(np.flatnonzero(codes == _STOP)[-1]) + 1
+                        out[-1] = shard, codes[:cut]
+                        yield from joined(out)
+                        out, size = [(shard, codes[cut:])], len(codes) - cut
+                out.append((shard, np.zeros(1, np.int64)))
+                if size > _WORDS:
+                    yield from joined(out)
+                    out, size = [], 0
+                if sum(map(len, known.values())) > _WORDS:
+                    yield from dictionary()
+            yield from joined(out)
+        yield from dictionary()
+
+    return run
+
+
+@dataclass(frozen=True)
+class Coded:
+    """Coded texts ``ids, shard`` and words ``id, lang, word`` (a row per task that met the word)."""
+
+    texts: DataFrame
+    words: DataFrame
+
+
+def coded(docs: DataFrame, shards: int) -> Coded:
+    """Texts as numbers of words in shards; taken again with another salt if two words share a number."""
+    spark = docs.sparkSession
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), "text",
+                       # dealt by row, so that copies of one text spread over the shards
+                       F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"))
+    schema = "lang string, ids binary, word string, id long, shard int"
+    salt = 0
+    while True:
+        path = shared_path(spark, "phrases-coded")
+        rows.where("text is not null").mapInArrow(_coded(salt), schema).write.partitionBy("shard").option(
+            "compression", "zstd").parquet(path)
+        whole = spark.read.schema(schema).parquet(path)
+        words = whole.where("shard = -1").select("id", "lang", "word")
+        other = F.xxhash64("lang", "word")
+        if words.select("id", other.alias("h")).groupBy("id").agg(F.min("h").alias("h1"), F.max("h").alias("h2")).where(
+                "h1 <> h2").isEmpty():
+            return Coded(whole.where("shard >= 0").select("ids", "shard"), words)
+        salt += 1
+
+
+# --- filters ----------------------------------------------------------------
 
 def extended(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hash of a phrase from the hash of all words but the last, and the last one's."""
+    """Hash of a phrase from the hash of all words but the last, and the last one."""
     with np.errstate(over="ignore"):
         return mix64((before * U64(0x9E3779B97F4A7C15)) ^ word)
 
 
+def phrase_hashes(columns: list[np.ndarray]) -> np.ndarray:
+    """Hashes of phrases given word by word, 0 behind the last one."""
+    state = np.zeros(len(columns[0]), np.uint64)
+    for words in columns:
+        words = words.astype(np.int64).view(np.uint64)
+        state = np.where(words != _STOP, extended(state, words), state)
+    return state
+
+
 def _probes(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     other = mix64(hashes ^ U64(0xD6E8FEB86659FD93)) | U64(1)
     with np.errstate(over="ignore"):
@@ -90,22 +210,21 @@ def held(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def bits_for(phrases: int) -> int:
+    return max(FEWEST_BITS, min(MOST_BITS, 1 << (BITS_PER_PHRASE * (phrases + 1)).bit_length()))
+
+
 def filter_of(phrases: DataFrame, bits: int) -> np.ndarray:
-    """Bloom filter of ``phrases(lang, phrase)``: made per task, united in one, one filter reaches the driver."""
+    """Bloom filter of ``phrases(a, b, c, d)``: made per task, united in one, one filter reaches the driver."""
 
     def marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros(bits // 8, np.uint8)
+        out, seen = np.zeros(bits // 8, np.uint8), False
         for frame in frames:
-            for lang, part in frame.groupby("lang"):
-                rows = [p.encode().split(b" ") for p in part["phrase"]]
-                longest = max(map(len, rows))
-                state = np.zeros(len(rows), np.uint64)
-                for k in range(longest):
-                    live = np.flatnonzero([len(r) > k for r in rows])
-                    state[live] = extended(state[live], word_hashes([rows[i][k] for i in live], lang))
-                for at in _probes(state, bits):
-                    np.bitwise_or.at(out, (at >> U64(3)).astype(np.int64), U64(1).astype(np.uint8) << (at & U64(7)).astype(np.uint8))
-        yield pd.DataFrame({"bits": [out.tobytes()]})
+            seen = seen or len(frame) > 0
+            for at in _probes(phrase_hashes([frame[c].to_numpy() for c in _KEY]), bits):
+                np.bitwise_or.at(out, (at >> U64(3)).astype(np.int64), np.uint8(1) << (at & U64(7)).astype(np.uint8))
+        if seen:
+            yield pd.DataFrame({"bits": [out.tobytes()]})
 
     def united(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = np.zeros(bits // 8, np.uint8)
@@ -114,11 +233,25 @@ def filter_of(phrases: DataFrame, bits: int) -> np.ndarray:
                 out |= np.frombuffer(blob, np.uint8)
         yield pd.DataFrame({"bits": [out.tobytes()]})
 
-    made = phrases.select("lang", "phrase").mapInPandas(marked, "bits binary").repartition(1).mapInPandas(united, "bits binary")
+    made = phrases.select(*_KEY).mapInPandas(marked, "bits binary").repartition(1).mapInPandas(united, "bits binary")
     found = made.first()
     return np.frombuffer(found["bits"], np.uint8) if found else np.zeros(bits // 8, np.uint8)
 
 
+def _matched(table: DataFrame, keys: DataFrame) -> DataFrame:
+    """``table`` joined to the distinct ``keys``: by a broadcast of few keys, else behind a filter that lets few others pass."""
+    rows = keys.count()
+    if rows <= BROADCAST_ROWS:
+        return table.join(F.broadcast(keys), _KEY)
+    marks = filter_of(keys, bits_for(rows))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held(marks, phrase_hashes([batch.column(c).to_numpy() for c in _KEY]))))
+
+    return table.mapInArrow(passed, table.schema).join(keys, _KEY)
+
+
 # --- a scan -----------------------------------------------------------------
 
 @dataclass(frozen=True)
@@ -131,87 +264,33 @@ class Active:
     longest: int
 
 
-def blocks(data: bytes) -> Iterator[bytes]:
-    """A translated text in parts of about ``_BYTES``, cut before spaces or ends of pieces."""
-    at = 0
-    while len(data) - at > _BYTES:
-        cut = min((p for p in (data.find(b" ", at + _BYTES), data.find(_END, at + _BYTES)) if p >= 0), default=len(data))
-        yield data[at:cut]
-        at = cut
-    yield data[at:]
-
-
-class Tally:
-    """Words of a task as numbers, per language; 0 ends a piece."""
-
-    def __init__(self, active: Active):
-        self.active = active
-        self._empty({})
-
-    def _empty(self, carried: dict[str, list[bytes]]) -> None:
-        self.numbers: dict[bytes, int] = {_END: 0}
-        self.parts: dict[str, list[np.ndarray]] = {}
-        self.known: dict[str, int] = {}
-        self.size = 0
-        for lang, words in carried.items():
-            self.add(lang, words)
-            self.known[lang] = len(words)  # only what ends behind these is counted
-
-    def add(self, lang: str, words: list[bytes]) -> None:
-        numbers = self.numbers
-        self.parts.setdefault(lang, []).append(
-            np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)))
-        self.size += len(words)
-
-    def text(self, lang: str, data: bytes) -> Iterator[pa.RecordBatch]:
-        for part in blocks(data.translate(_byte_table())):
-            self.add(lang, part.replace(_END, b" " + _END + b" ").split())
-            if self.size > _WORDS:
-                yield from self.flush(lang)
-        self.add(lang, [_END])
-
-    def flush(self, inside: str | None = None) -> Iterator[pa.RecordBatch]:
-        """Counts of all languages; a text that is not at its end keeps its last words for phrases to come."""
-        words = list(self.numbers)
-        carried = {}
-        table = pa.array(words, pa.binary())
-        for lang, parts in self.parts.items():
-            codes = np.concatenate(parts)
-            if lang == inside:
-                carried[lang] = [words[c] for c in codes[len(codes) - min(len(codes), MAX_WORDS - 1):].tolist()]
-            yield from self._counts(lang, codes, self.known.get(lang, 0), words, table)
-        self._empty(carried)
-
-    def _counts(self, lang: str, codes: np.ndarray, known: int, words: list[bytes], table: pa.Array) -> Iterator[pa.RecordBatch]:
-        if self.active.words:
-            n = np.bincount(codes[known:], minlength=len(words))
-            n[0] = 0
-            seen = np.flatnonzero(n)
-            yield from _rows(lang, 1, [seen], n[seen], table)
-        if self.active.all is None or len(codes) < 2:
+def counted_rows(ids: np.ndarray, active: Active) -> Iterator[pa.RecordBatch]:
+    """Words and active phrases of a run of numbers with their counts."""
+    words, codes, n = np.unique(ids, return_inverse=True, return_counts=True)
+    real = words != _STOP
+    if active.words:
+        yield from _rows([np.flatnonzero(real)], n[real], words)
+    if active.all is None or len(codes) < 2:
+        return
+    numbers = words.view(np.uint64)
+    state = extended(np.zeros(len(words), np.uint64), numbers)
+    ok, fresh, state = (held(active.all, state) & real)[codes], held(active.new, state)[codes], state[codes]
+    # ok[i], fresh[i], state[i]: of the phrase of the last length that begins at i
+    for length in range(2, active.longest + 1):
+        pair = np.flatnonzero(ok[:-1] & ok[1:])
+        live = pair[fresh[pair] | fresh[pair + 1]]
+        if len(live):
+            yield from _rows(*_distinct(codes, live, length, len(words)), words)
+        if length == active.longest or not len(pair):
             return
-        v = len(words)
-        hashes = word_hashes(words, lang)
-        state = extended(np.zeros(v, np.uint64), hashes)
-        common, new = held(self.active.all, state), held(self.active.new, state)
-        common[0] = False
-        ok, fresh, state = common[codes], new[codes], state[codes]
-        # ok[i], fresh[i], state[i]: of the phrase of the last length that begins at i
-        for length in range(2, self.active.longest + 1):
-            pair = np.flatnonzero(ok[:-1] & ok[1:])
-            live = pair[(fresh[pair] | fresh[pair + 1]) & (pair + length > known)]
-            if len(live):
-                yield from _rows(lang, length, *_distinct(codes, live, length, v), table)
-            if length == self.active.longest or not len(pair):
-                return
-            ok, fresh, before = np.zeros(len(ok) - 1, bool), np.zeros(len(ok) - 1, bool), state
-            state = np.zeros(len(ok), np.uint64)
-            state[pair] = extended(before[pair], hashes[codes[pair + length - 1]])
-            ok[pair], fresh[pair] = held(self.active.all, state[pair]), held(self.active.new, state[pair])
+        ok, fresh, before = np.zeros(len(ok) - 1, bool), np.zeros(len(ok) - 1, bool), state
+        state = np.zeros(len(ok), np.uint64)
+        state[pair] = extended(before[pair], numbers[codes[pair + length - 1]])
+        ok[pair], fresh[pair] = held(active.all, state[pair]), held(active.new, state[pair])
 
 
 def _distinct(codes: np.ndarray, at: np.ndarray, length: int, v: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Word numbers (one array per place) and counts of the distinct phrases that begin at ``at``."""
+    """Word codes (one array per place) and counts of the distinct phrases that begin at ``at``."""
     key = codes[at]
     for k in range(1, length):
         if k > 1:  # numbers of the distinct beginnings, so that the product stays within 64 bits
@@ -221,48 +300,40 @@ def _distinct(codes: np.ndarray, at: np.ndarray, length: int, v: int) -> tuple[l
     return [codes[at[first] + k] for k in range(length)], n
 
 
-def _rows(lang: str, length: int, places: list[np.ndarray], n: np.ndarray, table: pa.Array) -> Iterator[pa.RecordBatch]:
+def _rows(places: list[np.ndarray], n: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
     for a in range(0, len(n), _EMIT):
-        columns = [table.take(pa.array(p[a:a + _EMIT])) for p in places]
-        phrase = columns[0] if length == 1 else pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary()))
-        rows = len(phrase)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang], pa.string()).take(pa.array(np.zeros(rows, np.int64))), pa.array(np.full(rows, length, np.int32)),
-             phrase.cast(pa.string()), pa.array(n[a:a + _EMIT], pa.int64())], ["lang", "len", "phrase", "n"])
+        columns = [words[p[a:a + _EMIT]] for p in places]
+        columns += [np.zeros(len(columns[0]), np.int64)] * (len(_KEY) - len(places))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*columns, n[a:a + _EMIT])], [*_KEY, "n"])
 
 
-def scan(rows: DataFrame, active: Active) -> DataFrame:
-    """Counts ``lang, len, phrase, n`` of the words and active phrases (and few others) in ``rows(lang, text)``."""
+def scan(texts: DataFrame, active: Active) -> DataFrame:
+    """Counts ``a, b, c, d, n`` of the words and active phrases (and few others) in ``texts(ids)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally(active)
+        parts, size = [], 0
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for lang, data in zip(langs, batch.column("text").cast(pa.binary())):
-                yield from tally.text(lang, data.as_py())
-                if tally.size > _WORDS:
-                    yield from tally.flush()
-        yield from tally.flush()
+            for value in batch.column("ids"):
+                ids = np.frombuffer(value.as_buffer(), np.int64)
+                parts.append(ids)
+                size += len(ids)
+                if size > _WORDS:
+                    yield from counted_rows(np.concatenate(parts), active)
+                    parts, size = [], 0
+        if size:
+            yield from counted_rows(np.concatenate(parts), active)
 
-    return rows.mapInArrow(run, _SCHEMA).groupBy("lang", "len", "phrase").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "a long, b long, c long, d long, n long").groupBy(*_KEY).agg(F.sum("n").alias("n"))
 
 
 # --- dynamic itemset counting -----------------------------------------------
 
-def _lookup(table: DataFrame, rows: int) -> DataFrame:
-    """``table`` as a join side: broadcast up to ``BROADCAST_ROWS`` rows, joined by a shuffle beyond."""
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
-
-
 def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def _beginning(phrase: Column, length: Column) -> Column:
-    return F.call_function("substring_index", phrase, F.lit(" "), length)
-
-
-_KEY = ["lang", "len", "phrase"]
+def _length() -> Column:
+    return sum(((F.col(c) != _STOP).cast("int") for c in _KEY[1:]), F.lit(1))
 
 
 @dataclass(frozen=True)
@@ -279,17 +350,12 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = MA
 
     The driver holds two filters of at most ``MOST_BITS`` bits and one number per length and step.
     """
-    spark = docs.sparkSession
-    path = shared_path(spark, "phrases-shards")
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), "text").where("text is not null")
-    # dealt by row, so that copies of one text spread over the shards
-    rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")).write.partitionBy(
-        "shard").parquet(path)
-    whole = spark.read.schema("lang string, text string, shard int").parquet(path)
-
+    if not 1 <= longest <= MAX_WORDS:
+        raise ValueError(f"phrases have 1 to {MAX_WORDS} words")
+    code = coded(docs, shards)
     share = -(-min_count // shards)
     counts: list[DataFrame] = []
-    supported: list[DataFrame] = []
+    every: DataFrame | None = None  # all supported phrases with the step that supported them, stored anew by each
     filters: list[np.ndarray] = []
     opens: list[bool] = []  # whether a step supported phrases that longer ones can build on
     bits = 0
@@ -298,53 +364,73 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = MA
         active = Active(step < shards, None, None, longest)
         if filters:
             active = Active(step < shards, reduce(np.bitwise_or, filters), reduce(np.bitwise_or, filters[-shards:]), longest)
-        found = scan(whole.where(F.col("shard") == step % shards).select("lang", "text"), active)
+        found = scan(code.texts.where(F.col("shard") == step % shards).select("ids"), active)
         counts.append(stored(found, f"phrases-counts-{step}"))
 
-        fresh = _reached(counts, supported, min_count, share, shards, step)
-        sizes = {r["len"]: r["count"] for r in fresh.groupBy("len").count().collect()}
-        if step == 0:
-            bits = max(FEWEST_BITS, min(MOST_BITS, 1 << (BITS_PER_PHRASE * (sum(sizes.values()) + 1)).bit_length()))
-        supported.append(fresh)
-        filters.append(filter_of(fresh.where(F.col("len") < longest), bits))
+        fresh = _reached(counts, every, min_count, share, shards, step)
+        sizes = {r["len"]: r["count"] for r in fresh.groupBy(_length().alias("len")).count().collect()}
+        bits = bits or bits_for(4 * sum(sizes.values()))
+        known = fresh.withColumn("reach", F.lit(step))
+        every = stored(known if every is None else every.unionByName(known), "phrases-supported") if sizes or every is None else every
         opens.append(any(n and length < longest for length, n in sizes.items()))
+        filters.append(filter_of(fresh.where(_length() < longest), bits) if opens[-1] else np.zeros(bits // 8, np.uint8))
         if step + 1 >= shards and not any(opens[-shards:]):
             break
 
-    every = stored(_union(supported), "phrases-supported")
     stamped = _union([c.withColumn("t", F.lit(t)) for t, c in enumerate(counts)])
-    names = every.select(*_KEY, "since")
-    phrases = stamped.join(_lookup(names, names.count()), _KEY).where(
-        (F.col("t") >= F.col("since")) & (F.col("t") < F.col("since") + shards)).groupBy(*_KEY).agg(F.sum("n").alias("a"))
-    words = _union([c.where("len = 1") for c in counts[:shards]]).groupBy("lang").agg(F.sum("n").alias("n"))
-    return Counted(stored(phrases, "phrases"), stored(words, "phrases-words"), len(counts))
+    phrases = stored(_matched(stamped, every.drop("reach")).where(
+        (F.col("t") >= F.col("since")) & (F.col("t") < F.col("since") + shards)).groupBy(*_KEY).agg(
+        F.sum("n").alias("n")), "phrases-totals")
+    words = _union([c.where("b = 0").select("a", "n") for c in counts[:shards]])
+    return Counted(*_named(phrases, words, code.words), len(counts))
 
 
-def _reached(counts: list[DataFrame], supported: list[DataFrame], min_count: int, share: int, shards: int,
+def _reached(counts: list[DataFrame], every: DataFrame | None, min_count: int, share: int, shards: int,
              step: int) -> DataFrame:
-    """``lang, len, phrase, since`` of the phrases whose count since they became active reaches the threshold now."""
+    """``a, b, c, d, since`` of the phrases whose count since they became active reaches the threshold now."""
     first = max(0, step - shards + 1)
     recent = list(enumerate(counts))[first:]
     candidates = _union([c.where(F.col("n") >= share).select(*_KEY) for _, c in recent]).distinct()
-    since = candidates.where("len = 1").withColumn("since", F.lit(0))
-    if supported:
-        every = _union([s.withColumn("reach", F.lit(t)) for t, s in enumerate(supported)])
+    since = candidates.where("b = 0").withColumn("since", F.lit(0))
+    if every is not None:
         candidates = candidates.join(every, _KEY, "left_anti")
-        since = candidates.where("len = 1").withColumn("since", F.lit(0))
-        short = every.select("lang", (F.col("len") + 1).alias("len"), "phrase", "reach")
-        phrase = F.col("phrase")
-        longer = (candidates.where("len > 1")
-                  .withColumn("head", _beginning(phrase, F.col("len") - 1))
-                  .withColumn("tail", F.substring(phrase, F.instr(phrase, " ") + 1, F.length(phrase)))
-                  .join(short.select("lang", "len", F.col("phrase").alias("head"), F.col("reach").alias("r1")), ["lang", "len", "head"])
-                  .join(short.select("lang", "len", F.col("phrase").alias("tail"), F.col("reach").alias("r2")), ["lang", "len", "tail"]))
-        since = since.unionByName(longer.select(*_KEY, (F.greatest("r1", "r2") + 1).alias("since")))
+        since = candidates.where("b = 0").withColumn("since", F.lit(0))
+        heads = every.select(*[F.col(c).alias(f"h{c}") for c in _KEY], F.col("reach").alias("r1"))
+        tails = every.select(*[F.col(c).alias(f"t{c}") for c in _KEY], F.col("reach").alias("r2"))
+        last = _length()
+        longer = candidates.where("b <> 0").withColumns({
+            "ha": F.col("a"), "hb": F.when(last > 2, F.col("b")).otherwise(0), "hc": F.when(last > 3, F.col("c")).otherwise(0),
+            "hd": F.lit(0).cast("long"), "ta": F.col("b"), "tb": F.col("c"), "tc": F.col("d"), "td": F.lit(0).cast("long")})
+        met = longer.join(heads, [f"h{c}" for c in _KEY]).join(tails, [f"t{c}" for c in _KEY])
+        since = since.unionByName(met.select(*_KEY, (F.greatest("r1", "r2") + 1).alias("since")))
     wanted = stored(since.where(F.col("since") >= first), "phrases-candidates")
     stamped = _union([c.withColumn("t", F.lit(t)) for t, c in recent])
-    totals = stamped.join(_lookup(wanted, wanted.count()), _KEY).where("t >= since").groupBy(*_KEY, "since").agg(F.sum("n").alias("n"))
+    totals = _matched(stamped, wanted).where("t >= since").groupBy(*_KEY, "since").agg(F.sum("n").alias("n"))
     return stored(totals.where(F.col("n") >= min_count).drop("n"), "phrases-reached")
 
 
+def _named(phrases: DataFrame, words: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Phrases as text, and the words of each language in all."""
+    lang_of = dictionary.groupBy(F.col("id").alias("a")).agg(F.min("lang").alias("lang"))
+    sizes = words.groupBy("a").agg(F.sum("n").alias("n")).join(lang_of, "a").groupBy("lang").agg(F.sum("n").alias("n"))
+    used = phrases.where("b = 0").select(F.col("a").alias("id"))
+    names = stored(_lookup_words(dictionary, used), "phrases-words")
+    out = phrases
+    for place, c in enumerate(_KEY):
+        own = names.select(F.col("id").alias(c), F.col("word").alias(f"w{c}"), *([F.col("lang")] if place == 0 else []))
+        out = out.join(own, c, "inner" if place == 0 else "left")
+    text = out.select("lang", _length().alias("len"), F.concat_ws(" ", *[f"w{c}" for c in _KEY]).alias("phrase"),
+                      F.col("n").alias("a"))
+    return stored(text, "phrases"), stored(sizes, "phrases-sizes")
+
+
+def _lookup_words(dictionary: DataFrame, used: DataFrame) -> DataFrame:
+    """``id, lang, word`` of the used numbers, one row each."""
+    keys = used.select(F.col("id").alias("a"), *[F.lit(0).cast("long").alias(c) for c in _KEY[1:]])
+    rows = dictionary.select(F.col("id").alias("a"), *[F.lit(0).cast("long").alias(c) for c in _KEY[1:]], "lang", "word")
+    return _matched(rows, keys).groupBy(F.col("a").alias("id")).agg(F.min("lang").alias("lang"), F.min("word").alias("word"))
+
+
 # --- scores -----------------------------------------------------------------
 
 def _wide(column: str) -> Column:
@@ -354,6 +440,7 @@ def _wide(column: str) -> Column:
 def scored(counted: Counted, cover: int = COVER) -> DataFrame:
     """``lang, phrase, len, a, l, r, score`` by the lowest-scoring cut, without phrases that a longer one covers."""
     every = counted.phrases
+    names = ["lang", "len", "phrase"]
     phrases = every.where("len > 1")
     words = F.split("phrase", " ")
 
@@ -361,11 +448,11 @@ def scored(counted: Counted, cover: int = COVER) -> DataFrame:
         return F.array_join(F.slice(words, start, size), " ")
 
     cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("len") - 1))).select(
-        *_KEY, "a", "k", part(F.lit(1), F.col("k")).alias("head"), part(F.col("k") + 1, F.col("len") - F.col("k")).alias("tail"))
+        *names, "a", "k", part(F.lit(1), F.col("k")).alias("head"), part(F.col("k") + 1, F.col("len") - F.col("k")).alias("tail"))
     both = (cuts.join(every.select("lang", F.col("phrase").alias("head"), F.col("a").alias("l")), ["lang", "head"])
             .join(every.select("lang", F.col("phrase").alias("tail"), F.col("a").alias("r")), ["lang", "tail"]))
     score = F.call_function("div", F.lit(2_000_000).cast("decimal(10,0)") * _wide("a"), _wide("l") + _wide("r"))
-    best = both.withColumn("score", score).groupBy(*_KEY, "a").agg(
+    best = both.withColumn("score", score).groupBy(*names, "a").agg(
         F.min(F.struct("score", "k", "l", "r")).alias("cut"))
 
     inner = phrases.where("len > 2").select(

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import collocations as C
@@ -94,37 +95,68 @@ def test_messy_clashing_and_empty(spark, clashing, no_docs):
     assert sorted(tuple(r) for r in found) == sorted(plain([(r[0], r[1], r[2]) for r in messy_rows()], 4, 25))
 
 
-def tallied(texts, active):
-    tally, found = C.Tally(active), Counter()
-    batches = [b for lang, t in texts for b in tally.text(lang, t.encode())] + list(tally.flush())
-    for b in batches:
-        for lang, _, phrase, n in zip(*(c.to_pylist() for c in b.columns)):
-            found[lang, tuple(phrase.split(" "))] += n
-    return found
-
-
 def test_long_texts_are_counted_part_by_part(monkeypatch):
-    """A text that is cut into many parts, and passed on in between, gives the counts of the whole."""
+    """Texts that are cut into many parts and rows give the counts of the whole."""
     rng = random.Random(4)
     long = " ".join(rng.choice(["ab", "cd", "ef", "gh.", "ij"]) for _ in range(3000))
-    texts = [("en", long), ("fr", "ab cd ef"), ("en", "ef ab"), ("en", "x" * 900), ("fr", long)]
-    full = np.full(1 << 10, 255, np.uint8)  # a full filter holds every phrase back from nothing
+    texts = [("en", long), ("fr", "ab cd ef"), ("en", "ef ab"), ("en", "x" * 900), ("fr", long), ("en", "")]
     monkeypatch.setattr(C, "_BYTES", 64)
     monkeypatch.setattr(C, "_WORDS", 50)
-    found = tallied(texts, C.Active(True, full, full, 4))
+    rows = pa.RecordBatch.from_pydict({"lang": [x for x, _ in texts], "text": [x for _, x in texts],
+                                       "shard": pa.array([i % 2 for i in range(len(texts))], pa.int32())})
+    made = pa.Table.from_batches(C._coded(0)(iter([rows]))).to_pylist()
+    names = {r["id"]: (r["lang"], r["word"]) for r in made if r["shard"] == -1}
+    full = np.full(1 << 10, 255, np.uint8)  # a full filter holds nothing back
+    found = Counter()
+    for shard in (0, 1):
+        parts = [np.frombuffer(r["ids"], np.int64) for r in made if r["shard"] == shard]
+        assert len(parts) > (20 if shard == 0 else 0)
+        for batch in C.counted_rows(np.concatenate(parts), C.Active(True, full, full, 4)):
+            for r in batch.to_pylist():
+                words = [names[r[c]] for c in "abcd" if r[c]]
+                found[words[0][0], tuple(w for _, w in words)] += r["n"]
     assert found == plain_counts([(0, t, lang) for lang, t in texts])[0]
 
 
+def test_words_that_share_a_number_are_numbered_anew(spark, monkeypatch):
+    rows = [(i, "one two three", "en") for i in range(40)]
+    taken = []
+
+    def coded_with(salt, real=C._coded):
+        taken.append(salt)
+        body = real(salt)
+
+        def run(batches):
+            for batch in body(batches):
+                if salt == 0:  # every word has the same number
+                    at = batch.schema.get_field_index("id")
+                    batch = batch.set_column(at, "id", pa.array([None if x is None else 5 for x in batch.column("id").to_pylist()], pa.int64()))
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(C, "_coded", coded_with)
+    found = C.collocations(spark.createDataFrame(rows, DOCS)).collect()
+    assert taken == [0, 1] and [(r["phrase"], r["a"]) for r in found] == [("one two three", 40)]
+
+
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_few_and_many_candidates_give_the_same(spark, monkeypatch, rows):
+    monkeypatch.setattr(C, "BROADCAST_ROWS", rows)
+    corpus_ = corpus()
+    found = C.collocations(spark.createDataFrame(corpus_, DOCS), min_count=12, top=30).collect()
+    assert sorted(tuple(r) for r in found) == sorted(plain(corpus_, 12, 30))
+
+
 def test_filter_has_no_false_negatives(spark):
-    phrases = [("en", "a b"), ("en", "a"), ("fr", "a b c"), ("und", "é ü")]
-    made = C.filter_of(spark.createDataFrame(phrases, "lang string, phrase string"), 1 << 16)
-    for lang, phrase in phrases:
-        state = np.zeros(1, np.uint64)
-        for word in phrase.encode().split(b" "):
-            state = C.extended(state, C.word_hashes([word], lang))
-        assert C.held(made, state).all()
-    others = C.extended(np.zeros(500, np.uint64), C.word_hashes([b"w%d" % i for i in range(500)], "en"))
+    rng = np.random.default_rng(3)
+    rows = [tuple(int(x) for x in rng.integers(-2 ** 63, 2 ** 63 - 1, n)) + (0,) * (4 - n) for n in (1, 2, 3, 4) for _ in range(50)]
+    made = C.filter_of(spark.createDataFrame(rows, "a long, b long, c long, d long"), 1 << 16)
+    columns = [np.array(c) for c in zip(*rows)]
+    assert C.held(made, C.phrase_hashes(columns)).all()
+    others = C.phrase_hashes([rng.integers(1, 2 ** 62, 500), *[np.zeros(500, np.int64)] * 3])
     assert C.held(made, others).sum() < 5
+    assert not C.filter_of(spark.createDataFrame([], "a long, b long, c long, d long"), 1 << 16).any()
 
 
 def test_scores_are_exact_beyond_64_bits(spark):
