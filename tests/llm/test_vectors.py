@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,23 @@ def test_nearest_recall_and_copies(spark):
         total += 5
     assert set(found) == set(ids[ids % 50 == 0].tolist()) and hits / total >= 0.9
     assert [r["vec_id"] for r in sorted(found[1700], key=lambda r: r["rank"])] == [50, 1500, 1501, 1502, 1503]
+
+
+def test_segments_do_not_grow_with_the_window():
+    """A segment's vectors are held once; queries of any number pass by, and only their window counts."""
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(300, 4))
+    pos = rng.permutation(300)
+
+    def rows(kind, which):
+        return pd.DataFrame({"curve": 0, "seg": 0, "kind": kind, "pos": pos[which], "rep": which,
+                             "v": [data[i].tobytes() for i in which]})
+
+    asked = np.arange(0, 300, 7)
+    frames = [rows(0, np.arange(0, 200)), rows(0, np.arange(200, 300)), rows(1, asked[:20]), rows(1, asked[20:])]
+    found = pd.concat(H._scan(40, 3, 4)(iter(frames)))
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    for q in asked:
+        near = [i for i in range(300) if abs(pos[i] - pos[q]) <= 40]
+        best = sorted(near, key=lambda i: -unit[i] @ unit[q])[:4]
+        assert sorted(found[found["query"] == q]["rep"]) == sorted(best)
