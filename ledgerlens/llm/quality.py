@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm._util import U64, mix64, spans, stored
+from ledgerlens.llm._util import U64, arrow_batches, mix64, spans, stored
 from ledgerlens.llm._words import range_hashes, separators, word_bounds
 
 #: Labelled documents of a class that are fitted on, at most.
@@ -45,6 +45,8 @@ _GRAMS = 512
 _SHAPE = 9
 _BYTES = 1 << 20
 _META = 128
+#: Documents that a task turns into features at once.
+_BATCH_ROWS = 1000
 
 
 # --- views ------------------------------------------------------------------
@@ -358,8 +360,8 @@ def pool_sums(pool: DataFrame, tasks: int) -> Sums:
         def over_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, seen = np.zeros(shape), False
             for frame in frames:
-                for a in range(0, len(frame), 4096):
-                    total, seen = total + part(_unpacked(frame["features"].iloc[a:a + 4096])), True
+                for a in range(0, len(frame), 2048):
+                    total, seen = total + part(_unpacked(frame["features"].iloc[a:a + 2048])), True
             if seen:
                 yield pd.DataFrame({"sums": [total.astype(kind).tobytes()]})
 
@@ -389,7 +391,8 @@ def with_features(docs: DataFrame, *kept: Column) -> DataFrame:
     def features(texts: pd.Series, langs: pd.Series, sources: pd.Series, sizes: pd.Series) -> pd.Series:
         return pd.Series(_packed(texts, langs, sources, sizes))
 
-    return stored(docs.select(*kept, features("text", "lang", "source", "n_chars").alias("features")), "quality-features")
+    with arrow_batches(docs.sparkSession, _BATCH_ROWS):
+        return stored(docs.select(*kept, features("text", "lang", "source", "n_chars").alias("features")), "quality-features")
 
 
 def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> CoTrained | None:
