@@ -65,8 +65,8 @@ def main() -> None:
              f"Generated by `tools/plan_report.py` on `{sf_dir}` after execution (final AQE "
              "plans), default source: the materialized metrics table partitioned by "
              "`business_date`. \"Jobs before the plan\" counts what a report runs before it returns "
-             "its plan: the snapshot date, the bounded key sample of each ordinal, and the "
-             "dashboard's and the CSV copy's tables.", ""]
+             "its plan: the snapshot date of a source without date partitions, the numbered table "
+             "of each ordinal, and the dashboard's and the CSV copy's tables.", ""]
     star = StarSource(spark, sf_dir)
     pinned = ReportFilter(servicer_number="SVC-00007", end_date="2001-10-31")
     extra = {
