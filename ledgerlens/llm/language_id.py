@@ -24,7 +24,7 @@ MIN_SHARE = 1e-4
 SLOTS = 1 << 17
 HASHES = 3
 UNDETERMINED = "und"
-_CHARS = 1 << 20
+_CHARS = 1 << 19
 _SPACE = 32
 #: Distinct trigrams that a task holds, of all languages together.
 _HELD_GRAMS = 1 << 20

@@ -43,7 +43,7 @@ _BIN, _FAR = 0.02, 30.0
 THRESHOLD = 0.5
 _GRAMS = 512
 _SHAPE = 9
-_BYTES = 1 << 20
+_BYTES = 1 << 19
 _META = 128
 #: Documents that a task turns into features at once.
 _BATCH_ROWS = 1000
@@ -436,7 +436,8 @@ def quality_column(features: Column, model: CoTrained | None) -> Column:
         names = ("text_score", "meta_score", "score")
         if model is None:
             return pd.DataFrame({c: np.full(len(rows), 0.5) for c in names})
-        return pd.DataFrame(dict(zip(names, combine(*_unpacked(rows), model))))
+        parts = [combine(*_unpacked(rows.iloc[a:a + _BATCH_ROWS]), model) for a in range(0, len(rows), _BATCH_ROWS)]
+        return pd.DataFrame({n: np.concatenate([p[i] for p in parts] or [np.zeros(0)]) for i, n in enumerate(names)})
 
     return score(features)
 
