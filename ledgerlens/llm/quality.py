@@ -458,10 +458,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that score ``threshold`` or more; columns as they are.
 
-    The documents are stored beside their features, so that both are read together again.
+    The documents are stored beside their features, so that both are read together again;
+    the result is stored too, as its batches are kept small.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = with_features(docs, F.col("doc_id"), whole)
-    model = fit(rows.select("doc_id", "features"), labels)
-    return rows.select("row", quality_column(F.col("features"), model).alias("q")).where(
-        F.col("q.score") >= threshold).select("row.*")
+    with arrow_batches(docs.sparkSession, _BATCH_ROWS):
+        model = fit(rows.select("doc_id", "features"), labels)
+        return stored(rows.select("row", quality_column(F.col("features"), model).alias("q")).where(
+            F.col("q.score") >= threshold).select("row.*"), "quality-kept")
