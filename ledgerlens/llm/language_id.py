@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm._util import U64, mix64, spans, stored
+from ledgerlens.llm._util import U64, arrow_batches, mix64, spans, stored
 
 MIN_SHARE = 1e-4
 SLOTS = 1 << 17
@@ -26,6 +26,8 @@ HASHES = 3
 UNDETERMINED = "und"
 _CHARS = 1 << 19
 _SPACE = 32
+#: Documents that a task counts at once.
+_BATCH_ROWS = 1000
 #: Distinct trigrams that a task holds, of all languages together.
 _HELD_GRAMS = 1 << 20
 
@@ -111,8 +113,9 @@ def train(rows: DataFrame, min_share: float = MIN_SHARE, slots: int = SLOTS,
     """
     rows = rows.where("lang is not null").select(
         F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts = stored(rows.mapInPandas(_count_trigrams, "lang string, gram long, n long")
-                    .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
+    with arrow_batches(rows.sparkSession, _BATCH_ROWS):
+        counts = stored(rows.mapInPandas(_count_trigrams, "lang string, gram long, n long")
+                        .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
     sizes = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")), "lang-docs").orderBy("lang").collect()
     if not sizes:
         return None

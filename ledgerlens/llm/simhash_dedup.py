@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm._components import components
-from ledgerlens.llm._util import U64, forest, stored
+from ledgerlens.llm._util import U64, arrow_batches, forest, stored
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -31,6 +31,8 @@ CHUNK = 16384
 _TILE = 256
 #: Hashes of a text that are held at once.
 _HASHES = 1 << 15
+#: Documents that a task fingerprints at once, where whole rows pass it.
+_BATCH_ROWS = 1000
 _ONES = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -297,8 +299,9 @@ def keep_one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int =
     winners are row numbers, so joins neither multiply nor depend on ids.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = stored(docs.select(whole, F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("at"),
-                              fingerprint_column(F.col("text"), words, seed).alias("fp")), "simhash-rows")
+    with arrow_batches(docs.sparkSession, _BATCH_ROWS):
+        rows = stored(docs.select(whole, F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("at"),
+                                  fingerprint_column(F.col("text"), words, seed).alias("fp")), "simhash-rows")
     members = stored(fingerprint_components(rows, radius), "simhash-members")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "at")
     per_fp = rows.groupBy("fp").agg(F.min(order).alias("low"))

@@ -4,6 +4,9 @@ import os
 import subprocess
 import sys
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from ledgerlens.llm import language_id, mixing, piece_sampling, quality, simhash_dedup
 
@@ -33,6 +36,30 @@ def test_stages_take_effect_one_after_the_other(spark):
     assert sorted(map(repr, whole)) == sorted(map(repr, last))
 
 
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    """Language training and the documents' fingerprints get 1,000 texts at a time, and the session's setting stays."""
+    def counted(frames):
+        for frame in frames:
+            assert len(frame) <= 1000
+            yield from count(iter([frame]))
+
+    def hashed(text, words, seed):
+        @F.pandas_udf("long")
+        def bounded(texts: pd.Series) -> pd.Series:
+            assert len(texts) <= 1000
+            return pd.Series([one(t, words, seed) for t in texts], dtype="int64")
+        return bounded(text)
+
+    count, one = language_id._count_trigrams, simhash_dedup.fingerprint
+    monkeypatch.setattr(language_id, "_count_trigrams", counted)
+    monkeypatch.setattr(simhash_dedup, "fingerprint_column", hashed)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.range(0, 2500, 1, 1).selectExpr("id as doc_id", "concat('some words ', id % 9) as text", "'en' as lang")
+    assert language_id.train(docs).languages == ("en",)
+    assert 0 < simhash_dedup.keep_one_of_each(docs).count() <= 9
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_rest_imports_without_this_package():
     """The entry module works when the subpackage and the pipeline cannot be found."""
     code = ("import sys, importlib.abc\n"
