@@ -19,12 +19,12 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -70,7 +70,7 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
 
 @dataclass(frozen=True)
 class CommonWords:
-    """Words joined by spaces, their ids in a row, and the number of ids of each."""
+    """Words (or ends of words behind ``_MARK``) joined by spaces, their ids in a row, and the number of ids of each."""
 
     words: str
     ids: np.ndarray
@@ -85,7 +85,6 @@ class _Numbers(dict):
         return number
 
 
-
 def _splits_words(spec: str) -> bool:
     """Whether the tokenizer splits plain text at words, each with the space before it."""
     form = json.loads(spec)
@@ -94,28 +93,40 @@ def _splits_words(spec: str) -> bool:
             and before.get("use_regex", True) and not before.get("add_prefix_space", True))
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(spec: str):
+    """The tokenizer, whether it splits words, and which ids begin with a space; a worker reads it once for all its tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_str(spec)
+    model.encode_special_tokens = True
+    vocabulary = model.get_vocab()
+    opens_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    opens_word[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+    return model, _splits_words(spec), opens_word
+
+
+#: Words are cut behind a letter before a comma or full stop; the rest begins with ``_MARK`` and has no space before it.
+_MARK = "\x01"
+_CUT = "([A-Za-zÀ-ÖØ-öø-ɏ])([.,])"
+
+
 class Encoder:
     """Ids of whole texts; special strings in a text are ordinary text.
 
     A byte-level tokenizer that splits words before spaces never joins a space
-    to the character before it, unless that is white space as well.  There the words of a
+    to the character before it, unless that is white space as well, nor a comma or
+    full stop to a letter before it.  There the words of a
     text are looked up, and only words not seen before are encoded.  Any other
     text, and every text under another kind of tokenizer, is encoded as a whole.
     """
 
-    _UNSAFE = re.compile(r"\s ")
+    _UNSAFE = f"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] |{_MARK}"  # white space, space
 
     def __init__(self, spec: str, end_id: int = END_ID, common: CommonWords | None = None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.model, self.end_id = Tokenizer.from_str(spec), end_id
-        self.model.encode_special_tokens = True
-        self.by_words = _splits_words(spec)
-        vocabulary = self.model.get_vocab()
-        self.opens_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.opens_word[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        self.common = common
+        self.model, self.by_words, self.opens_word = _tokenizer(spec)
+        self.end_id, self.common = end_id, common
         self._forget()
 
     def _forget(self) -> None:
@@ -130,20 +141,25 @@ class Encoder:
     def _each(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _behind_spaces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each behind a space, in a row, and the number of ids of each."""
+        if words and all(words) and not any(w[-1].isspace() for w in words):
+            ids = self._each([" " + " ".join(words)])[0]
+            starts = np.flatnonzero(self.opens_word[ids])
+            if len(starts) == len(words):
+                return ids, np.diff(np.append(starts, len(ids)))
+        return _in_a_row(self._each([" " + w for w in words]))
+
     def _learn(self, words: list[str]) -> None:
-        """Adds words (each behind a space) to the pool, in order."""
-        plain = [w for w in words if w and not w[-1].isspace()]
-        ids = self._each(["".join(" " + w for w in plain)])[0] if plain else np.zeros(0, np.uint32)
-        starts = np.flatnonzero(self.opens_word[ids])
-        if len(plain) == len(words) == len(starts):
-            size = np.diff(np.append(starts, len(ids)))
-        else:
-            found = self._each([" " + w for w in words])
-            ids = np.concatenate(found)
-            size = np.fromiter(map(len, found), np.int64, len(found))
-        self.at = np.concatenate((self.at, len(self.pool) + np.cumsum(size) - size))
-        self.size = np.concatenate((self.size, size))
-        self.pool = np.concatenate((self.pool, ids))
+        """Adds words (each behind a space) and ends of words to the pool, in order."""
+        ends = np.fromiter((w.startswith(_MARK) for w in words), bool, len(words))
+        size, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for which, (ids, n) in (
+                (~ends, self._behind_spaces([w for w in words if not w.startswith(_MARK)])),
+                (ends, _in_a_row(self._each([w[1:] for w in words if w.startswith(_MARK)])))):
+            size[which], at[which] = n, len(self.pool) + np.cumsum(n) - n
+            self.pool = np.concatenate((self.pool, ids))
+        self.at, self.size = np.concatenate((self.at, at)), np.concatenate((self.size, size))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, an end id after each, and the number of ids of each (end ids counted)."""
@@ -151,8 +167,10 @@ class Encoder:
         if len(self.numbers) > seeded + _CACHED_WORDS:
             self._forget()
         known = len(self.numbers)
-        whole = [not self.by_words or bool(self._UNSAFE.search(t)) for t in texts]
-        split = pc.split_pattern(pa.array(["" if w else t for w, t in zip(whole, texts)], pa.string()), " ")
+        unsafe = pc.match_substring_regex(pa.array(texts, pa.string()), self._UNSAFE).to_pylist()
+        whole = unsafe if self.by_words else [True] * len(texts)
+        plain = pa.array(["" if w else t for w, t in zip(whole, texts)], pa.string())
+        split = pc.split_pattern(pc.replace_substring_regex(plain, _CUT, rf"\1 {_MARK}\2"), " ")
         offsets, pieces = split.offsets.to_numpy(), split.values.dictionary_encode()
         firsts = [t if w else f for w, t, f in zip(whole, texts, pieces.take(pa.array(offsets[:-1])).to_pylist())]
         place = pieces.indices.to_numpy()
@@ -161,7 +179,7 @@ class Encoder:
         used = np.zeros(len(pieces.dictionary), bool)
         used[place[is_word]] = True
         number_of = np.zeros(len(used), np.int64)
-        words = pieces.dictionary.filter(pa.array(used)).to_pylist()
+        words = pieces.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist()
         number_of[used] = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         new = list(islice(self.numbers, known, None))
         if new:
@@ -183,6 +201,11 @@ class Encoder:
         return pool[place], np.diff(upto[tails], prepend=0)
 
 
+def _in_a_row(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays of ids joined, and the length of each."""
+    return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+
 def common_words(docs: DataFrame, spec: str, rows: int = COMMON_ROWS, most: int = COMMON_WORDS) -> CommonWords | None:
     """The most frequent words of a sample of about ``rows`` documents with their ids.
 
@@ -194,13 +217,14 @@ def common_words(docs: DataFrame, spec: str, rows: int = COMMON_ROWS, most: int
     texts = docs.select("text").where("text is not null")
     count = texts.count()
     sample = texts.sample(min(1.0, rows / max(1, count)), seed=7) if count > rows else texts
-    words = sample.select(F.explode(F.slice(F.split("text", " "), 2, 1 << 30)).alias("word")).groupBy("word").count()
+    cut = F.regexp_replace("text", _CUT, f"$1 {_MARK}$2")
+    words = sample.select(F.explode(F.slice(F.split(cut, " "), 2, 1 << 30)).alias("word")).groupBy("word").count()
     kept = words.where((F.col("count") > 1) & (F.length("word") > 0)).orderBy(F.desc("count"), "word").limit(most)
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(spec)
         for frame in frames:
-            found = encoder._each([" " + w for w in frame["word"]])
+            found = encoder._each([w[1:] if w.startswith(_MARK) else " " + w for w in frame["word"]])
             yield pd.DataFrame({"word": frame["word"], "ids": [x.tobytes() for x in found]})
 
     found = kept.select("word").repartition(max(1, most // 20_000)).mapInPandas(encode, "word string, ids binary").toPandas()

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -44,6 +45,25 @@ def test_words_are_encoded_as_in_the_whole_text(spec, model):
         assert [g.tolist() for g in got] == [e.ids + [0] for e in model.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_are_cut_before_commas_and_full_stops(spec, model):
+    """A word is encoded once, whatever comma or full stop follows it, and the tokenizer is read once."""
+    texts = ["x " + " ".join(f"{w}{end}" for w in ("alpha", "bêta", "Gamma") for end in ("", ",", ".", ".\nThen", "...", ",'s x"))]
+    texts += ["1.5 a.b, c. ,d .e é,ß. Д, 中. ﬁ. ª, 's, don't. it's, x,'s ),a. \x01, a \x01b, a\x01,", "a.,b\n,c \n.d", ", . a ,", "a,", "×, ÷. ɏ, ɐ,"]
+    encode = T.Encoder(spec)
+    for _ in range(2):
+        ids, _ = encode(texts)
+        assert ids.tolist() == [i for t in texts for i in model.encode(t, add_special_tokens=False).ids + [0]]
+    assert sum(w in ("alpha", "alpha,", "alpha.", "alpha...") for w in encode.numbers) == 1
+    assert T.Encoder(spec).model is encode.model
+
+
+def test_white_space_before_spaces_is_found(spec):
+    """The white space that keeps a text whole is all that Python knows."""
+    texts = [f"a{chr(c)} b" for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    found = pa.compute.match_substring_regex(pa.array(texts, pa.string()), T.Encoder._UNSAFE).to_pylist()
+    assert found == [t[1].isspace() or t[1] == T._MARK for t in texts]
+
+
 def test_common_words_change_nothing(spark, spec, model, messy):
     common = T.common_words(messy, spec, most=300)
     assert len(common.size) == 300 == len(common.words.split(" ")) and common.size.sum() == len(common.ids)
