@@ -24,7 +24,8 @@ MIN_SHARE = 1e-4
 SLOTS = 1 << 17
 HASHES = 3
 UNDETERMINED = "und"
-_CHARS = 1 << 19
+#: Characters of texts that are looked at together; some twenty arrays of eight times as many bytes are held.
+_CHARS = 1 << 17
 _SPACE = 32
 #: Documents that a task counts at once.
 _BATCH_ROWS = 1000
@@ -241,6 +242,7 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, min_lead: flo
 
     Null texts, texts without a letter, texts of some length that two languages cover alike and
     texts that no language covers go.  Without any language to learn from all go.
+    The result is stored, as its batches are kept small.
     """
     model = fit_documents(docs)
 
@@ -255,4 +257,6 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, min_lead: flo
 
     rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     text = F.col("text")
-    return docs.select(rows.alias("row"), clear(F.when(text.rlike(r"\p{L}"), text)).alias("clear")).where("clear").select("row.*")
+    with arrow_batches(docs.sparkSession, _BATCH_ROWS):
+        return stored(docs.select(rows.alias("row"), clear(F.when(text.rlike(r"\p{L}"), text)).alias("clear")).where(
+            "clear").select("row.*"), "lang-kept")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm._util import U64, arrow_batches, mix64, spans, stored
+from ledgerlens.llm._util import U64, arrow_batches, discard, mix64, spans, stored
 from ledgerlens.llm._words import range_hashes, separators, word_bounds
 
 #: Labelled documents of a class that are fitted on, at most.
@@ -43,7 +43,8 @@ _BIN, _FAR = 0.02, 30.0
 THRESHOLD = 0.5
 _GRAMS = 512
 _SHAPE = 9
-_BYTES = 1 << 19
+#: Bytes of texts that are looked at together; arrays of eight times as many are held.
+_BYTES = 1 << 17
 _META = 128
 #: Documents that a task turns into features at once.
 _BATCH_ROWS = 1000
@@ -459,11 +460,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """Documents that score ``threshold`` or more; columns as they are.
 
     The documents are stored beside their features, so that both are read together again;
-    the result is stored too, as its batches are kept small.
+    the result is stored too, as its batches are kept small, and the first table goes.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = with_features(docs, F.col("doc_id"), whole)
     with arrow_batches(docs.sparkSession, _BATCH_ROWS):
         model = fit(rows.select("doc_id", "features"), labels)
-        return stored(rows.select("row", quality_column(F.col("features"), model).alias("q")).where(
+        kept = stored(rows.select("row", quality_column(F.col("features"), model).alias("q")).where(
             F.col("q.score") >= threshold).select("row.*"), "quality-kept")
+    discard(rows)
+    return kept

@@ -60,6 +60,29 @@ def test_texts_reach_python_in_small_batches(spark, monkeypatch):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
+def test_filters_hold_few_texts_and_leave_no_features(spark, monkeypatch):
+    """The language filter gets 1,000 texts at a time too, and features are gone once the documents are chosen."""
+    def bounded(texts, *rest):
+        assert len(texts) <= 1000
+        return identified(texts, *rest)
+
+    def kept_features(docs, *kept):
+        tables.append(with_features(docs, *kept))
+        return tables[-1]
+
+    identified, with_features, tables = language_id.identified, quality.with_features, []
+    docs = spark.range(0, 2500, 1, 1).selectExpr("id as doc_id", "concat('some words ', id % 9) as text", "'en' as lang",
+                                                 "'s' as source", "12L as n_chars")
+    monkeypatch.setattr(language_id, "identified", bounded)
+    assert language_id.keep_identified(docs).count() == 2500
+    monkeypatch.setattr(quality, "with_features", kept_features)
+    labels = spark.range(0, 40).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    kept = quality.keep_good(docs, labels)
+    folder = tables[0].inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert not os.path.exists(folder)
+    assert kept.columns == docs.columns and kept.join(docs, docs.columns, "left_anti").count() == 0
+
+
 def test_rest_imports_without_this_package():
     """The entry module works when the subpackage and the pipeline cannot be found."""
     code = ("import sys, importlib.abc\n"
