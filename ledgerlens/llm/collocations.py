@@ -18,12 +18,17 @@ are not active.  Filters only save work: which phrases were active from which
 step on is settled by joins on the phrases themselves.  A phrase that reaches the
 threshold has reached its share in one shard, so only such phrases are looked up
 in the shards' counts, by a broadcast if they are few and else behind a filter.
+
+Pairs are tallied by hash before the scans: in tables of hashes that are dealt by
+hash value, so that no task holds more than a block of them.  A pair whose hash
+stays below the threshold in the whole corpus can't reach it, so it is never
+counted, nor built upon.
 """
 
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -52,6 +57,8 @@ _PROBES = 4
 _WORDS = 1 << 21
 _BYTES = 1 << 20
 _EMIT = 1 << 18
+#: Hashes of pairs that a block of their tally holds, about.
+_BLOCK = 1 << 21
 #: No byte of a text; the number of the end of a piece.
 _END, _STOP = b"\xff", 0
 _KEY = ["a", "b", "c", "d"]  # the words of a phrase, 0 behind the last one
@@ -214,14 +221,18 @@ def bits_for(phrases: int) -> int:
     return max(FEWEST_BITS, min(MOST_BITS, 1 << (BITS_PER_PHRASE * (phrases + 1)).bit_length()))
 
 
-def filter_of(phrases: DataFrame, bits: int) -> np.ndarray:
+def _key_hashes(frame: pd.DataFrame) -> np.ndarray:
+    return phrase_hashes([frame[c].to_numpy() for c in _KEY])
+
+
+def filter_of(phrases: DataFrame, bits: int, hashes: Callable[[pd.DataFrame], np.ndarray] = _key_hashes) -> np.ndarray:
     """Bloom filter of ``phrases(a, b, c, d)``: made per task, united in one, one filter reaches the driver."""
 
     def marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, seen = np.zeros(bits // 8, np.uint8), False
         for frame in frames:
             seen = seen or len(frame) > 0
-            for at in _probes(phrase_hashes([frame[c].to_numpy() for c in _KEY]), bits):
+            for at in _probes(hashes(frame), bits):
                 np.bitwise_or.at(out, (at >> U64(3)).astype(np.int64), np.uint8(1) << (at & U64(7)).astype(np.uint8))
         if seen:
             yield pd.DataFrame({"bits": [out.tobytes()]})
@@ -233,7 +244,7 @@ def filter_of(phrases: DataFrame, bits: int) -> np.ndarray:
                 out |= np.frombuffer(blob, np.uint8)
         yield pd.DataFrame({"bits": [out.tobytes()]})
 
-    made = phrases.select(*_KEY).mapInPandas(marked, "bits binary").repartition(1).mapInPandas(united, "bits binary")
+    made = phrases.select(*[c for c in phrases.columns if c in (*_KEY, "h")]).mapInPandas(marked, "bits binary").repartition(1).mapInPandas(united, "bits binary")
     found = made.first()
     return np.frombuffer(found["bits"], np.uint8) if found else np.zeros(bits // 8, np.uint8)
 
@@ -252,16 +263,69 @@ def _matched(table: DataFrame, keys: DataFrame) -> DataFrame:
     return table.mapInArrow(passed, table.schema).join(keys, _KEY)
 
 
+# --- pairs that can reach the threshold -------------------------------------
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The numbers of whole texts, about ``_WORDS`` at once."""
+    parts, size = [], 0
+    for batch in batches:
+        for value in batch.column("ids"):
+            ids = np.frombuffer(value.as_buffer(), np.int64)
+            parts.append(ids)
+            size += len(ids)
+            if size > _WORDS:
+                yield np.concatenate(parts)
+                parts, size = [], 0
+    if size:
+        yield np.concatenate(parts)
+
+
+def frequent_pairs(texts: DataFrame, min_count: int) -> DataFrame:
+    """``h``: hashes that pairs of neighbouring words in ``texts(ids)`` have ``min_count`` times or more in all."""
+    words = (texts.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // 8
+    bits = max(1, (words // _BLOCK).bit_length())
+
+    def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids in _runs(batches):
+            at = np.flatnonzero((ids[:-1] != _STOP) & (ids[1:] != _STOP))
+            hashes, n = np.unique(phrase_hashes([ids[at], ids[at + 1]]), return_counts=True)
+            n = np.minimum(n, min_count).astype(np.uint32)
+            block = (hashes >> U64(64 - bits)).astype(np.int32)
+            cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block)).tolist()
+            yield pa.RecordBatch.from_arrays([
+                pa.array(block[cuts[:-1]], pa.int32()),
+                pa.array([hashes[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                pa.array([n[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["block", "hashes", "n"])
+
+    def reached(rows: pa.Table) -> pa.Table:
+        hashes = np.frombuffer(b"".join(rows["hashes"].to_pylist()), np.uint64)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        n = np.frombuffer(b"".join(rows["n"].to_pylist()), np.uint32)[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        return pa.table({"h": hashes[first][np.add.reduceat(n, first) >= min_count].view(np.int64)})
+
+    tally = texts.mapInArrow(tallied, "block int, hashes binary, n binary")
+    return stored(tally.groupBy("block").applyInArrow(reached, "h long"), "phrases-pairs")
+
+
+def pair_filter(texts: DataFrame, min_count: int) -> np.ndarray:
+    """Bloom filter of ``frequent_pairs``: it holds every pair that can reach the threshold."""
+    pairs = frequent_pairs(texts, min_count)
+    return filter_of(pairs, bits_for(pairs.count()), lambda frame: frame["h"].to_numpy(np.int64).view(np.uint64))
+
+
 # --- a scan -----------------------------------------------------------------
 
 @dataclass(frozen=True)
 class Active:
-    """What a step counts: words or not, and phrases by the filters of all and of new supported phrases."""
+    """What a step counts: words or not, and phrases by the filters of all and of new supported phrases and of pairs."""
 
     words: bool
     all: np.ndarray | None
     new: np.ndarray | None
     longest: int
+    pairs: np.ndarray | None = None
 
 
 def counted_rows(ids: np.ndarray, active: Active) -> Iterator[pa.RecordBatch]:
@@ -278,6 +342,8 @@ def counted_rows(ids: np.ndarray, active: Active) -> Iterator[pa.RecordBatch]:
     # ok[i], fresh[i], state[i]: of the phrase of the last length that begins at i
     for length in range(2, active.longest + 1):
         pair = np.flatnonzero(ok[:-1] & ok[1:])
+        if length == 2 and active.pairs is not None:
+            pair = pair[held(active.pairs, extended(state[pair], numbers[codes[pair + 1]]))]
         live = pair[fresh[pair] | fresh[pair + 1]]
         if len(live):
             yield from _rows(*_distinct(codes, live, length, len(words)), words)
@@ -311,17 +377,8 @@ def scan(texts: DataFrame, active: Active) -> DataFrame:
     """Counts ``a, b, c, d, n`` of the words and active phrases (and few others) in ``texts(ids)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for batch in batches:
-            for value in batch.column("ids"):
-                ids = np.frombuffer(value.as_buffer(), np.int64)
-                parts.append(ids)
-                size += len(ids)
-                if size > _WORDS:
-                    yield from counted_rows(np.concatenate(parts), active)
-                    parts, size = [], 0
-        if size:
-            yield from counted_rows(np.concatenate(parts), active)
+        for ids in _runs(batches):
+            yield from counted_rows(ids, active)
 
     return texts.mapInArrow(run, "a long, b long, c long, d long, n long").groupBy(*_KEY).agg(F.sum("n").alias("n"))
 
@@ -348,12 +405,13 @@ class Counted:
 def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = MAX_WORDS, shards: int = SHARDS) -> Counted:
     """``phrases(lang, len, phrase, a)`` of up to ``longest`` words with ``a >= min_count``; ``words(lang, n)``.
 
-    The driver holds two filters of at most ``MOST_BITS`` bits and one number per length and step.
+    The driver holds filters of at most ``MOST_BITS`` bits and one number per length and step.
     """
     if not 1 <= longest <= MAX_WORDS:
         raise ValueError(f"phrases have 1 to {MAX_WORDS} words")
     code = coded(docs, shards)
     share = -(-min_count // shards)
+    pairs = pair_filter(code.texts.select("ids"), min_count) if longest > 1 else None
     counts: list[DataFrame] = []
     every: DataFrame | None = None  # all supported phrases with the step that supported them, stored anew by each
     filters: list[np.ndarray] = []
@@ -363,7 +421,7 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = MA
         step = len(counts)
         active = Active(step < shards, None, None, longest)
         if filters:
-            active = Active(step < shards, reduce(np.bitwise_or, filters), reduce(np.bitwise_or, filters[-shards:]), longest)
+            active = Active(step < shards, reduce(np.bitwise_or, filters), reduce(np.bitwise_or, filters[-shards:]), longest, pairs)
         found = scan(code.texts.where(F.col("shard") == step % shards).select("ids"), active)
         counts.append(stored(found, f"phrases-counts-{step}"))
 

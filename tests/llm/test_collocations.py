@@ -165,3 +165,35 @@ def test_scores_are_exact_beyond_64_bits(spark):
     counted = C.Counted(spark.createDataFrame(rows, "lang string, len int, phrase string, a long"), None, 0)
     found = C.scored(counted).first()
     assert found["score"] == 2_000_000 * a // (2 * a + 3)
+
+
+def test_rare_pairs_are_never_counted(spark, monkeypatch):
+    """Of frequent words in mostly rare pairs, only the pairs that reach the threshold are counted."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.sample(words, 20)) + ". fixed pair", "en") for i in range(120)]
+    kept = {}
+
+    def recorded(df, name, real=C.stored):
+        kept[name] = real(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(C, "stored", recorded)
+    found = C.collocations(spark.createDataFrame(rows, DOCS).repartition(3), top=30).collect()
+    assert sorted(tuple(r) for r in found) == sorted(plain(rows, 30, 30)) != []
+    longer = [df.where("b <> 0").count() for name, df in kept.items() if name.startswith("phrases-counts-")]
+    assert 3 <= sum(longer) < 50
+
+
+def test_pairs_are_tallied_exactly_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(C, "_BLOCK", 8)  # many blocks
+    rng = np.random.default_rng(6)
+    texts = [np.append(rng.integers(-6, 7, 200), 0).astype(np.int64) for _ in range(40)]
+    runs = [np.concatenate(texts[i:i + 8]) for i in range(0, 40, 8)]
+    seen = Counter((int(a), int(b)) for t in texts for a, b in zip(t, t[1:]) if a and b)
+    assert min(seen.values()) < 45 < max(seen.values())
+    docs = spark.createDataFrame([(bytearray(t.tobytes()),) for t in runs], "ids binary").repartition(3)
+    found = {r["h"] for r in C.frequent_pairs(docs, 45).collect()}
+    often = [p for p, n in seen.items() if n >= 45]
+    assert found == set(C.phrase_hashes([np.array(c) for c in zip(*often)]).view(np.int64).tolist())
+    assert C.frequent_pairs(docs.where("false"), 45).count() == 0
