@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm import language_id, mixing, piece_sampling, quality, simhash_dedup
-from ledgerlens.llm._util import stored, table
+from ledgerlens.llm._util import arrow_batches, stored, table
+
+#: Texts that Python gets at once in the encoding stage.
+BATCH_ROWS = 1000
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled piece ids of the mixed documents."""
-    return piece_sampling.encode_documents(docs)
+    with arrow_batches(spark, BATCH_ROWS):  # read when it runs, so the result is stored within
+        return stored(piece_sampling.encode_documents(docs), "pipeline-encoded")
 
 
 STAGES = [

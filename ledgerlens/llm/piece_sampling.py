@@ -39,9 +39,9 @@ TEMPERATURE = 1.0
 MARK = "▁"
 #: Stands for a space mark that the text itself holds; no character has this code.
 _LITERAL_MARK = 0x110000
-_CHARS = 1 << 19
+_CHARS = 1 << 17
 #: Characters of words whose lattices are kept from batch to batch.
-_KEPT_CHARS = 3 << 19
+_KEPT_CHARS = 1 << 19
 #: Words from this length on are filtered by stretches; characters of a segment and of a stretch.
 _LONG, _SEGMENT, _STRETCH = 128, 1 << 16, 256
 _RUNS = re.compile(" *[^ ]+| +$")

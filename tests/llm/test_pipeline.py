@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import os
+import random
 import subprocess
 import sys
+import tracemalloc
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -96,3 +98,39 @@ def test_rest_imports_without_this_package():
             "assert e.oracle_sql()\n")
     root = os.path.dirname(os.path.abspath(C.__file__))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, env=os.environ | {"PYTHONPATH": root})
+
+
+def test_encoding_gets_few_texts_and_holds_few_lattices(spark, monkeypatch):
+    """The encoding stage gets 1,000 texts at a time, and a worker's lattices stay small however many words it meets."""
+    def bounded(vocabulary):
+        def run(frames):
+            for frame in frames:
+                assert len(frame) <= 1000
+                yield from encode(vocabulary)(iter([frame]))
+        return run
+
+    encode = piece_sampling._encode
+    docs = spark.range(0, 2500, 1, 1).selectExpr("id as doc_id", "concat('some words ', id % 9) as text")
+    whole = piece_sampling.encode_documents(docs).collect()
+    monkeypatch.setattr(piece_sampling, "_encode", bounded)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = C.encoding_stage(spark, docs, SF)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, whole)) and len(whole) == 2500
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+    vocabulary = piece_sampling.load_vocabulary(piece_sampling.model_path())
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(1000)) for _ in range(200)]
+    frame = pd.DataFrame({"doc_id": [str(i) for i in range(200)], "text": texts, "key": range(200)})
+    body = encode(vocabulary)(iter([frame]))
+    rows = len(next(body))  # the trie is made
+    tracemalloc.start()
+    try:
+        for part in body:
+            assert part["lossless"].all()
+            rows += len(part)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 200
+    assert peak < 150e6, peak
