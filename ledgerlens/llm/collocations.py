@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm._util import U64, mix64, shared_path, stored
+from ledgerlens.llm._util import U64, long_rows, mix64, shared_path, stored
 
 MIN_COUNT = 30
 MAX_WORDS = 4
@@ -56,6 +56,10 @@ _PROBES = 4
 #: Words that a task holds before it passes counts on, and bytes of a text that are split at once.
 _WORDS = 1 << 21
 _BYTES = 1 << 20
+#: Words of a row of coded texts, about, and such rows that are read at once.
+_ROW_WORDS, _READ_ROWS = 1 << 17, 32
+#: Hashes that are looked up in a filter at once.
+_LOOKED_UP = 1 << 18
 _EMIT = 1 << 18
 #: Hashes of pairs that a block of their tally holds, about.
 _BLOCK = 1 << 21
@@ -139,13 +143,13 @@ def _coded(salt: int):
                     codes = np.array(array("q", map(number, part.replace(_END, b" " + _END + b" ").split())), np.int64)
                     out.append((shard, codes))
                     size += len(codes)
-                    if size > _WORDS and (codes == _STOP).any():  # a long text is cut between pieces
+                    if size > _ROW_WORDS and (codes == _STOP).any():  # a long text is cut between pieces
                         cut = int(np.flatnonzero(codes == _STOP)[-1]) + 1
                         out[-1] = shard, codes[:cut]
                         yield from joined(out)
                         out, size = [(shard, codes[cut:])], len(codes) - cut
                 out.append((shard, np.zeros(1, np.int64)))
-                if size > _WORDS:
+                if size > _ROW_WORDS:
                     yield from joined(out)
                     out, size = [], 0
                 if sum(map(len, known.values())) > _WORDS:
@@ -212,8 +216,10 @@ def _probes(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
 def held(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each phrase may be in the filter."""
     out = np.ones(len(hashes), bool)
-    for at in _probes(hashes, 8 * len(filter_)):
-        out &= (filter_[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
+    for a in range(0, len(hashes), _LOOKED_UP):
+        part = out[a:a + _LOOKED_UP]
+        for at in _probes(hashes[a:a + _LOOKED_UP], 8 * len(filter_)):
+            part &= (filter_[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
     return out
 
 
@@ -306,7 +312,8 @@ def frequent_pairs(texts: DataFrame, min_count: int) -> DataFrame:
         return pa.table({"h": hashes[first][np.add.reduceat(n, first) >= min_count].view(np.int64)})
 
     tally = texts.mapInArrow(tallied, "block int, hashes binary, n binary")
-    return stored(tally.groupBy("block").applyInArrow(reached, "h long"), "phrases-pairs")
+    with long_rows(texts.sparkSession, _READ_ROWS):
+        return stored(tally.groupBy("block").applyInArrow(reached, "h long"), "phrases-pairs")
 
 
 def pair_filter(texts: DataFrame, min_count: int) -> np.ndarray:
@@ -331,6 +338,7 @@ class Active:
 def counted_rows(ids: np.ndarray, active: Active) -> Iterator[pa.RecordBatch]:
     """Words and active phrases of a run of numbers with their counts."""
     words, codes, n = np.unique(ids, return_inverse=True, return_counts=True)
+    codes = codes.astype(np.int32)
     real = words != _STOP
     if active.words:
         yield from _rows([np.flatnonzero(real)], n[real], words)
@@ -357,7 +365,7 @@ def counted_rows(ids: np.ndarray, active: Active) -> Iterator[pa.RecordBatch]:
 
 def _distinct(codes: np.ndarray, at: np.ndarray, length: int, v: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Word codes (one array per place) and counts of the distinct phrases that begin at ``at``."""
-    key = codes[at]
+    key = codes[at].astype(np.int64)
     for k in range(1, length):
         if k > 1:  # numbers of the distinct beginnings, so that the product stays within 64 bits
             key = np.unique(key, return_inverse=True)[1]
@@ -409,6 +417,7 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = MA
     """
     if not 1 <= longest <= MAX_WORDS:
         raise ValueError(f"phrases have 1 to {MAX_WORDS} words")
+    spark = docs.sparkSession
     code = coded(docs, shards)
     share = -(-min_count // shards)
     pairs = pair_filter(code.texts.select("ids"), min_count) if longest > 1 else None
@@ -423,7 +432,8 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = MA
         if filters:
             active = Active(step < shards, reduce(np.bitwise_or, filters), reduce(np.bitwise_or, filters[-shards:]), longest, pairs)
         found = scan(code.texts.where(F.col("shard") == step % shards).select("ids"), active)
-        counts.append(stored(found, f"phrases-counts-{step}"))
+        with long_rows(spark, _READ_ROWS):
+            counts.append(stored(found, f"phrases-counts-{step}"))
 
         fresh = _reached(counts, every, min_count, share, shards, step)
         sizes = {r["len"]: r["count"] for r in fresh.groupBy(_length().alias("len")).count().collect()}

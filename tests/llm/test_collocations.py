@@ -197,3 +197,25 @@ def test_pairs_are_tallied_exactly_in_blocks(spark, monkeypatch):
     often = [p for p, n in seen.items() if n >= 45]
     assert found == set(C.phrase_hashes([np.array(c) for c in zip(*often)]).view(np.int64).tolist())
     assert C.frequent_pairs(docs.where("false"), 45).count() == 0
+
+
+def test_rows_of_coded_texts_stay_short():
+    """Texts as numbers come in rows of about a megabyte, so that no batch of them fills a worker."""
+    texts = ["one two three. four five six"] * 60_000
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts), pa.array([i % 3 for i in range(len(texts))], pa.int32())],
+                                       ["lang", "text", "shard"])
+    sizes, words = [], 0
+    for out in C._coded(0)(iter([batch])):
+        for ids in out.column("ids").to_pylist():
+            if ids is not None:
+                sizes.append(len(ids))
+                words += int((np.frombuffer(ids, np.int64) != C._STOP).sum())
+    assert words == 6 * len(texts) and max(sizes) <= 9 * C._ROW_WORDS <= 9 << 17
+
+
+def test_filters_are_looked_up_by_parts(monkeypatch):
+    hashes = C.mix64(np.arange(1, 1001, dtype=np.uint64))
+    marks = np.frombuffer(np.random.default_rng(1).bytes(1 << 10), np.uint8)
+    whole = C.held(marks, hashes)
+    monkeypatch.setattr(C, "_LOOKED_UP", 7)
+    assert 0 < whole.sum() < 1000 and (C.held(marks, hashes) == whole).all()
