@@ -40,8 +40,10 @@ MARK = "▁"
 #: Stands for a space mark that the text itself holds; no character has this code.
 _LITERAL_MARK = 0x110000
 _CHARS = 1 << 17
-#: Characters of words whose lattices are kept from batch to batch.
-_KEPT_CHARS = 1 << 19
+#: Characters of words whose lattices are kept from batch to batch; of these, of words that are not forgotten.
+_KEPT_CHARS, _COMMON_CHARS = 5 << 17, 1 << 18
+#: Occurrences in the first period from which on a word is not forgotten.
+_COMMON = 2
 #: Words from this length on are filtered by stretches; characters of a segment and of a stretch.
 _LONG, _SEGMENT, _STRETCH = 128, 1 << 16, 256
 _RUNS = re.compile(" *[^ ]+| +$")
@@ -206,10 +208,11 @@ class Lattice:
 
         begin, end = place[start], place[start] + width
         offset = end - self.first[word[start]]
-        order = np.lexsort((begin, end, offset))
+        # by offset, end and begin: one key, as no two edges share all three
+        order = np.argsort((offset * (len(codes) + len(words) + 1) + end) * (length + 1) - width)
         begin, end, weight, piece, offset = (x[order] for x in (begin, end, weight, piece, offset))
         self.begin = begin.astype(np.int32)
-        self.token_count = np.ones(len(piece), np.int32)
+        self.token_count = np.ones(len(piece), np.uint8)
         spell = np.flatnonzero(piece < 0)
         self.token_count[spell] = lengths[-1 - piece[spell]]
         spell_at = np.concatenate(([0], np.cumsum(lengths)))
@@ -234,31 +237,31 @@ class Lattice:
             total[end[node_at[a:b]]] = top + np.log(mass)
             chance[lo:hi] = share / np.repeat(mass, count)
         self.total = total
-        # backward draws: one search in the running sum, a whole number per node
+        # backward draws: one search in the running sum, a whole number per node, between its first and last edge
         self.running = np.cumsum(chance)
-        self.rank = np.zeros(len(total), np.int64)
+        self.before = np.zeros(len(total))
+        self.low, self.high = np.zeros(len(total), np.int32), np.zeros(len(total), np.int32)
         if len(node_at):
-            self.rank[end[node_at]] = np.arange(len(node_at))
-        self.node_at, self.node_end = node_at, node_end
+            node = end[node_at]
+            self.low[node], self.high[node] = node_at, node_end - 1
+            self.before[node[1:]] = self.running[node_at[1:] - 1]
 
     def sample(self, words: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One draw per occurrence: tokens of all in order, and the number of tokens of each."""
-        place, open_ = self.last[words], np.arange(len(words))
-        stop = self.first[words]
+        place, stop, open_ = self.last[words], self.first[words], np.arange(len(words))
         who, edges, step = [], [], 0
         steps = np.zeros(len(words), np.int64)
         with np.errstate(over="ignore"):
             while len(open_):
-                u = (mix64(seeds[open_] + U64(step) * U64(0xD1B54A32D192ED03)) >> U64(11)).astype(np.float64) * 2.0 ** -53
-                node = self.rank[place[open_]]
-                before = np.where(node > 0, self.running[self.node_at[node] - 1], 0.0)
-                edge = np.clip(np.searchsorted(self.running, before + u, side="right"),
-                               self.node_at[node], self.node_end[node] - 1)
+                u = (mix64(seeds + U64(step) * U64(0xD1B54A32D192ED03)) >> U64(11)).astype(np.float64) * 2.0 ** -53
+                edge = np.searchsorted(self.running, self.before[place] + u, side="right")
+                edge = np.minimum(np.maximum(edge, self.low[place]), self.high[place])
                 who.append(open_)
                 edges.append(edge)
                 steps[open_] += 1
-                place[open_] = self.begin[edge]
-                open_ = open_[place[open_] > stop[open_]]
+                place = self.begin[edge]
+                more = np.flatnonzero(place > stop)
+                place, stop, seeds, open_ = place[more], stop[more], seeds[more], open_[more]
                 step += 1
         if not who:
             return np.zeros(0, np.int64), steps
@@ -267,7 +270,7 @@ class Lattice:
         behind = np.cumsum(steps)
         for s, (w, e) in enumerate(zip(who, edges)):
             ordered[behind[w] - 1 - s] = e
-        count = self.token_count[ordered]
+        count = self.token_count[ordered].astype(np.int64)
         at = np.repeat(self.token_at[ordered], count) + _within(count)
         owner = np.repeat(np.arange(len(words)), steps)
         return self.tokens[at], np.bincount(owner, weights=count, minlength=len(words)).astype(np.int64)
@@ -423,24 +426,47 @@ class _Numbers(dict):
 
 
 class Sampler:
-    """Encodes batches of texts; lattices of words are kept until they hold ``_KEPT_CHARS`` characters."""
+    """Encodes batches of texts; lattices of words are kept until they hold ``_KEPT_CHARS`` characters.
+
+    Then the words are forgotten, but the commonest ones of the first period stay for good, up to ``_COMMON_CHARS``.
+    """
 
     def __init__(self, vocabulary: Vocabulary, trie: Trie):
         self.vocabulary, self.trie = vocabulary, trie
-        self._forget()
+        self.numbers: _Numbers
+        self.lattices: list[tuple[int, int, Lattice]]
+        self.long: dict[int, str]
+        self.chars: int
+        self._start([])
+        self.seen = np.zeros(0, np.int64)  # occurrences of the words of the first period
+        self.stay: tuple[list[str], list[tuple[int, int, Lattice]], int] | None = None
 
     def _forget(self) -> None:
-        self.numbers = _Numbers()
-        self.lattices: list[tuple[int, int, Lattice]] = []
-        self.long: dict[int, str] = {}
-        self.chars = 0
+        if self.stay is None:
+            common = np.flatnonzero(self.seen >= _COMMON)
+            common = common[np.argsort(-self.seen[common], kind="stable")]
+            words = list(self.numbers)
+            words = [words[i] for i in common.tolist() if len(words[i]) < _LONG]
+            sizes = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+            self._start(words[:int(np.searchsorted(sizes, _COMMON_CHARS, side="right"))])
+            self.stay = list(self.numbers), self.lattices[:], self.chars
+        else:
+            words, lattices, self.chars = self.stay
+            self.numbers, self.lattices, self.long = _Numbers(zip(words, range(len(words)))), lattices[:], {}
+
+    def _start(self, words: list[str]) -> None:
+        self.numbers, self.lattices, self.long, self.chars = _Numbers(zip(words, range(len(words)))), [], {}, 0
+        if words:
+            self._learn(0)
 
     def _learn(self, known: int) -> None:
         words = list(islice(self.numbers, known, None))
-        self.long |= {known + i: w for i, w in enumerate(words) if len(w) >= _LONG}
-        short = ["" if len(w) >= _LONG else " " + w for w in words]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        short = list(map(" ".__add__, words))
+        for i in np.flatnonzero(sizes >= _LONG).tolist():
+            self.long[known + i], short[i] = words[i], ""
         self.lattices.append((known, known + len(words), Lattice(short, self.vocabulary, self.trie)))
-        self.chars += sum(map(len, words))
+        self.chars += int(sizes.sum())
 
     def __call__(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """Sampled token ids of each text; ``keys`` are the seeds of the rows. An empty text has none."""
@@ -458,6 +484,10 @@ class Sampler:
         if len(self.numbers) > known:
             self._learn(known)
         words = np.array(order, np.int64)
+        if self.stay is None:
+            seen = np.bincount(words, minlength=len(self.numbers))
+            seen[:len(self.seen)] += self.seen
+            self.seen = seen
         with np.errstate(over="ignore"):
             seeds = mix64(np.repeat(keys.astype(np.int64).view(np.uint64), counts)
                           + (_within(counts).astype(np.uint64) + U64(1)) * U64(0x9E3779B97F4A7C15))

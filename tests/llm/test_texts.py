@@ -227,3 +227,21 @@ def test_text_without_spaces_keeps_up(kind):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 200 << 20
+
+
+def test_common_words_are_not_forgotten(monkeypatch):
+    """A common word is learned when it is met and once for good; a rare one anew in every period."""
+    learned, lattice = collections.Counter(), P.Lattice
+
+    def noted(words, *rest):
+        learned.update(words)
+        return lattice(words, *rest)
+
+    monkeypatch.setattr(P, "Lattice", noted)
+    monkeypatch.setattr(P, "_KEPT_CHARS", 200)
+    rng, sampler = random.Random(4), P.Sampler(VOCABULARY, TRIE)
+    for i in range(12):
+        rare = " ".join(UNSPACED["letters"](rng, 12) for _ in range(15))
+        text = "common " * 5 + "seldom " * (i % 3 == 1) + rare
+        assert DECODE(sampler([text], np.array([i]))[0]) == text
+    assert learned[" common"] == 2 and learned[" seldom"] > 2
