@@ -338,8 +338,8 @@ def combine(text: np.ndarray, meta: np.ndarray, model: CoTrained) -> tuple[np.nd
 # --- the operator -----------------------------------------------------------
 
 _TEXT_WIDTH, _META_WIDTH = _GRAMS + _SHAPE, _META + 2
-#: Rows of sums that reach the driver at most.
-_FAN_IN = 16
+#: Rows of sums that reach the driver at most; parts of the pool that one task adds up, at most.
+_FAN_IN, _PARTS = 16, 4
 
 
 def _packed(texts: pd.Series, langs: pd.Series, sources: pd.Series, sizes: pd.Series) -> list[bytes]:
@@ -353,7 +353,16 @@ def _unpacked(rows: pd.Series) -> Views:
 
 
 def pool_sums(pool: DataFrame, tasks: int) -> Sums:
-    """Sums over the blocks of ``pool(features)``: per task, then per ``_FAN_IN`` of these, until so few are left."""
+    """Sums over the blocks of ``pool(features)``: per task, then per ``_FAN_IN`` of these, until so few are left.
+
+    A task takes up to ``_PARTS`` of the ``tasks`` parts, as its sums are as large as many rows, but every
+    core has two tasks while there are so many parts.
+    """
+    cores = pool.sparkSession.sparkContext.defaultParallelism
+    fewer = max(_FAN_IN, 2 * cores, -(-tasks // _PARTS))
+    if fewer < tasks:
+        pool, tasks = pool.coalesce(fewer), fewer
+
     def sums(part: Callable[[Views], np.ndarray]) -> np.ndarray:
         none = np.zeros((0, _TEXT_WIDTH), np.float32), np.zeros((0, _META_WIDTH), np.float32)
         shape, kind = part(none).shape, np.float32 if getattr(part, "rough", False) else np.float64

@@ -296,7 +296,8 @@ def keep_one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int =
     Of rows that repeat that id and fingerprint one stays; a component of null
     ids keeps one row.  All columns come back as they are, whatever their names.
     The documents are stored beside their fingerprints and a row number, and
-    winners are row numbers, so joins neither multiply nor depend on ids.
+    winners are row numbers, so joins neither multiply nor depend on ids.  64
+    row numbers in a row make one word of bits, so that few rows meet the documents.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     with arrow_batches(docs.sparkSession, _BATCH_ROWS):
@@ -305,7 +306,10 @@ def keep_one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int =
     members = stored(fingerprint_components(rows, radius), "simhash-members")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "at")
     per_fp = rows.groupBy("fp").agg(F.min(order).alias("low"))
-    winners = stored(per_fp.join(members, per_fp.fp == members.node, "left")
-                     .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("low").alias("low"))
-                     .select(F.col("low.at").alias("at")), "simhash-winners")
-    return rows.join(winners, "at", "left_semi").select("row.*")
+    winners = (per_fp.join(members, per_fp.fp == members.node, "left")
+               .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("low").alias("low"))
+               .select(F.col("low.at").alias("at")))
+    word, bit = F.shiftright("at", 6).alias("word"), F.col("at").bitwiseAND(63).cast("int")
+    words = stored(winners.groupBy(word).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")), "simhash-winners")
+    return rows.join(words, F.shiftright("at", 6) == F.col("word")).where(F.getbit("bits", bit) == 1).select("row.*")

@@ -161,3 +161,41 @@ def test_views_share_no_feature():
     once, many = Q.text_view([text * 400, text * 4000])
     assert np.abs(once[:-1] - many[:-1]).max() < 0.01  # the last one compares distinct words with all words
     assert Q.text_view([text]).shape[1] == Q._GRAMS + Q._SHAPE
+
+
+def test_pool_sums_join_parts_of_the_pool():
+    """Many small parts are added up by fewer tasks, so that few sums are passed on; a few parts stay as they are."""
+    class Pool:
+        def __init__(self):
+            self.dealt = []
+
+        sparkSession = sparkContext = property(lambda self: self)
+        defaultParallelism = 6
+
+        def coalesce(self, n):
+            self.dealt.append(("coalesce", n))
+            return self
+
+        def repartition(self, n):
+            self.dealt.append(("repartition", n))
+            return self
+
+        def mapInPandas(self, function, schema):
+            return self
+
+        def collect(self):
+            return []
+
+    dealt = {}
+    for tasks in (10, 40, 100):
+        pool = Pool()
+        Q.pool_sums(pool, tasks)(lambda views: np.zeros(3))
+        dealt[tasks] = pool.dealt
+    assert dealt == {10: [], 40: [("coalesce", 16)], 100: [("coalesce", 25), ("repartition", 2)]}
+
+
+def test_pool_sums_of_many_parts(spark):
+    rows = [(bytes(np.full(Q._TEXT_WIDTH + Q._META_WIDTH, i % 3, np.float16).tobytes()),) for i in range(300)]
+    pool = spark.createDataFrame(rows, "features binary").repartition(80)
+    sums = Q.pool_sums(pool, 80)(lambda views: np.array([len(views[0]), views[0][:, 0].sum()], np.float64))
+    assert sums.tolist() == [300.0, 300.0]

@@ -126,3 +126,20 @@ def test_many_null_ids_do_not_meet_each_other(spark):
     distinct, plain = timed(range(8000))
     nulls, slow = timed([None] * 8000)
     assert distinct == nulls and slow < 2 * plain + 5
+
+
+def test_documents_meet_words_of_winners(spark, monkeypatch):
+    """64 documents in a row share one row of the table of winners; the documents that stay are the same."""
+    sizes, stored = {}, S.stored
+
+    def noted(df, name):
+        out = stored(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(S, "stored", noted)
+    rows = [(i, f"text number {i % 700} of some {i % 700 * 7919} more {i % 700 * 104729} words") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1).sortWithinPartitions("doc_id")
+    kept = sorted(r.doc_id for r in S.keep_one_of_each(docs).collect())
+    assert kept == sorted({component for _, _, component in plain_components(rows)})
+    assert sizes["simhash-winners"] <= 1000 // 64 + 1 < len(kept)
