@@ -301,6 +301,33 @@ def test_machine_local_folder_is_refused_on_a_cluster():
             _checked(root, "spark://host:7077")
 
 
+def _as_on_a_cluster(spark, monkeypatch, folder):
+    """Settings of a real cluster's session, as the library reads them."""
+    own = {"spark.master": "spark://host:7077", "spark.checkpoint.dir": folder}
+    monkeypatch.setattr(type(spark.conf), "get", lambda conf, key, *other, real=type(spark.conf).get: (
+        own[key] if key in own else real(conf, key, *other)))
+
+
+def test_mounted_folder_is_used_on_a_cluster(spark, scratch, monkeypatch):
+    """A ``file:`` folder that every machine has (a network mount) serves; it is tried out once."""
+    from ledgerlens.llm._util import stored
+    _as_on_a_cluster(spark, monkeypatch, f"file://{scratch}/mount")
+    assert stored(spark.range(7), "t").count() == 7 and stored(spark.range(3), "t").count() == 3
+    assert len(os.listdir(f"{scratch}/mount/ledgerlens-tables")) == 1
+
+
+@pytest.mark.parametrize("folder", ["file:///dev/null/x", "file://{}/lost"])
+def test_folder_that_machines_do_not_share_is_refused_on_a_cluster(spark, scratch, monkeypatch, folder):
+    """Tasks that cannot write there, or whose rows others do not find, end in an error before any result."""
+    import ledgerlens.session as S
+    if "lost" in folder:
+        monkeypatch.setattr(S, "_rows_seen", lambda *a, real=S._rows_seen: real(*a) - 1)
+    _as_on_a_cluster(spark, monkeypatch, folder.format(scratch))
+    for _ in range(2):
+        with pytest.raises(ValueError, match="must be shared storage"):
+            S.shared_root(spark)
+
+
 def test_written_files_are_sorted_for_pruning(spark, scratch):
     """Inside a file the servicer numbers ascend, so row-group statistics prune."""
     from ledgerlens.sources.star import materialized_star
