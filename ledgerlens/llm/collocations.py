@@ -27,8 +27,9 @@ counted, nor built upon.
 
 from __future__ import annotations
 
+import uuid
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -36,10 +37,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm._util import U64, long_rows, mix64, shared_path, stored
+from ledgerlens.session import shared_root
 
 MIN_COUNT = 30
 MAX_WORDS = 4
@@ -118,6 +120,7 @@ def _coded(salt: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, _Words] = {}
+        most = min(_ROW_WORDS, _WORDS)
 
         def joined(out: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
             """Parts of texts, in order, as one row per shard."""
@@ -143,13 +146,13 @@ def _coded(salt: int):
                     codes = np.array(array("q", map(number, part.replace(_END, b" " + _END + b" ").split())), np.int64)
                     out.append((shard, codes))
                     size += len(codes)
-                    if size > _ROW_WORDS and (codes == _STOP).any():  # a long text is cut between pieces
+                    if size > most and (codes == _STOP).any():  # a long text is cut between pieces
                         cut = int(np.flatnonzero(codes == _STOP)[-1]) + 1
                         out[-1] = shard, codes[:cut]
                         yield from joined(out)
                         out, size = [(shard, codes[cut:])], len(codes) - cut
                 out.append((shard, np.zeros(1, np.int64)))
-                if size > _ROW_WORDS:
+                if size > most:
                     yield from joined(out)
                     out, size = [], 0
                 if sum(map(len, known.values())) > _WORDS:
@@ -393,8 +396,22 @@ def scan(texts: DataFrame, active: Active) -> DataFrame:
 
 # --- dynamic itemset counting -----------------------------------------------
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
+class Steps:
+    """A table that grows by a stored part with each step; any steps of it are read by one scan.
+
+    A plan over many steps stays as short as over one, which is what the driver
+    has to hold and to compile.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.schema = spark, f"{name}-{uuid.uuid4().hex}", None
+
+    def add(self, step: int, df: DataFrame) -> None:
+        self.schema = stored(df, f"{self.name}/{step}").schema
+
+    def read(self, steps: Iterable[int]) -> DataFrame:
+        folder = f"{shared_root(self.spark)}/llm/{self.name}"
+        return self.spark.read.schema(self.schema).parquet(*[f"{folder}/{step}-*" for step in steps])
 
 
 def _length() -> Column:
@@ -421,60 +438,56 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = MA
     code = coded(docs, shards)
     share = -(-min_count // shards)
     pairs = pair_filter(code.texts.select("ids"), min_count) if longest > 1 else None
-    counts: list[DataFrame] = []
-    every: DataFrame | None = None  # all supported phrases with the step that supported them, stored anew by each
+    counts = Steps(spark, "phrases-counts")
+    every = Steps(spark, "phrases-supported")  # supported phrases with the step that supported them
     filters: list[np.ndarray] = []
-    opens: list[bool] = []  # whether a step supported phrases that longer ones can build on
-    bits = 0
+    bits = step = 0
     while True:
-        step = len(counts)
         active = Active(step < shards, None, None, longest)
         if filters:
             active = Active(step < shards, reduce(np.bitwise_or, filters), reduce(np.bitwise_or, filters[-shards:]), longest, pairs)
         found = scan(code.texts.where(F.col("shard") == step % shards).select("ids"), active)
         with long_rows(spark, _READ_ROWS):
-            counts.append(stored(found, f"phrases-counts-{step}"))
-
-        fresh = _reached(counts, every, min_count, share, shards, step)
-        sizes = {r["len"]: r["count"] for r in fresh.groupBy(_length().alias("len")).count().collect()}
-        bits = bits or bits_for(4 * sum(sizes.values()))
-        known = fresh.withColumn("reach", F.lit(step))
-        every = stored(known if every is None else every.unionByName(known), "phrases-supported") if sizes or every is None else every
-        opens.append(any(n and length < longest for length, n in sizes.items()))
-        filters.append(filter_of(fresh.where(_length() < longest), bits) if opens[-1] else np.zeros(bits // 8, np.uint8))
-        if step + 1 >= shards and not any(opens[-shards:]):
+            counts.add(step, found.withColumn("t", F.lit(step)))
+        every.add(step, _reached(counts, every, min_count, share, shards, step).withColumn("reach", F.lit(step)))
+
+        fresh = every.read([step])
+        bits = bits or bits_for(4 * fresh.count())
+        filters.append(filter_of(fresh.where(_length() < longest), bits))  # empty if no longer phrase can build on the step's
+        step += 1
+        if step >= shards and not any(f.any() for f in filters[-shards:]):
             break
 
-    stamped = _union([c.withColumn("t", F.lit(t)) for t, c in enumerate(counts)])
-    phrases = stored(_matched(stamped, every.drop("reach")).where(
+    phrases = stored(_matched(counts.read(range(step)), every.read(range(step)).drop("reach")).where(
         (F.col("t") >= F.col("since")) & (F.col("t") < F.col("since") + shards)).groupBy(*_KEY).agg(
         F.sum("n").alias("n")), "phrases-totals")
-    words = _union([c.where("b = 0").select("a", "n") for c in counts[:shards]])
-    return Counted(*_named(phrases, words, code.words), len(counts))
+    words = counts.read(range(shards)).where("b = 0").select("a", "n")
+    return Counted(*_named(phrases, words, code.words), step)
 
 
-def _reached(counts: list[DataFrame], every: DataFrame | None, min_count: int, share: int, shards: int,
-             step: int) -> DataFrame:
+def _reached(counts: Steps, every: Steps, min_count: int, share: int, shards: int, step: int) -> DataFrame:
     """``a, b, c, d, since`` of the phrases whose count since they became active reaches the threshold now."""
     first = max(0, step - shards + 1)
-    recent = list(enumerate(counts))[first:]
-    candidates = _union([c.where(F.col("n") >= share).select(*_KEY) for _, c in recent]).distinct()
-    since = candidates.where("b = 0").withColumn("since", F.lit(0))
-    if every is not None:
-        candidates = candidates.join(every, _KEY, "left_anti")
-        since = candidates.where("b = 0").withColumn("since", F.lit(0))
-        heads = every.select(*[F.col(c).alias(f"h{c}") for c in _KEY], F.col("reach").alias("r1"))
-        tails = every.select(*[F.col(c).alias(f"t{c}") for c in _KEY], F.col("reach").alias("r2"))
-        last = _length()
-        longer = candidates.where("b <> 0").withColumns({
+    recent = counts.read(range(first, step + 1))
+    wanted = recent.where(F.col("n") >= share).select(*_KEY).distinct()
+    zero = F.lit(0).cast("long")
+    if step:
+        known = every.read(range(step))
+        last, word = _length(), F.col("b") == _STOP
+        # a word builds on nothing: itself stands for its parts, so that no key is shared by all words
+        parts = wanted.join(known, _KEY, "left_anti").withColumns({
             "ha": F.col("a"), "hb": F.when(last > 2, F.col("b")).otherwise(0), "hc": F.when(last > 3, F.col("c")).otherwise(0),
-            "hd": F.lit(0).cast("long"), "ta": F.col("b"), "tb": F.col("c"), "tc": F.col("d"), "td": F.lit(0).cast("long")})
-        met = longer.join(heads, [f"h{c}" for c in _KEY]).join(tails, [f"t{c}" for c in _KEY])
-        since = since.unionByName(met.select(*_KEY, (F.greatest("r1", "r2") + 1).alias("since")))
-    wanted = stored(since.where(F.col("since") >= first), "phrases-candidates")
-    stamped = _union([c.withColumn("t", F.lit(t)) for t, c in recent])
-    totals = _matched(stamped, wanted).where("t >= since").groupBy(*_KEY, "since").agg(F.sum("n").alias("n"))
-    return stored(totals.where(F.col("n") >= min_count).drop("n"), "phrases-reached")
+            "hd": zero, "ta": F.when(word, F.col("a")).otherwise(F.col("b")), "tb": F.col("c"), "tc": F.col("d"), "td": zero})
+        heads = known.select(*[F.col(c).alias(f"h{c}") for c in _KEY], F.col("reach").alias("r1"))
+        tails = known.select(*[F.col(c).alias(f"t{c}") for c in _KEY], F.col("reach").alias("r2"))
+        met = parts.join(heads, [f"h{c}" for c in _KEY], "left").join(tails, [f"t{c}" for c in _KEY], "left")
+        wanted = met.where(word | (F.col("r1").isNotNull() & F.col("r2").isNotNull())).select(
+            *_KEY, F.when(word, 0).otherwise(F.greatest("r1", "r2") + 1).alias("since"))
+    else:
+        wanted = wanted.where("b = 0").withColumn("since", F.lit(0))
+    wanted = stored(wanted.where(F.col("since") >= first), "phrases-candidates")
+    totals = _matched(recent, wanted).where("t >= since").groupBy(*_KEY, "since").agg(F.sum("n").alias("n"))
+    return totals.where(F.col("n") >= min_count).drop("n")
 
 
 def _named(phrases: DataFrame, words: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from ledgerlens.llm import collocations as C
 from tests.llm.conftest import messy_rows
 
@@ -219,3 +221,33 @@ def test_filters_are_looked_up_by_parts(monkeypatch):
     whole = C.held(marks, hashes)
     monkeypatch.setattr(C, "_LOOKED_UP", 7)
     assert 0 < whole.sum() < 1000 and (C.held(marks, hashes) == whole).all()
+
+
+def test_steps_are_read_by_one_scan(spark):
+    """The plan over many steps is as short as over one, and gives the rows of the steps asked for only."""
+    table = C.Steps(spark, "some")
+    for step in range(12):
+        table.add(step, spark.range(step).withColumn("t", F.lit(step)))
+    few, many = table.read([11]), table.read(range(1, 12))
+    assert Counter(r["t"] for r in many.collect()) == {t: t for t in range(1, 12)}
+    assert few.count() == 11 and table.read([0]).count() == 0
+
+    def scans(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("FileScan")  # noqa: SLF001
+
+    assert scans(many) == scans(few) == 1
+
+
+@pytest.mark.parametrize("step", [0, 1, 4])
+def test_words_and_phrases_reach_the_threshold_together(spark, step):
+    """From its parts' steps on a phrase counts; words need no parts; what was supported before is not found again."""
+    counts, every = C.Steps(spark, "c"), C.Steps(spark, "e")
+    shape, known = "a long, b long, c long, d long, n long, t int", "a long, b long, c long, d long, since int, reach int"
+    for t in range(step + 1):
+        rows = [(5, 0, 0, 0, 9, t), (6, 0, 0, 0, 1, t), (1, 2, 0, 0, 9, t), (1, 2, 3, 0, 9, t), (1, 2, 4, 0, 9, t), (7, 8, 0, 0, 9, t)]
+        counts.add(t, spark.createDataFrame(rows, shape))
+        before = [(1, 0, 0, 0, 0, 0), (2, 0, 0, 0, 0, 0), (7, 0, 0, 0, 0, 0)] if t == 0 else [
+            (1, 2, 0, 0, 1, 3), (2, 3, 0, 0, 1, 2)] if t == 3 else []
+        every.add(t, spark.createDataFrame(before, known))
+    found = {tuple(r) for r in C._reached(counts, every, 9, 3, 3, step).collect()}
+    assert found == {0: {(5, 0, 0, 0, 0)}, 1: {(5, 0, 0, 0, 0), (1, 2, 0, 0, 1)}, 4: {(1, 2, 3, 0, 4)}}[step]
